@@ -38,7 +38,7 @@ def lexicon(docs: DataFrame, text_col: str = "text", min_idf: float = 1.6, max_i
     return sorted(r.h for r in count.where(idf.between(min_idf, max_idf)).select("h").collect())
 
 
-def with_fingerprint(rows: DataFrame, text_col: str, name: str, words: list[int], subsets: int = 64, seed: int = 11) -> DataFrame:
+def with_fingerprint(rows: DataFrame, text_col: str, name: str, words: list[int], subsets: int = 128, seed: int = 11) -> DataFrame:
     """rows with an array of one hash per subset (a power of two), null where the text has no term of it."""
     bits = subsets.bit_length() - 1
     member = f"h in ({', '.join(map(str, words))})" if words else "false"
@@ -47,11 +47,20 @@ def with_fingerprint(rows: DataFrame, text_col: str, name: str, words: list[int]
     dealt = F.transform("_used", lambda h: F.shiftleft(F.pmod(F.xxhash64(h, F.lit(seed)), F.lit(subsets)), 64 - bits).bitwiseOR(F.shiftrightunsigned(h, bits)))
     rows = rows.withColumn("_ordered", F.array_sort(dealt)).drop("_used")
 
-    def one(k: Column) -> Column:
-        own = F.filter("_ordered", lambda t: F.shiftrightunsigned(t, 64 - bits) == k)
+    def one(k: Column, of: Column) -> Column:
+        own = F.filter(of, lambda t: F.shiftrightunsigned(t, 64 - bits) == k)
         return F.transform(F.array(own), lambda o: F.when(F.size(o) > 0, F.xxhash64(o)))[0]
 
-    return rows.withColumn(name, F.transform(F.sequence(F.lit(0).cast("long"), F.lit(subsets - 1).cast("long")), one)).drop("_ordered")
+    step = 1 << bits // 2  # first by the upper bits of the subset, so that each term is tried step + subsets / step times
+
+    def some(c: Column, of: Column) -> Column:
+        part = F.filter(of, lambda t: F.shiftrightunsigned(t, 64 - bits + bits // 2) == c)
+        return F.transform(F.array(part), lambda p: F.transform(F.sequence(c * step, c * step + step - 1), lambda k: one(k, p)))[0]
+
+    parts = F.sequence(F.lit(0).cast("long"), F.lit(subsets // step - 1).cast("long"))
+    # bound by a lambda, so that the optimiser cannot move the sort into the loop over the subsets
+    hashes = F.transform(F.array("_ordered"), lambda of: F.flatten(F.transform(parts, lambda c: some(c, of))))[0]
+    return rows.withColumn(name, hashes).drop("_ordered")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -85,7 +94,7 @@ def successors(ids: DataFrame, most: int = 100_000, bits: int = 8) -> DataFrame:
     return inner.alias("i").join(linked.alias("l"), F.expr("i.u <=> l.u"), "left").select("i.g", F.when(F.col("i.more"), F.col("i.a")).otherwise(F.col("l.head")).alias("after"))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 8, subsets: int = 64) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 8, subsets: int = 128) -> DataFrame:
     """Per document its fingerprint, that of its edited text (the last third replaced by the start of the next document), and likenesses.
 
     The text is shuffled once, to groups of 2**bits neighbouring ids; windows, joins and results stay there.

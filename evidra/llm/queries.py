@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, html_text, imatch, packing, quality, token_counts, warc
+from . import bpe, embedding_dedup, html_text, imatch, ngram_join, packing, quality, substring_dedup, token_counts, warc
 from .common import new_path
 
 try:
@@ -30,6 +30,11 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _tokenizers.path("byte_bpe_multi_50k.tiktoken")
     both = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), path, _tokenizers.PATTERN), path)
@@ -37,6 +42,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_components(_table(spark, sf_dir, "documents"))
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.links(_table(spark, sf_dir, "embeddings"))
 
@@ -59,7 +68,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizers.path("byte_bpe_50k.json"), with_ids=False, ranks=_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extraction, op2_quality_classifier, op4_byte_bpe, op6_embedding_dedup, op7_warc, op8_imatch, op9_token_counts, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extraction, op2_quality_classifier, op3_substring_dedup, op4_byte_bpe, op5_ngram_join, op6_embedding_dedup, op7_warc, op8_imatch, op9_token_counts, op10_packing)}
 
 ORACLE: dict[str, str] = {
     "op7_warc": """
