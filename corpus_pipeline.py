@@ -34,9 +34,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of 13 words and more that one with a smaller doc_id has."""
-    kept = substring_dedup.remove_repeats(docs)
-    text = F.when(F.col("n_removed") > 0, F.col("text"))
-    return kept.withColumn("n_chars", F.coalesce(F.length(text).cast("long"), F.col("n_chars"))).select(docs.columns)
+    kept = substring_dedup.remove_repeats(docs, whole=True)
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -182,8 +182,8 @@ def _gathered(answers: DataFrame, name: str) -> DataFrame:
     return answers.groupBy("batch").agg(F.collect_list(F.struct("bucket", "answer")).alias(name))
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the kept words as text (null stays null), and n_words and n_removed."""
+def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """docs with the kept words as text (null stays null), and n_words and n_removed. With whole, a text that loses nothing stays as it is."""
     spark = docs.sparkSession
     buckets = 2 * n_buckets(spark)
     packed = stored(batches_of(docs, text_col), "batches")
@@ -239,8 +239,11 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
                 keep = np.cumsum(change)[:-1] == 0
                 counts, first = np.diff(a.words.first), a.words.first
                 kept = np.concatenate(([0], np.cumsum(keep)))
-                texts = [None if null else t.decode() for null, t in zip(rows.column(text_col).is_null().to_pylist(), kept_words(a.words, keep), strict=True)]
-                out = {name: rows.column(name) for name in rows.schema.names} | {text_col: pa.array(texts, pa.string()), "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(counts - np.diff(kept[first]), pa.int64())}
+                texts = pa.array([t.decode() for t in kept_words(a.words, keep)], pa.string())
+                lost = counts - np.diff(kept[first])
+                old = rows.column(text_col)
+                texts = pc.if_else(pa.array((lost == 0) & whole), old, pc.if_else(pc.is_valid(old), texts, pa.nulls(len(old), pa.string())))
+                out = {name: rows.column(name) for name in rows.schema.names} | {text_col: texts, "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(lost, pa.int64())}
                 yield pa.RecordBatch.from_arrays([out[f.name] for f in schema.fields], schema.names)
 
     return packed.join(hits, "batch", "left").join(smaller, "batch", "left").mapInArrow(remove, schema)
