@@ -7,6 +7,7 @@ UTF-8 bytes and splitting characters give the same words.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,6 +18,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+try:  # workers share a machine's memory: give large freed blocks back at once, not at the end of the process
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.mallopt(-3, 1 << 20)
+    pa.set_memory_pool(pa.system_memory_pool())
+except OSError:
+    _libc = None
+
 _own_base: dict[str, str] = {}
 _written: list[tuple[SparkSession, str]] = []
 
@@ -61,7 +69,7 @@ def n_buckets(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 500_000) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of at most about limit bytes of one string column (a longer value stands alone)."""
     for batch in batches:
         n = batch.num_rows
@@ -74,6 +82,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2_000_00
             to = max(at + 1, int(np.searchsorted(size, before + limit, "right")))
             yield batch.slice(at, to - at)
             at = to
+    if _libc:
+        _libc.malloc_trim(0)
 
 
 _SPACE = np.zeros(256, bool)
@@ -100,7 +110,7 @@ def _powers(base: int, n: int) -> np.ndarray:
         x = np.full(max(n, 1 << 16), base, np.uint64)
         x[0] = 1
         have = np.cumprod(x, dtype=np.uint64)
-        if len(have) <= 1 << 22:  # larger ones are made anew, so that workers stay small
+        if len(have) <= 1 << 20:  # larger ones are made anew, so that workers stay small
             _power[base] = have
     return have[:n]
 
@@ -120,8 +130,8 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def words_of(texts: pa.Array, lower: bool = False) -> Words:
-    """Split texts (nulls: no words) and hash every word with 64 bits; lower folds A-Z."""
+def words_of(texts: pa.Array, lower: bool = False, step: int = 500_000) -> Words:
+    """Split texts (nulls: no words) and hash every word with 64 bits; lower folds A-Z. About step bytes at a time."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     _, off, buf = texts.buffers()
     off = np.frombuffer(off, np.int64, len(texts) + 1, texts.offset * 8)
@@ -129,6 +139,18 @@ def words_of(texts: pa.Array, lower: bool = False) -> Words:
     off = off - off[0]
     if lower:
         data = _LOWER[data]
+    parts, at = [], 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(off, off[at] + step, "right")) - 1)
+        start, end, h = _split(data[off[at] : off[to]], off[at : to + 1] - off[at])
+        parts.append((start + off[at], end + off[at], h))
+        at = to
+    start, end, h = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, t) for k, t in enumerate((np.int64, np.int64, np.uint64)))
+    return Words(data, start, end, np.searchsorted(start, off), h)
+
+
+def _split(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, hash) of the words of data; off: the texts' borders."""
     n = len(data)
     edge = np.zeros(n + 1, bool)
     edge[off] = True
@@ -144,8 +166,7 @@ def words_of(texts: pa.Array, lower: bool = False) -> Words:
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, n), out=sums[1:])
     inverse = pow(_BASE, -1, 1 << 64)
     h = (sums[end] - sums[start]) * _powers(inverse, n + 1)[start]
-    h = mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return Words(data, start, end, np.searchsorted(start, off), h)
+    return start, end, mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def windows(h: np.ndarray, n: int, base: int = 0x2545F4914F6CDD1D) -> np.ndarray:

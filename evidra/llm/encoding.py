@@ -20,7 +20,7 @@ _ODD = re.compile(r"[^\S \n]")
 class CachedEncoder:
     """texts -> little-endian uint32 ids as bytes. limit: chunks kept at once by a worker."""
 
-    def __init__(self, tokenizer: Tokenizer, limit: int = 700_000):
+    def __init__(self, tokenizer: Tokenizer, limit: int = 300_000):
         self.tokenizer, self.limit, self.cache = tokenizer, limit, {}
         added = tokenizer.get_added_tokens_decoder()
         self.special = re.compile("|".join(re.escape(t.content) for t in added.values())) if added and not tokenizer.encode_special_tokens else None

@@ -47,7 +47,7 @@ def _spread(raw: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(data.reshape(width, -1).T).view(kind).ravel()
 
 
-def batches_of(docs: DataFrame, text_col: str, limit: int = 6_000_000) -> DataFrame:
+def batches_of(docs: DataFrame, text_col: str, limit: int = 3_000_000) -> DataFrame:
     """(batch, blob): the rows of docs in compressed Arrow batches of about limit bytes of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +217,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([number] * len(rows), pa.int64()), pa.array([x[0] for x in rows], pa.int32()), *(pa.array([x[c] for x in rows], pa.binary()) for c in (1, 2, 3))], ["batch", "bucket", "h", "g", "least"])
 
-    runs = packed.join(hits, "batch").mapInArrow(extend, "batch long, bucket int, h binary, g binary, least binary")
+    runs = packed.join(hits.hint("merge"), "batch").mapInArrow(extend, "batch long, bucket int, h binary, g binary, least binary")
     smaller = stored(_gathered(_by_bucket(runs, buckets, _run_answer, answer), "smaller"), "smaller")
     extra = [f for f in docs.schema.fields if f.name not in ("n_words", "n_removed")]
     schema = T.StructType([*extra, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
@@ -246,4 +246,4 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
                 out = {name: rows.column(name) for name in rows.schema.names} | {text_col: texts, "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(lost, pa.int64())}
                 yield pa.RecordBatch.from_arrays([out[f.name] for f in schema.fields], schema.names)
 
-    return packed.join(hits, "batch", "left").join(smaller, "batch", "left").mapInArrow(remove, schema)
+    return packed.join(hits.hint("merge"), "batch", "left").join(smaller.hint("merge"), "batch", "left").mapInArrow(remove, schema)
