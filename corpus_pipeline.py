@@ -27,7 +27,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     groups = stored(ngram_join.similar_components(docs), "groups")
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     again = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    left = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
     single = left.join(again, "doc_id", "left_anti").select(docs.columns)
     return single.unionByName(left.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
 

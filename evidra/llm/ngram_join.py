@@ -100,11 +100,11 @@ def _frequencies(parts: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-_COLUMNS = (("token", "<u8"), ("node", "<i8"), ("size", "<u4"), ("at", "<u4"), ("score", "<f4"))
+_COLUMNS = (("low", "<u4"), ("high", "u1"), ("node", "<i8"), ("size", "<u4"), ("at", "<u4"), ("score", "<f4"))
 
 
 def _prefixes(docs: DataFrame, counts: np.ndarray, n: int, percent: int, buckets: int) -> DataFrame:
-    """(bucket, entries): packed prefix entries, once for each set in a batch."""
+    """(bucket, entries): packed prefix entries, once for each set in a batch; of a shingle's hash 40 bits beside its bucket."""
     sent = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,13 +119,13 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, n: int, percent: int, buckets
             node, size, score = (np.repeat(np.array([h[k] for h in held], t), sizes) for k, t in ((1, "<i8"), (2, "<u4"), (3, "<f4")))
             hist = np.repeat(np.stack([h[4] for h in held]), sizes, axis=0)
             at = np.concatenate([np.arange(k, dtype="<u4") for k in sizes])
-            bucket = (mix(token) % np.uint64(buckets)).astype(np.int32)
+            bucket = ((token >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             found, first = np.unique(bucket[order], return_index=True)
             rows = []
             for a, b in zip(first, [*first[1:], len(order)], strict=True):
                 o = order[a:b]
-                rows.append(len(o).to_bytes(4, "little") + squeeze(b"".join(x[o].tobytes() for x in (token, node, size, at, score, hist))))
+                rows.append(len(o).to_bytes(4, "little") + squeeze(b"".join(x[o].tobytes() for x in (token.astype("<u4"), (token >> np.uint64(32)).astype("u1"), node, size, at, score, hist))))
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(found), pa.array(rows, pa.binary())], ["bucket", "entries"])
 
@@ -143,7 +143,7 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, n: int, percent: int, buckets
                 hist = np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) % BINS, minlength=BINS), 255).astype(np.uint8)
                 held.append((s[np.lexsort((s, c))[:p]], int.from_bytes(key[:8], "little", signed=True), len(s), float(np.log1p(c).mean()), hist))
                 total += p
-            if total > 1_000_000:
+            if total > 400_000:
                 yield flush()
                 total = 0
         if held:
@@ -156,7 +156,8 @@ def unpack(raw: bytes) -> dict[str, np.ndarray]:
     m, data, at, out = int.from_bytes(raw[:4], "little"), zstandard.ZstdDecompressor().decompress(raw[4:]), 0, {}
     for name, kind in _COLUMNS:
         out[name] = np.frombuffer(data, kind, m, at)
-        at += 8 * m if kind[-1] == "8" else 4 * m
+        at += out[name].nbytes
+    out["token"] = out.pop("low") | out.pop("high").astype(np.uint64) << np.uint64(32)
     out["hist"] = np.frombuffer(data, np.uint8, m * BINS, at).reshape(m, BINS)
     return out
 
@@ -189,7 +190,7 @@ def pivots_of(e: dict[str, np.ndarray], percent: int) -> np.ndarray:
         if small:  # each against all others of its shingle
             for m in np.unique(size[pick]):
                 rows = order[first[pick & (size == m)][:, None] + np.arange(m)]
-                for part in np.array_split(rows, max(1, len(rows) * int(m) ** 2 // 2_000_000)):
+                for part in np.array_split(rows, max(1, len(rows) * int(m) ** 2 // 200_000)):
                     x, y = np.triu_indices(m, 1)
                     ok = _passes(e, part[:, x].ravel(), part[:, y].ravel(), percent).reshape(len(part), -1)
                     keep = np.zeros(part.shape, bool)
@@ -274,6 +275,17 @@ def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return np.array([top(x) for x in range(n)], np.int64)
 
 
+def _squeezed(docs: DataFrame) -> DataFrame:
+    """(id, z): texts compressed for the one shuffle that carries them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for batch in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([squeeze((t or "").encode()) for t in batch.column("text").to_pylist()], pa.binary())], ["id", "z"])
+
+    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, z binary")
+
+
 def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = 1_000) -> DataFrame:
     """(id_col, n_shingles, component_id): components of the links of all documents."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -282,22 +294,23 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     first = stored(_summaries(docs, n), "shingles")
     each = first.where("slice is null").select("id", "n", "key")
     counts = _frequencies(first.where("slice is not null"))
-    buckets = 2 * n_buckets(spark)
+    buckets = n_buckets(spark)
     entries = _prefixes(docs.where("id is not null"), counts, n, percent, buckets).repartition(buckets, "bucket").sortWithinPartitions("bucket")
     meet = stored(_meetings(entries, percent).distinct(), "meetings")
     crowd = meet.groupBy("pivot").agg(F.count("*").alias("m")).where("m > 1").withColumn("parts", F.ceil(F.col("m") / block).cast("int"))
     classes = each.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("id")).select("key", "id", _signed("key").alias("node"))
     places = meet.join(crowd, "pivot").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("pivot", "parts"))).alias("places"))
     wanted = stored(classes.join(places, "node"), "wanted")
-    rows = wanted.join(docs, "id")
+    rows = wanted.join(_squeezed(docs.where("id is not null")).hint("merge"), "id")
     others = F.transform(F.sequence(F.lit(0), F.col("place.parts") - 1), lambda o: F.struct(F.least("own", o).alias("a"), F.greatest("own", o).alias("b")))
-    rows = rows.select("key", "text", F.transform("places", lambda p: p.pivot).alias("pivots"), F.explode("places").alias("place")).withColumn("own", F.pmod(F.xxhash64("key"), F.col("place.parts").cast("long")).cast("int"))
-    rows = rows.withColumn("p", F.explode(others)).select(F.col("place.pivot").alias("pivot"), "p.a", "p.b", "own", "key", "text", "pivots")
+    rows = rows.select("key", "z", F.transform("places", lambda p: p.pivot).alias("pivots"), F.explode("places").alias("place")).withColumn("own", F.pmod(F.xxhash64("key"), F.col("place.parts").cast("long")).cast("int"))
+    rows = rows.withColumn("p", F.explode(others)).select(F.col("place.pivot").alias("pivot"), "p.a", "p.b", "own", "key", "z", "pivots")
 
     def verify(group: tuple, part: pd.DataFrame) -> pd.DataFrame:
         pivot, a, b = group
-        part = part.drop_duplicates(["key", "text"], ignore_index=True)
-        sets = shingle_sets(pa.array(part["text"], pa.string()), n)
+        part = part.drop_duplicates(["key", "z"], ignore_index=True)
+        plain = zstandard.ZstdDecompressor().decompress
+        sets = [s for k in range(0, len(part), 100) for s in shingle_sets(pa.array([plain(z) for z in part["z"][k : k + 100]], pa.binary()).cast(pa.string()), n)]
         right = [set_key(s) == k for s, k in zip(sets, part["key"], strict=True)]  # else another row of a repeated id
         if not all(right):
             part, sets = part[right].reset_index(drop=True), [s for s, r in zip(sets, right, strict=True) if r]
