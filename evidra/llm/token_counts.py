@@ -1,11 +1,13 @@
-"""Operator 9: token counts by a map-side two-tier lookup.
+"""Operator 9: token counts by a map-side two-tier lookup of pre-tokens.
 
-Texts are cut at ASCII white space, which this kind of vocabulary (words with end marks, white space
-dropped) never crosses. First tier: a compact broadcast table of the token counts of frequent chunks,
-gathered over all documents by bounded per-task summaries; its size is fixed by table_size. Second tier:
-chunks it lacks go to the library once per worker and stay in that worker's cache. No chunk is shuffled
-but the summaries' (at most `summary` rows a task). The tables only change speed: every count is the
-library's own.
+First tier: a compact broadcast table of the lengths of frequent pre-tokens, gathered over all documents by
+bounded per-task summaries; its size is fixed by table_size. Second tier: pre-tokens it lacks go to the
+library once per worker (many at a time, as one text) and stay in that worker's cache. No pre-token is
+shuffled but the summaries' (at most `summary` rows a task). The tables only change speed.
+
+Pre-tokens of texts of printable Latin-1 are found here, by the vocabulary's own pattern on the lower-cased
+text (its normaliser changes nothing else there: such texts are in NFC, and white space is dropped).
+Texts with other characters or with strings of added tokens go to the library whole.
 
 Defined cases: null and empty texts have no bytes and no tokens; strings of special tokens inside texts
 count as the library's default has it (one token each); repeated rows and null ids pass through; other
@@ -14,72 +16,103 @@ columns are not carried; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .common import slices
 
-_CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
+_ODD = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xff]")
+
+
+class Counts:
+    """The library and the pattern of a vocabulary whose words end with a mark."""
+
+    def __init__(self, path: str):
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        told = json.loads(self.tokenizer.to_str())
+        split = next(p for p in told["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        self.pattern = regex.compile(split["pattern"]["Regex"])
+        mark = told["model"]["end_of_word_suffix"]
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = re.compile("|".join([_ODD.pattern, *map(re.escape, added)]))
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, k in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.ends[k] = token.endswith(mark)
+        self.cache: dict[str, int] = {}
+
+    def pre_tokens(self, text: str) -> list[str] | None:
+        """None: the text is the library's."""
+        return None if self.odd.search(text) else self.pattern.findall(text.lower())
+
+    def whole(self, texts: list[str]) -> list[int]:
+        return [len(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def lengths(self, pre: list[str]) -> list[int]:
+        """The tokens of each pre-token, encoded side by side and told apart by their end marks."""
+        if not pre:
+            return []
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(pre)], add_special_tokens=False)[0].ids, np.int64)
+        at = np.flatnonzero(self.ends[ids])
+        if len(at) != len(pre) or at[-1] != len(ids) - 1:
+            return self.whole(pre)
+        return np.diff(at, prepend=-1).tolist()
 
 
 @lru_cache(2)
-def _tokenizer(path: str) -> Tokenizer:
-    out = Tokenizer.from_file(path)
-    out.no_truncation()
-    out.no_padding()
-    return out
-
-
-_cache: dict[str, dict[str, int]] = {}
-
-
-def _lengths(path: str, chunks: list[str]) -> list[int]:
-    return [len(e.ids) for e in _tokenizer(path).encode_batch_fast(chunks, add_special_tokens=False)]
+def counts_of(path: str) -> Counts:
+    return Counts(path)
 
 
-def frequent_chunks(docs: DataFrame, text_col: str = "text", table_size: int = 32_768, summary: int = 4_096, room: int = 100_000) -> DataFrame:
-    """(chunk, n): frequent chunks over all documents. A task counts in bounded room (rare chunks are shed) and passes on its most frequent."""
+def frequent_pre_tokens(docs: DataFrame, path: str, text_col: str = "text", table_size: int = 32_768, summary: int = 4_096, room: int = 100_000) -> DataFrame:
+    """(pre, n): frequent pre-tokens over all documents. A task counts in bounded room (rare ones are shed) and passes on its most frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: Counter[str] = Counter()
+        find, count = counts_of(path).pre_tokens, Counter()
         for batch in slices(batches, text_col):
             for t in batch.column(text_col).to_pylist():
-                count.update(_CHUNK.findall(t or ""))
+                count.update(find(t or "") or ())
             if len(count) > room:
                 count = Counter(dict(count.most_common(room // 2)))
         top = count.most_common(summary)
-        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["chunk", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["pre", "n"])
 
-    summed = docs.select(text_col).mapInArrow(run, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
-    return summed.orderBy(F.desc("n"), "chunk").limit(table_size)
+    summed = docs.select(text_col).mapInArrow(run, "pre string, n long").groupBy("pre").agg(F.sum("n").alias("n"))
+    return summed.orderBy(F.desc("n"), "pre").limit(table_size)
 
 
-def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", room: int = 250_000, max_chunk: int = 64) -> DataFrame:
-    """(id_col, n_bytes, n_tokens). room: chunks in a worker's cache; chunks longer than max_chunk stay out of the table."""
-    spark = docs.sparkSession
-    top = [r.chunk for r in frequent_chunks(docs, text_col).where(F.length("chunk") <= max_chunk).collect()]  # at most table_size short strings
-    table = spark.sparkContext.broadcast(dict(zip(top, _lengths(path, top), strict=True)) if top else {})
+def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", room: int = 400_000, longest: int = 64) -> DataFrame:
+    """(id_col, n_bytes, n_tokens). room: pre-tokens in a worker's cache; those longer than longest stay out of the table."""
+    top = [r.pre for r in frequent_pre_tokens(docs, path, text_col).where(F.length("pre") <= longest).collect()]  # at most table_size short strings
+    table = docs.sparkSession.sparkContext.broadcast(dict(zip(top, counts_of(path).lengths(top), strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, cache = table.value, _cache.setdefault(path, {})
+        c = counts_of(path)
+        if not table.value.keys() <= c.cache.keys():
+            c.cache = dict(table.value)
         for batch in slices(batches, text_col):
             texts = [t or "" for t in batch.column(text_col).to_pylist()]
-            parts = [_CHUNK.findall(t) for t in texts]
-            seen = set().union(*parts) - first.keys()
-            fresh = list(seen - cache.keys())
-            if len(cache) + len(fresh) > room:
-                cache.clear()
-                fresh = list(seen)
-            cache.update(zip(fresh, _lengths(path, fresh), strict=True))
-            get = lambda c: first[c] if c in first else cache[c]
-            sizes = [sum(map(get, p)) for p in parts]
+            parts = [c.pre_tokens(t) for t in texts]
+            seen = set().union(*(p for p in parts if p))
+            fresh = seen - c.cache.keys()
+            if len(c.cache) + len(fresh) > room:
+                c.cache = dict(table.value)
+                fresh = seen - c.cache.keys()
+            fresh = list(fresh)
+            c.cache.update(zip(fresh, c.lengths(fresh), strict=True))
+            get, rest = c.cache.__getitem__, iter(c.whole([t for t, p in zip(texts, parts, strict=True) if p is None]))
+            sizes = [next(rest) if p is None else sum(map(get, p)) for p in parts]
             yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(sizes, pa.int64())], [id_col, "n_bytes", "n_tokens"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_bytes long, n_tokens long")
