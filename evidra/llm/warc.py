@@ -101,8 +101,9 @@ def _compressor(raw: bytes, level: int) -> zstandard.ZstdCompressor:
 
 def dictionary_of(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = 200, size: int = 65_536) -> bytes:
     """A dictionary from at most sample rows (each at most 16 KiB long), or nothing where they are too few."""
-    rows = pages.select(id_col, F.encode(F.substring(F.coalesce(html_col, F.lit("")), 1, 16_384), "UTF-8").alias("h")).orderBy(F.xxhash64(id_col), id_col).limit(sample)
-    texts = [bytes(r.h) for r in rows.collect() if r.h]
+    ids = [r[0] for r in pages.select(id_col).where(F.col(id_col).isNotNull()).distinct().orderBy(F.xxhash64(id_col), id_col).limit(sample).collect()]
+    rows = pages.where(F.col(id_col).isin(ids)).select(id_col, F.encode(F.substring(html_col, 1, 16_384), "UTF-8").alias("h")).dropDuplicates([id_col])
+    texts = [bytes(r.h) for r in rows.orderBy(id_col).collect() if r.h]
     try:
         return zstandard.train_dictionary(size, texts).as_bytes() if len(texts) >= 20 else b""
     except zstandard.ZstdError:
