@@ -18,13 +18,13 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -43,10 +43,10 @@ class Counts:
         self.tokenizer.no_padding()
         told = json.loads(self.tokenizer.to_str())
         split = next(p for p in told["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.pattern = regex.compile(split["pattern"]["Regex"])
+        kinds = {k: "".join(re.escape(c) for c in map(chr, range(256)) if unicodedata.category(c)[0] == k) for k in "LN"}
+        self.pattern = re.compile(re.sub(r"\\p\{([LN])\}", lambda m: kinds[m[1]], split["pattern"]["Regex"]))
         mark = told["model"]["end_of_word_suffix"]
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.odd = re.compile("|".join([_ODD.pattern, *map(re.escape, added)]))
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, k in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.ends[k] = token.endswith(mark)
@@ -54,7 +54,7 @@ class Counts:
 
     def pre_tokens(self, text: str) -> list[str] | None:
         """None: the text is the library's."""
-        return None if self.odd.search(text) else self.pattern.findall(text.lower())
+        return None if _ODD.search(text) or any(a in text for a in self.added) else self.pattern.findall(text.lower())
 
     def whole(self, texts: list[str]) -> list[int]:
         return [len(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
