@@ -59,8 +59,8 @@ def boundary_overlap(left: Column, right: Column, least: int = 80, share: float
 def lines(rows: DataFrame, text_col: str) -> DataFrame:
     """One row per line: line_no, line (stripped, CR dropped), start (code points before it)."""
     parts = F.split(F.regexp_replace(text_col, "\r\n", "\n"), "\n")
-    out = rows.select("*", F.posexplode(parts).alias("_p", "_l"))
-    before = F.aggregate(F.slice(parts, 1, F.col("_p")), F.lit(0).cast("long"), lambda s, x: s + F.length(x) + 1)
+    out = rows.withColumn("_parts", parts).select("*", F.posexplode("_parts").alias("_p", "_l"))
+    before = F.aggregate(F.slice("_parts", 1, F.col("_p")), F.lit(0).cast("long"), lambda s, x: s + F.length(x) + 1)
     return out.select(*rows.columns, (F.col("_p") + 1).cast("long").alias("line_no"), strip(F.col("_l")).alias("line"), before.alias("start"))
 
 

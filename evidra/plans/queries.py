@@ -179,14 +179,19 @@ def boundary_overlap_pairs(spark, sf_dir):
 def literal_candidates(spark, sf_dir):
     flat = lambda c: F.regexp_replace(F.lower(c), r"\s+", " ")
     items = table(spark, sf_dir, "benchmark").select("item_id", flat("text").alias("needle"))
-    # six-word anchors make the containment an equi-join: no pair is tried without one in common
-    words = F.split(flat("text"), " ")
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.size(words) - 6)), lambda i: F.array_join(F.slice(words, i, 6), " ")))
+    # six whole words of an item make the containment an equi-join: no pair is tried without them in common;
+    # the words are bound by a lambda, else the optimiser would split the text again for every position
+    at = lambda w: F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - 5))
+    grams = F.transform(F.array(F.split(flat("text"), " ")), lambda w: F.array_distinct(F.transform(at(w), lambda i: F.array_join(F.slice(w, i, 6), " "))))[0]
     d = docs(spark, sf_dir)
     anchors = d.select("doc_id", F.explode(grams).alias("anchor"))
-    probe = items.withColumn("anchor", F.array_join(F.slice(F.split("needle", " "), 2, 6), " "))
+    words = F.split("needle", " ")
+    probe = items.where(F.size(words) >= 8).withColumn("anchor", F.array_join(F.slice(words, 2, 6), " "))
     met = anchors.join(probe, "anchor").select("doc_id", "item_id", "needle").distinct()
-    return met.join(d.select("doc_id", flat("text").alias("flat")), "doc_id").where(F.col("flat").contains(F.col("needle"))).select("item_id", "doc_id")
+    plain = d.select("doc_id", flat("text").alias("flat"))
+    long = met.join(plain, "doc_id").where(F.col("flat").contains(F.col("needle"))).select("item_id", "doc_id")
+    short = plain.join(items.where(F.size(words) < 8), F.col("flat").contains(F.col("needle"))).select("item_id", "doc_id")
+    return long.unionByName(short)
 
 
 # Typed values
