@@ -11,8 +11,8 @@ buckets give each vector's number of links and one edge to its group. Equal vect
 bucket larger than `block` classes is split in blocks, and every pair of blocks is a task of its own.
 
 Defined cases: null, zero and non-finite vectors, and such of another length than most, link with nothing;
-null ids are one row each and link with nothing; repeated ids count as one vector each row (n_links per row,
-the component by id); an empty table gives an empty result; other columns are not carried.
+null ids are one row each and link with nothing; equal rows are vectors of one class and link with each other;
+rows that repeat an id with another vector are in one component, links between them are not counted; an empty table gives an empty result; other columns are not carried.
 """
 
 from __future__ import annotations
