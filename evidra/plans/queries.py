@@ -296,3 +296,48 @@ def job_fold(spark, sf_dir):
 @pair(None)
 def job_recovery(spark, sf_dir):
     return jobs.expired(job_fold(spark, sf_dir), F.lit("2025-01-01").cast("timestamp_ntz")).select("job_id", "status", "fence", "retries")
+
+
+# Composite policies over ranked runs
+
+same("short_token_rescue", "SELECT r.query_id, r.cand_id, round(r.score, 6) AS score FROM runs_v r JOIN (SELECT query_id FROM runs_v GROUP BY query_id HAVING max(score) < 0.5) q ON r.query_id = q.query_id WHERE r.score >= 0.3 AND r.rank = 1")
+same("promoted_scores", "SELECT query_id, cand_id, round(score, 6) AS orig_score, round(CASE WHEN rel = 2 AND score < 0.5 THEN 0.5 ELSE score END, 6) AS elig_score FROM runs_v")
+same("deferred_dedup", "SELECT query_id, cand_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, group_id ORDER BY rank) AS rn FROM runs_v WHERE score >= 0.3 OR rel = 2) e WHERE rn = 1")
+same("keep_first_union", "SELECT query_id, cand_id, arm FROM (SELECT *, row_number() OVER (PARTITION BY query_id, cand_id ORDER BY arm, rank) AS rn FROM (SELECT query_id, cand_id, rank, 0 AS arm FROM runs_v WHERE rank <= 8 UNION ALL SELECT query_id, cand_id, rank, 1 FROM runs_v WHERE rel >= 1) u) m WHERE rn = 1")
+same("job_evidence_merge", "SELECT item, cand_id, count(*) AS n_queries, min(rank) AS best, min(query_id) AS shown FROM (SELECT query_id % 10 AS item, query_id, cand_id, rank FROM runs_v WHERE rank <= 5) j GROUP BY item, cand_id")
+same("legacy_dense", "SELECT query_id, cand_id, rank FROM runs_v WHERE rank <= 5")
+same("evidence_by_folder", "SELECT source, lang, count(*) AS n, min(version_id) AS first_id FROM versions_v WHERE status = 'ACTIVE' GROUP BY source, lang")
+same("score_distribution", "SELECT category, count(*) AS n, round(min(score), 6) AS low, round(avg(score), 6) AS mean, round(max(score), 6) AS high FROM runs_v GROUP BY category")
+same("aspect_coverage", "SELECT query_id, bool_or(group_id % 3 = 0) AND bool_or(group_id % 3 = 1) AS all_met, CASE WHEN count(DISTINCT group_id % 3) >= 2 THEN true ELSE false END AS two_met FROM runs_v WHERE rel >= 1 GROUP BY query_id")
+same("gate_decision", "SELECT CASE WHEN delta < -0.05 THEN 'NO_GO' WHEN delta >= 0.02 THEN 'ADOPT' ELSE 'NEEDS_ADJUSTMENT' END AS decision FROM (SELECT avg(CASE WHEN split = 'TEST' THEN CAST(rel AS DOUBLE) END) - avg(CASE WHEN split = 'TUNING' THEN CAST(rel AS DOUBLE) END) AS delta FROM runs_v) g")
+same("decision_metrics", "SELECT split, round(sum(CASE WHEN top = 2 THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE), 6) AS top1_direct, sum(CASE WHEN best = 0 THEN 1 ELSE 0 END) AS rejected FROM (SELECT split, query_id, max(CASE WHEN rank = 1 THEN rel END) AS top, max(rel) AS best FROM runs_v GROUP BY split, query_id) q GROUP BY split")
+same("judge_verify", "SELECT chunk_id, CASE WHEN instr(content, substr(content, 20, 60)) = 0 THEN 'OUTSIDE' WHEN length(substr(content, 20, 60)) < 10 THEN 'TOO_SHORT' ELSE 'VERIFIED' END AS verdict FROM chunks_v WHERE chunk_no = 1")
+same("neighbour_expansion", "SELECT a.chunk_id, count(b.chunk_id) AS n_neighbours, max(length(b.content)) AS longest FROM chunks_v a LEFT JOIN chunks_v b ON a.version_id = b.version_id AND b.chunk_no BETWEEN a.chunk_no - 1 AND a.chunk_no + 1 AND b.chunk_no <> a.chunk_no GROUP BY a.chunk_id")
+same("claim_windows", "SELECT chunk_id, md5(concat(coalesce(lag(content) OVER (PARTITION BY version_id ORDER BY chunk_no), ''), '|', content)) AS back, md5(concat(content, '|', coalesce(lead(content) OVER (PARTITION BY version_id ORDER BY chunk_no), ''))) AS ahead FROM chunks_v")
+same("sentence_windows", "SELECT version_id, chunk_no, w, sum(length(content)) AS n_chars FROM (SELECT a.version_id, a.chunk_no, s.w, b.content FROM chunks_v a CROSS JOIN (VALUES (1), (2), (3)) AS s(w) JOIN chunks_v b ON b.version_id = a.version_id AND b.chunk_no >= a.chunk_no AND b.chunk_no < a.chunk_no + s.w) x GROUP BY version_id, chunk_no, w HAVING count(*) = w")
+same("embedding_reuse_plan", "SELECT c.chunk_id, CASE WHEN r.first_id IS NULL OR r.first_id = c.chunk_id THEN 'COMPUTE' ELSE 'REUSE' END AS action, coalesce(r.first_id, c.chunk_id) AS source_id FROM chunks_v c LEFT JOIN (SELECT owner_id, md5(content) AS h, min(chunk_id) AS first_id FROM chunks_v GROUP BY owner_id, md5(content)) r ON r.owner_id = c.owner_id AND r.h = md5(c.content)")
+same("delete_guard", "SELECT d.document_id FROM (SELECT DISTINCT document_id FROM versions_v) d WHERE NOT EXISTS (SELECT 1 FROM versions_v v WHERE v.document_id = d.document_id AND v.status = 'FAILED')")
+same("outbox_poll", "SELECT job_id, event_id, CAST(row_number() OVER (ORDER BY due, event_id) AS BIGINT) AS pos FROM (SELECT job_id, event_id, ts + INTERVAL '5' MINUTE AS due FROM job_events_v WHERE kind = 'FAIL') f WHERE due <= TIMESTAMP '2024-01-15 00:00:00'")
+same("supersede_on_swap", "SELECT job_id, event_id, lead(event_id) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS superseded_by FROM job_events_v WHERE kind = 'COMPLETE'")
+same("version_segments", "SELECT p_partkey, concat(CAST(p_size AS STRING), '.', CAST(p_partkey % 3 AS STRING)) AS version, p_size >= 10 AND p_partkey % 3 > 0 AS newer FROM part")
+
+
+@pair("SELECT event_id, 0::BIGINT AS pos, 'k' AS name, CAST(json_extract(props, '$.k') AS BIGINT) AS value FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
+def json_ordinality(spark, sf_dir):
+    props = F.from_json("props", "map<string,bigint>")
+    return table(spark, sf_dir, "events").select("event_id", F.posexplode(F.map_entries(props)).alias("pos", "e")).select("event_id", F.col("pos").cast("long").alias("pos"), F.col("e.key").alias("name"), F.col("e.value").alias("value"))
+
+
+_CORE = f"list_distinct(list_filter({_TOKENS_D}, lambda t: length(t) >= 6))"
+
+
+@pair(f""", q AS (SELECT item_id, unnest({_CORE}) AS t FROM benchmark), n AS (SELECT item_id, count(*) AS need FROM q GROUP BY 1),
+d AS (SELECT DISTINCT doc_id, t FROM (SELECT doc_id, unnest({_TOKENS_D}) AS t FROM documents)), h AS (SELECT item_id, doc_id, count(*) AS had FROM q JOIN d USING (t) GROUP BY ALL)
+SELECT item_id, doc_id, had, round(had / need, 6) AS coverage FROM h JOIN n USING (item_id) WHERE had * 2 >= need""")
+def term_coverage(spark, sf_dir):
+    core = F.array_distinct(F.filter(tx.tokens(F.col("text")), lambda t: F.length(t) >= 6))
+    items = table(spark, sf_dir, "benchmark").select("item_id", core.alias("core"))
+    need = items.select("item_id", F.size("core").alias("need"))
+    d = docs(spark, sf_dir).select("doc_id", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("t"))
+    had = items.select("item_id", F.explode("core").alias("t")).join(d, "t").groupBy("item_id", "doc_id").agg(F.count("*").alias("had"))
+    return had.join(need, "item_id").where("had * 2 >= need").select("item_id", "doc_id", "had", F.round(F.col("had") / F.col("need"), 6).alias("coverage"))
