@@ -1,4 +1,4 @@
-"""Text functions: chunks, tokens, anchors, lines and blocks; all of them column expressions."""
+"""Text functions: chunks, tokens, numbers and overlaps; all of them column expressions."""
 
 from __future__ import annotations
 
@@ -38,11 +38,6 @@ def number_tokens(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(f"({NUMBER})"), 1), canonical_number))
 
 
-def identifier_tokens(text: Column) -> Column:
-    """Distinct tokens with both a Latin letter and a digit."""
-    return F.array_distinct(F.filter(tokens(text), lambda t: t.rlike("[a-z]") & t.rlike("[0-9]")))
-
-
 def coverage(required: Column, had: Column) -> Column:
     """The share of required tokens that are had; 0 of none."""
     return F.when(F.size(required) > 0, F.size(F.array_intersect(required, had)) / F.size(required)).otherwise(F.lit(0.0))
@@ -54,24 +49,3 @@ def boundary_overlap(left: Column, right: Column, least: int = 80, share: float
     low = F.greatest(F.lit(least), F.ceil(n * share).cast("int"))
     sizes = F.when(n >= low, F.sequence(n, low, F.lit(-1))).otherwise(F.array().cast("array<int>"))
     return F.coalesce(F.get(F.filter(sizes, lambda k: F.right(left, k) == F.left(right, k)), F.lit(0)), F.lit(0))
-
-
-def lines(rows: DataFrame, text_col: str) -> DataFrame:
-    """One row per line: line_no, line (stripped, CR dropped), start (code points before it)."""
-    parts = F.split(F.regexp_replace(text_col, "\r\n", "\n"), "\n")
-    out = rows.withColumn("_parts", parts).select("*", F.posexplode("_parts").alias("_p", "_l"))
-    before = F.aggregate(F.slice("_parts", 1, F.col("_p")), F.lit(0).cast("long"), lambda s, x: s + F.length(x) + 1)
-    return out.select(*rows.columns, (F.col("_p") + 1).cast("long").alias("line_no"), strip(F.col("_l")).alias("line"), before.alias("start"))
-
-
-def line_kind(line: Column) -> Column:
-    """The kind of a line by the first rule that holds."""
-    return (
-        F.when(line == "", "BLANK")
-        .when(line.rlike("^#{1,6}\\s+\\S"), "HEADING")
-        .when(line.rlike("^([-*+•]|[0-9]{1,3}[.)])\\s+\\S"), "LIST_ITEM")
-        .when(line.rlike("^[^|]+([|][^|]+)+$") | line.rlike("^[|].*[|]$"), "TABLE_ROW")
-        .when(line.rlike("^[\\p{L}][\\p{L}\\p{N} _-]{0,39}:\\s+\\S"), "KEY_VALUE")
-        .when(line.rlike("^https?://\\S+$"), "URI")
-        .otherwise("PARAGRAPH")
-    )

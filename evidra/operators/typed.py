@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ATOM_EXAMPLES = ["2024", "2024-02", "2024-02-29", "2023-02-29", "2024.3", "2024/12/05", "1999-13", "x", ""]
+QUESTIONS = ["Version 2.0 of the license", "Version 3", "at least 2 days of work", "more than 30 minutes", "over 5 copies of the program", "Apache License 2.0"]
 _DATE = r"^([0-9]{4})(?:[-./]([0-9]{1,2}))?(?:[-./]([0-9]{1,2}))?$"
 
 
@@ -46,6 +47,45 @@ def compare_numbers(value: Column, op: str, bound: Column, upper: Column | None
     return _state(tests[op])
 
 
+def qualifier_fits(required: Column, observed: Column) -> Column:
+    """Do the required words stand together, in order, among the observed; an empty qualifier fits an empty one only."""
+    words = lambda q: F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.lower(q), F.lit(r"([\p{L}\p{N}]+)"), 1), " "), F.lit(" "))
+    a, b = words(required), words(observed)
+    blank = lambda q: F.trim(q) == ""
+    return F.when(blank(required) | blank(observed), blank(required) & blank(observed)).otherwise((F.trim(a) != "") & F.contains(b, a))
+
+
+def reading_state(c: Column, o: Column) -> Column:
+    """One constraint against one observation of its kind, both as `typed_values` reads them.
+
+    UNKNOWN where kinds, qualifiers, units or names do not meet, a wanted direction is not told, or an interval lies
+    only partly inside; the opposite direction contradicts.
+    """
+    low, high = c["low"].cast("decimal(38,10)"), c["high"].cast("decimal(38,10)")
+    value = o["low"].cast("decimal(38,10)")
+    number = F.when(c["op"] == "RANGE", value.between(low, high))
+    for op, test in {"EQ": value == low, "GT": value > low, "GTE": value >= low, "LT": value < low, "LTE": value <= low}.items():
+        number = number.when(c["op"] == op, test)
+    inside = {"EQ": (o["low"] >= c["low"]) & (o["high"] <= c["high"]), "GT": o["low"] > c["high"], "GTE": o["low"] >= c["low"], "LT": o["high"] < c["low"]}
+    outside = {"EQ": (o["high"] < c["low"]) | (o["low"] > c["high"]), "GT": o["high"] <= c["high"], "GTE": o["high"] < c["low"], "LT": o["low"] >= c["low"]}
+    date = F.when(F.lit(False), "UNKNOWN")
+    for op in inside:
+        same = c["op"].isin("EQ", "RANGE") if op == "EQ" else c["op"] == op
+        date = date.when(same & inside[op], "SATISFIED").when(same & outside[op], "CONTRADICTED")
+    fits = qualifier_fits(c["qualifier"], o["qualifier"])
+    measured = (c["kind"] == "QUANTITY") & fits & (c["unit"] == o["unit"])
+    against = measured & (c["direction"] != "NONE") & (o["direction"] != c["direction"])
+    return (
+        F.when(c["kind"] != o["kind"], "UNKNOWN")
+        .when(against, F.when(o["direction"] == "NONE", "UNKNOWN").otherwise("CONTRADICTED"))
+        .when(measured, _state(number))
+        .when((c["kind"] == "DATE") & fits, F.coalesce(date, F.lit("UNKNOWN")))
+        .when((c["kind"] == "IDENTIFIER_NUMBER") & (c["name"] == o["name"]), _state(c["low"] == o["low"]))
+        .when((c["kind"] == "LITERAL") & (c["name"] == o["name"]), "SATISFIED")
+        .otherwise("UNKNOWN")
+    )
+
+
 def any_of(*states: Column) -> Column:
     """Over observations of one constraint: one satisfied is enough, else one contradicted."""
     every = F.array(*states)

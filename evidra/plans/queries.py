@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import korean as kr
 from ..functions import text as tx
-from ..operators import jobs, typed, vector
+from ..functions import typed_values as tv
+from ..operators import jobs, structure, typed, vector
 from .corpus import DUCK, active_chunks, register, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,9 +131,27 @@ def number_tokens(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.explode(tx.number_tokens(F.col("text"))).alias("number"))
 
 
-@pair(f"SELECT DISTINCT doc_id, t AS identifier FROM (SELECT doc_id, unnest({_TOKENS_D}) AS t FROM documents) WHERE regexp_matches(t, '[a-z]') AND regexp_matches(t, '[0-9]')")
+@pair(f"SELECT doc_id, count(DISTINCT t) AS n, md5(string_agg(DISTINCT t, ' ' ORDER BY t)) AS digest FROM (SELECT doc_id, unnest({_TOKENS_D}) AS t FROM documents) WHERE regexp_full_match(t, '[a-z][a-z0-9+.#_-]*') GROUP BY doc_id")
 def identifier_tokens(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", F.explode(tx.identifier_tokens(F.col("text"))).alias("identifier"))
+    found = docs(spark, sf_dir).select("doc_id", kr.identifiers("text").alias("x")).where(F.size("x") > 0)
+    return found.select("doc_id", F.size("x").cast("long").alias("n"), F.md5(F.array_join(F.array_sort("x"), " ").cast("binary")).alias("digest"))
+
+
+@pair(r"SELECT doc_id, len(x) AS n, md5(array_to_string(list_sort(x), ' ')) AS digest FROM (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}][\p{L}\p{N}+#._-]*'), lambda t: length(t) >= 2)) AS x FROM documents)")
+def search_terms(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", kr.terms("text").alias("x")).select("doc_id", F.size("x").cast("long").alias("n"), F.md5(F.array_join(F.array_sort("x"), " ").cast("binary")).alias("digest"))
+
+
+@pair(None)
+def query_variants(spark, sf_dir):
+    """User turns as queries: their variants, anchors, and whether they ask for a direct anchor."""
+    q = table(spark, sf_dir, "conversations").where("role = 'user'")
+    return q.select("conv_id", "turn", F.array_join(kr.variants("text"), " | ").alias("variants"), F.size(kr.anchors("text")).cast("long").alias("n_anchors"), kr.needs_direct_anchor("text").alias("direct"))
+
+
+@pair(None)
+def numeric_anchors(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", F.explode(kr.numeric_anchors("text")).alias("a")).select("doc_id", "a.number", "a.unit")
 
 
 @pair(f"""SELECT term, df, round(1 - df / n, 6) AS rarity FROM (SELECT t AS term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({_TOKENS_D}) AS t FROM documents) GROUP BY 1) a, (SELECT count(*) AS n FROM documents) b WHERE df >= 5""")
@@ -142,28 +162,43 @@ def doc_frequency(spark, sf_dir):
     return df.where("df >= 5").select("term", "df", F.round(1 - F.col("df") / n, 6).alias("rarity"))
 
 
-_LINES_D = r"""l0 AS (SELECT doc_id, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS parts FROM documents),
-l1 AS (SELECT doc_id, unnest(parts) AS raw, unnest(range(1, len(parts) + 1)) AS line_no FROM l0),
-l2 AS (SELECT *, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS line, sum(length(raw) + 1) OVER (PARTITION BY doc_id ORDER BY line_no) - length(raw) - 1 AS start FROM l1),
-l3 AS (SELECT *, CASE WHEN line = '' THEN 'BLANK' WHEN regexp_matches(line, '^#{1,6}\s+\S') THEN 'HEADING' WHEN regexp_matches(line, '^([-*+•]|[0-9]{1,3}[.)])\s+\S') THEN 'LIST_ITEM'
- WHEN regexp_matches(line, '^[^|]+([|][^|]+)+$') OR regexp_matches(line, '^[|].*[|]$') THEN 'TABLE_ROW' WHEN regexp_matches(line, '^[\p{L}][\p{L}\p{N} _-]{0,39}:\s+\S') THEN 'KEY_VALUE'
- WHEN regexp_matches(line, '^https?://\S+$') THEN 'URI' ELSE 'PARAGRAPH' END AS kind FROM l2)"""
+_ASSERTS = r"(regexp_matches({0}, '(^|[^0-9])(19|20)[0-9]{{2}}([./-][0-9]{{1,2}}([./-][0-9]{{1,2}})?)?([^0-9]|$)') OR regexp_matches({0}, '[0-9][0-9,.]*\s*(%|[a-z]{{2}}|[A-Z]{{2}}|[가-힣])') OR regexp_matches({0}, '\s[—–]\s*\S'))"
+_BLOCKS_D = rf"""s0 AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
+s1 AS (SELECT doc_id, unnest(parts) AS raw, unnest(range(1, len(parts) + 1)) AS line_no FROM s0),
+s2 AS (SELECT doc_id, line_no, regexp_replace(raw, '\r$', '') AS body, sum(length(raw) + 1) OVER (PARTITION BY doc_id ORDER BY line_no) - length(raw) - 1 AS start FROM s1),
+s3 AS (SELECT *, regexp_replace(body, '^\s+|\s+$', '', 'g') AS bare FROM s2),
+s4 AS (SELECT *, coalesce(lag(bare) OVER w, '') AS above, coalesce(lead(bare) OVER w, '') AS below FROM s3 WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+s5 AS (SELECT *, CASE WHEN bare = '' THEN 'BLANK' WHEN regexp_full_match(bare, '[-=_]{{3,}}|[─━]{{3,}}') OR regexp_full_match(bare, '[|]?\s*:?-{{3,}}:?\s*([|]\s*:?-{{3,}}:?\s*)+[|]?') THEN 'OTHER'
+ WHEN regexp_full_match(bare, '#{{1,6}}\s+\S.*') THEN 'HEADING' WHEN regexp_full_match(bare, '([-*+•▪◦]|([0-9]+|[A-Za-z])[.)])\s+\S.*') THEN 'LIST_ITEM'
+ WHEN length(bare) - length(replace(bare, '|', '')) >= 2 OR length(bare) - length(replace(bare, chr(9), '')) >= 2 THEN 'TABLE_ROW'
+ WHEN regexp_full_match(bare, '[A-Za-z][A-Za-z0-9+.-]*://\S+') THEN 'PARAGRAPH' WHEN regexp_full_match(bare, '[^:：\n]{{1,40}}[:：]\s*\S.*') THEN 'KEY_VALUE' WHEN {_ASSERTS.format("bare")} THEN 'PARAGRAPH'
+ WHEN above = '' AND length(bare) <= 80 AND NOT regexp_matches(bare, '[.!?。！？;；:]$') AND (below = '' OR (len(regexp_split_to_array(bare, '\s+')) <= 8
+  AND NOT (length(below) <= 48 AND len(regexp_split_to_array(below, '\s+')) <= 6 AND NOT regexp_matches(below, '[.!?。！？;；:]$') AND {_ASSERTS.format("below")}))) THEN 'HEADING' ELSE 'PARAGRAPH' END AS kind FROM s4),
+s6 AS (SELECT *, CASE WHEN kind = 'PARAGRAPH' AND lag(kind) OVER (PARTITION BY doc_id ORDER BY line_no) = 'PARAGRAPH' THEN 0 ELSE 1 END AS fresh FROM s5),
+s7 AS (SELECT *, sum(CASE WHEN kind <> 'BLANK' THEN fresh ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS ordinal FROM s6),
+s8 AS (SELECT doc_id, ordinal, min(kind) AS kind, min(line_no) AS first_line, max(line_no) AS last_line, min(start) AS start, max(start + length(body)) AS "end" FROM s7 WHERE kind <> 'BLANK' GROUP BY doc_id, ordinal),
+blocks_v AS (SELECT *, coalesce(max(CASE WHEN kind = 'HEADING' THEN ordinal END) OVER (PARTITION BY doc_id ORDER BY ordinal), 0) AS parent FROM s8)"""
+
+
+@pair(", " + _BLOCKS_D + """ SELECT b.doc_id, ordinal::BIGINT AS ordinal, kind, parent::BIGINT AS parent, first_line, last_line, b.start::BIGINT AS start, b."end"::BIGINT AS "end", md5(substr(text, b.start::BIGINT + 1, (b."end" - b.start)::BIGINT)) AS digest FROM blocks_v b JOIN documents d ON d.doc_id = b.doc_id""")
+def block_assemble(spark, sf_dir):
+    long = [F.col(c).cast("long").alias(c) for c in ("ordinal", "parent", "first_line", "last_line", "start", "end")]
+    return structure.blocks(docs(spark, sf_dir), "doc_id").select("doc_id", "kind", *long, F.md5(F.col("content").cast("binary")).alias("digest"))
 
 
-@pair(", " + _LINES_D + " SELECT doc_id, line_no, start::BIGINT AS start, kind, length(line) AS n, md5(line) AS digest FROM l3")
+@pair(", " + _BLOCKS_D + " SELECT kind, count(*) AS n_blocks, count(DISTINCT doc_id) AS n_documents, max(last_line - first_line + 1)::BIGINT AS most_lines FROM blocks_v GROUP BY kind")
 def block_classify(spark, sf_dir):
-    return tx.lines(docs(spark, sf_dir).select("doc_id", "text"), "text").select("doc_id", "line_no", "start", tx.line_kind(F.col("line")).alias("kind"), F.length("line").cast("long").alias("n"), F.md5(F.col("line").cast("binary")).alias("digest"))
+    return structure.blocks(docs(spark, sf_dir), "doc_id").groupBy("kind").agg(F.count("*").alias("n_blocks"), F.countDistinct("doc_id").alias("n_documents"), F.max(F.col("last_line") - F.col("first_line") + 1).cast("long").alias("most_lines"))
 
 
-@pair(", " + _LINES_D + """, b0 AS (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY line_no) AS p FROM l3),
-b1 AS (SELECT *, sum(CASE WHEN kind = 'PARAGRAPH' AND p = 'PARAGRAPH' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS block FROM b0)
-SELECT doc_id, block::BIGINT AS block, min(kind) AS kind, min(line_no) AS first_line, max(line_no) AS last_line, count(*) AS n_lines FROM b1 WHERE kind <> 'BLANK' GROUP BY doc_id, block""")
-def block_assemble(spark, sf_dir):
-    rows = tx.lines(docs(spark, sf_dir).select("doc_id", "text"), "text").withColumn("kind", tx.line_kind(F.col("line")))
-    w = Window.partitionBy("doc_id").orderBy("line_no")
-    joins = (F.col("kind") == "PARAGRAPH") & (F.lag("kind").over(w) == "PARAGRAPH")
-    rows = rows.withColumn("first", F.when(joins, 0).otherwise(1)).withColumn("block", F.sum("first").over(w))
-    return rows.where("kind <> 'BLANK'").groupBy("doc_id", "block").agg(F.min("kind").alias("kind"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"), F.count("*").alias("n_lines"))
+@pair(None)
+def evidence_children(spark, sf_dir):
+    return structure.children(docs(spark, sf_dir), "doc_id")
+
+
+@pair(None)
+def retrieval_passages(spark, sf_dir):
+    return structure.passages(docs(spark, sf_dir), "doc_id")
 
 
 @pair("""SELECT a.version_id, a.chunk_no, max(k) AS overlap FROM chunks_v a JOIN chunks_v b ON a.version_id = b.version_id AND b.chunk_no = a.chunk_no + 1, range(80, 801) r(k)
@@ -216,6 +251,33 @@ def typed_partition(spark, sf_dir):
     return typed.stable_partition(spark.table("runs_v").withColumn("state", state), "query_id", "rank").select("query_id", "cand_id", "new_rank")
 
 
+def _readings(rows: DataFrame, key: str, read) -> DataFrame:
+    """One row per distinct reading; `meet` is what two readings must share to be compared."""
+    meet = F.when(F.col("r.kind") == "QUANTITY", F.col("r.unit")).when(F.col("r.kind") == "DATE", F.lit("")).otherwise(F.col("r.name"))
+    parts = F.struct(*[F.col(f"r.{c}").alias(c) for c in ("kind", "op", "low", "high", "unit", "name", "qualifier", "direction")])
+    return rows.select(key, F.explode(read("text")).alias("r")).select(key, parts.alias("r")).distinct().select(key, "r", F.concat_ws(":", "r.kind", meet).alias("meet"))
+
+
+@pair(None)
+def typed_query_parse(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", F.explode(tv.constraints("text")).alias("r")).select("doc_id", "r.*")
+
+
+@pair(None)
+def typed_observations(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", F.explode(tv.observations("text")).alias("r")).select("doc_id", "r.*")
+
+
+@pair(None)
+def typed_state(spark, sf_dir):
+    """(item_id, doc_id, constraint_key, state) where a question's constraint meets a document's observation."""
+    wanted = _readings(spark.createDataFrame(list(enumerate(typed.QUESTIONS)), "item_id long, text string"), "item_id", tv.constraints).withColumnRenamed("r", "c")
+    had = _readings(docs(spark, sf_dir), "doc_id", tv.observations).withColumnRenamed("r", "o")
+    each = wanted.join(had, "meet").select("item_id", "doc_id", F.to_json("c").alias("constraint_key"), typed.reading_state(F.col("c"), F.col("o")).alias("state"))
+    best = F.when(F.max(F.col("state") == "SATISFIED"), "SATISFIED").when(F.max(F.col("state") == "CONTRADICTED"), "CONTRADICTED").otherwise("UNKNOWN")
+    return each.groupBy("item_id", "doc_id", "constraint_key").agg(best.alias("state"))
+
+
 # Relational family
 
 same("latest_version", "SELECT d.document_id, l.version_id AS latest_id, l.status AS latest_status, a.version_id AS active_id FROM (SELECT DISTINCT document_id FROM versions_v) d LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY version_no DESC) AS rn FROM versions_v) l ON l.document_id = d.document_id AND l.rn = 1 LEFT JOIN versions_v a ON a.document_id = d.document_id AND a.status = 'ACTIVE'")
