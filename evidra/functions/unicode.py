@@ -39,3 +39,31 @@ def canonical_digest(parts: pd.Series) -> pd.Series:
         return h.hexdigest()
 
     return parts.map(one, na_action="ignore")
+
+
+def _packed(value: object) -> bytes:
+    """A string behind its length, a number as 32 bits (a float by its bits), lists behind their lengths, a null as one zero byte."""
+    if value is None:
+        return b"\0"
+    if isinstance(value, str):
+        return struct.pack(">i", len(value.encode())) + value.encode()
+    if isinstance(value, float):
+        return struct.pack(">f", value)
+    if isinstance(value, int):
+        return struct.pack(">i", value)
+    return struct.pack(">i", len(value)) + b"".join(map(_packed, value))
+
+
+def manifest_digest(name: str, *sections: list[tuple]) -> str:
+    """SHA-256 of a format's name and its sections: each its number of rows, then their fields in order.
+
+    A field that may be null is given as (present, value): a byte and, if present, the value.
+    """
+    h = hashlib.sha256(_packed(name))
+    for rows in sections:
+        h.update(struct.pack(">i", len(rows)))
+        for row in rows:
+            for field in row:
+                optional = isinstance(field, tuple)
+                h.update((b"\1" + _packed(field[1]) if field[0] else b"\0") if optional else _packed(field))
+    return h.hexdigest()

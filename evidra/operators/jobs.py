@@ -9,7 +9,7 @@ are in the order of (time, id).
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RETRY_MINUTES = (1, 5, 15)
@@ -53,6 +53,18 @@ def fold(events: DataFrame, lease_minutes: int = 600) -> DataFrame:
     return events.groupBy("job_id").applyInPandas(run, f"job_id {dict(events.dtypes)['job_id']}, {STATE}")
 
 
+def ranked_by_time(rows: DataFrame, ts: str, tie: str, name: str, unit: str = "hour") -> DataFrame:
+    """Number all rows from 1 by (ts, tie): inside each unit of time, plus all that came in earlier ones.
+
+    Only one row per unit is ordered in one place, so no task holds all rows. A null time comes first.
+    """
+    rows = rows.withColumn("_unit", F.date_trunc(unit, F.col(ts)))
+    before = Window.orderBy(F.col("_unit").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("_unit").agg(F.count("*").alias("_n")).select(F.col("_unit").alias("_u"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_unit").orderBy(ts, tie))
+    return rows.withColumn("_in", inside).join(offsets, F.col("_unit").eqNullSafe(F.col("_u"))).withColumn(name, (F.col("_before") + F.col("_in")).cast("long")).drop("_unit", "_u", "_before", "_in")
+
+
 def expired(state: DataFrame, now: Column) -> DataFrame:
     """Running jobs whose lease is over, with the fence that shuts out their old worker and what follows."""
     after = F.when(F.col("retries") < len(RETRY_MINUTES), "RETRY_WAIT").otherwise("FAILED")

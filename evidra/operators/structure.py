@@ -6,6 +6,7 @@ memory follows the longest document. A null or empty text gives no rows. Offsets
 
 from __future__ import annotations
 
+import hashlib
 import re
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
@@ -15,6 +16,8 @@ from itertools import groupby
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..functions.unicode import manifest_digest
+
 # Layout patterns, their precedence, and bounds in code points.
 OTHER = re.compile(r"(?:[-=_]{3,}|[─━]{3,})", re.A)
 DIVIDER = re.compile(r"\s*\|?\s*:?-{3,}:?\s*(?:\|\s*:?-{3,}:?\s*)+\|?\s*", re.A)
@@ -251,6 +254,27 @@ def passages(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
     return _each(rows, key, text, f"passage int, parent int, {_PLACE}, blocks array<int>, headers array<int>, n_children int, content string, retrieval string", build)
 
 
+def manifests(rows: DataFrame, key: str, text: str = "text", name: str = "structure-manifest-v1") -> DataFrame:
+    """(key, n_passages, n_children, digest): one digest over all passages and children of a document, in their order."""
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+
+    def build(t: str) -> Iterator[tuple]:
+        found = passages_of(_passable(t))
+        if not found:
+            return
+        whole = sha(t)
+        ids = lambda spans: [str(n) for n in dict.fromkeys(spans) if n]
+        heads, parts = [], []
+        for n, (run, retrieval) in enumerate(found, 1):
+            place = (run[0].first_line, run[-1].last_line, run[0].start, run[-1].end)
+            heads.append((str(n), n - 1, sha("\n".join(c.text for c in run)), sha(retrieval), *place, str(run[0].parent), whole, ids(c.ordinal for c in run), ids(c.header for c in run)))
+            for k, c in enumerate(run):
+                parts.append((f"{c.ordinal}.{c.part}", len(parts), k, str(n), c.kind, sha(c.text), c.first_line, c.last_line, c.start, c.end, str(c.parent), whole, ids([c.ordinal]), ids([c.header])))
+        yield len(heads), len(parts), manifest_digest(name, heads, parts)
+
+    return _each(rows, key, text, "n_passages int, n_children int, digest string", build)
+
+
 def faults(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, fault) of documents that cannot be cut into children."""
 

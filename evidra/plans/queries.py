@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import claims as cl
 from ..functions import korean as kr
+from ..functions import snippets as sn
 from ..functions import text as tx
 from ..functions import typed_values as tv
 from ..operators import jobs, structure, typed, vector
@@ -229,6 +231,47 @@ def literal_candidates(spark, sf_dir):
     return long.unionByName(short)
 
 
+@pair(None)
+def structure_manifests(spark, sf_dir):
+    return structure.manifests(docs(spark, sf_dir), "doc_id")
+
+
+# Snippets, claims and judgements
+
+
+def _located(spark, sf_dir) -> DataFrame:
+    """Each benchmark item with the documents that hold it, and the snippet that answers it there."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"))
+    held = literal_candidates(spark, sf_dir).join(items, "item_id").join(docs(spark, sf_dir).select("doc_id", "text"), "doc_id")
+    return held.withColumn("s", sn.snippet("query", "text"))
+
+
+@pair(None)
+def sentence_windows(spark, sf_dir):
+    s = F.col("s")
+    prose = F.filter(s, lambda x: ~x.alone)
+    found = docs(spark, sf_dir).select("doc_id", sn.sentences("text").alias("s"))
+    return found.select("doc_id", F.size(s).cast("long").alias("n"), F.size(prose).cast("long").alias("n_prose"), F.size(F.array_distinct(F.transform(prose, lambda x: x.block))).cast("long").alias("n_blocks"), F.array_max(F.transform(prose, lambda x: x.end - x.start)).alias("longest"))
+
+
+@pair(None)
+def evidence_snippets(spark, sf_dir):
+    return _located(spark, sf_dir).select("item_id", "doc_id", "s.*")
+
+
+@pair(None)
+def claim_verdicts(spark, sf_dir):
+    rows = _located(spark, sf_dir)
+    return rows.withColumn("v", cl.verdict("query", "s.snippet")).select("item_id", "doc_id", "v.*", cl.numeric_veto("s.snippet", "query").alias("veto"))
+
+
+_JUDGED = """(SELECT r.query_id, r.cand_id AS version_id, CASE WHEN r.rel > 0 THEN true ELSE false END AS found, r.rank <= 10 AS submitted, r.query_id % 8 + 1 AS owner_id,
+ CASE WHEN r.rank % 4 = 0 THEN substring(c.content, 900, 40) WHEN r.rank % 4 = 1 THEN 'no such sentence' ELSE substring(c.content, 11, 60) END AS sentence, substring(c.content, 1, 200) AS snippet, c.content, c.owner_id AS source_owner
+ FROM runs_v r LEFT JOIN chunks_v c ON c.version_id = r.cand_id AND c.chunk_no = 1) j"""
+same("judge_verify", f"""SELECT query_id, version_id, CASE WHEN NOT found THEN 'MODEL_NONE' WHEN NOT submitted THEN 'CHUNK_NOT_SUBMITTED' WHEN snippet IS NOT NULL AND NOT contains(snippet, sentence) THEN 'SENTENCE_NOT_IN_SNIPPET'
+ WHEN content IS NULL OR source_owner <> owner_id THEN 'CHUNK_NOT_ACTIVE_OWNER' WHEN NOT contains(content, sentence) THEN 'SENTENCE_NOT_IN_SOURCE' ELSE 'ACCEPTED' END AS status FROM {_JUDGED}""")
+
+
 # Typed values
 
 @pair(typed.ATOMS_DUCK)
@@ -340,7 +383,13 @@ def bootstrap_ci(spark, sf_dir):
 
 # Jobs
 
-same("claim_order", "SELECT job_id, event_id, CAST(row_number() OVER (ORDER BY ts, event_id) AS BIGINT) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) AS rn FROM job_events_v WHERE kind = 'ENQUEUE') e WHERE rn = 1")
+@pair("SELECT job_id, event_id, CAST(row_number() OVER (ORDER BY ts, event_id) AS BIGINT) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) AS rn FROM job_events_v WHERE kind = 'ENQUEUE') e WHERE rn = 1")
+def claim_order(spark, sf_dir):
+    register(spark, sf_dir)
+    w = Window.partitionBy("job_id").orderBy("ts", "event_id")
+    first = spark.table("job_events_v").where("kind = 'ENQUEUE'").withColumn("rn", F.row_number().over(w)).where("rn = 1")
+    return jobs.ranked_by_time(first.select("job_id", "event_id", "ts"), "ts", "event_id", "pos").drop("ts")
+
 same("outbox_dispatch", "SELECT job_id, min(event_id) AS event_id, count(*) AS n_seen FROM job_events_v WHERE kind = 'ENQUEUE' GROUP BY job_id")
 same("retry_schedule", "SELECT event_id, job_id, n, CASE n WHEN 1 THEN ts + INTERVAL '1' MINUTE WHEN 2 THEN ts + INTERVAL '5' MINUTE WHEN 3 THEN ts + INTERVAL '15' MINUTE END AS next_at FROM (SELECT *, CAST(row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) AS BIGINT) AS n FROM job_events_v WHERE kind = 'FAIL') f WHERE n <= 4")
 same("progress_last_value", "SELECT job_id, max_by(value, event_id) AS last_value, max(ts) AS last_ts, count(*) AS n FROM job_events_v WHERE kind = 'RENEW' GROUP BY job_id")
@@ -373,13 +422,18 @@ same("score_distribution", "SELECT category, count(*) AS n, round(min(score), 6)
 same("aspect_coverage", "SELECT query_id, bool_or(group_id % 3 = 0) AND bool_or(group_id % 3 = 1) AS all_met, CASE WHEN count(DISTINCT group_id % 3) >= 2 THEN true ELSE false END AS two_met FROM runs_v WHERE rel >= 1 GROUP BY query_id")
 same("gate_decision", "SELECT CASE WHEN delta < -0.05 THEN 'NO_GO' WHEN delta >= 0.02 THEN 'ADOPT' ELSE 'NEEDS_ADJUSTMENT' END AS decision FROM (SELECT avg(CASE WHEN split = 'TEST' THEN CAST(rel AS DOUBLE) END) - avg(CASE WHEN split = 'TUNING' THEN CAST(rel AS DOUBLE) END) AS delta FROM runs_v) g")
 same("decision_metrics", "SELECT split, round(sum(CASE WHEN top = 2 THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE), 6) AS top1_direct, sum(CASE WHEN best = 0 THEN 1 ELSE 0 END) AS rejected FROM (SELECT split, query_id, max(CASE WHEN rank = 1 THEN rel END) AS top, max(rel) AS best FROM runs_v GROUP BY split, query_id) q GROUP BY split")
-same("judge_verify", "SELECT chunk_id, CASE WHEN instr(content, substr(content, 20, 60)) = 0 THEN 'OUTSIDE' WHEN length(substr(content, 20, 60)) < 10 THEN 'TOO_SHORT' ELSE 'VERIFIED' END AS verdict FROM chunks_v WHERE chunk_no = 1")
 same("neighbour_expansion", "SELECT a.chunk_id, count(b.chunk_id) AS n_neighbours, max(length(b.content)) AS longest FROM chunks_v a LEFT JOIN chunks_v b ON a.version_id = b.version_id AND b.chunk_no BETWEEN a.chunk_no - 1 AND a.chunk_no + 1 AND b.chunk_no <> a.chunk_no GROUP BY a.chunk_id")
 same("claim_windows", "SELECT chunk_id, md5(concat(coalesce(lag(content) OVER (PARTITION BY version_id ORDER BY chunk_no), ''), '|', content)) AS back, md5(concat(content, '|', coalesce(lead(content) OVER (PARTITION BY version_id ORDER BY chunk_no), ''))) AS ahead FROM chunks_v")
-same("sentence_windows", "SELECT version_id, chunk_no, w, sum(length(content)) AS n_chars FROM (SELECT a.version_id, a.chunk_no, s.w, b.content FROM chunks_v a CROSS JOIN (VALUES (1), (2), (3)) AS s(w) JOIN chunks_v b ON b.version_id = a.version_id AND b.chunk_no >= a.chunk_no AND b.chunk_no < a.chunk_no + s.w) x GROUP BY version_id, chunk_no, w HAVING count(*) = w")
+same("chunk_windows", "SELECT version_id, chunk_no, w, sum(length(content)) AS n_chars FROM (SELECT a.version_id, a.chunk_no, s.w, b.content FROM chunks_v a CROSS JOIN (VALUES (1), (2), (3)) AS s(w) JOIN chunks_v b ON b.version_id = a.version_id AND b.chunk_no >= a.chunk_no AND b.chunk_no < a.chunk_no + s.w) x GROUP BY version_id, chunk_no, w HAVING count(*) = w")
 same("embedding_reuse_plan", "SELECT c.chunk_id, CASE WHEN r.first_id IS NULL OR r.first_id = c.chunk_id THEN 'COMPUTE' ELSE 'REUSE' END AS action, coalesce(r.first_id, c.chunk_id) AS source_id FROM chunks_v c LEFT JOIN (SELECT owner_id, md5(content) AS h, min(chunk_id) AS first_id FROM chunks_v GROUP BY owner_id, md5(content)) r ON r.owner_id = c.owner_id AND r.h = md5(c.content)")
 same("delete_guard", "SELECT d.document_id FROM (SELECT DISTINCT document_id FROM versions_v) d WHERE NOT EXISTS (SELECT 1 FROM versions_v v WHERE v.document_id = d.document_id AND v.status = 'FAILED')")
-same("outbox_poll", "SELECT job_id, event_id, CAST(row_number() OVER (ORDER BY due, event_id) AS BIGINT) AS pos FROM (SELECT job_id, event_id, ts + INTERVAL '5' MINUTE AS due FROM job_events_v WHERE kind = 'FAIL') f WHERE due <= TIMESTAMP '2024-01-15 00:00:00'")
+@pair("SELECT job_id, event_id, CAST(row_number() OVER (ORDER BY due, event_id) AS BIGINT) AS pos FROM (SELECT job_id, event_id, ts + INTERVAL '5' MINUTE AS due FROM job_events_v WHERE kind = 'FAIL') f WHERE due <= TIMESTAMP '2024-01-15 00:00:00'")
+def outbox_poll(spark, sf_dir):
+    register(spark, sf_dir)
+    due = spark.sql("SELECT job_id, event_id, ts + INTERVAL '5' MINUTE AS due FROM job_events_v WHERE kind = 'FAIL' AND ts + INTERVAL '5' MINUTE <= TIMESTAMP_NTZ '2024-01-15 00:00:00'")
+    return jobs.ranked_by_time(due, "due", "event_id", "pos").drop("due")
+
+
 same("supersede_on_swap", "SELECT job_id, event_id, lead(event_id) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS superseded_by FROM job_events_v WHERE kind = 'COMPLETE'")
 same("version_segments", "SELECT p_partkey, concat(CAST(p_size AS STRING), '.', CAST(p_partkey % 3 AS STRING)) AS version, p_size >= 10 AND p_partkey % 3 > 0 AS newer FROM part")
 
