@@ -170,26 +170,29 @@ class Question:
             (s["actor"] and s["action"], 1_200), (self.metric and s["metric"] and s["result"], 700), (complete and (self.action or self.problem), 4_000), (parts, 80),
             (n - 1, -1_000), (exact * (n - 1), -5_000), (n > 1 and not leads, -3_000), (listed, -3_000), (contact, -1_000_000),
         )
-        return {"score": sum(int(a) * w for a, w in points), "coverage": len(met), "parts": parts, "numeric": numeric, "exact": exact, "complete": complete}
+        return {"score": sum(int(a) * w for a, w in points), "coverage": len(met), "parts": parts, "numeric": numeric, "exact": exact, "complete": complete, "listed": listed, "contact": contact, "narrative": s["action"] or s["problem"] or s["result"]}
 
 
-def snippet_of(query: str | None, text: str | None) -> dict | None:
-    """The best window: most points, then coverage, parts, numbers met, then the shorter, then the earlier.
-
-    Without a window the whole text, trimmed, with a score of 0; a blank text has none.
-    """
-    text = text or ""
+def best_window(query: str, text: str) -> dict | None:
+    """The best window and its signals: most points, then coverage, parts, numbers met, then the shorter, then the earlier."""
     found = sentences_of(text)
-    question = Question(query or "")
+    question = Question(query)
     best = None
     for i, j in windows_of(found):
         part = text[found[i].start : found[j].end]
         s = question.score(part, found[i].text, j - i + 1)
         rank = (s["score"], s["coverage"], s["parts"], s["numeric"], i - j, -i)
         if best is None or rank > best[0]:
-            best = rank, {"snippet": part, "first": i, "last": j, **{k: s[k] for k in ("score", "coverage", "complete")}}
+            best = rank, {"snippet": part, "first": i, "last": j, **s}
+    return best[1] if best else None
+
+
+def snippet_of(query: str | None, text: str | None) -> dict | None:
+    """The best window; without one the whole text, trimmed, with a score of 0; a blank text has none."""
+    text = text or ""
+    best = best_window(query or "", text)
     if best:
-        return best[1]
+        return {k: best[k] for k in ("snippet", "first", "last", "score", "coverage", "complete")}
     return {"snippet": text.strip(), "first": -1, "last": -1, "score": 0, "coverage": 0, "complete": False} if text.strip() else None
 
 

@@ -12,7 +12,8 @@ from ..functions import korean as kr
 from ..functions import snippets as sn
 from ..functions import text as tx
 from ..functions import typed_values as tv
-from ..operators import jobs, structure, typed, vector
+from ..operators import evidence, jobs, structure, typed, vector
+from ..sources import files
 from .corpus import DUCK, active_chunks, register, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -265,6 +266,21 @@ def claim_verdicts(spark, sf_dir):
     return rows.withColumn("v", cl.verdict("query", "s.snippet")).select("item_id", "doc_id", "v.*", cl.numeric_veto("s.snippet", "query").alias("veto"))
 
 
+@pair(None)
+def evidence_search(spark, sf_dir):
+    """The general profile over the ranked runs: candidates are first chunks, the query is the head of its own document."""
+    register(spark, sf_dir)
+    first = active_chunks(docs(spark, sf_dir)).where("chunk_no = 1").select("version_id", "chunk_id", "content", F.concat_ws(" ", "lang", "source").alias("title"), F.lit(None).cast("int").alias("page_no"))
+    asked = docs(spark, sf_dir).select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 80).alias("query"))
+    rows = spark.table("runs_v").join(first, F.col("cand_id") == F.col("version_id")).join(asked, "query_id")
+    return evidence.evidence_profile(rows.select("query_id", "query", "chunk_id", "version_id", "page_no", "title", "content", "score", "rank"))
+
+
+@pair("SELECT concat(lang, ' ', source) AS name, count(*) AS n_pages, sum(length(text))::BIGINT AS n_chars, CASE WHEN count(*) > 300 THEN 'TOO_MANY_PAGES' WHEN sum(length(text)) > 2000000 THEN 'TOO_LONG' WHEN bool_and(trim(text) = '') THEN 'NO_TEXT' ELSE 'OK' END AS verdict FROM documents GROUP BY lang, source")
+def page_verdicts(spark, sf_dir):
+    return files.page_verdicts(docs(spark, sf_dir).select(F.concat_ws(" ", "lang", "source").alias("name"), F.col("doc_id").alias("page_no"), "text"))
+
+
 _JUDGED = """(SELECT r.query_id, r.cand_id AS version_id, CASE WHEN r.rel > 0 THEN true ELSE false END AS found, r.rank <= 10 AS submitted, r.query_id % 8 + 1 AS owner_id,
  CASE WHEN r.rank % 4 = 0 THEN substring(c.content, 900, 40) WHEN r.rank % 4 = 1 THEN 'no such sentence' ELSE substring(c.content, 11, 60) END AS sentence, substring(c.content, 1, 200) AS snippet, c.content, c.owner_id AS source_owner
  FROM runs_v r LEFT JOIN chunks_v c ON c.version_id = r.cand_id AND c.chunk_no = 1) j"""

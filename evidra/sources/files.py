@@ -46,3 +46,17 @@ def replace_versions(rows: DataFrame, folder: str, key: str = "version_id") -> i
     """Write rows in the place of what folder holds of the same versions, and return how many it then holds of them."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(folder)
     return rows.sparkSession.read.parquet(folder).join(rows.select(key).distinct(), key, "left_semi").count()
+
+
+def page_verdicts(pages: DataFrame, most_pages: int = 300, most_chars: int = 2_000_000) -> DataFrame:
+    """(name, n_pages, n_chars, verdict) of documents read page by page (name, page_no, text): OK, TOO_MANY_PAGES, TOO_LONG or NO_TEXT."""
+    blank = F.coalesce(F.trim("text"), F.lit("")) == ""
+    each = pages.groupBy("name").agg(F.count("*").alias("n_pages"), F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("long").alias("n_chars"), F.every(blank).alias("_blank"))
+    verdict = F.when(F.col("n_pages") > most_pages, "TOO_MANY_PAGES").when(F.col("n_chars") > most_chars, "TOO_LONG").when(F.col("_blank"), "NO_TEXT").otherwise("OK")
+    return each.withColumn("verdict", verdict).drop("_blank")
+
+
+def readable_pages(pages: DataFrame) -> DataFrame:
+    """The pages with text of accepted documents; the numbers of dropped pages stay free."""
+    good = page_verdicts(pages).where("verdict = 'OK'").select("name")
+    return pages.where("trim(text) <> ''").join(good, "name", "left_semi")

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from evidra.functions import claims as cl
 from evidra.functions import snippets as sn
 from evidra.functions.unicode import manifest_digest
-from evidra.operators import jobs
+from evidra.operators import evidence, jobs
 from evidra.operators import structure as st
+from evidra.sources import files
 
 TEXT = "1. 개요\n본인은 Redis 캐시를 도입했다. 응답 시간이\n30% 감소했다! 이후 운영에 배포했다.\n\nJava, Spring, Redis\nme@x.org\nPlain sentence here. Another one? . end"
 
@@ -86,3 +87,47 @@ def test_ranked_by_time(spark):
     got = jobs.ranked_by_time(rows.unionByName(spark.sql("SELECT 1000L AS id, CAST(NULL AS TIMESTAMP_NTZ) AS ts")), "ts", "id", "pos").collect()
     assert [r.id for r in sorted(got, key=lambda r: r.pos)] == [1000] + [r.id for r in sorted((r for r in got if r.ts), key=lambda r: (r.ts, r.id))]
     assert sorted(r.pos for r in got) == list(range(1, 502))
+
+
+def _candidate(chunk, version, content, score, rank, page=None):
+    return {"query_id": 1, "query": "redis 캐시 30% 개선", "chunk_id": chunk, "version_id": version, "page_no": page, "title": "t", "content": content, "score": score, "rank": rank}
+
+
+def test_profile_merges_places_and_facts_and_rescues(spark):
+    rng = random.Random(1)
+    a, b = ("".join(rng.choices("abcdefgh", k=800)) for _ in range(2))
+    seam = a[500:] + "".join(rng.choices("ijkl", k=500))
+    fact = "redis 캐시 30% 개선"
+    rows = [
+        _candidate(1, 1, a, 0.90, 1),
+        _candidate(2, 1, seam, 0.91, 2),  # overlaps 1 at its end: one place, the better one stays
+        _candidate(3, 2, seam, 0.60, 3),  # the same text of another version is another place
+        _candidate(4, 3, b, 0.40, 4),  # below the floor without anchors
+        _candidate(5, 4, f"{fact} 완료", 0.30, 5),  # below the floor, with all anchors
+        _candidate(6, 5, f"우리는 {fact} 성공", 0.55, 6),  # the same fact as 5, above the floor
+    ]
+    schema = "query_id long, query string, chunk_id long, version_id long, page_no int, title string, content string, score double, rank long"
+    out = evidence.evidence_profile(spark.createDataFrame(rows, schema)).orderBy("position").collect()
+    assert [r.chunk_id for r in out] == [2, 6, 3]
+    assert all(r.score - 0.035 <= r.ranking_score <= r.score + 0.1 for r in out)
+    odd = [_candidate(1, 1, None, 0.9, 1, 3) | {"query": None, "title": None}]
+    assert [r.chunk_id for r in evidence.evidence_profile(spark.createDataFrame(odd, schema)).collect()] == [1]
+    assert evidence.evidence_profile(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_pages_of_one_document(spark):
+    text = "x" * 900
+    assert not evidence._same_place(*(evidence.Candidate(k, 1, k, text, 0.9, k, None, None) for k in (1, 2)))
+    assert evidence._same_place(*(evidence.Candidate(k, 1, 7, text, 0.9, k, None, None) for k in (1, 2)))
+
+
+@pytest.mark.parametrize(("query", "content", "low", "high"), [("저장소 개선", "저장소 병목 문제를 개선해 30% 감소했다.", 0.05, 0.065), ("저장소 개선", "me@x.org 010-1234-5678 email", -0.035, -0.03), ("저장소", "무관한 글.", -0.001, 0.0)])
+def test_adjustment(query, content, low, high):
+    assert low <= evidence.adjustment(query, content) <= high + 1e-12
+
+
+def test_page_verdicts(spark):
+    rows = [("a", 1, "text"), ("a", 2, " "), ("a", 3, "more"), ("b", 1, None), ("c", 1, "x" * 2_000_001), *(("d", k, "p") for k in range(1, 302))]
+    pages = spark.createDataFrame(rows, "name string, page_no int, text string")
+    assert {r["name"]: r.verdict for r in files.page_verdicts(pages).collect()} == {"a": "OK", "b": "NO_TEXT", "c": "TOO_LONG", "d": "TOO_MANY_PAGES"}
+    assert sorted((r["name"], r.page_no) for r in files.readable_pages(pages).collect()) == [("a", 1), ("a", 3)]
