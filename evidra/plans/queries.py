@@ -12,7 +12,7 @@ from ..functions import korean as kr
 from ..functions import snippets as sn
 from ..functions import text as tx
 from ..functions import typed_values as tv
-from ..operators import evidence, jobs, structure, typed, vector
+from ..operators import evidence, jobs, selection, structure, typed, vector
 from ..sources import files
 from .corpus import DUCK, active_chunks, register, table
 
@@ -340,6 +340,16 @@ def typed_state(spark, sf_dir):
     return each.groupBy("item_id", "doc_id", "constraint_key").agg(best.alias("state"))
 
 
+@pair(None)
+def evidence_selection(spark, sf_dir):
+    """Children chosen by state: the questions in turn over the ranked runs, a candidate document being one passage."""
+    register(spark, sf_dir)
+    asked = spark.createDataFrame(list(enumerate(typed.QUESTIONS)), "k long, query string")
+    kids = structure.children(docs(spark, sf_dir), "doc_id").select(F.col("doc_id").alias("cand_id"), (F.col("ordinal").cast("long") * 1000 + F.col("part")).alias("child_no"), "content")
+    ranked = spark.table("runs_v").withColumn("k", F.col("query_id") % len(typed.QUESTIONS)).join(asked, "k").join(kids, "cand_id")
+    return selection.select_evidence(ranked.select("query_id", "query", F.col("rank").alias("passage_rank"), "child_no", (F.col("cand_id") * 10_000_000 + F.col("child_no")).alias("child_id"), "content"))
+
+
 # Relational family
 
 same("latest_version", "SELECT d.document_id, l.version_id AS latest_id, l.status AS latest_status, a.version_id AS active_id FROM (SELECT DISTINCT document_id FROM versions_v) d LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY version_no DESC) AS rn FROM versions_v) l ON l.document_id = d.document_id AND l.rn = 1 LEFT JOIN versions_v a ON a.document_id = d.document_id AND a.status = 'ACTIVE'")
