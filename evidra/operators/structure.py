@@ -193,7 +193,7 @@ def passages_of(children: list[Span], least: int = PASSAGE_LEAST, target: int =
 _PLACE = "first_line int, last_line int, start long, end long"
 
 
-def _each(rows: DataFrame, key: str, text: str, columns: str, build: Callable[[str], Iterator[tuple]]) -> DataFrame:
+def each_text(rows: DataFrame, key: str, text: str, columns: str, build: Callable[[str], Iterator[tuple]]) -> DataFrame:
     """The rows that `build` makes of each text, behind the document's key."""
     names = [key, *(c.split()[0] for c in columns.split(", "))]
     schema = f"{key} {dict(rows.dtypes)[key]}, {columns}"
@@ -230,7 +230,7 @@ def blocks(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
     def build(t: str) -> Iterator[tuple]:
         return ((b.ordinal, b.kind, b.parent, b.first_line, b.last_line, b.start, b.end, b.text) for b in blocks_of(t))
 
-    return _each(rows, key, text, f"ordinal int, kind string, parent int, {_PLACE}, content string", build)
+    return each_text(rows, key, text, f"ordinal int, kind string, parent int, {_PLACE}, content string", build)
 
 
 def children(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -239,7 +239,7 @@ def children(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
     def build(t: str) -> Iterator[tuple]:
         return ((c.ordinal, c.part, c.kind, c.parent, c.header, c.first_line, c.last_line, c.start, c.end, c.text, c.retrieval) for c in _passable(t))
 
-    return _each(rows, key, text, f"ordinal int, part int, kind string, parent int, header int, {_PLACE}, content string, retrieval string", build)
+    return each_text(rows, key, text, f"ordinal int, part int, kind string, parent int, header int, {_PLACE}, content string, retrieval string", build)
 
 
 def passages(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -251,7 +251,7 @@ def passages(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
             inside, heads = (list(dict.fromkeys(x)) for x in ([c.ordinal for c in run], [c.header for c in run if c.header]))
             yield n, a.parent, a.first_line, b.last_line, a.start, b.end, inside, heads, len(run), "\n".join(c.text for c in run), found
 
-    return _each(rows, key, text, f"passage int, parent int, {_PLACE}, blocks array<int>, headers array<int>, n_children int, content string, retrieval string", build)
+    return each_text(rows, key, text, f"passage int, parent int, {_PLACE}, blocks array<int>, headers array<int>, n_children int, content string, retrieval string", build)
 
 
 def manifests(rows: DataFrame, key: str, text: str = "text", name: str = "structure-manifest-v1") -> DataFrame:
@@ -272,7 +272,7 @@ def manifests(rows: DataFrame, key: str, text: str = "text", name: str = "struct
                 parts.append((f"{c.ordinal}.{c.part}", len(parts), k, str(n), c.kind, sha(c.text), c.first_line, c.last_line, c.start, c.end, str(c.parent), whole, ids([c.ordinal]), ids([c.header])))
         yield len(heads), len(parts), manifest_digest(name, heads, parts)
 
-    return _each(rows, key, text, "n_passages int, n_children int, digest string", build)
+    return each_text(rows, key, text, "n_passages int, n_children int, digest string", build)
 
 
 def faults(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -284,4 +284,4 @@ def faults(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
         except ValueError as e:
             yield (str(e),)
 
-    return _each(rows, key, text, "fault string", build)
+    return each_text(rows, key, text, "fault string", build)

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import claims as cl
 from ..functions import korean as kr
+from ..functions import literals as li
 from ..functions import snippets as sn
 from ..functions import text as tx
 from ..functions import typed_values as tv
-from ..operators import evidence, jobs, selection, structure, typed, vector
+from ..operators import evidence, jobs, sections, selection, structure, typed, vector
 from ..sources import files
 from .corpus import DUCK, active_chunks, register, table
 
@@ -237,9 +238,24 @@ def structure_manifests(spark, sf_dir):
     return structure.manifests(docs(spark, sf_dir), "doc_id")
 
 
+@pair(None)
+def section_chunks(spark, sf_dir):
+    return sections.section_chunks(docs(spark, sf_dir), "doc_id").select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.length("content").cast("long").alias("n"))
+
+
 # Snippets, claims and judgements
 
 
+@pair(None)
+def literal_gate(spark, sf_dir):
+    """Items with the documents that hold them whole: are all their literal anchors in the document."""
+    anchors = table(spark, sf_dir, "benchmark").select("item_id", li.literal_anchors("text").alias("a"))
+    forms = docs(spark, sf_dir).select("doc_id", li.form("text").alias("f"))
+    held = literal_candidates(spark, sf_dir).join(anchors, "item_id").join(forms, "doc_id")
+    return held.select("item_id", "doc_id", F.size("a").cast("long").alias("n_anchors"), li.all_held(F.col("a"), F.col("f")).alias("passes"))
+
+
+
 def _located(spark, sf_dir) -> DataFrame:
     """Each benchmark item with the documents that hold it, and the snippet that answers it there."""
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"))
