@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_QUERIES = 10_000
+SLAB = 512  # queries of one matrix product
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -45,29 +48,46 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
     rows = queries.select(id_col, vector_col).limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} queries: pass them in blocks")
+    return _ranked(_found(vectors, rows, k, id_col, vector_col), k)
+
+
+def knn_in_blocks(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", most: int = MAX_QUERIES) -> DataFrame:
+    """As knn, for any number of queries: each block of at most `most` is a scan of the vectors."""
+    blocks = [_found(vectors, list(rows), k, id_col, vector_col) for rows in batched(queries.select(id_col, vector_col).toLocalIterator(), most)]
+    return _ranked(reduce(DataFrame.unionByName, blocks or [_found(vectors, [], k, id_col, vector_col)]), k)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "cand_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _found(vectors: DataFrame, rows: list, k: int, id_col: str, vector_col: str) -> DataFrame:
+    """(query_id, cand_id, score): the best k of each Arrow batch for every query, and their ties."""
     ids = np.array([r[0] for r in rows], np.int64)
-    q = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
+    q = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1 if rows else 0)
     sent = vectors.sparkSession.sparkContext.broadcast((ids, q / np.linalg.norm(q, axis=1, keepdims=True) if len(q) else q))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = sent.value
+        all_ids, all_q = sent.value
         for batch in batches:
-            if not batch.num_rows or not len(ids):
+            if not batch.num_rows or not len(all_ids):
                 continue
             own = batch.column(id_col).to_numpy()
             v = batch.column(vector_col).flatten().to_numpy().astype(np.float64).reshape(len(own), -1)
-            score = q @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T
-            score[ids[:, None] == own[None, :]] = -np.inf
+            v = (v / np.linalg.norm(v, axis=1, keepdims=True)).T
             m = min(k, len(own))
-            # all that reach the k-th score, so that ties are settled by id
-            i, j = np.nonzero(score >= np.partition(score, len(own) - m, axis=1)[:, len(own) - m][:, None])
-            ok = np.isfinite(score[i, j])
-            i, j = i[ok], j[ok]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(own[j]), pa.array(score[i, j])], ["query_id", "cand_id", "score"])
-
-    found = vectors.select(id_col, vector_col).mapInArrow(run, "query_id long, cand_id long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "cand_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            for at in range(0, len(all_ids), SLAB):
+                ids, q = all_ids[at : at + SLAB], all_q[at : at + SLAB]
+                score = q @ v
+                score[ids[:, None] == own[None, :]] = -np.inf
+                # all that reach the k-th score, so that ties are settled by id
+                i, j = np.nonzero(score >= np.partition(score, len(own) - m, axis=1)[:, len(own) - m][:, None])
+                ok = np.isfinite(score[i, j])
+                i, j = i[ok], j[ok]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(own[j]), pa.array(score[i, j])], ["query_id", "cand_id", "score"])
+
+    return vectors.select(id_col, vector_col).mapInArrow(run, "query_id long, cand_id long, score double")
 
 
 def sparse_top(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:

@@ -6,11 +6,13 @@ derivations as common table expressions, written for the other engine, so that a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import chunks
-from ..operators.vector import knn
+from ..operators.vector import knn, knn_in_blocks
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -36,21 +38,35 @@ def active_chunks(docs: DataFrame) -> DataFrame:
 def runs(vectors: DataFrame, queries: int = 40, k: int = 20) -> DataFrame:
     """Ranked candidates of the first vectors: relevance 2 for the same label, 1 for a neighbouring one."""
     q = vectors.where(F.col("vec_id") < queries)
-    found = knn(vectors, q, k, id_col="vec_id", vector_col="embedding")
+    return _judged(vectors, q, knn(vectors, q, k, id_col="vec_id", vector_col="embedding"), F.col("query_id"))
+
+
+def every_50th(vectors: DataFrame) -> DataFrame:
+    """The query set of the whole job: it grows with the table."""
+    return vectors.where("vec_id % 50 = 0")
+
+
+def runs_every50(vectors: DataFrame, k: int = 20) -> DataFrame:
+    """As runs, for every 50th vector; the split goes by the number of the query, as all ids are even."""
+    q = every_50th(vectors)
+    return _judged(vectors, q, knn_in_blocks(vectors, q, k), F.expr("query_id div 50"))
+
+
+def _judged(vectors: DataFrame, q: DataFrame, found: DataFrame, number: Column) -> DataFrame:
     lab = vectors.select("vec_id", "label")
     out = found.join(F.broadcast(q.select(F.col("vec_id").alias("query_id"), F.col("label").alias("q_label"))), "query_id").join(lab.withColumnRenamed("vec_id", "cand_id"), "cand_id")
     rel = F.when(F.col("label") == F.col("q_label"), 2).when(F.abs(F.col("label") - F.col("q_label")) == 1, 1).otherwise(0)
-    split = F.when(F.col("query_id") % 2 == 0, "TUNING").otherwise("TEST")
+    split = F.when(number % 2 == 0, "TUNING").otherwise("TEST")
     return out.select("query_id", F.col("rank").cast("long").alias("rank"), "cand_id", "score", rel.cast("long").alias("rel"), (F.col("cand_id") % 50).alias("group_id"), split.alias("split"), F.concat(F.lit("C"), F.col("query_id") % 3).alias("category"))
 
 
-def register(spark: SparkSession, sf_dir: str) -> None:
+def register(spark: SparkSession, sf_dir: str, ranked: Callable[[DataFrame], DataFrame] = runs) -> None:
     for name in TABLES:
         table(spark, sf_dir, name).createOrReplaceTempView(name)
     docs = table(spark, sf_dir, "documents")
     versions(docs).createOrReplaceTempView("versions_v")
     active_chunks(docs).createOrReplaceTempView("chunks_v")
-    runs(table(spark, sf_dir, "embeddings")).createOrReplaceTempView("runs_v")
+    ranked(table(spark, sf_dir, "embeddings")).createOrReplaceTempView("runs_v")
     spark.sql("""SELECT n_nationkey AS tag_id, CAST(NULL AS BIGINT) AS owner_id, n_name AS name FROM nation
         UNION ALL SELECT 1000 + s_suppkey, s_suppkey % 8 + 1, s_name FROM supplier""").createOrReplaceTempView("tags_v")
     spark.sql("""SELECT document_id, owner_id, document_id % 25 AS tag_id FROM versions_v
@@ -74,3 +90,6 @@ tags_v AS (SELECT n_nationkey AS tag_id, NULL::BIGINT AS owner_id, n_name AS nam
 document_tags_v AS (SELECT document_id, owner_id, document_id % 25 AS tag_id FROM versions_v UNION ALL SELECT document_id, owner_id, 1000 + document_id % 40 FROM versions_v WHERE version_no = 1),
 job_events_v AS (SELECT event_id, user_id AS job_id, ts, CASE event_type WHEN 'signup' THEN 'ENQUEUE' WHEN 'view' THEN 'CLAIM' WHEN 'click' THEN 'RENEW' WHEN 'purchase' THEN 'COMPLETE' ELSE 'FAIL' END AS kind, value FROM events)
 """
+
+#: The same relations with runs_v as runs_every50 makes it.
+DUCK_EVERY50 = DUCK.replace("q.vec_id < 40", "q.vec_id % 50 = 0").replace("CASE WHEN query_id % 2 = 0", "CASE WHEN (query_id // 50) % 2 = 0")

@@ -15,20 +15,26 @@ from ..functions import text as tx
 from ..functions import typed_values as tv
 from ..operators import evidence, jobs, sections, selection, structure, typed, vector
 from ..sources import files
-from .corpus import DUCK, active_chunks, register, table
+from .corpus import DUCK, DUCK_EVERY50, active_chunks, every_50th, register, runs_every50, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
 def same(name: str, body: str) -> None:
-    """A relational query that is plain SQL over the corpus views."""
+    """A relational query that is plain SQL over the corpus views; over ranked runs, once more over every 50th vector."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         register(spark, sf_dir)
         return spark.sql(body)
 
+    def run_every50(spark: SparkSession, sf_dir: str) -> DataFrame:
+        register(spark, sf_dir, runs_every50)
+        return spark.sql(body)
+
     QUERIES[name], ORACLE[name] = run, DUCK + body
+    if "runs_v" in body:
+        QUERIES[f"{name}_every50"], ORACLE[f"{name}_every50"] = run_every50, DUCK_EVERY50 + body
 
 
 def pair(oracle: str | None) -> Callable:
@@ -67,7 +73,10 @@ _PAIRS = "SELECT q.vec_id AS query_id, c.vec_id AS cand_id, list_cosine_similari
 
 def _knn(spark, sf_dir, queries: int, k: int) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
-    found = vector.knn(v, v.where(F.col("vec_id") < queries), k)
+    return _scored(vector.knn(v, v.where(F.col("vec_id") < queries), k))
+
+
+def _scored(found: DataFrame) -> DataFrame:
     return found.select("query_id", "cand_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"), F.round(1 - F.col("score"), 6).alias("distance"))
 
 
@@ -81,6 +90,13 @@ def knn_top5(spark, sf_dir):
     return _knn(spark, sf_dir, 5, 5)
 
 
+@pair(_KNN.format("SELECT * FROM (" + _PAIRS.replace("q.vec_id < {q}", "q.vec_id % 50 = 0") + ") WHERE rank <= 20"))
+def knn_top20_every50(spark, sf_dir):
+    """Every row whose id is divisible by 50 against all rows."""
+    v = table(spark, sf_dir, "embeddings")
+    return _scored(vector.knn_in_blocks(v, every_50th(v), 20))
+
+
 @pair("SELECT c.vec_id, round(1 - list_cosine_similarity(q.v, c.v), 6) AS distance, row_number() OVER (ORDER BY list_cosine_similarity(q.v, c.v) DESC, c.vec_id) AS rank FROM unit q, unit c WHERE q.vec_id = 0 AND c.vec_id <> 0 ORDER BY rank LIMIT 20")
 def knn_single_query(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
@@ -325,6 +341,19 @@ def typed_evaluate(spark, sf_dir):
 @pair("SELECT query_id, cand_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN rel = 2 THEN 0 WHEN rel = 1 THEN 1 ELSE 2 END, rank) AS new_rank FROM runs_v")
 def typed_partition(spark, sf_dir):
     register(spark, sf_dir)
+    return _partitioned(spark)
+
+
+def typed_partition_every50(spark, sf_dir):
+    register(spark, sf_dir, runs_every50)
+    return _partitioned(spark)
+
+
+QUERIES["typed_partition_every50"] = typed_partition_every50
+ORACLE["typed_partition_every50"] = ORACLE["typed_partition"].replace(DUCK, DUCK_EVERY50)
+
+
+def _partitioned(spark) -> DataFrame:
     state = F.when(F.col("rel") == 2, "SATISFIED").when(F.col("rel") == 1, "UNKNOWN").otherwise("CONTRADICTED")
     return typed.stable_partition(spark.table("runs_v").withColumn("state", state), "query_id", "rank").select("query_id", "cand_id", "new_rank")
 
@@ -358,11 +387,11 @@ def typed_state(spark, sf_dir):
 
 @pair(None)
 def evidence_selection(spark, sf_dir):
-    """Children chosen by state: the questions in turn over the ranked runs, a candidate document being one passage."""
-    register(spark, sf_dir)
+    """Children chosen by state: the questions in turn over the runs of every 50th vector, a candidate document being one passage."""
+    register(spark, sf_dir, runs_every50)
     asked = spark.createDataFrame(list(enumerate(typed.QUESTIONS)), "k long, query string")
     kids = structure.children(docs(spark, sf_dir), "doc_id").select(F.col("doc_id").alias("cand_id"), (F.col("ordinal").cast("long") * 1000 + F.col("part")).alias("child_no"), "content")
-    ranked = spark.table("runs_v").withColumn("k", F.col("query_id") % len(typed.QUESTIONS)).join(asked, "k").join(kids, "cand_id")
+    ranked = spark.table("runs_v").withColumn("k", F.expr("query_id div 50") % len(typed.QUESTIONS)).join(asked, "k").join(kids, "cand_id")
     return selection.select_evidence(ranked.select("query_id", "query", F.col("rank").alias("passage_rank"), "child_no", (F.col("cand_id") * 10_000_000 + F.col("child_no")).alias("child_id"), "content"))
 
 
@@ -417,9 +446,10 @@ same("localization_iou", "SELECT version_id, sum(hi - lo) AS covered, count(*) A
 
 @pair(None)
 def bootstrap_ci(spark, sf_dir):
-    """Paired bootstrap over queries: 1,000 resamples by a seeded hash, 95 % interval of the mean difference."""
-    register(spark, sf_dir)
+    """Paired bootstrap over every 50th vector as query: 1,000 resamples by a seeded hash, 95 % interval of the mean difference."""
+    register(spark, sf_dir, runs_every50)
     per = spark.table("runs_v").groupBy("query_id").agg(F.max((F.col("rank") <= 1).cast("int") * F.col("rel") / 2).alias("a"), F.max((F.col("rank") <= 5).cast("int") * F.col("rel") / 2).alias("b")).select((F.col("query_id")).alias("i"), (F.col("b") - F.col("a")).alias("d"))
+    per = per.withColumn("i", F.row_number().over(Window.orderBy("i")) - 1)  # a row per query
     n = per.count()
     draws = spark.range(1000).select(F.col("id").alias("sample")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(n - 1, 0)).cast("long")))).withColumn("i", F.pmod(F.xxhash64("sample", "j", F.lit(42042)), F.lit(max(n, 1))))
     means = draws.join(F.broadcast(per), "i").groupBy("sample").agg(F.avg("d").alias("m"))
