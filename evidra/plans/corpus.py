@@ -52,6 +52,12 @@ def runs_every50(vectors: DataFrame, k: int = 20) -> DataFrame:
     return _judged(vectors, q, knn_in_blocks(vectors, q, k), F.expr("query_id div 50"))
 
 
+def active_runs(vectors: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(query_id, cand_id, score, rank): every 50th vector against those of active versions, which alone are ranked."""
+    active = versions(docs).where("status = 'ACTIVE'").select(F.col("version_id").alias("vec_id"))
+    return knn_in_blocks(vectors.join(active, "vec_id", "left_semi"), every_50th(vectors), k)
+
+
 def _judged(vectors: DataFrame, q: DataFrame, found: DataFrame, number: Column) -> DataFrame:
     lab = vectors.select("vec_id", "label")
     out = found.join(F.broadcast(q.select(F.col("vec_id").alias("query_id"), F.col("label").alias("q_label"))), "query_id").join(lab.withColumnRenamed("vec_id", "cand_id"), "cand_id")

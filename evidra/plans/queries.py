@@ -15,7 +15,7 @@ from ..functions import text as tx
 from ..functions import typed_values as tv
 from ..operators import evidence, jobs, sections, selection, structure, typed, vector
 from ..sources import files
-from .corpus import DUCK, DUCK_EVERY50, active_chunks, every_50th, register, runs_every50, table
+from .corpus import DUCK, DUCK_EVERY50, active_chunks, active_runs, every_50th, register, runs_every50, table, versions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -111,6 +111,16 @@ def evidence_candidates(spark, sf_dir):
     return spark.table("runs_v").where("rank <= 5").join(spark.table("versions_v").where("status = 'ACTIVE'"), F.col("cand_id") == F.col("version_id")).select("query_id", "cand_id", "rank", F.round("score", 6).alias("score"), "document_id", F.concat_ws(" ", "lang", "source").alias("title"), "version_no")
 
 
+@pair("""SELECT query_id, cand_id, rank, round(score, 6) AS score, v.document_id, concat(v.lang, ' ', v.source) AS title, v.version_no
+  FROM (SELECT q.vec_id AS query_id, c.vec_id AS cand_id, list_cosine_similarity(q.v, c.v) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.v, c.v) DESC, c.vec_id) AS rank
+   FROM unit q, unit c JOIN versions_v a ON a.version_id = c.vec_id AND a.status = 'ACTIVE' WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id) r JOIN versions_v v ON v.version_id = r.cand_id WHERE rank <= 5""")
+def evidence_candidates_active(spark, sf_dir):
+    """The five best active candidates of every 50th vector; other versions take no place."""
+    found = active_runs(table(spark, sf_dir, "embeddings"), docs(spark, sf_dir), 5)
+    v = versions(docs(spark, sf_dir)).where("status = 'ACTIVE'").select("version_id", "document_id", F.concat_ws(" ", "lang", "source").alias("title"), "version_no")
+    return found.join(v, F.col("cand_id") == F.col("version_id")).select("query_id", "cand_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"), "document_id", "title", "version_no")
+
+
 @pair("SELECT vec_id, CASE WHEN len(v) = 0 THEN 'EMPTY' WHEN len(v) <> 64 THEN 'DIMENSION' WHEN list_sum(list_transform(v, lambda x: x * x)) = 0 THEN 'ZERO' ELSE 'OK' END AS verdict, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS norm, len(v) AS dims FROM unit")
 def vector_validate(spark, sf_dir):
     e = F.col("embedding")

@@ -22,3 +22,11 @@ def test_knn_in_blocks_equals_knn(spark):
     rows = lambda found: sorted((r.query_id, r.cand_id, r.rank) for r in found.collect())
     assert rows(vector.knn_in_blocks(v, v, 2, most=3)) == rows(vector.knn(v, v, 2))
     assert vector.knn_in_blocks(v, v.where("vec_id < 0"), 2).count() == 0
+
+
+def test_only_active_versions_are_ranked(spark):
+    got = plans.QUERIES["evidence_candidates_active"](spark, SF).collect()
+    active = {r.version_id for r in corpus.versions(corpus.table(spark, SF, "documents")).where("status = 'ACTIVE'").collect()}
+    assert {r.cand_id for r in got} <= active
+    for q in range(0, 500, 50):  # no place is lost to another version
+        assert sorted(r.rank for r in got if r.query_id == q) == [1, 2, 3, 4, 5]
