@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import lru_cache
+from math import ceil
 
 import pandas as pd
 import regex
@@ -91,13 +93,26 @@ class Candidate:
 
 def _seam(a: str, b: str) -> bool:
     """Is a long end of one text the start of the other."""
-    least = max(OVERLAP, OVERLAP_SHARE * min(len(a), len(b)))
-    return any(x.endswith(y[:k]) for x, y in ((a, b), (b, a)) for k in range(min(len(a), len(b)), OVERLAP - 1, -1) if k >= least)
+    least = ceil(max(OVERLAP, OVERLAP_SHARE * min(len(a), len(b))))
+    if min(len(a), len(b)) < least:
+        return False
+    for x, y in ((a, b), (b, a)):
+        at = x.find(y[:least], max(0, len(x) - len(y)))
+        while at >= 0:
+            if y.startswith(x[at:]):
+                return True
+            at = x.find(y[:least], at + 1)
+    return False
+
+
+@lru_cache(8192)
+def _spaced(text: str) -> str:
+    return " ".join(search_form(text).split())
 
 
 def _span(a: str, b: str, least: int, share: float) -> bool:
     """Do two texts share a stretch of `least` characters and `share` of the shorter one."""
-    a, b = sorted((" ".join(search_form(t).split()) for t in (a, b)), key=len)
+    a, b = sorted((_spaced(t) for t in (a, b)), key=len)
     k = max(least, -int(-len(a) * share // 1))
     windows = {b[i : i + k] for i in range(len(b) - k + 1)}
     return any(a[i : i + k] in windows for i in range(len(a) - k + 1))
@@ -190,18 +205,25 @@ def select(query: str, rows: list[dict]) -> list[tuple[Candidate, float]]:
     return sorted(ranked, key=lambda x: (-x[1], -x[0].score))[:MAX_RESULTS]
 
 
-def evidence_profile(candidates: DataFrame) -> DataFrame:
+def evidence_profile(candidates: DataFrame, queries: DataFrame | None = None, most: int | None = MAX_CANDIDATES) -> DataFrame:
     """(query_id, position, chunk_id, version_id, score, ranking_score) of candidates (query_id, query, chunk_id,
     version_id, page_no, title, content, score, rank); a query without eligible candidates has no row.
 
-    page_no is null in texts without pages. A null query, title or content is empty.
+    page_no is null in texts without pages. A null query, title or content is empty. With `queries` (query_id, query)
+    long query texts are not repeated by candidate. At most `most` candidates of a query are read; None reads all.
     """
 
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["rank", "chunk_id"]).head(MAX_CANDIDATES).astype(object)
+    def run(key: tuple, group: pd.DataFrame, asked: pd.DataFrame | None = None) -> pd.DataFrame:
+        if asked is not None:
+            group = group.assign(query=asked["query"].iloc[0] if len(asked) else None)
+        group = group.sort_values(["rank", "chunk_id"]).head(len(group) if most is None else most).astype(object)
         rows = group.where(group.notna(), None).to_dict("records")
         texts = [r | {k: r[k] or "" for k in ("title", "content")} for r in rows]
-        out = select(rows[0]["query"] or "", texts)
+        out = select(rows[0]["query"] or "", texts) if rows else []
         return pd.DataFrame([(key[0], n, c.chunk_id, c.version_id, c.score, s) for n, (c, s) in enumerate(out, 1)], columns=["query_id", "position", "chunk_id", "version_id", "score", "ranking_score"])
 
-    return candidates.groupBy("query_id").applyInPandas(run, f"query_id {dict(candidates.dtypes)['query_id']}, position long, chunk_id long, version_id long, score double, ranking_score double")
+    schema = f"query_id {dict(candidates.dtypes)['query_id']}, position long, chunk_id long, version_id long, score double, ranking_score double"
+    groups = candidates.groupBy("query_id")
+    if queries is None:
+        return groups.applyInPandas(lambda key, group: run(key, group), schema)
+    return groups.cogroup(queries.groupBy("query_id")).applyInPandas(lambda key, group, asked: run(key, group, asked), schema)

@@ -310,15 +310,15 @@ def claim_verdicts(spark, sf_dir):
 
 @pair(None)
 def evidence_search(spark, sf_dir):
-    """The general profile over the ranked runs: candidates are first chunks, the query is the head of its own document.
+    """The general profile: every 50th document asks with its whole text; all chunks of its 20 best active versions are candidates.
 
-    The cosine is mapped to 0..1, where the profile's floor lies.
+    The cosine is mapped to 0..1, where the profile's floor lies. Chunks of a version share its rank.
     """
-    register(spark, sf_dir)
-    first = active_chunks(docs(spark, sf_dir)).where("chunk_no = 1").select("version_id", "chunk_id", "content", F.concat_ws(" ", "lang", "source").alias("title"), F.lit(None).cast("int").alias("page_no"))
-    asked = docs(spark, sf_dir).select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 80).alias("query"))
-    rows = spark.table("runs_v").join(first, F.col("cand_id") == F.col("version_id")).join(asked, "query_id")
-    return evidence.evidence_profile(rows.select("query_id", "query", "chunk_id", "version_id", "page_no", "title", "content", ((F.col("score") + 1) / 2).alias("score"), "rank"))
+    found = active_runs(table(spark, sf_dir, "embeddings"), docs(spark, sf_dir), evidence.MAX_CANDIDATES)
+    asked = docs(spark, sf_dir).where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+    chunks = active_chunks(docs(spark, sf_dir)).select("version_id", "chunk_id", "content", F.concat_ws(" ", "lang", "source").alias("title"), F.lit(None).cast("int").alias("page_no"))
+    rows = chunks.join(F.broadcast(found.join(asked.select("query_id"), "query_id")), F.col("cand_id") == F.col("version_id"))
+    return evidence.evidence_profile(rows.select("query_id", "chunk_id", "version_id", "page_no", "title", "content", ((F.col("score") + 1) / 2).alias("score"), "rank"), asked, most=None)
 
 
 @pair("SELECT concat(lang, ' ', source) AS name, count(*) AS n_pages, sum(length(text))::BIGINT AS n_chars, CASE WHEN count(*) > 300 THEN 'TOO_MANY_PAGES' WHEN sum(length(text)) > 2000000 THEN 'TOO_LONG' WHEN bool_and(trim(text) = '') THEN 'NO_TEXT' ELSE 'OK' END AS verdict FROM documents GROUP BY lang, source")

@@ -1,8 +1,10 @@
 """Queries over the whole job, where an older one is fixed by its SQL to a part of it."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from evidra.operators import vector
+from evidra.operators import evidence, vector
 from evidra.plans import corpus
 from evidra.plans import queries as plans
 
@@ -30,3 +32,27 @@ def test_only_active_versions_are_ranked(spark):
     assert {r.cand_id for r in got} <= active
     for q in range(0, 500, 50):  # no place is lost to another version
         assert sorted(r.rank for r in got if r.query_id == q) == [1, 2, 3, 4, 5]
+
+
+def test_evidence_past_the_first_chunk_is_found(spark):
+    got = plans.QUERIES["evidence_search"](spark, SF).collect()
+    assert any(r.chunk_id % 1000 > 1 for r in got)
+    docs = corpus.table(spark, SF, "documents")
+    assert {r.query_id for r in got} <= {r.doc_id for r in docs.where("doc_id % 50 = 0").collect()}
+
+
+def test_profile_reads_all_candidates_and_the_end_of_a_query(spark):
+    rows = [(1, n, n, None, "", "Kafka broker retry" if n == 30 else f"none {n}", 0.1, 1) for n in range(1, 31)]
+    candidates = spark.createDataFrame(rows, "query_id long, chunk_id long, version_id long, page_no int, title string, content string, score double, rank long")
+    asked = spark.createDataFrame([(1, "of " * 100 + "broker retry kafka")], "query_id long, query string")
+    assert [r.chunk_id for r in evidence.evidence_profile(candidates, asked, most=None).collect()] == [30]
+
+
+def test_seam_equals_trying_every_length():
+    rng = random.Random(7)
+    for _ in range(2000):
+        a, b = ("".join(rng.choices("ab", [9, 1], k=rng.randint(60, 300))) for _ in range(2))
+        b = a[-rng.randint(60, 200) :] + b if rng.random() < 0.5 else b
+        least = max(evidence.OVERLAP, evidence.OVERLAP_SHARE * min(len(a), len(b)))
+        want = any(x.endswith(y[:k]) for x, y in ((a, b), (b, a)) for k in range(evidence.OVERLAP, min(len(a), len(b)) + 1) if k >= least)
+        assert evidence._seam(a, b) == want
