@@ -340,6 +340,14 @@ def date_atoms(spark, sf_dir):
     return typed.date_atoms(spark.createDataFrame([(r,) for r in typed.ATOM_EXAMPLES], "raw string"))
 
 
+@pair(typed.DOCUMENT_ATOMS_DUCK)
+def document_date_atoms(spark, sf_dir):
+    """The date strings of all documents, each with its interval."""
+    raws = docs(spark, sf_dir).select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(typed.DATE_STRING), 1))).alias("raw"))
+    atoms = typed.date_atoms(raws.select("raw").distinct())
+    return raws.join(atoms, "raw").select("doc_id", "raw", "first_day", "last_day", "precision")
+
+
 @pair(typed.EVALUATE_DUCK)
 def typed_evaluate(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"), F.col("o_totalprice").alias("value"))
@@ -411,6 +419,7 @@ same("latest_version", "SELECT d.document_id, l.version_id AS latest_id, l.statu
 same("dispatch_anti_join", "SELECT v.document_id, v.version_id FROM versions_v v WHERE v.status = 'ACTIVE' AND NOT EXISTS (SELECT 1 FROM chunks_v c WHERE c.document_id = v.document_id AND c.version_id = v.version_id AND c.owner_id = v.owner_id AND c.chunk_no = 3)")
 same("eligible_semi_join", "SELECT v.document_id, v.version_id FROM versions_v v WHERE EXISTS (SELECT 1 FROM document_tags_v t WHERE t.document_id = v.document_id AND t.owner_id = v.owner_id AND t.tag_id = 7)")
 same("lineage_join", "SELECT c.chunk_id, v.version_no, t.name FROM chunks_v c JOIN versions_v v ON v.document_id = c.document_id AND v.version_id = c.version_id AND v.owner_id = c.owner_id JOIN document_tags_v dt ON dt.document_id = v.document_id AND dt.owner_id = v.owner_id AND dt.tag_id < 5 JOIN tags_v t ON t.tag_id = dt.tag_id WHERE v.status = 'ACTIVE' AND v.version_no = 2")
+same("lineage_join_whole", "SELECT c.chunk_id, v.version_no, t.tag_id, t.name FROM chunks_v c JOIN versions_v v ON v.document_id = c.document_id AND v.version_id = c.version_id AND v.owner_id = c.owner_id JOIN document_tags_v dt ON dt.document_id = v.document_id AND dt.owner_id = v.owner_id JOIN tags_v t ON t.tag_id = dt.tag_id WHERE v.status = 'ACTIVE'")
 same("document_list", "SELECT version_id, source, status FROM versions_v WHERE lang = 'en' AND lower(source) LIKE '%src1%' AND status <> 'FAILED'")
 same("tag_search", "SELECT tag_id, name, row_number() OVER (ORDER BY CASE WHEN name = 'NATION_1' THEN 0 ELSE 1 END, CASE WHEN owner_id IS NULL THEN 0 ELSE 1 END, name, tag_id) AS pos FROM tags_v WHERE (owner_id IS NULL OR owner_id = 3) AND name LIKE '%N_TION^_1%' ESCAPE '^'")
 same("tag_usage", "SELECT t.tag_id, t.name, count(DISTINCT dt.document_id) AS n_documents FROM tags_v t JOIN document_tags_v dt ON dt.tag_id = t.tag_id AND (t.owner_id IS NULL OR t.owner_id = dt.owner_id) GROUP BY t.tag_id, t.name")

@@ -56,3 +56,15 @@ def test_seam_equals_trying_every_length():
         least = max(evidence.OVERLAP, evidence.OVERLAP_SHARE * min(len(a), len(b)))
         want = any(x.endswith(y[:k]) for x, y in ((a, b), (b, a)) for k in range(evidence.OVERLAP, min(len(a), len(b)) + 1) if k >= least)
         assert evidence._seam(a, b) == want
+
+
+def test_lineage_has_all_tags_and_versions(spark):
+    got = plans.QUERIES["lineage_join_whole"](spark, SF).select("version_no", "tag_id").distinct().collect()
+    assert {r.version_no for r in got} == {1, 2} and {r.tag_id for r in got} >= set(range(25))
+
+
+def test_dates_are_those_of_documents(spark, tmp_path):
+    rows = [(1, "From 2024-02-29 to 2024/12/05, not 2023-02-29; in 2019."), (2, "2019 and 3024, 1999-13")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, r.raw): r.precision for r in plans.QUERIES["document_date_atoms"](spark, str(tmp_path)).collect()}
+    assert got == {(1, "2024-02-29"): "FULL_DATE", (1, "2024/12/05"): "FULL_DATE", (1, "2023-02-29"): None, (1, "2019"): "YEAR", (2, "2019"): "YEAR", (2, "1999-13"): None}
