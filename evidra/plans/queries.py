@@ -192,6 +192,15 @@ def doc_frequency(spark, sf_dir):
     return df.where("df >= 5").select("term", "df", F.round(1 - F.col("df") / n, 6).alias("rarity"))
 
 
+@pair(f"""SELECT term, df, round(1 - df / n, 6) AS rarity FROM (SELECT t AS term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({_TOKENS_D}) AS t FROM documents) GROUP BY 1) a, (SELECT count(*) AS n FROM documents) b""")
+def doc_frequency_all(spark, sf_dir):
+    """All terms, those of one document too."""
+    d = docs(spark, sf_dir)
+    n = d.count()
+    df = d.select(F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return df.select("term", "df", F.round(1 - F.col("df") / n, 6).alias("rarity"))
+
+
 _ASSERTS = r"(regexp_matches({0}, '(^|[^0-9])(19|20)[0-9]{{2}}([./-][0-9]{{1,2}}([./-][0-9]{{1,2}})?)?([^0-9]|$)') OR regexp_matches({0}, '[0-9][0-9,.]*\s*(%|[a-z]{{2}}|[A-Z]{{2}}|[가-힣])') OR regexp_matches({0}, '\s[—–]\s*\S'))"
 _BLOCKS_D = rf"""s0 AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
 s1 AS (SELECT doc_id, unnest(parts) AS raw, unnest(range(1, len(parts) + 1)) AS line_no FROM s0),

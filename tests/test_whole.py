@@ -68,3 +68,7 @@ def test_dates_are_those_of_documents(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {(r.doc_id, r.raw): r.precision for r in plans.QUERIES["document_date_atoms"](spark, str(tmp_path)).collect()}
     assert got == {(1, "2024-02-29"): "FULL_DATE", (1, "2024/12/05"): "FULL_DATE", (1, "2023-02-29"): None, (1, "2019"): "YEAR", (2, "2019"): "YEAR", (2, "1999-13"): None}
+
+
+def test_rare_terms_have_a_frequency(spark):
+    assert plans.QUERIES["doc_frequency_all"](spark, SF).where("df < 5").count() > 0
