@@ -8,6 +8,7 @@ from itertools import batched
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,14 +74,19 @@ def _found(vectors: DataFrame, rows: list, k: int, id_col: str, vector_col: str)
         for batch in batches:
             if not batch.num_rows or not len(all_ids):
                 continue
+            # a null vector, or one of another length than the queries, is no neighbour
+            batch = batch.filter(pc.equal(pc.list_value_length(batch.column(vector_col)), all_q.shape[1]))
+            if not batch.num_rows:
+                continue
             own = batch.column(id_col).to_numpy()
-            v = batch.column(vector_col).flatten().to_numpy().astype(np.float64).reshape(len(own), -1)
-            v = (v / np.linalg.norm(v, axis=1, keepdims=True)).T
+            v = batch.column(vector_col).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)
+            with np.errstate(all="ignore"):
+                v = (v / np.linalg.norm(v, axis=1, keepdims=True)).T
             m = min(k, len(own))
             for at in range(0, len(all_ids), SLAB):
                 ids, q = all_ids[at : at + SLAB], all_q[at : at + SLAB]
                 score = q @ v
-                score[ids[:, None] == own[None, :]] = -np.inf
+                score[~np.isfinite(score) | (ids[:, None] == own[None, :])] = -np.inf  # NaN would be the largest
                 # all that reach the k-th score, so that ties are settled by id
                 i, j = np.nonzero(score >= np.partition(score, len(own) - m, axis=1)[:, len(own) - m][:, None])
                 ok = np.isfinite(score[i, j])

@@ -72,3 +72,13 @@ def test_dates_are_those_of_documents(spark, tmp_path):
 
 def test_rare_terms_have_a_frequency(spark):
     assert plans.QUERIES["doc_frequency_all"](spark, SF).where("df < 5").count() > 0
+
+
+def test_knn_passes_over_faulty_vectors(spark):
+    nan = float("nan")
+    good = [(n, [1.0, float(n)]) for n in range(6)]
+    bad = [(10, [0.0, 0.0]), (11, [nan, 1.0]), (12, None), (13, [1.0]), (14, [0.0, 0.0]), (15, [1.0, None])]
+    frame = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    q = frame(good).where("vec_id < 2")
+    rows = lambda found: sorted((r.query_id, r.cand_id, r.rank) for r in found.collect())
+    assert rows(vector.knn(frame(good + bad), q, 2)) == rows(vector.knn_in_blocks(frame(good + bad), q, 2)) == rows(vector.knn(frame(good), q, 2))
