@@ -8,7 +8,7 @@ label of the nearest decided neighbour (the one before on a tie; a heading that
 block without a decided neighbour is good.
 
 Defined cases: null and empty html give an empty text; unclosed elements end with the page and never
-swallow it; every page gives one row (repeated rows and null ids too); other columns are not carried.
+swallow it, but for script, style, textarea and title, whose text is no markup; every page gives one row (repeated rows and null ids too); other columns are not carried.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from .common import slices
 
 # Element names and class words of HTML pages, and frequent function words.
 RAW = {"script", "style", "noscript", "template", "textarea", "svg", "iframe", "object", "canvas", "head", "title", "select", "button", "math", "video", "audio"}
+TEXT_ONLY = {"script", "style", "textarea", "title"}  # without an end tag the rest of the page is theirs
 OUT = {"nav", "aside", "footer", "form", "menu", "dialog"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "br"}
@@ -65,13 +66,18 @@ def _is_out(name: str, attrs: str, in_article: bool) -> bool:
     return bool(words & OUT_WORDS) or bool(_HIDDEN.search(attrs))
 
 
+def _lower(text: str) -> str:
+    """Lower case with every offset kept: U+0130 alone would become two code points."""
+    return text.replace("\u0130", "\ufffd").lower()
+
+
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order, white space made one space."""
     found: list[Block] = []
     text: list[str] = []
     linked, links, article, at = 0, 0, 0, 0
     out_name, out_depth = "", 0  # the region being left out, and how often its element is open
-    lower, heading = page.lower(), False
+    lower, heading = _lower(page), False
 
     def flush() -> None:
         nonlocal linked
@@ -95,7 +101,7 @@ def blocks(page: str) -> list[Block]:
         if name in RAW and not close:
             if not m[3].endswith("/"):
                 end = re.compile(rf"</{re.escape(name)}\s*>").search(lower, at)
-                at = end.end() if end else (at if name == "head" else len(page))
+                at = end.end() if end else (len(page) if name in TEXT_ONLY else at)
             text.append(" ")
             continue
         if name == "br":

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from evidra.llm import html_text
 from evidra.operators import evidence, vector
 from evidra.plans import corpus
 from evidra.plans import queries as plans
@@ -82,3 +83,13 @@ def test_knn_passes_over_faulty_vectors(spark):
     q = frame(good).where("vec_id < 2")
     rows = lambda found: sorted((r.query_id, r.cand_id, r.rank) for r in found.collect())
     assert rows(vector.knn(frame(good + bad), q, 2)) == rows(vector.knn_in_blocks(frame(good + bad), q, 2)) == rows(vector.knn(frame(good), q, 2))
+
+
+def test_html_keeps_offsets_and_what_follows_unclosed_elements():
+    assert all(len(html_text._lower(chr(c))) == 1 for c in range(0x110000))
+    text = "The story of the town is long and it was told by those who were there. " * 5
+    one, two = f"<p>{chr(0x130) * 300} {text}</p>", f"<p>{text}</p>"
+    assert html_text.main_text(f"{one}<script>x</SCRIPT>{two}").count("The story") == 10
+    for name in ("select", "button", "object", "svg", "video"):
+        assert html_text.main_text(f"{two}<{name}>{two}").count("The story") == 10
+    assert html_text.main_text(f"{two}<script>{two}").count("The story") == 5
