@@ -20,7 +20,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
 from .common import slices
@@ -58,12 +57,14 @@ def _encoder(path: str, pattern: str) -> CachedEncoder:
 
 
 @lru_cache(2)
-def _bytes_of(path: str) -> list[bytes]:
+def _bytes_of(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of all tokens, start and length of each); ranks without a token have no bytes."""
     ranks = read_ranks(path)
-    out = [b""] * (max(ranks.values(), default=-1) + 1)
+    tokens = [b""] * (max(ranks.values(), default=-1) + 1)
     for t, r in ranks.items():
-        out[r] = t
-    return out
+        tokens[r] = t
+    size = np.array([len(t) for t in tokens], np.int64)
+    return np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(size) - size, size
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False) -> DataFrame:
@@ -75,37 +76,46 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             tokenizer = tokenizer_of(path, pattern)
         else:
             encoder = _encoder(path, pattern)
-        for batch in slices(batches, text_col):
-            texts = [t or "" for t in batch.column(text_col).to_pylist()]
+        for batch in slices(batches, text_col, 500_000 if offsets else 2_000_000):
             if offsets:
-                found = tokenizer.encode_batch(texts, add_special_tokens=False)
+                found = tokenizer.encode_batch([t or "" for t in batch.column(text_col).to_pylist()], add_special_tokens=False)
                 cols = [pa.array([e.ids for e in found], pa.list_(pa.int32()))] + [pa.array([[o[k] for o in e.offsets] for e in found], pa.list_(pa.int32())) for k in (0, 1)]
             else:
-                raw = encoder(texts)
-                at = np.concatenate(([0], np.cumsum([len(r) // 4 for r in raw]))).astype(np.int32)
-                cols = [pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(raw), "<i4")))]
+                ids, counts = encoder.flat(batch.column(text_col))
+                cols = [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(ids.astype(np.int32)))]
             yield pa.RecordBatch.from_arrays([batch.column(id_col), *cols], [id_col, "ids", "starts", "ends"][: 1 + len(cols)])
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(id_col, ids_col, decoded binary): the bytes of the ids, joined. Unknown ids raise an error."""
+    """(id_col, ids_col, decoded binary): the bytes of the ids, joined. Ids outside the vocabulary raise an error."""
     schema = f"`{id_col}` {dict(encoded.dtypes)[id_col]}, `{ids_col}` array<int>, decoded binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _bytes_of(path)
-        for batch in batches:
+        data, start, size = _bytes_of(path)
+        for batch in slices(batches, ids_col, 2_000_000):
             ids = batch.column(ids_col)
-            at = ids.offsets.to_numpy()
-            flat = ids.values.to_numpy(zero_copy_only=False)
-            sizes = pc.fill_null(pc.list_value_length(ids), 0).to_pylist()
-            out = [b"".join(map(table.__getitem__, flat[a : a + n].tolist())) for a, n in zip(at[:-1].tolist(), sizes, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), ids, pa.array(out, pa.binary())], [id_col, ids_col, "decoded"])
+            flat = ids.flatten().to_numpy(zero_copy_only=False)
+            if len(flat) and not (0 <= flat.min() and flat.max() < len(size)):
+                raise ValueError(f"ids outside 0 to {len(size) - 1}")
+            count = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+            wide, first = size[flat], np.concatenate(([0], np.cumsum(count)))
+            ends = np.concatenate(([0], np.cumsum(wide)))
+            text = data[np.arange(ends[-1]) + np.repeat(start[flat] - ends[:-1], wide)]
+            out = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends[first].astype(np.int32)), pa.py_buffer(text)])
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), ids, out], [id_col, ids_col, "decoded"])
 
     return encoded.select(id_col, ids_col).mapInArrow(run, schema)
 
 
 def decode_text(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """Like decode, with the text; bytes that make no character become U+FFFD."""
-    return decode(encoded, path, id_col, ids_col).withColumn("text", F.decode(F.try_validate_utf8(F.col("decoded").cast("string")).cast("binary"), "UTF-8"))
+    """(id_col, ids_col, text): like decode, as text; bytes that make no character become U+FFFD."""
+    schema = f"`{id_col}` {dict(encoded.dtypes)[id_col]}, `{ids_col}` array<int>, text string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [b.decode("utf-8", "replace") for b in batch.column("decoded").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column(ids_col), pa.array(texts, pa.string())], [id_col, ids_col, "text"])
+
+    return decode(encoded, path, id_col, ids_col).mapInArrow(run, schema)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -39,11 +40,15 @@ def work_dir(spark: SparkSession) -> str:
     return _own_base.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="evidra-"))
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _remove_all() -> None:
     for spark, path in _written:
         try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _remove(spark, path)
         except Exception:  # the session has ended: nothing more can be done here
             return
 
@@ -62,7 +67,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove stored tables that nothing reads any more."""
+    for df in tables:
+        _remove(df.sparkSession, df.stored_at)
+        _written.remove((df.sparkSession, df.stored_at))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as it takes to be no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def n_buckets(spark: SparkSession) -> int:
@@ -70,12 +92,14 @@ def n_buckets(spark: SparkSession) -> int:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 500_000) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of at most about limit bytes of one string column (a longer value stands alone)."""
+    """The same rows in slices of at most about limit bytes of one string, binary or list column (a longer value stands alone)."""
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        values = batch.column(column)
+        width = pc.multiply(pc.list_value_length(values), 4) if pa.types.is_list(values.type) else pc.binary_length(values)
+        size = np.cumsum(pc.fill_null(width, 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < n:
             before = size[at - 1] if at else 0
@@ -91,10 +115,6 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_power: dict[int, np.ndarray] = {}
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x ^ (x >> np.uint64(30))
@@ -104,17 +124,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    have = _power.get(base)
-    if have is None or len(have) < n:
-        x = np.full(max(n, 1 << 16), base, np.uint64)
-        x[0] = 1
-        have = np.cumprod(x, dtype=np.uint64)
-        if len(have) <= 1 << 20:  # larger ones are made anew, so that workers stay small
-            _power[base] = have
-    return have[:n]
-
-
 @dataclass
 class Words:
     """data: bytes; start, end: of each word; first: index of each document's first word, then the total."""
@@ -130,8 +139,8 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def words_of(texts: pa.Array, lower: bool = False, step: int = 500_000) -> Words:
-    """Split texts (nulls: no words) and hash every word with 64 bits; lower folds A-Z. About step bytes at a time."""
+def words_of(texts: pa.Array, lower: bool = False, step: int = 500_000, key: int = 0) -> Words:
+    """Split texts (nulls: no words) and hash every word with 64 keyed bits; lower folds A-Z. About step bytes at a time."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     _, off, buf = texts.buffers()
     off = np.frombuffer(off, np.int64, len(texts) + 1, texts.offset * 8)
@@ -142,14 +151,34 @@ def words_of(texts: pa.Array, lower: bool = False, step: int = 500_000) -> Words
     parts, at = [], 0
     while at < len(texts):
         to = max(at + 1, int(np.searchsorted(off, off[at] + step, "right")) - 1)
-        start, end, h = _split(data[off[at] : off[to]], off[at : to + 1] - off[at])
+        start, end, h = _split(data[off[at] : off[to]], off[at : to + 1] - off[at], key)
         parts.append((start + off[at], end + off[at], h))
         at = to
     start, end, h = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, t) for k, t in enumerate((np.int64, np.int64, np.uint64)))
     return Words(data, start, end, np.searchsorted(start, off), h)
 
 
-def _split(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_LONG = 512  # bytes; longer words are hashed one by one
+
+
+def hash_words(data: np.ndarray, start: np.ndarray, end: np.ndarray, key: int = 0) -> np.ndarray:
+    """64-bit hashes of words: each block of eight bytes is mixed in by a step that is not linear."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    blocks = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    length = end - start
+    h = mix(length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(key))
+    left, at = np.flatnonzero(length <= _LONG), 0
+    while len(left):
+        h[left] = mix(h[left] ^ (blocks[start[left] + at] & _KEEP[np.minimum(length[left] - at, 8)])) + np.uint64(0x9E3779B97F4A7C15)
+        at += 8
+        left = left[length[left] > at]
+    for k in np.flatnonzero(length > _LONG).tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(data[start[k] : end[k]].tobytes(), digest_size=8, key=key.to_bytes(8, "little")).digest(), "little")
+    return h
+
+
+def _split(data: np.ndarray, off: np.ndarray, key: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, hash) of the words of data; off: the texts' borders."""
     n = len(data)
     edge = np.zeros(n + 1, bool)
@@ -162,11 +191,7 @@ def _split(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     after[:-1] = space[1:]
     start = np.flatnonzero(inside & (before | edge[:n]))
     end = np.flatnonzero(inside & (after | edge[1:])) + 1
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, n), out=sums[1:])
-    inverse = pow(_BASE, -1, 1 << 64)
-    h = (sums[end] - sums[start]) * _powers(inverse, n + 1)[start]
-    return start, end, mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return start, end, hash_words(data, start, end, key)
 
 
 def windows(h: np.ndarray, n: int, base: int = 0x2545F4914F6CDD1D) -> np.ndarray:
@@ -188,6 +213,30 @@ def within(first: np.ndarray, n: int) -> np.ndarray:
     return np.arange(count.sum()) + np.repeat(shift, count)
 
 
+def compact(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(the bytes of all words side by side, their borders)."""
+    return words.data[~_SPACE[words.data]], np.concatenate(([0], np.cumsum(words.end - words.start)))
+
+
+def word_ids(words: Words) -> np.ndarray:
+    """A number for each word; words have the same one if and only if their bytes are equal."""
+    data, edge = compact(words)
+    if not len(words.start):
+        return np.zeros(0, np.int64)
+    big = edge[-1] >= 1 << 31
+    told = pa.Array.from_buffers(pa.large_binary() if big else pa.binary(), len(edge) - 1, [None, pa.py_buffer(edge if big else edge.astype(np.int32)), pa.py_buffer(data)])
+    return told.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def digests(words: Words) -> list[bytes | None]:
+    """SHA-256 of each document's words joined by one space; None without words."""
+    data, edge = compact(words)
+    spaced = np.full(len(data) + len(edge) - 1, 32, np.uint8)  # a blank after each word
+    spaced[np.arange(len(data)) + np.repeat(np.arange(len(edge) - 1), np.diff(edge))] = data
+    raw, at = spaced.tobytes(), (edge[words.first] + words.first).tolist()
+    return [hashlib.sha256(raw[a : b - 1]).digest() if b > a else None for a, b in zip(at, at[1:], strict=False)]
+
+
 def kept_words(words: Words, keep: np.ndarray) -> list[bytes]:
     """Each document's kept words joined by one space."""
     data, out, start, end = words.data.tobytes(), [], words.start, words.end

@@ -2,7 +2,7 @@
 
 Documents become token ids and an end id; only those longer than a sequence are cut, and then the first
 piece takes the remainder, so that all others are full. Full pieces are sequences of their own. The other
-pieces are dealt by hash to groups of about `group_size` pieces (so a task's work is bounded at any input
+pieces are dealt by a hash of their row number to groups of about `group_size` pieces (so a task's work is bounded at any input
 size), and each goes where the sum over all gaps of the squared number of open sequences with that gap
 becomes smallest. Pieces are taken by falling length.
 
@@ -12,7 +12,6 @@ with a null id are packed like others; other columns are not carried; an empty t
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,51 +19,33 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .bpe import read_ranks
-from .common import slices, stored
+from .common import free_name, slices, stored
 from .encoding import CachedEncoder
 
 
-_OTHER = re.compile("[^\x00-\u024f]")
-
-
-class Encoder:
-    """The ids of a tokenizers file. Texts of Latin characters without strings of added tokens may go to
-    tiktoken with the same vocabulary as ranks, which gives the same ids in a quarter of the time; all
-    others go to tokenizers."""
-
-    def __init__(self, path: str, ranks: str | None, pattern: str | None):
-        self.slow, self.fast = CachedEncoder(Tokenizer.from_file(path)), None
-        if ranks and pattern:
-            self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(ranks), special_tokens={})
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        plain = [self.fast is not None and not _OTHER.search(t) and not (self.slow.special and self.slow.special.search(t)) for t in texts]
-        rest = iter(self.slow([t for t, p in zip(texts, plain, strict=True) if not p]))
-        return [np.array(self.fast.encode_ordinary(t), "<u4").tobytes() if p else next(rest) for t, p in zip(texts, plain, strict=True)]
-
-
 @lru_cache(2)
-def _encoder(path: str, ranks: str | None, pattern: str | None) -> Encoder:
-    return Encoder(path, ranks, pattern)
+def _encoder(path: str) -> CachedEncoder:
+    return CachedEncoder(Tokenizer.from_file(path))
 
 
-def pieces(docs: DataFrame, path: str, size: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, ranks: str | None = None, pattern: str | None = None) -> DataFrame:
+def pieces(docs: DataFrame, path: str, size: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """(id_col, piece, start, length, ids_crc32[, ids]): each document's ids and end_id in pieces of at most size; ids as little-endian uint32."""
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = _encoder(path, ranks, pattern), np.array([end_id], "<u4").tobytes()
-        for batch in slices(batches, text_col):
+        encoder, end = _encoder(path), np.array([end_id], "<u4").tobytes()
+        for batch in slices(batches, text_col, 2_000_000):
             rows = []
-            for k, raw in enumerate(encoder([t or "" for t in batch.column(text_col).to_pylist()])):
-                raw += end
-                n = len(raw) // 4
+            flat, counts = encoder.flat(batch.column(text_col))
+            every, at = flat.tobytes(), 0
+            for k, count in enumerate(counts.tolist()):
+                raw = every[4 * at : 4 * (at + count)] + end
+                at, n = at + count, count + 1
                 cuts = [0, *range((n - 1) % size + 1, n + 1, size)]
                 for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
                     part = raw[4 * a : 4 * b]
@@ -107,19 +88,23 @@ def sum_of_squares(sizes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray
 
 
 def pack(parts: DataFrame, size: int = 1024, group_size: int = 50_000, id_col: str = "doc_id", length_col: str = "length") -> DataFrame:
-    """parts and (sequence_id, offset). parts needs id_col, piece and a length from 1 to size; it is read twice."""
+    """parts and (sequence_id, offset). parts needs id_col, piece and a length from 1 to size; it is read twice.
+
+    Groups go by row numbers of the stored parts, so that no id or content can make one group large.
+    """
     n = parts.count()
     groups = max(1, -(-n // group_size))
-    kind = parts.schema.add("sequence_id", "long").add("offset", "long")
+    group = free_name(parts, "_group")
+    kind = T.StructType([*parts.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values([length_col, id_col, "piece"], ascending=[False, True, True], ignore_index=True)
         sequence, offset = sum_of_squares(part[length_col].to_numpy(), size)
-        return part.drop(columns="_group").assign(sequence_id=key[0] * (1 << 32) + sequence, offset=offset)
+        return part.drop(columns=group).assign(sequence_id=key[0] * (1 << 32) + sequence, offset=offset)
 
-    return parts.withColumn("_group", F.pmod(F.xxhash64(id_col, "piece"), F.lit(groups))).groupBy("_group").applyInPandas(run, kind)
+    return parts.withColumn(group, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups))).groupBy(group).applyInPandas(run, kind)
 
 
-def pack_documents(docs: DataFrame, path: str, size: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, **encoder: str) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, size: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """Pieces of all documents, packed: (id_col, piece, start, length, ids_crc32[, ids], sequence_id, offset)."""
-    return pack(stored(pieces(docs, path, size, end_id, id_col, text_col, with_ids, **encoder), "pieces"), size, id_col=id_col)
+    return pack(stored(pieces(docs, path, size, end_id, id_col, text_col, with_ids), "pieces"), size, id_col=id_col)

@@ -65,7 +65,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizers.path("byte_bpe_50k.json"), with_ids=False, ranks=_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=_tokenizers.PATTERN)
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extraction, op2_quality_classifier, op3_substring_dedup, op4_byte_bpe, op5_ngram_join, op6_embedding_dedup, op7_warc, op8_imatch, op9_token_counts, op10_packing)}

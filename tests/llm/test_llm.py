@@ -109,11 +109,11 @@ def test_byte_bpe_random_texts():
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     enc = tiktoken.Encoding("t", pat_str=pattern, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
     rng, cached = random.Random(5), bpe.CachedEncoder(bpe.tokenizer_of(path, pattern))
-    plain = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern)
+    plain = bpe.CachedEncoder(Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")))
     lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     counts, words = token_counts.Counts(public_tokenizers.path("word_bpe_49k.json")), Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     for _ in range(1500):
-        t = "".join(rng.choice(["a", "aa", "B", " ", "  ", "\n", "\t", "é", "中", "1", "'s", "'S", "👍", "-", "<|endoftext|>", "\x1c", "\xa0"]) for _ in range(rng.randrange(25)))
+        t = "".join(rng.choice(["a", "aa", "B", " ", "  ", "\n", "\t", "é", "中", "1", "'s", "'S", "👍", "-", "<|endoftext|>", "\x1c", "\xa0", "x", ".", ",", "_", "²", "́"]) for _ in range(rng.randrange(25)))
         assert np.frombuffer(cached([t])[0], "<u4").tolist() == enc.encode_ordinary(t)
         assert np.frombuffer(plain([t])[0], "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
         pre = counts.pre_tokens(t)
@@ -228,7 +228,7 @@ def test_successors(spark):
 def test_packing(docs, none):
     path = public_tokenizers.path("byte_bpe_50k.json")
     lib = Tokenizer.from_file(path)
-    got = packing.pack_documents(docs, path, ranks=public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN).toPandas()
+    got = packing.pack_documents(docs, path).toPandas()
     for i, t in texts():
         ids = [*lib.encode(t or "", add_special_tokens=False).ids, 2]
         own = got[got.doc_id == i].sort_values("piece")
