@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root): root is the smallest node reachable; nodes without edges are absent.
+    """(node, root): root is the smallest node reachable; nodes without edges are absent. Nodes are of any ordered type.
 
     Nulls and loops are ignored; repeated edges and either direction are fine; empty in, empty out.
     """
@@ -26,7 +26,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        e = stored(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
+        old, e = e, stored(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
+        discard(old)
         seen = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if seen == mark:
             break

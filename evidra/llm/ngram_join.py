@@ -1,16 +1,18 @@
 """Operator 5: exact Jaccard join of n-gram sets by rare-first prefix filtering.
 
 Shingles are n consecutive words (A-Z lower-cased); fewer words make one shingle of the whole sequence.
-1. One pass gives each document its set's size and 128-bit key, and counts document frequencies of all
-   shingles in a table of fixed size (hashed counters). Documents with equal sets are one class.
+1. One pass gives each document its set's size and a key, the SHA-256 of its lower-cased words, and counts
+   document frequencies of all shingles in a table of fixed size (hashed counters). Documents with the same
+   words are one class.
 2. Shingles are ordered by (counter, hash), rare ones first. Sets that reach the threshold share one of the
    first |x| - ceil(t |x|) + 1. Prefix shingles travel as packed arrays, one entry for each class and batch.
 3. Within the entries of a shingle, those without a partner that passes the length, positional and suffix
-   filter go (the suffix filter bounds the difference of two sets by their histograms over hash ranges).
+   filter go (the suffix filter bounds the difference of two sets by their histograms over hash ranges). Each
+   entry is tried against its `tries` neighbours in size on either side; one that is not decided then stays.
    The rest meet at the shingle's pivot, the entry whose shingles are the most frequent on average: in a
    group of near copies nearly all shingles have the same pivot, so a class travels to few pivots.
-4. At a pivot the classes' whole sets, made again from the texts, are compared exactly; a pair that meets
-   at several pivots counts at the smallest. Pivots with more than `block` classes are split into blocks, and
+4. At a pivot the classes' whole sets, made again from the texts, are compared exactly: shingles of equal
+   hashes are equal only after their words were compared. A pair that meets at several pivots counts at the smallest. Pivots with more than `block` classes, or 600 * `block` shingles, are split into blocks, and
    every pair of blocks is a task of its own, so no group must fit one task, and no pair is a row: a task
    gives one edge to the root of each linked class.
 
@@ -29,16 +31,16 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import mix, n_buckets, slices, stored, windows, words_of
+from .common import Words, digests, free_name, n_buckets, slices, stored, windows, within, word_ids, words_of
 from .graph import components
 
 COUNTERS, SLICES, BINS = 1 << 20, 64, 24
 
 
-def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
+def shingle_sets(w: Words, n: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    w = words_of(texts, lower=True)
     h = windows(w.hash, n)
     out = []
     for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
@@ -51,9 +53,28 @@ def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     return out
 
 
-def set_key(s: np.ndarray) -> bytes:
-    """128 bits that do not depend on an order."""
-    return np.array([mix(s).sum(dtype=np.uint64), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)]).tobytes()
+def exact_shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, shingle) of every distinct shingle of each document; shingles have one number if and only if their words are equal."""
+    ids, hashes, count = word_ids(w), w.hash, np.diff(w.first)
+    pad = np.where(count > 0, np.maximum(n - count, 0), 0)  # a short document is one shingle that ends with no words
+    if pad.any():
+        at = np.repeat(w.first[1:], pad)
+        ids, hashes = np.insert(ids, at, -1), np.insert(hashes, at, np.uint64(0))
+    first = np.concatenate(([0], np.cumsum(count + pad)))
+    start = within(first, n)
+    doc = np.repeat(np.arange(len(count)), np.maximum(count + pad - n + 1, 0))
+    h = windows(hashes, n)[start]
+    order = np.argsort(h, kind="stable")
+    same, by = h[order][1:] == h[order][:-1], start[order]
+    if all((~same | (ids[by[1:] + j] == ids[by[:-1] + j])).all() for j in range(n)):
+        number = np.empty(len(h), np.int64)
+        number[order] = np.concatenate(([0], np.cumsum(~same))) if len(h) else 0
+    else:  # different words of one hash: number the sequences themselves
+        number = ids[start]
+        for j in range(1, n):
+            _, number = np.unique(number * (len(ids) + 1) + ids[start + j] + 1, return_inverse=True)
+    both = np.unique(doc * (len(h) + 1) + number)
+    return both // (len(h) + 1), both % (len(h) + 1)
 
 
 def prefix_length(size: int, percent: int) -> int:
@@ -69,11 +90,12 @@ def _summaries(docs: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(COUNTERS, np.uint32)
         for batch in slices(batches, "text"):
-            sets = shingle_sets(batch.column("text"), n)
+            words = words_of(batch.column("text"), lower=True)
+            sets = shingle_sets(words, n)
             if any(len(s) for s in sets):
                 count += np.bincount((np.concatenate(sets) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
             m = len(sets)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests(words), pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
         if count.any():
             parts = [p.tobytes() for p in count.reshape(SLICES, -1)]
             yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, arrow), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.binary()), pa.array(np.arange(SLICES, dtype=np.int32)), pa.array(parts, pa.binary())], names)
@@ -130,11 +152,9 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, n: int, percent: int, buckets
             return pa.RecordBatch.from_arrays([pa.array(found), pa.array(rows, pa.binary())], ["bucket", "entries"])
 
         for batch in slices(batches, "text"):
-            for s in shingle_sets(batch.column("text"), n):
-                if not len(s):
-                    continue
-                key = set_key(s)
-                if key in seen:
+            words = words_of(batch.column("text"), lower=True)
+            for s, key in zip(shingle_sets(words, n), digests(words), strict=True):
+                if key is None or key in seen:
                     continue
                 if len(seen) < 200_000:  # beyond, copies only travel more than once
                     seen.add(key)
@@ -174,39 +194,29 @@ def _passes(e: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, percent: int
     return ok
 
 
-def pivots_of(e: dict[str, np.ndarray], percent: int) -> np.ndarray:
-    """Distinct (node, pivot) of the classes that may have a partner."""
+def pivots_of(e: dict[str, np.ndarray], percent: int, tries: int = 32, step: int = 200_000) -> np.ndarray:
+    """Distinct (node, pivot) of the classes that may have a partner; tries: neighbours in size to look at on either side."""
     order = np.lexsort((e["node"], -e["score"], e["token"]))
     token, node = e["token"][order], e["node"][order]
     twice = np.zeros(len(order), bool)
     twice[1:] = (token[1:] == token[:-1]) & (node[1:] == node[:-1])
     order = order[~twice]
     token = e["token"][order]
-    first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+    first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]][: len(token)])
     size = np.diff(np.r_[first, len(order)])
-    out = []
-    for small in (True, False):
-        pick = (size > 1) & ((size <= 32) if small else (size > 32))
-        if small:  # each against all others of its shingle
-            for m in np.unique(size[pick]):
-                rows = order[first[pick & (size == m)][:, None] + np.arange(m)]
-                for part in np.array_split(rows, max(1, len(rows) * int(m) ** 2 // 200_000)):
-                    x, y = np.triu_indices(m, 1)
-                    ok = _passes(e, part[:, x].ravel(), part[:, y].ravel(), percent).reshape(len(part), -1)
-                    keep = np.zeros(part.shape, bool)
-                    r, k = np.nonzero(ok)
-                    keep[r, x[k]] = keep[r, y[k]] = True
-                    r, k = np.nonzero(keep)
-                    out.append(np.stack([e["node"][part[r, k]], e["node"][part[r, 0]]], 1))
-        else:  # only the length filter, by neighbours in size
-            for a, m in zip(first[pick], size[pick], strict=True):
-                rows = order[a : a + m]
-                by = rows[np.argsort(e["size"][rows], kind="stable")]
-                s = e["size"][by].astype(np.int64)
-                near = 100 * s[:-1] >= percent * s[1:]
-                rows = by[np.r_[near, False] | np.r_[False, near]]
-                out.append(np.stack([e["node"][rows], np.full(len(rows), e["node"][order[a]])], 1))
-    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+    group = np.repeat(np.arange(len(first)), size)
+    rows = order[size[group] > 1]
+    group = group[size[group] > 1]
+    by = np.lexsort((e["size"][rows], group))
+    rows, keep = rows[by], np.zeros(len(rows), bool)
+    for r in range(1, min(tries, int(size.max(initial=1)) - 1) + 1):
+        i = np.flatnonzero((group[r:] == group[:-r]) & ~(keep[r:] & keep[:-r]))
+        for k in range(0, len(i), step):
+            j = i[k : k + step]
+            j = j[_passes(e, rows[j], rows[j + r], percent)]
+            keep[j] = keep[j + r] = True
+    keep |= size[group] > tries + 1  # not all of its pairs were tried
+    return np.unique(np.stack([e["node"][rows[keep]], e["node"][order[first[group[keep]]]]], 1), axis=0)
 
 
 def _meetings(entries: DataFrame, percent: int) -> DataFrame:
@@ -232,16 +242,14 @@ def _meetings(entries: DataFrame, percent: int) -> DataFrame:
     return entries.mapInArrow(run, "node long, pivot long")
 
 
-def compare(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int, step: int = 4096) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (from left, from right; i < j where both are of the same block) with 100 |x and y| >= percent |x or y|."""
-    size = np.array([len(s) for s in sets])
-    flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), size)
-    _, place, times = np.unique(flat, return_inverse=True, return_counts=True)
+def compare(owner: np.ndarray, shingle: np.ndarray, n: int, left: np.ndarray, right: np.ndarray, percent: int, step: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (from left, from right) of the n sets with 100 |x and y| >= percent |x or y|; a set has the shingles of its owner."""
+    size = np.bincount(owner, minlength=n)
+    _, place, times = np.unique(shingle, return_inverse=True, return_counts=True)
     shared = times > 1
     place, owner = (np.cumsum(shared) - 1)[place[shared[place]]], owner[shared[place]]
     common = np.zeros((len(left), len(right)), np.float32)
-    a, b = np.full(len(sets), -1), np.full(len(sets), -1)
+    a, b = np.full(n, -1), np.full(n, -1)
     a[left], b[right] = np.arange(len(left)), np.arange(len(right))
     order = np.argsort(place, kind="stable")
     place, owner = place[order], owner[order]
@@ -286,8 +294,9 @@ def _squeezed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, z binary")
 
 
-def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = 1_000) -> DataFrame:
-    """(id_col, n_shingles, component_id): components of the links of all documents."""
+def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = 1_000, with_keys: bool = False) -> DataFrame:
+    """(id_col, n_shingles, component_id): components of the links of all documents. With keys also (key, component_key) of
+    each row: the digest of its words and that of its component's first class; both are null for rows that link with nothing."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = dict(docs.dtypes)["id"]
     spark = docs.sparkSession
@@ -296,42 +305,77 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     counts = _frequencies(first.where("slice is not null"))
     buckets = n_buckets(spark)
     entries = _prefixes(docs.where("id is not null"), counts, n, percent, buckets).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    meet = stored(_meetings(entries, percent).distinct(), "meetings")
-    crowd = meet.groupBy("pivot").agg(F.count("*").alias("m")).where("m > 1").withColumn("parts", F.ceil(F.col("m") / block).cast("int"))
-    classes = each.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("id")).select("key", "id", _signed("key").alias("node"))
-    places = meet.join(crowd, "pivot").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("pivot", "parts"))).alias("places"))
-    wanted = stored(classes.join(places, "node"), "wanted")
+    classes = each.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("id"), F.max("n").alias("n")).withColumn("node", _signed("key"))
+    meet = stored(_meetings(entries, percent).distinct().join(classes, "node"), "meetings")
+    crowd = meet.groupBy("pivot").agg(F.count("*").alias("m"), F.sum("n").alias("volume")).where("m > 1")
+    crowd = crowd.select("pivot", F.ceil(F.greatest(F.col("m") / block, F.col("volume") / (block * 600))).cast("int").alias("parts"))
+    wanted = stored(meet.join(crowd, "pivot").groupBy("key", "id").agg(F.sort_array(F.collect_list(F.struct("pivot", "parts"))).alias("places")), "wanted")
     rows = wanted.join(_squeezed(docs.where("id is not null")).hint("merge"), "id")
     others = F.transform(F.sequence(F.lit(0), F.col("place.parts") - 1), lambda o: F.struct(F.least("own", o).alias("a"), F.greatest("own", o).alias("b")))
-    rows = rows.select("key", "z", F.transform("places", lambda p: p.pivot).alias("pivots"), F.explode("places").alias("place")).withColumn("own", F.pmod(F.xxhash64("key"), F.col("place.parts").cast("long")).cast("int"))
-    rows = rows.withColumn("p", F.explode(others)).select(F.col("place.pivot").alias("pivot"), "p.a", "p.b", "own", "key", "z", "pivots")
+    rows = rows.select("id", "key", "z", F.transform("places", lambda p: p.pivot).alias("pivots"), F.explode("places").alias("place")).withColumn("own", F.pmod(F.xxhash64("key"), F.col("place.parts").cast("long")).cast("int"))
+    rows = rows.withColumn("p", F.explode(others)).select(F.col("place.pivot").alias("pivot"), "p.a", "p.b", "own", "id", "key", "z", "pivots")
 
     def verify(group: tuple, part: pd.DataFrame) -> pd.DataFrame:
         pivot, a, b = group
-        part = part.drop_duplicates(["key", "z"], ignore_index=True)
         plain = zstandard.ZstdDecompressor().decompress
-        sets = [s for k in range(0, len(part), 100) for s in shingle_sets(pa.array([plain(z) for z in part["z"][k : k + 100]], pa.binary()).cast(pa.string()), n)]
-        right = [set_key(s) == k for s, k in zip(sets, part["key"], strict=True)]  # else another row of a repeated id
-        if not all(right):
-            part, sets = part[right].reset_index(drop=True), [s for s, r in zip(sets, right, strict=True) if r]
-        own = part["own"].to_numpy()
-        i, j = compare(sets, np.flatnonzero(own == a), np.flatnonzero(own == b), percent)
+        part = part.drop_duplicates(["key", "z"], ignore_index=True)
+        words = words_of(pa.array([plain(z) for z in part["z"]], pa.large_binary()).cast(pa.large_string()), lower=True)
+        right = np.array([d == k for d, k in zip(digests(words), part["key"], strict=True)])  # else another row of a repeated id
+        right &= ~part["key"].where(pd.Series(right), None).duplicated().to_numpy()  # or the same words, written otherwise
+        owner, shingle = exact_shingles(words, n)
+        own = np.where(right, part["own"].to_numpy(), -1)
+        i, j = compare(owner, shingle, len(part), np.flatnonzero(own == a), np.flatnonzero(own == b), percent)
         if a == b:
             i, j = i[i < j], j[i < j]
         met = [set(p.tolist()) for p in part["pivots"]]
         once = np.fromiter((min(met[x] & met[y]) == pivot for x, y in zip(i.tolist(), j.tolist(), strict=True)), bool, len(i))
         root = roots(len(part), i[once], j[once])
         moved = np.flatnonzero(root != np.arange(len(part)))
-        keys = part["key"].to_numpy()
-        return pd.DataFrame({"a": keys[moved], "b": keys[root[moved]]})
-
-    edges = rows.groupBy("pivot", "a", "b").applyInPandas(verify, "a binary, b binary")
-    roots_of = components(edges)
-    labelled = classes.join(roots_of.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    smallest = labelled.groupBy("root").agg(F.min("id").alias("component_id"))
-    labelled = labelled.join(smallest, "root").select("key", "component_id")
+        ids, keys = part["id"].to_numpy(), part["key"].to_numpy()
+        return pd.DataFrame({"a_id": ids[moved], "a_key": keys[moved], "b_id": ids[root[moved]], "b_key": keys[root[moved]]})
+
+    edges = rows.groupBy("pivot", "a", "b").applyInPandas(verify, f"a_id {kind}, a_key binary, b_id {kind}, b_key binary")
+    node = lambda x: F.struct(F.col(f"{x}_id").alias("id"), F.col(f"{x}_key").alias("key")).alias(x)
+    roots_of = components(edges.select(node("a"), node("b"))).select(F.col("node.key").alias("key"), F.col("root.id").alias("first_id"), F.col("root.key").alias("first_key"))
+    labelled = classes.join(roots_of, "key", "left").select("key", F.coalesce("first_id", "id").alias("component_id"), F.coalesce("first_key", "key").alias("component_key"))
     out = each.join(labelled, "key", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).cast(kind).alias("component_id"))
+    linked = F.col("id").isNotNull()
+    keys = [F.when(linked, F.col(c)).alias(c) for c in ("key", "component_key")] if with_keys else []
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(linked, F.coalesce("component_id", "id")).cast(kind).alias("component_id"), *keys)
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without near duplicates: of each component the rows of its smallest id whose words are those of its first class.
+
+    Rows of one id with the same words (in any case and spacing) are one document: the one with the smallest text
+    (then the smallest other columns) stays. Rows with a null id, and rows without words, link with nothing and stay;
+    of rows of one id without words one stays, the null text before others. All columns are carried.
+    """
+    groups = stored(similar_components(docs, n, percent, id_col, text_col, with_keys=True), "groups")
+    c = F.col(id_col)
+    stays = (c == F.col("component_id")) & F.col("key").eqNullSafe(F.col("component_key"))
+    known = groups.where(c.isNotNull()).groupBy(id_col).agg(F.count("*").alias("rows"), F.count(F.when(stays, 1)).alias("stay"))
+    known = stored(known.where("rows > 1 or stay = 0"), "known")
+    gone, again = known.where("stay = 0").select(id_col).hint("merge"), known.where("rows > 1 and stay > 0").select(id_col).hint("merge")
+    key = free_name(docs, "_key")
+    left = docs.join(gone, id_col, "left_anti").select(docs.columns)
+    single = left.join(again, id_col, "left_anti").select(docs.columns)
+    rest = _keyed(left.join(again, id_col, "left_semi").select(docs.columns), text_col, key)
+    kept = groups.where(stays).join(again, id_col, "left_semi").select(id_col, F.col("key").alias(key)).distinct()
+    rest = rest.alias("r").join(kept.alias("k"), (F.col(f"r.{id_col}") == F.col(f"k.{id_col}")) & F.col(f"r.{key}").eqNullSafe(F.col(f"k.{key}")), "left_semi")
+    row = F.struct(*docs.columns)
+    one = rest.groupBy(id_col, key).agg(F.min_by(row, F.struct(text_col, F.to_json(row))).alias("row"))
+    return single.unionByName(one.select("row.*"))
+
+
+def _keyed(docs: DataFrame, text_col: str, key: str) -> DataFrame:
+    """docs with the digest of their lower-cased words as key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text_col):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests(words_of(batch.column(text_col), lower=True)), pa.binary())], [*batch.schema.names, key])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(key, T.BinaryType())]))
 
 
 def _signed(key: str) -> Column:
