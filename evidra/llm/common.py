@@ -228,12 +228,18 @@ def word_ids(words: Words) -> np.ndarray:
     return told.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def spaced(words: Words) -> tuple[bytes, np.ndarray]:
+    """(all words, a blank after each; where each begins, and the end)."""
+    data, edge = compact(words)
+    out = np.full(len(data) + len(edge) - 1, 32, np.uint8)
+    out[np.arange(len(data)) + np.repeat(np.arange(len(edge) - 1), np.diff(edge))] = data
+    return out.tobytes(), edge + np.arange(len(edge))
+
+
 def digests(words: Words) -> list[bytes | None]:
     """SHA-256 of each document's words joined by one space; None without words."""
-    data, edge = compact(words)
-    spaced = np.full(len(data) + len(edge) - 1, 32, np.uint8)  # a blank after each word
-    spaced[np.arange(len(data)) + np.repeat(np.arange(len(edge) - 1), np.diff(edge))] = data
-    raw, at = spaced.tobytes(), (edge[words.first] + words.first).tolist()
+    raw, at = spaced(words)
+    at = at[words.first].tolist()
     return [hashlib.sha256(raw[a : b - 1]).digest() if b > a else None for a, b in zip(at, at[1:], strict=False)]
 
 

@@ -7,20 +7,23 @@ every rolling run of their length.
 1. A batch sends, for each bucket of block hashes, its distinct rolling hashes (32 bits beside the bucket)
    and which of them start at a block; the bucket answers with a bit for each: does it occur elsewhere too,
    and as a block somewhere.
-2. Around these anchors a batch extends to runs of `window` words: for each distinct run (96-bit hash) it
-   sends the smallest id that has it, and the bucket answers with the smallest id of all batches.
+2. Around these anchors a batch extends to runs of `window` words. Within the batch runs are one where their
+   words are equal; for each distinct run it sends the 128-bit BLAKE2b digest of the run's own words and the
+   smallest id that has it, and the bucket answers with the smallest id of all batches. Word hashes only find
+   candidates; what is removed has the digest of words of an earlier document.
 3. A run is removed where that id is smaller than its document's; runs side by side make the maximal
    repeats. What is kept is joined by one space.
 Each batch pre-aggregates, so a passage that many documents share costs one entry per batch.
 
 Defined cases: null text has no words; documents of fewer than `window` words keep all; rows with equal ids
 never remove each other's words; a null id counts as the largest; all columns are carried, only the
-text changes; an empty table gives an empty result.
+text changes (columns of the names n_words and n_removed are replaced); repeated rows give a row each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import kept_words, mix, n_buckets, slices, stored, windows, within, words_of
+from .common import Words, kept_words, n_buckets, slices, spaced, stored, windows, within, word_ids, words_of
 
 LAST = np.iinfo(np.int64).max
 
@@ -66,6 +69,13 @@ def _open(blob: bytes) -> pa.RecordBatch:
     return next(iter(pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob))))
 
 
+def _parts(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Each bucket of a sorted array and where it stands."""
+    found, first = np.unique(bucket, return_index=True)
+    ends = np.append(first, len(bucket))[1:]
+    return ((b, slice(lo, hi)) for b, lo, hi in zip(found.tolist(), first.tolist(), ends.tolist(), strict=True))
+
+
 class _Anchors:
     """A batch's rolling block hashes: the distinct ones in the order of (bucket, hash)."""
 
@@ -83,12 +93,10 @@ class _Anchors:
         self.bucket = (self.codes >> np.uint64(32)).astype(np.int64)
 
     def parts(self) -> Iterator[tuple[int, slice]]:
-        found, first = np.unique(self.bucket, return_index=True)
-        for b, lo, hi in zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(self.bucket)], strict=True):
-            yield b, slice(lo, hi)
+        return _parts(self.bucket)
 
-    def runs(self, hits: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(starts, 64-bit hash, 32-bit hash) of the runs of window words around an anchor that was hit."""
+    def runs(self, hits: list[tuple[int, bytes]]) -> np.ndarray:
+        """Starts of the runs of window words around an anchor that was hit."""
         hit = np.zeros(len(self.codes), bool)
         bits = dict(hits)
         for b, part in self.parts():
@@ -100,34 +108,42 @@ class _Anchors:
         some = np.cumsum(some)
         starts = within(self.words.first, self.window)
         reach = self.window - self.block + 1
-        starts = starts[some[np.minimum(starts + reach, total)] > some[starts]]
-        h = self.words.hash
-        if not len(starts):
-            return starts, np.zeros(0, np.uint64), np.zeros(0, np.uint32)
-        second = windows(h, self.window, 0xD1342543DE82EF95)[starts] >> np.uint64(32)
-        return starts, windows(h, self.window)[starts], second.astype(np.uint32)
+        return starts[some[np.minimum(starts + reach, total)] > some[starts]]
+
+
+def _digests(words: Words, starts: np.ndarray, n: int) -> np.ndarray:
+    """Two 64-bit numbers for each run of n words: the BLAKE2b digest of the words joined by one space."""
+    raw, at = spaced(words)
+    found = [blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(at[starts].tolist(), (at[starts + n] - 1).tolist(), strict=True)]
+    return np.frombuffer(b"".join(found), "<u8").reshape(-1, 2)
 
 
 class _Runs:
-    """The distinct runs of a batch, by (bucket, hashes), with the smallest id of each."""
+    """The distinct runs of a batch, by (bucket, digest), with the smallest id of each."""
 
     def __init__(self, a: _Anchors, hits: list[tuple[int, bytes]], buckets: int):
-        self.starts, h, g = a.runs(hits)
-        bucket = (mix(h) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((g, h, bucket))
-        new = np.ones(len(order), bool)
-        new[1:] = (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])
-        self.place = np.empty(len(order), np.int64)
-        self.place[order] = np.cumsum(new) - 1
+        self.starts = a.runs(hits)
+        ids, n = word_ids(a.words), a.window
+        h = windows(a.words.hash, n)[self.starts] if len(self.starts) else np.zeros(0, np.uint64)
+        order = np.argsort(h, kind="stable")
+        by, new = self.starts[order], np.ones(len(order), bool)
+        new[1:] = h[order][1:] != h[order][:-1]
+        for j in range(n):
+            new[1:] |= ids[by[1:] + j] != ids[by[:-1] + j]
         first = np.flatnonzero(new)
         self.own = a.ids[a.words.doc[self.starts]] if len(order) else np.zeros(0, np.int64)
-        self.least = np.minimum.reduceat(self.own[order], first) if len(first) else np.zeros(0, np.int64)
-        self.h, self.g, self.bucket = h[order][first], g[order][first], bucket[order][first]
+        least = np.minimum.reduceat(self.own[order], first) if len(first) else np.zeros(0, np.int64)
+        digest = _digests(a.words, by[first], n)
+        bucket = (digest[:, 0] % np.uint64(buckets)).astype(np.int64)
+        sort = np.lexsort((digest[:, 1], digest[:, 0], bucket))
+        rank = np.empty(len(sort), np.int64)
+        rank[sort] = np.arange(len(sort))
+        self.place = np.empty(len(order), np.int64)
+        self.place[order] = rank[np.cumsum(new) - 1]
+        self.h, self.g, self.least, self.bucket = digest[sort, 0], digest[sort, 1], least[sort], bucket[sort]
 
     def parts(self) -> Iterator[tuple[int, slice]]:
-        found, first = np.unique(self.bucket, return_index=True)
-        for b, lo, hi in zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(self.bucket)], strict=True):
-            yield b, slice(lo, hi)
+        return _parts(self.bucket)
 
 
 def _by_bucket(rows: DataFrame, buckets: int, answer, schema: str) -> DataFrame:
@@ -166,14 +182,14 @@ def _anchor_answer(rows: list[dict]) -> list[tuple[int, int, bytes]]:
 
 
 def _run_answer(rows: list[dict]) -> list[tuple[int, int, bytes]]:
-    h, g, least = (np.concatenate([_spread(r[c], k) for r in rows]) for c, k in (("h", "<u8"), ("g", "<u4"), ("least", "<i8")))
+    h, g, least = (np.concatenate([_spread(r[c], k) for r in rows]) for c, k in (("h", "<u8"), ("g", "<u8"), ("least", "<i8")))
     order = np.lexsort((g, h))
     new = np.ones(len(order), bool)
     new[1:] = (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])
     smallest = np.minimum.reduceat(least[order], np.flatnonzero(new))
     over = np.empty_like(least)
     over[order] = smallest[np.cumsum(new) - 1]
-    cuts = np.cumsum([0, *[len(_spread(r["g"], "<u4")) for r in rows]])
+    cuts = np.cumsum([0, *[len(_spread(r["g"], "<u8")) for r in rows]])
     return [(r["batch"], r["bucket"], _squeeze(over[a:b])) for r, a, b in zip(rows, cuts, cuts[1:], strict=False) if (over[a:b] < least[a:b]).any()]
 
 

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -42,6 +43,39 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def morse() -> tuple[str, str]:
+    """Two words of 1,024 characters whose polynomial hashes modulo 2**64 are equal for every base."""
+    bits = [0]
+    while len(bits) < 1024:
+        bits += [1 - b for b in bits]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_of_one_polynomial_hash(spark):
+    x, y = morse()
+    rest = " ".join(f"w{k}" for k in range(12))
+    docs = spark.createDataFrame([(1, f"{x} {rest}"), (2, f"{y} {rest}"), (3, x), (4, y), (5, f"{x} {rest}")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(docs).collect()} == {1: 0, 2: 0, 3: 0, 4: 0, 5: 13}
+    assert {r.doc_id: r.component_id for r in ngram_join.similar_components(docs, percent=99).collect()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+
+
+def test_equal_hashes_are_not_trusted(monkeypatch):
+    """With a word hash that tells nothing but lengths apart, the exact comparisons still do."""
+    from evidra.llm import common
+
+    monkeypatch.setattr(common, "hash_words", lambda data, start, end, key=0: common.mix((end - start).astype(np.uint64)))
+    w = common.words_of(pa.array(["aa bb cc dd ee ff", "aa bb cc dd ee gg", "bb aa cc dd ee ff", "aa", "bb", "", None, "aa bb cc dd ee aa bb cc dd ee"]))
+    owner, shingle = ngram_join.exact_shingles(w, 5)
+    sets = [set(shingle[owner == k].tolist()) for k in range(8)]
+    assert [len(s) for s in sets] == [2, 2, 2, 1, 1, 0, 0, 5]
+    assert len(sets[0] & sets[1]) == 1 and not sets[0] & sets[2] and not sets[3] & sets[4] and len(sets[0] & sets[7]) == 1
+    a = substring_dedup._Anchors(pa.record_batch([pa.array([1, 2, 3]), pa.array(["aa bb cc dd", "bb aa cc dd", "aa bb cc dd"])], ["i", "t"]), "i", "t", 3, 4)
+    a.runs = lambda hits: np.array([0, 1, 4, 5, 8, 9])
+    r = substring_dedup._Runs(a, [], 4)
+    h = r.h[r.place].tolist()
+    assert len(set(h)) == 4 and h[:2] == h[4:]
+
+
 def top(root, x):
     while root[x] != x:
         x = root[x]
@@ -88,7 +122,7 @@ def test_substring_dedup(docs, none):
             if seen.setdefault(tuple(w[k : k + 13]), i) < i:
                 gone |= set(range(k, k + 13))
         want[i] = (len(w), len(gone), None if t is None else " ".join(x for k, x in enumerate(w) if k not in gone))
-    assert {r.doc_id: (r.n_words, r.n_removed if r.n_words else 0, r.text) for r in substring_dedup.remove_repeats(docs.drop("n_words")).collect()} == want
+    assert {r.doc_id: (r.n_words, r.n_removed if r.n_words else 0, r.text) for r in substring_dedup.remove_repeats(docs.withColumn("n_words", F.lit("own"))).collect()} == want
     twice = substring_dedup.remove_repeats(docs.unionByName(docs))
     assert twice.count() == 2 * len(want)
     assert substring_dedup.remove_repeats(none).count() == 0
