@@ -1,8 +1,9 @@
 """A corpus pipeline of four stages: quality, near duplicates, repeated passages, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept. All but the last return
-the columns of documents. Rows with a null doc_id are scored, kept and packed like others; repeated rows of
-one doc_id count as copies, so that the second stage keeps one of them.
+the columns of documents. Rows with a null doc_id are scored, kept and packed like others. Rows of one doc_id
+with the same words are one document, of which the second stage keeps the smallest text; rows of one doc_id
+with other words are documents of their own.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from evidra.llm import ngram_join, packing, quality, substring_dedup
 from evidra.llm.common import stored
 
-VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
+VOCABULARY = "byte_bpe_50k.json"
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,12 +25,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near duplicates."""
-    groups = stored(ngram_join.similar_components(docs), "groups")
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    again = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    left = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
-    single = left.join(again, "doc_id", "left_anti").select(docs.columns)
-    return single.unionByName(left.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+    return ngram_join.one_of_each(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +38,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document goes in training sequences of 1024 tokens."""
     import public_tokenizers
 
-    return packing.pack_documents(docs, public_tokenizers.path(VOCABULARY), with_ids=False, ranks=public_tokenizers.path(RANKS), pattern=public_tokenizers.PATTERN)
+    return packing.pack_documents(docs, public_tokenizers.path(VOCABULARY), with_ids=False)
 
 
 STAGES = [("quality classifier", good_quality), ("n-gram Jaccard join", one_of_each_group), ("substring dedup", without_repeats), ("best-fit packing", packed)]
