@@ -110,6 +110,44 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 500_000)
         _libc.malloc_trim(0)
 
 
+def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """(key, rows) of each run of rows with the same numbers in keys; the rows must be sorted by keys."""
+    last, held = None, []
+
+    def joined() -> pa.RecordBatch:
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        new = np.ones(n, bool)
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+        at = np.append(np.flatnonzero(new), n)
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            key = tuple(c[a] for c in columns)
+            if held and key != last:
+                yield last, joined()
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield last, joined()
+
+
+def least_linked(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest number that each of 0 to n - 1 reaches by the links (i, j)."""
+    low = np.arange(n)
+    while True:
+        old = low.copy()
+        np.minimum.at(low, i, old[j])
+        np.minimum.at(low, j, old[i])
+        low = low[low]
+        if (low == old).all():
+            return low
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, digests, free_name, n_buckets, slices, stored, windows, within, word_ids, words_of
+from .common import Words, digests, free_name, least_linked, n_buckets, slices, stored, windows, within, word_ids, words_of
 from .graph import components
 
 COUNTERS, SLICES, BINS = 1 << 20, 64, 24
@@ -267,22 +267,6 @@ def compare(owner: np.ndarray, shingle: np.ndarray, n: int, left: np.ndarray, ri
     return i, j
 
 
-def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest index linked with each."""
-    root = list(range(n))
-
-    def top(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for x, y in zip(i.tolist(), j.tolist(), strict=True):
-        x, y = top(x), top(y)
-        root[max(x, y)] = min(x, y)
-    return np.array([top(x) for x in range(n)], np.int64)
-
-
 def _squeezed(docs: DataFrame) -> DataFrame:
     """(id, z): texts compressed for the one shuffle that carries them."""
 
@@ -329,7 +313,7 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
             i, j = i[i < j], j[i < j]
         met = [set(p.tolist()) for p in part["pivots"]]
         once = np.fromiter((min(met[x] & met[y]) == pivot for x, y in zip(i.tolist(), j.tolist(), strict=True)), bool, len(i))
-        root = roots(len(part), i[once], j[once])
+        root = least_linked(len(part), i[once], j[once])
         moved = np.flatnonzero(root != np.arange(len(part)))
         ids, keys = part["id"].to_numpy(), part["key"].to_numpy()
         return pd.DataFrame({"a_id": ids[moved], "a_key": keys[moved], "b_id": ids[root[moved]], "b_key": keys[root[moved]]})
