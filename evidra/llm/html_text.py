@@ -1,14 +1,18 @@
 """Operator 1: main text of HTML pages by two passes of block rules.
 
-A page is cut into blocks at block elements. Regions that are no article by their element (nav, aside,
-footer, form, ...) or by a class, id or role word (ad, cookie, comments, ...) are left out, and so are
-script, style and the like. First pass: a block is good or bad by its link density, its length and its
+A page is cut into blocks at block elements; script, style and the like are left out. Regions that are no
+article by their element (nav, aside, footer, form, ...) or by a class, id or role name (ad, cookie-bar, comments,
+...) are a signal of the first pass: their blocks are bad. A name counts by its parts, and not where a part says
+that it tells of the page (has-sidebar, no-comments). Wrappers are no such regions: what was named out, or a form, if
+the page's first article or main element is inside and none outside, or if it holds a good block and half of the
+page's text or more while no good block is outside. First pass: a block is good or bad by its link density, its length and its
 density of stop words; short or doubtful blocks stay undecided. Second pass: an undecided block takes the
 label of the nearest decided neighbour (the one before on a tie; a heading that of the next). Where a page marks an article or main region, blocks outside are bad, and inside an undecided
 block without a decided neighbour is good.
 
 Defined cases: null and empty html give an empty text; unclosed elements end with the page and never
-swallow it, but for script, style, textarea and title, whose text is no markup; every page gives one row (repeated rows and null ids too); other columns are not carried.
+swallow it, but for script, style, textarea and title, whose text is no markup; every page gives one row (repeated rows and null ids
+too); an empty table gives an empty result; other columns are not carried.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from .common import slices
 
 # Element names and class words of HTML pages, and frequent function words.
 RAW = {"script", "style", "noscript", "template", "textarea", "svg", "iframe", "object", "canvas", "head", "title", "select", "button", "math", "video", "audio"}
+SIBLING = {"p", "li", "dd", "dt"}  # end where the next of their kind begins
 TEXT_ONLY = {"script", "style", "textarea", "title"}  # without an end tag the rest of the page is theirs
 OUT = {"nav", "aside", "footer", "form", "menu", "dialog"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -35,6 +40,8 @@ OUT_WORDS = set(
     "comment comments commentlist disqus replies reply respond share sharing social related recommended recommendations teaser widget pagination "
     "pager login search skip byline metadata tags copyright legal disclaimer complementary contentinfo".split()
 )
+ABOUT_WHETHER = set("has have no not without with hide hides hidden show shows is are off on enable enabled disable disabled layout".split())
+ABOUT_PAGE = ABOUT_WHETHER | set("page site main article post entry".split())
 STOP = set(
     "the of and to a in is that for it as was with be by on not he his this are or from at which but have an had they you were their "
     "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont avec son elle "
@@ -44,7 +51,7 @@ STOP = set(
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_WORD = re.compile(r"[^\W\d_]+")
+_PART = re.compile(r"[A-Z]?[a-zà-öø-ÿ]+|[A-Z]+(?![a-z])")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 
 
@@ -53,8 +60,19 @@ class Block:
     text: str
     linked: int
     article: bool
-    out: bool
+    regions: tuple[int, ...]
     heading: bool = False
+    out: bool = False
+
+
+def _names_out(name: str) -> bool:
+    """Whether a class, id or role name tells that its element is no article: `comments`, `site-footer`, `adBox`, not `has-sidebar`."""
+    parts = [w.lower() for w in _PART.findall(name)]
+    hits = [w in OUT_WORDS for w in parts]
+    if not any(hits):
+        return False
+    others = {w for w, h in zip(parts, hits, strict=True) if not h}
+    return not others & ABOUT_PAGE or hits[-1] and not others & ABOUT_WHETHER
 
 
 def _is_out(name: str, attrs: str, in_article: bool) -> bool:
@@ -62,8 +80,7 @@ def _is_out(name: str, attrs: str, in_article: bool) -> bool:
         return True
     if not attrs or name in ("body", "html", "article", "main"):
         return False
-    words = {w for m in _NAMED.finditer(attrs) for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower())}
-    return bool(words & OUT_WORDS) or bool(_HIDDEN.search(attrs))
+    return any(_names_out(w) for m in _NAMED.finditer(attrs) for w in (m[1] or m[2] or m[3] or "").split()) or bool(_HIDDEN.search(attrs))
 
 
 def _lower(text: str) -> str:
@@ -76,7 +93,11 @@ def blocks(page: str) -> list[Block]:
     found: list[Block] = []
     text: list[str] = []
     linked, links, article, at = 0, 0, 0, 0
-    out_name, out_depth = "", 0  # the region being left out, and how often its element is open
+    open_regions: list[tuple[str, int, int]] = []  # name, how often its element was open then, number
+    opened: dict[str, int] = {}
+    soft: set[int] = set()  # regions that may turn out to be wrappers
+    around: tuple[int, ...] | None = None  # regions around the first article or main element
+    number, last_end = 0, {}
     lower, heading = _lower(page), False
 
     def flush() -> None:
@@ -84,10 +105,16 @@ def blocks(page: str) -> list[Block]:
         if text:
             whole = " ".join(html.unescape("".join(text)).split())
             if whole:
-                found.append(Block(whole, linked, article > 0, bool(out_name), heading))
+                found.append(Block(whole, linked, article > 0, tuple(r[2] for r in open_regions), heading))
             text.clear()
         linked = 0
 
+    def closes(tag: str) -> bool:
+        """Whether an end tag follows."""
+        if tag not in last_end:
+            last_end[tag] = lower.rfind(f"</{tag}")
+        return last_end[tag] >= at
+
     for m in iter(lambda: _TOKEN.search(page, at), None):
         if m.start() > at:
             piece = page[at : m.start()]
@@ -100,7 +127,7 @@ def blocks(page: str) -> list[Block]:
         close = bool(m[1])
         if name in RAW and not close:
             if not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\s*>").search(lower, at)
+                end = re.compile(rf"</{re.escape(name)}\s*>").search(lower, at) if closes(name) else None
                 at = end.end() if end else (len(page) if name in TEXT_ONLY else at)
             text.append(" ")
             continue
@@ -109,26 +136,51 @@ def blocks(page: str) -> list[Block]:
             continue
         if name == "a":
             links = 0 if close else 1
-        region = not out_name and not close and name not in VOID and _is_out(name, m[3], article > 0)
-        if name not in INLINE or region or name == out_name:
+        void = name in VOID or name in INLINE and m[3].endswith("/")
+        ends = close or name in SIBLING and bool(open_regions) and open_regions[-1][0] == name
+        ended = next((k for k, r in enumerate(open_regions) if r[0] == name and r[1] == opened.get(name, 0)), None) if ends else None
+        region = not close and not void and _is_out(name, m[3], article > 0) and (name in SIBLING or closes(name))
+        if name not in INLINE or region or ended is not None:
             flush()
             heading = bool(re.fullmatch("h[1-6]", name)) and not close
+        if ended is not None:  # and with it what was left open inside
+            del open_regions[ended:]
+        if close:
+            opened[name] = max(0, opened.get(name, 0) - 1)
+        elif not void:
+            opened[name] = opened.get(name, 0) + (not (name in SIBLING and ended is not None))
         if region:
-            if name in ("p", "li", "dd", "dt") or lower.find(f"</{name}", at) >= 0:
-                out_name, out_depth = name, 1
-        elif out_name == name and name not in VOID:
-            if name in ("p", "li", "dd", "dt") and not close:
-                out_name = name if _is_out(name, m[3], article > 0) else ""
-            else:
-                out_depth += -1 if close else 1
-                out_name = out_name if out_depth > 0 else ""
+            open_regions.append((name, opened[name], number))
+            if name == "form" or name not in OUT and name != "header":
+                soft.add(number)
+            number += 1
         if name in ("article", "main"):
             article = max(0, article + (-1 if close else 1))
+            if not close and (around is None or around and not open_regions):
+                around = tuple(r[2] for r in open_regions)
     if at < len(page):
         text.append(page[at:])
         linked += len(page[at:].strip()) if links else 0
     flush()
-    return found
+    return _judged(found, soft, {r for r in around or () if r in soft})
+
+
+def _judged(found: list[Block], soft: set[int], wrappers: set[int]) -> list[Block]:
+    """The blocks, out where a region that is no wrapper holds them."""
+    good, whole = [bool(first_pass(b, False)) for b in found], sum(len(b.text) for b in found)
+    while True:
+        for b in found:
+            b.out = any(r not in wrappers for r in b.regions)
+        if any(g and not b.out for g, b in zip(good, found, strict=True)):
+            return found
+        size: dict[int, int] = {}
+        for b in found:
+            for r in soft.intersection(b.regions) - wrappers:
+                size[r] = size.get(r, 0) + len(b.text)
+        more = [r for r, n in size.items() if 2 * n >= whole and any(g and r in b.regions for g, b in zip(good, found, strict=True))]
+        if not more:
+            return found
+        wrappers = wrappers | {min(more)}  # the outermost one
 
 
 def first_pass(b: Block, marked: bool, long: int = 200, short: int = 70) -> bool | None:

@@ -96,6 +96,54 @@ def test_html_rules():
     assert html_text.main_text(plain).startswith(f"Head {good} Short.")
 
 
+GOOD = "The quick fox is in the house of the lord and it was a good day for all of us to be in this place."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<div class='layout has-sidebar'><article><p>{GOOD}</p></article><div class=sidebar>x</div></div>", GOOD),
+        (f"<div id=page class='page no-comments'><p>{GOOD}</p></div>", GOOD),
+        (f"<form id=aspnetForm><div><p>{GOOD}</p></div></form>", GOOD),
+        (f"<div class='widget'><main><p>{GOOD}</p></main><div class=comments><article>nice</article></div></div>", GOOD),
+        (f"<article><p>{GOOD}</p></article><div class='related'><article><p>{GOOD} Not this.</p></article></div>", GOOD),
+        (f"<div class='site-footer'>end</div><p>{GOOD}</p><div class='cookie-banner'><p>{GOOD}</p></div>", GOOD),
+        (f"<p>{GOOD}</p><button>Go<p>{GOOD}</p>", f"{GOOD} Go {GOOD}"),
+        (f"<p>{GOOD}</p><script>if (a < b) {{</script><p>İİİ {GOOD}</p><script>x", f"{GOOD} İİİ {GOOD}"),
+        (f"<p class=byline>By me<p>{GOOD}<ul><li class=share>Share<li>{GOOD}</ul>", f"{GOOD} {GOOD}"),
+        (f"<nav><ul><li><a href=x>{GOOD}</a></li></ul></nav><p>Short.</p>", ""),
+        (f"<div class=ad><div>x<p>{GOOD}</p></div><p>y</div><p>{GOOD}</p>", GOOD),
+        ("<p>&lt;b&gt; &amp;amp; caf&eacute;&nbsp;x " + GOOD, f"<b> &amp; café x {GOOD}"),
+    ],
+)
+def test_html_pages(page, want):
+    assert html_text.main_text(page) == want
+
+
+def test_html_second_pass_by_brute_force():
+    rng = random.Random(4)
+    for _ in range(300):
+        labels = [rng.choice([True, False, None, None]) for _ in range(rng.randrange(12))]
+        heads = [rng.random() < 0.2 for _ in labels]
+        want = []
+        for k, x in enumerate(labels):
+            before = [(k - i, labels[i]) for i in range(k) if labels[i] is not None]
+            after = [(i - k, labels[i]) for i in range(k + 1, len(labels)) if labels[i] is not None]
+            if x is None:
+                near = after[:1] if heads[k] and after else sorted(before[-1:] + after[:1], key=lambda t: t[0])
+                x = near[0][1] if near else True
+            want.append(x)
+        assert html_text.second_pass(labels, True, heads) == want
+
+
+def test_html_rows(spark):
+    rows = [(1, "u", None, 5), (1, None, "", 6), (None, "u", f"<p>{GOOD}", 7), (1, "u", None, 5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text long")
+    got = sorted((str(r.page_id), str(r.url), r.text, r.n_chars) for r in html_text.extract(pages).collect())
+    assert got == sorted([("1", "u", "", 0), ("1", "None", "", 0), ("1", "u", "", 0), ("None", "u", GOOD, len(GOOD))])
+    assert html_text.extract(pages.limit(0)).count() == 0
+
+
 def test_html_query(spark):
     got = queries.QUERIES["op1_html_extraction"](spark, "/root/testdata/sf0.001").collect()
     assert got and all(r.n_chars == len(r.text) > 0 for r in got)
