@@ -1,12 +1,13 @@
 """Operator 9: token counts by a map-side two-tier lookup of pre-tokens.
 
 First tier: a compact broadcast table of the lengths of frequent pre-tokens, gathered over all documents by
-bounded per-task summaries; its size is fixed by table_size. Second tier: pre-tokens it lacks go to the
-library once per worker (many at a time, as one text) and stay in that worker's cache. No pre-token is
-shuffled but the summaries' (at most `summary` rows a task). The tables only change speed.
+bounded per-task summaries, one row a task, which are merged as they are; its size is fixed by table_size. Second tier: pre-tokens it lacks go to the
+library once per worker (many at a time, as one text) and stay in that worker's cache. No pre-token is a
+row of any shuffle. The tables only change speed.
 
-Pre-tokens of texts of printable Latin-1 are found here, by the vocabulary's own pattern on the lower-cased
-text (its normaliser changes nothing else there: such texts are in NFC, and white space is dropped).
+Pre-tokens of texts of Latin, Cyrillic and Han letters and common punctuation are found here, by the vocabulary's
+own pattern on the lower-cased text (its normaliser changes nothing else there: such texts are in NFC, and white
+space is dropped).
 Texts with other characters or with strings of added tokens go to the library whole.
 
 Defined cases: null and empty texts have no bytes and no tokens; strings of special tokens inside texts
@@ -26,12 +27,13 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import slices
+from .common import discard, slices, stored
 
-_ODD = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xff]")
+# Characters without combining forms, whose lower case is one character.
+_KNOWN = r"\x20-\x7e\xa1-\u012f\u0131-\u024f\u0410-\u044f\u2010-\u2027\u2030-\u203a\u20ac\u4e00-\u9fa5"
+_ODD = re.compile(rf"[^\t\n\r{_KNOWN}]")
 
 
 class Counts:
@@ -43,7 +45,8 @@ class Counts:
         self.tokenizer.no_padding()
         told = json.loads(self.tokenizer.to_str())
         split = next(p for p in told["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        kinds = {k: "".join(re.escape(c) for c in map(chr, range(256)) if unicodedata.category(c)[0] == k) for k in "LN"}
+        known = [c for c in map(chr, range(0x20AD)) if not _ODD.match(c)]
+        kinds = {k: "".join(re.escape(c) for c in known if unicodedata.category(c)[0] == k) + "\u4e00-\u9fa5" * (k == "L") for k in "LN"}
         self.pattern = re.compile(re.sub(r"\\p\{([LN])\}", lambda m: kinds[m[1]], split["pattern"]["Regex"]))
         mark = told["model"]["end_of_word_suffix"]
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -75,8 +78,14 @@ def counts_of(path: str) -> Counts:
     return Counts(path)
 
 
-def frequent_pre_tokens(docs: DataFrame, path: str, text_col: str = "text", table_size: int = 32_768, summary: int = 4_096, room: int = 100_000) -> DataFrame:
-    """(pre, n): frequent pre-tokens over all documents. A task counts in bounded room (rare ones are shed) and passes on its most frequent."""
+def frequent_pre_tokens(docs: DataFrame, path: str, text_col: str = "text", table_size: int = 32_768, summary: int = 4_096, room: int = 100_000, fan: int = 32) -> list[str]:
+    """Frequent pre-tokens over all documents. A task counts in bounded room (rare ones are shed) and gives its most
+    frequent ones as one row; fan such rows at a time become one, until the last reaches the driver."""
+    schema = "pre array<string>, n array<long>"
+
+    def row(count: Counter, most: int) -> pa.RecordBatch:
+        top = sorted(count.items(), key=lambda x: (-x[1], x[0]))[:most]
+        return pa.RecordBatch.from_arrays([pa.array([[c for c, _ in top]], pa.list_(pa.string())), pa.array([[n for _, n in top]], pa.list_(pa.int64()))], ["pre", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, count = counts_of(path).pre_tokens, Counter()
@@ -85,16 +94,29 @@ def frequent_pre_tokens(docs: DataFrame, path: str, text_col: str = "text", tabl
                 count.update(find(t or "") or ())
             if len(count) > room:
                 count = Counter(dict(count.most_common(room // 2)))
-        top = count.most_common(summary)
-        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["pre", "n"])
-
-    summed = docs.select(text_col).mapInArrow(run, "pre string, n long").groupBy("pre").agg(F.sum("n").alias("n"))
-    return summed.orderBy(F.desc("n"), "pre").limit(table_size)
+        yield row(count, summary)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = Counter()
+        for batch in batches:
+            for pre, n in zip(batch.column("pre").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                for c, k in zip(pre, n, strict=True):
+                    count[c] += k
+        yield row(count, table_size)
+
+    rows = stored(docs.select(text_col).mapInArrow(run, schema), "summaries")
+    merged, n = rows, rows.count()
+    while n > 1:
+        n = -(-n // fan)
+        merged = merged.repartition(n).mapInArrow(merge, schema)
+    out = [c for r in merged.collect() for c in r.pre]
+    discard(rows)
+    return out
 
 
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", room: int = 400_000, longest: int = 64) -> DataFrame:
     """(id_col, n_bytes, n_tokens). room: pre-tokens in a worker's cache; those longer than longest stay out of the table."""
-    top = [r.pre for r in frequent_pre_tokens(docs, path, text_col).where(F.length("pre") <= longest).collect()]  # at most table_size short strings
+    top = [c for c in frequent_pre_tokens(docs, path, text_col) if len(c) <= longest]  # at most table_size short strings
     table = docs.sparkSession.sparkContext.broadcast(dict(zip(top, counts_of(path).lengths(top), strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

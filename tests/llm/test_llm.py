@@ -195,13 +195,41 @@ def test_byte_bpe_random_texts():
     lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     counts, words = token_counts.Counts(public_tokenizers.path("word_bpe_49k.json")), Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     for _ in range(1500):
-        t = "".join(rng.choice(["a", "aa", "B", " ", "  ", "\n", "\t", "é", "中", "1", "'s", "'S", "👍", "-", "<|endoftext|>", "\x1c", "\xa0", "x", ".", ",", "_", "²", "́"]) for _ in range(rng.randrange(25)))
+        t = "".join(rng.choice(["a", "aa", "B", " ", "  ", "\n", "\t", "é", "中", "1", "'s", "'S", "👍", "-", "<|endoftext|>", "\x1c", "\xa0", "x", ".", ",", "_", "²", "́", "—", "’", "ж", "Ж", "Ž", "İ", "ſ", "Σ", "…", "ǅ"]) for _ in range(rng.randrange(25)))
         assert np.frombuffer(cached([t])[0], "<u4").tolist() == enc.encode_ordinary(t)
         assert np.frombuffer(plain([t])[0], "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
         pre = counts.pre_tokens(t)
         assert (counts.whole([t])[0] if pre is None else sum(counts.lengths(pre))) == len(words.encode(t, add_special_tokens=False).ids)
 
 
+def test_token_counts(spark, docs, none):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib = Tokenizer.from_file(path)
+    odd = ["<|startoftext|> a <|endoftext|>", "naïve — “quote” ’s", "Ω Σς ﬁ", "a\u0301 e\u0301", "x" * 5000, "1234 don't I'LL", "\x00\x1c\u2028z", "한국어 テスト", "👍🏽 ok"]
+    want = {i: (len((t or "").encode()), len(lib.encode(t or "", add_special_tokens=False).ids)) for i, t in texts() + [(10_000 + k, t) for k, t in enumerate(odd)]}
+    more = docs.unionByName(spark.createDataFrame([(10_000 + k, t, *[None] * 7) for k, t in enumerate(odd)], SCHEMA))
+    twice = more.unionByName(more).unionByName(more.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    got = token_counts.token_counts(twice, path, room=100).collect()
+    assert len(got) == 2 * len(want) + 1 and all(r.doc_id is None or (r.n_bytes, r.n_tokens) == want[r.doc_id] for r in got)
+    assert token_counts.token_counts(none, path).count() == 0
+
+
+def test_token_counts_query(spark):
+    sf = "/root/testdata/sf0.001"
+    lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rows = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in queries.QUERIES["op9_token_counts"](spark, sf).collect()}
+    n = {i: len(lib.encode(t, add_special_tokens=False).ids) for i, t in rows.items()}
+    assert got == {i: (len(t.encode()), n[i], n[i] > 2048) for i, t in rows.items()}
+
+
+def test_frequent_pre_tokens_are_those_of_all_documents(spark):
+    df = spark.createDataFrame([("aa bb" if k % 2 else f"aa x{k} cc",) for k in range(90)], "text string").repartition(9)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert token_counts.frequent_pre_tokens(df, path, table_size=4, fan=2)[0] == "aa"
+    assert token_counts.frequent_pre_tokens(df.limit(0), path) == []
+
+
 def _links(n=5):
     sets = {}
     for i, t in texts():
