@@ -3,15 +3,15 @@
 Terms are words `[^\\x20\\x09-\\x0D]+` in lower case, as 64-bit hashes. Document frequencies count all
 documents. The lexicon keeps terms whose inverse document frequency ln(N / df) lies in a band; its size
 has a proven bound: as the frequencies sum to N times the mean number of distinct terms, at most
-mean * exp(max_idf) terms reach the band. Each lexicon term belongs to one of `subsets` randomised
-subsets; a document's distinct terms of a subset, sorted, are hashed. A fingerprint is all these hashes, and
-the likeness of two is the share of equal ones among the subsets that either uses. A text without a term in
-the band uses all its terms instead.
+mean * exp(max_idf) terms reach the band (`most` is checked besides). Each lexicon term belongs to two of `subsets`
+randomised subsets, so that subsets overlap; a document's distinct terms of a subset, sorted, are hashed. A fingerprint
+is all these hashes, and the likeness of two is the share of equal ones among the subsets that either uses. A text
+without a term in the band uses all its terms instead.
 
 Defined cases: null text is the empty text; a fingerprint without terms has no used subset, and two such
-are alike (1.0); equal texts have equal fingerprints; rows are ordered by falling id, then falling text,
-null ids last, so repeated rows follow each other; a single row is its own next; an empty table gives an
-empty result; other columns are not carried.
+are alike (1.0); equal texts have equal fingerprints; the next document of a row is that of the next smaller id, null
+ids last, and of rows that share an id the largest text stands for all of them; a single id is its own next; an empty
+table gives an empty result; other columns are not carried.
 """
 
 from __future__ import annotations
@@ -30,21 +30,27 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w)))
 
 
-def lexicon(docs: DataFrame, text_col: str = "text", min_idf: float = 1.6, max_idf: float = 5.3) -> list[int]:
-    """Hashes of the terms in the band, from all documents."""
+def lexicon(docs: DataFrame, text_col: str = "text", min_idf: float = 1.6, max_idf: float = 5.3, most: int = 1_000_000) -> list[int]:
+    """Hashes of the terms in the band, from all documents; more than most raise an error."""
     each = docs.select(F.explode(F.array_distinct(F.split(F.lower(text_col), _WHITE))).alias("w")).where("w <> ''")
     count = each.groupBy(F.xxhash64("w").alias("h")).agg(F.count("*").alias("df"))
     idf = F.log(F.lit(float(max(docs.count(), 1))) / F.col("df"))
-    return sorted(r.h for r in count.where(idf.between(min_idf, max_idf)).select("h").collect())
+    words = count.where(idf.between(min_idf, max_idf)).select("h").limit(most + 1).collect()
+    if len(words) > most:
+        raise ValueError(f"more than {most} terms are in the band: the documents are too long for it")
+    return sorted(r.h for r in words)
 
 
-def with_fingerprint(rows: DataFrame, text_col: str, name: str, words: list[int], subsets: int = 128, seed: int = 11) -> DataFrame:
+def with_fingerprint(rows: DataFrame, text_col: str, name: str, words: list[int], subsets: int = 256, seed: int = 11) -> DataFrame:
     """rows with an array of one hash per subset (a power of two), null where the text has no term of it."""
     bits = subsets.bit_length() - 1
     member = f"h in ({', '.join(map(str, words))})" if words else "false"
     rows = rows.withColumn("_every", terms(F.col(text_col))).withColumn("_band", F.expr(f"filter(_every, h -> {member})"))
     rows = rows.withColumn("_used", F.when(F.size("_band") > 0, F.col("_band")).otherwise(F.col("_every"))).drop("_every", "_band")
-    dealt = F.transform("_used", lambda h: F.shiftleft(F.pmod(F.xxhash64(h, F.lit(seed)), F.lit(subsets)), 64 - bits).bitwiseOR(F.shiftrightunsigned(h, bits)))
+    entry = lambda k, h: F.shiftleft(F.pmod(k, F.lit(subsets)), 64 - bits).bitwiseOR(F.shiftrightunsigned(h, bits))
+    first = lambda h: F.pmod(F.xxhash64(h, F.lit(seed)), F.lit(subsets))
+    second = lambda h: first(h) + 1 + F.pmod(F.xxhash64(h, F.lit(seed + 1)), F.lit(subsets - 1))
+    dealt = F.flatten(F.transform("_used", lambda h: F.array(entry(first(h), h), entry(second(h), h))))
     rows = rows.withColumn("_ordered", F.array_sort(dealt)).drop("_used")
 
     def one(k: Column, of: Column) -> Column:
@@ -94,25 +100,41 @@ def successors(ids: DataFrame, most: int = 100_000, bits: int = 8) -> DataFrame:
     return inner.alias("i").join(linked.alias("l"), F.expr("i.u <=> l.u"), "left").select("i.g", F.when(F.col("i.more"), F.col("i.a")).otherwise(F.col("l.head")).alias("after"))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 8, subsets: int = 128) -> DataFrame:
-    """Per document its fingerprint, that of its edited text (the last third replaced by the start of the next document), and likenesses.
+def _followed(docs: DataFrame, words: list[int], bits: int, subsets: int) -> DataFrame:
+    """(id, text, shared, following, own, next_print): each row with the next one's text and fingerprint; ids are distinct.
 
     The text is shuffled once, to groups of 2**bits neighbouring ids; windows, joins and results stay there.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    words = lexicon(docs)
-    make = lambda rows, text, name: with_fingerprint(rows, text, name, words, subsets)
     docs = docs.withColumn("g", F.shiftright("id", bits))
     heads = docs.groupBy("g").agg(F.max(F.struct("id", "text")).alias("h")).select("g", F.col("h.text").alias("head"))
     after = successors(docs.select("g"), bits=bits)
     heads = after.alias("a").join(heads.alias("h"), F.expr("a.after <=> h.g")).select(F.coalesce(F.col("a.g"), F.lit(-(1 << 62))).alias("g"), "head")
-    heads = stored(make(heads, "head", "head_print"), "heads")
+    heads = stored(with_fingerprint(heads, "head", "head_print", words, subsets), "heads")
     rows = docs.withColumn("g", F.coalesce("g", F.lit(-(1 << 62))))
-    w = Window.partitionBy("g").orderBy(F.col("id").desc_nulls_last(), F.desc("text"))
-    rows = rows.withColumn("following", F.lead("text").over(w)).join(heads, "g", "left")
+    w = Window.partitionBy("g").orderBy(F.col("id").desc_nulls_last())
+    rows = rows.withColumn("following", F.lead("text").over(w)).join(heads, "g", "left").withColumn("following", F.coalesce("following", "head")).drop("head")
+    rows = with_fingerprint(rows, "text", "own", words, subsets)
+    return rows.withColumn("next_print", F.coalesce(F.lead("own").over(w), "head_print")).drop("head_print", "g")
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 8, subsets: int = 256) -> DataFrame:
+    """Per document its fingerprint, that of its edited text (the last third replaced by the start of the next document), and likenesses."""
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    words = lexicon(docs)
+    again = stored(docs.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "again")
+    shared = not again.isEmpty()
+    unique = docs.withColumn("shared", F.lit(False))
+    if shared:  # one row stands for each such id; the rows themselves take what follows it
+        both = F.expr("d.id <=> a.id")
+        rest = docs.alias("d").join(again.alias("a"), both, "left_semi")
+        most = rest.groupBy("id").agg(F.max("text").alias("text")).withColumn("shared", F.lit(True))
+        unique = unique.alias("d").join(again.alias("a"), both, "left_anti").unionByName(most)
+    rows = _followed(unique, words, bits, subsets)
+    if shared:
+        near = stored(rows.where("shared").select("id", "following", "next_print"), "following")
+        rest = rest.alias("d").join(near.alias("a"), both).select("d.id", "d.text", "a.following", "a.next_print")
+        rows = rows.where("not shared").drop("shared").unionByName(with_fingerprint(rest, "text", "own", words, subsets))
     n, k = F.length("text"), F.floor(F.length("text") / 3).cast("int")
-    rows = rows.select("g", "id", "text", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - k), F.substring(F.coalesce("following", "head"), F.lit(1), k)).alias("edited"), "head_print")
-    rows = rows.select("g", "id", "text", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "edited", "head_print")
-    rows = make(make(rows, "text", "own"), "edited", "other").drop("edited")
-    rows = rows.withColumn("next_print", F.coalesce(F.lead("own").over(w), "head_print"))
+    rows = rows.select("id", "own", "next_print", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - k), F.substring("following", F.lit(1), k)).alias("edited"))
+    rows = with_fingerprint(rows.withColumn("edited_sha256", F.sha2(F.encode("edited", "UTF-8"), 256)), "edited", "other", words, subsets)
     return rows.select(F.col("id").alias(id_col), "n_chars", "edited_sha256", written(F.col("own")).alias("fingerprint"), written(F.col("other")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("next_print")).alias("near_next"))

@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 import tiktoken  # noqa: E402
+import xxhash  # noqa: E402
 
 import oracle  # noqa: E402
 from evidra.llm import bpe, embedding_dedup, html_text, imatch, ngram_join, packing, quality, queries, substring_dedup, token_counts, warc  # noqa: E402
@@ -341,20 +342,77 @@ def test_warc_query(spark):
     assert oracle.actual(queries.QUERIES["op7_warc"](spark, sf)) == oracle.expected(sf, queries.ORACLE["op7_warc"])
 
 
+def _xx(data: bytes, seed: int = 42) -> int:
+    return xxhash.xxh64(data, seed=seed & 0xFFFFFFFFFFFFFFFF).intdigest()
+
+
+def _fingerprint(text: str, lexicon: set[int], subsets: int, seed: int = 11) -> str:
+    """The written fingerprint by plain Python."""
+    every = {_xx(w.encode()) for w in re.split(r"[\x20\x09-\x0D]+", text.lower()) if w}
+    used, bits = every & lexicon or every, subsets.bit_length() - 1
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    of = lambda h, s: signed(_xx(s.to_bytes(4, "little"), _xx(h.to_bytes(8, "little"))))
+    parts: dict[int, list[int]] = {}
+    for h in used:
+        first = of(h, seed) % subsets
+        for k in (first, (first + 1 + of(h, seed + 1) % (subsets - 1)) % subsets):
+            parts.setdefault(k, []).append(signed(k << 64 - bits | h >> bits))
+    out = []
+    for k in range(subsets):
+        x = 42
+        for t in sorted(parts.get(k, [])):
+            x = _xx((t & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "little"), x)
+        out.append(f"{x:016X}"[-4:] if k in parts else "----")
+    return "".join(out)
+
+
+def _lexicon(values: list[str]) -> set[int]:
+    df: dict[str, int] = {}
+    for t in values:
+        for w in {w for w in re.split(r"[\x20\x09-\x0D]+", t.lower()) if w}:
+            df[w] = df.get(w, 0) + 1
+    return {_xx(w.encode()) for w, n in df.items() if 1.6 <= np.log(len(values) / n) <= 5.3}
+
+
 def test_imatch(docs, none):
-    got = {r.doc_id: r for r in imatch.fingerprints(docs, bits=2).collect()}
+    got = {r.doc_id: r for r in imatch.fingerprints(docs, bits=2, subsets=16).collect()}
     order = sorted(((i, t or "") for i, t in texts()), reverse=True)
+    words = _lexicon([t for _, t in order])
     for k, (i, t) in enumerate(order):
         n = order[(k + 1) % len(order)][1]
         m = len(t) // 3
-        assert got[i].edited_sha256 == hashlib.sha256((t[: len(t) - m] + n[:m]).encode()).hexdigest()
-        assert got[i].n_chars == len(t) and 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
-        same = got[i].fingerprint == got[order[(k + 1) % len(order)][0]].fingerprint
-        assert same == (got[i].near_next == 1.0)
-    assert got[1].fingerprint == got[8].fingerprint and got[57].fingerprint == got[64].fingerprint
+        edited = t[: len(t) - m] + n[:m]
+        own, other, following = (_fingerprint(x, words, 16) for x in (t, edited, n))
+        assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and got[i].n_chars == len(t)
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (own, other)
+        for near, x in ((got[i].near_edited, other), (got[i].near_next, following)):
+            cut = [(own[c : c + 4], x[c : c + 4]) for c in range(0, 64, 4)]
+            used = [p for p in cut if p != ("----", "----")]
+            assert near == pytest.approx(sum(p == q for p, q in used) / len(used) if used else 1.0)
     assert imatch.fingerprints(none).count() == 0
 
 
+def test_imatch_subsets_overlap():
+    words = [f"word{k}" for k in range(2000)]
+    hit = sum(_fingerprint(w, set(), 256).count("----") != 254 for w in words)
+    assert hit == 0  # each term is in two different subsets
+
+
+def test_imatch_shared_and_null_ids(spark):
+    rows = [(9, "a b c d e f"), (5, "g h i j k l"), (5, "m n o"), (5, "m n o"), (2, "p q r s t u"), (None, "x y z"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.edited_sha256) for r in imatch.fingerprints(df, bits=1).collect())
+    follow = {9: "m n o", 5: "p q r s t u", 2: "x y z", None: "a b c d e f"}
+    want = []
+    for i, t in rows:
+        t = t or ""
+        k = len(t) // 3
+        want.append((str(i), hashlib.sha256((t[: len(t) - k] + follow[i][:k]).encode()).hexdigest()))
+    assert got == sorted(want)
+    with pytest.raises(ValueError):
+        imatch.lexicon(df, min_idf=0.0, most=3)
+
+
 def test_successors(spark):
     ids = spark.createDataFrame([(x,) for x in (-900, -3, 0, 5, 256, 70000, 70001, 1 << 40, None)], "g long")
     got = {r.g: r.after for r in imatch.successors(ids, most=3, bits=4).collect()}
