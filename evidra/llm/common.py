@@ -79,6 +79,20 @@ def discard(*tables: DataFrame) -> None:
         _written.remove((df.sparkSession, df.stored_at))
 
 
+def summed(parts: DataFrame, kind: str) -> dict[int, np.ndarray]:
+    """Sums by k of arrays v (binary, of the numpy kind) of parts (k int, v binary): one float64 array for each k reaches the driver."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, raw in zip(batch.column("k").to_pylist(), batch.column("v").to_pylist(), strict=True):
+                part = np.frombuffer(raw, kind).astype(np.float64)
+                total[k] = total[k] + part if k in total else part
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["k", "v"])
+
+    return {r.k: np.frombuffer(r.v, np.float64) for r in parts.repartition("k").mapInArrow(add, "k int, v binary").collect()}
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, with as many underscores before it as it takes to be no column of df."""
     taken = {c.lower() for c in df.columns}

@@ -156,6 +156,25 @@ def test_quality_held_out(spark):
     assert np.mean([r.predicted == r.quality for r in got]) > 0.95
 
 
+def test_quality_moments_and_prior(spark, docs):
+    x = quality.features(pa.array([t for _, t in texts()]))
+    assert np.allclose(quality._all_moments(docs, "text"), quality.moments(x), rtol=1e-4, atol=1e-4)
+    rng = np.random.default_rng(3)
+    bins = lambda z: np.bincount(quality._bins(z), minlength=quality.BINS)
+    for share in (0.2, 0.6, 0.9):
+        mixed = np.where(rng.random(40_000) < share, rng.normal(1, 0.4, 40_000), rng.normal(-1, 0.4, 40_000))
+        assert abs(quality.mixture_share(bins(rng.normal(1, 0.4, 4_000)), bins(mixed)) - share) < 0.04
+    p, u = rng.normal(1, 1, (300, 1036)), np.concatenate([rng.normal(1, 1, (600, 1036)), rng.normal(-1, 1, (300, 1036))])
+    model = quality.fit(quality.moments(p), quality.moments(u), 2 / 3)
+    assert (model.score(u[:600]) >= 0.3).mean() > 0.98 and (model.score(u[600:]) < 0.3).mean() > 0.98
+
+
+def test_quality_repeated_and_null_ids(spark, docs):
+    many = docs.withColumn("doc_id", F.when(F.col("doc_id") > 100, F.lit(3)).otherwise(F.lit(None)).cast("long"))
+    model = quality.train(many, spark.createDataFrame([(3, 1), (None, 1), (4, 0)], "doc_id long, quality int"))
+    assert quality.score(many, model).count() == docs.count()
+
+
 def test_quality_edges(spark, docs, none):
     model = quality.train(docs, spark.createDataFrame([(1, 1), (8, None)], "doc_id long, quality int"))
     assert {0 <= r.score <= 1 for r in quality.score(docs, model).collect()} == {True}
