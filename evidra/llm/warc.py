@@ -1,7 +1,8 @@
 """Operator 7: WARC archives in Zstandard: one frame per record, the dictionary in a leading skippable frame.
 
-The writer makes archives of a bounded size in the shared folder: each task writes under another name and
-moves a finished archive to its place, so a repeated task replaces its own files. A payload that an
+The writer makes archives of a bounded size in the shared folder. Tasks write them under hidden names of their own
+and report these; only what the tasks that count have reported gets its final name, in a second job whose steps
+may be repeated, so archives of lost or repeated tasks are never read. A payload that an
 earlier-known record holds becomes a revisit: a header block only, with the digest, the length and the
 record it refers to. The reader loads the dictionary from the first frame, decodes frame by frame, and
 validates version, required headers, lengths, the end mark and payload digests; faults raise ValueError.
@@ -24,7 +25,6 @@ from functools import lru_cache
 import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,31 +123,39 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = pafs.FileSystem.from_uri(folder)
         system.create_dir(base, recursive=True)
-        dictionary, part, number, out, held, done = sent.value, TaskContext.get().partitionId(), 0, [], 0, 0
+        dictionary, out, held = sent.value, [], 0
         pack = _compressor(dictionary, level).compress
         lead = struct.pack("<II", SKIPPABLE, len(dictionary)) + dictionary if dictionary else b""
 
-        def finish() -> None:
-            nonlocal number, held
-            name = f"{base}/_{uuid.uuid4().hex}"
-            with system.open_output_stream(name) as f:
+        def finish() -> pa.RecordBatch:
+            nonlocal held
+            name = uuid.uuid4().hex
+            with system.open_output_stream(f"{base}/_{name}") as f:
                 f.write(lead + b"".join(out))
-            system.move(name, f"{base}/part-{part:06d}-{number:04d}.warc.zst")
-            number, held = number + 1, 0
+            told = pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(out)], pa.int64())], ["name", "n"])
             out.clear()
+            held = 0
+            return told
 
         for batch in slices(batches, "payload"):
             for row in batch.to_pylist():
                 out.append(pack(record(row["page_id"], row["url"], row["payload"], row["digest"], row["refers_to"])))
                 held += len(out[-1])
-                done += 1
                 if held >= roll:
-                    finish()
+                    yield finish()
         if out:
-            finish()
-        yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], ["n"])
+            yield finish()
 
-    return rows.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+    def name_them(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = pafs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for name in batch.column("name").to_pylist():
+                if system.get_file_info(f"{base}/_{name}").type != pafs.FileType.NotFound:  # else an earlier try has named it
+                    system.move(f"{base}/_{name}", f"{base}/part-{name}.warc.zst")
+            yield batch.select(["n"])
+
+    told = stored(rows.mapInArrow(run, "name string, n long"), "archives")
+    return told.mapInArrow(name_them, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:

@@ -351,6 +351,11 @@ def test_warc(spark, tmp_path):
         want.append((str(i), len(b), hashlib.sha1(b).hexdigest(), "revisit" if revisit else "response", 7 if revisit else None))
     assert sorted((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == sorted(want)
     assert warc.round_trip(pages.where("page_id < 0"), f"file://{tmp_path}/e").count() == 0
+    (tmp_path / "w" / "_left-by-a-lost-task").write_bytes(b"x")
+    assert warc.read(spark, f"file://{tmp_path}/w").count() == len(rows)
+    wide = pages.withColumn("digest", F.lit(1)).withColumn("payload", F.lit("p"))
+    assert warc.write(wide, f"file://{tmp_path}/m", roll=1) == len(rows) == len(list((tmp_path / "m").glob("*.warc.zst")))
+    assert warc.read(spark, f"file://{tmp_path}/m").count() == len(rows)
     for faulty in (b"x", warc.record(1, "u", b"abc", "0" * 40, None), warc.record(1, "u", b"abc", hashlib.sha1(b"abc").hexdigest(), None)[:-1]):
         with pytest.raises(ValueError):
             warc.parse(faulty)
