@@ -70,7 +70,37 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extraction, op2_quality_classifier, op3_substring_dedup, op4_byte_bpe, op5_ngram_join, op6_embedding_dedup, op7_warc, op8_imatch, op9_token_counts, op10_packing)}
 
+_REACH = """
+        reach AS (SELECT id, id AS root FROM nodes UNION SELECT e.y, r.root FROM reach r JOIN linked e ON e.x = r.id),
+        ends AS (SELECT id, min(root) AS component_id FROM reach GROUP BY id)"""
+
 ORACLE: dict[str, str] = {
+    "op3_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        s AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS run FROM w, unnest(range(1, len(ws) - 11)) t(i)),
+        f AS (SELECT run, min(doc_id) AS lowest FROM s GROUP BY run),
+        gone AS (SELECT DISTINCT doc_id, i + k AS pos FROM s JOIN f USING (run), unnest(range(0, 13)) t(k) WHERE lowest < doc_id),
+        words AS (SELECT doc_id, pos, ws[pos] AS word FROM w, unnest(range(1, len(ws) + 1)) t(pos)),
+        kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS text FROM words ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+        SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+        FROM w LEFT JOIN kept USING (doc_id)""",
+    "op5_ngram_join": rf"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        sh AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS shingle FROM w, unnest(range(1, greatest(len(ws) - 3, 2))) t(i) WHERE len(ws) > 0),
+        size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+        common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b USING (shingle) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+        link AS (SELECT x, y FROM common JOIN size p ON p.doc_id = x JOIN size q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
+        linked AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+        nodes AS (SELECT doc_id AS id FROM documents),{_REACH}
+        SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM documents LEFT JOIN size USING (doc_id) JOIN ends ON id = doc_id""",
+    "op6_embedding_dedup": f"""
+        WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x : x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x : x <> 0)) > 0),
+        linked AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a, v b WHERE a.vec_id <> b.vec_id AND CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) >= 0.95 ELSE false END),
+        nodes AS (SELECT vec_id AS id FROM embeddings),{_REACH},
+        degree AS (SELECT x, count(*) AS n FROM linked GROUP BY x)
+        SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+        FROM embeddings JOIN ends ON id = vec_id LEFT JOIN degree ON x = vec_id""",
     "op7_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
         d AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS payload_digest FROM p),

@@ -361,9 +361,10 @@ def test_warc(spark, tmp_path):
             warc.parse(faulty)
 
 
-def test_warc_query(spark):
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_query_against_sql(spark, name):
     sf = "/root/testdata/sf0.001"
-    assert oracle.actual(queries.QUERIES["op7_warc"](spark, sf)) == oracle.expected(sf, queries.ORACLE["op7_warc"])
+    assert oracle.actual(queries.QUERIES[name](spark, sf)) == oracle.expected(sf, queries.ORACLE[name])
 
 
 def _xx(data: bytes, seed: int = 42) -> int:
