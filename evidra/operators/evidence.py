@@ -32,8 +32,11 @@ GENERIC_ASCII = frozenset(
     "the to used using was were what when where which why with without api endpoint endpoints db http https sql jwt ui pdf txt".split()
 )
 STOPS = frozenset("근거 보여 찾아 확인 실제 이력 기록 질문 문서 프로젝트 경험 이유 어떻게 무엇 있는 있 없 해줘 보여줘 있어 있나 있나요 있었나 있었어 했나 했어 인가 인지 같은 없이 대한 관련 현재".split())
-RELEASE_FORMS = tuple(n + e for n in ("출시", "배포") for e in "한 했다 했습니다 했나요 했다는 하였다 하였습니다 하였나요 하였는지 했는지 했어요".split())
-TOLD_RELEASE_FORMS = tuple(n + e for n in ("출시", "배포") for e in "했다 했습니다 하였다 하였습니다 했어요".split())
+RELEASE_FORMS = tuple(
+    "출시한 출시했다 출시했습니다 출시했나요 출시했다는 출시하였다 출시하였습니다 출시하였나요 출시하였는지 출시했는지 출시했어요 "
+    "배포한 배포했다 배포했습니다 배포했나요 배포했다는 배포하였다 배포하였습니다 배포하였나요 배포하였는지 배포했는지 배포했어요".split()
+)
+TOLD_RELEASE_FORMS = tuple("출시했다 출시했습니다 출시하였다 출시하였습니다 출시했어요 배포했다 배포했습니다 배포하였다 배포하였습니다 배포했어요".split())
 ACTION = "구현 적용 설계 개선 분리 도입 처리 검증 구축 배포 최적화 전환 방지 재처리 통합 구성 제어 차단".split()
 PROBLEM = "문제 장애 실패 병목 충돌 중복 지연 불일치 누락 위험 경쟁 누적 어려".split()
 RESULT = "결과 감소 단축 향상 개선 방지 유지 성공 완료 절감 안정 해결 전환 줄였 낮췄 높였 제거 통과 0건".split()
@@ -160,39 +163,62 @@ def _anchor(token: str) -> str:
     return next((token[: -len(s)] for s in ANCHOR_SUFFIXES if token.endswith(s) and len(token) >= len(s) + 2), token)
 
 
-def adjustment(query: str, content: str) -> float:
-    """What the quality of a candidate as evidence adds to its score, between -0.035 and 0.065."""
-    chosen = best_window(query, content) or {}
-    form = search_form(content)
+# What one of each signal is worth, and the most that a candidate of a kind may get.
+WORTH = {
+    "asked phrase": 0.008, "term of the query": 0.003, "narrative": 0.010, "list": -0.018, "contact line": -0.025,
+    "act": 0.004, "act and problem or result": 0.011, "act, problem and result": 0.020, "arc in the whole text": 0.015,
+    "a number": 0.005, "three numbers": 0.010, "three numbers in the whole text": 0.008, "eight numbers in the whole text": 0.015,
+    "tools of an act": 0.005, "share of anchors": 0.025, "report headings": 0.012, "profile data": -0.010,
+}
+MOST = {"stack": 0.010, "stack with profile data": 0.0, "mostly profile": -0.030, "guide": -0.018, "nothing asked": 0.0, "anchors missing": 0.015}
+
+
+def _level(n: int, names: dict[int, str]) -> dict[str, float]:
+    """The name of the highest step that n reaches."""
+    reached = [names[k] for k in sorted(names) if n >= k]
+    return {reached[-1]: 1.0} if reached else {}
+
+
+def quality_signals(query: str, content: str) -> tuple[dict[str, float], set[str]]:
+    """(how much there is of each signal of WORTH, the kinds of MOST that the candidate is of)."""
+    chosen, form = best_window(query, content) or {}, search_form(content)
     part = search_form(chosen.get("snippet", content.strip()))
     named = {a for t in TOKEN.findall(search_form(query)) if len(a := _anchor(t)) >= 2 and a not in GENERIC_TERMS and not a.isdigit()}
     met = len(named & {_anchor(t) for t in TOKEN.findall(form)})
-    has = lambda text: [any(w in text for w in words) for words in (ACTION, PROBLEM, RESULT)]
-    acts, faces, ends = has(part)
-    numbers, all_numbers = len(APART_NUMBER.findall(part)), len(APART_NUMBER.findall(form))
-    coverage, exact = chosen.get("coverage", 0), chosen.get("exact", False)
-    a = 0.008 * exact + 0.003 * min(coverage, 3) + 0.010 * chosen.get("narrative", False) - 0.018 * chosen.get("listed", False)
-    a -= 0.025 if chosen.get("contact", False) and met <= 1 else 0
-    a += (0.020 if faces and ends else 0.011 if faces or ends else 0.004) if acts else 0
-    a += 0.010 if numbers >= 3 else 0.005 if numbers else 0
-    a += 0.005 if acts and len(set(TECHNICAL.findall(part))) >= 2 else 0
-    a += 0.025 * met / len(named) if named else 0
-    a += 0.015 if all(has(form)) else 0
-    a += 0.015 if all_numbers >= 8 else 0.008 if all_numbers >= 3 else 0
-    a += 0.012 if STRUCTURED.search(form) else 0
-    a = min(a, 0.010) if STACK.search(form) else a
-    profile = len(PROFILE.findall(form))
-    if profile >= 3 and met <= 1:
-        a = min(a, -0.030)
-    elif profile:
-        a -= 0.010
-    if len(content) < 320 and GUIDE.search(form):
-        a = min(a, -0.018)
-    if not coverage and not met and not exact:
-        a = min(a, 0.0)
-    elif named and (not met or len(named) >= 3 and met / len(named) < 0.34):
-        a = min(a, 0.015)
-    return max(ADJUSTMENT_LOW, min(ADJUSTMENT_HIGH, a))
+    tells = lambda text, words: any(w in text for w in words)
+    act, profile = tells(part, ACTION), len(PROFILE.findall(form))
+    much: dict[str, float] = {
+        "asked phrase": chosen.get("exact", False),
+        "term of the query": min(chosen.get("coverage", 0), 3),
+        "narrative": chosen.get("narrative", False),
+        "list": chosen.get("listed", False),
+        "contact line": chosen.get("contact", False) and met <= 1,
+        "arc in the whole text": all(tells(form, words) for words in (ACTION, PROBLEM, RESULT)),
+        "tools of an act": act and len(set(TECHNICAL.findall(part))) >= 2,
+        "share of anchors": met / len(named) if named else 0,
+        "report headings": STRUCTURED.search(form) is not None,
+        "profile data": 0 < profile and not (profile >= 3 and met <= 1),
+    }
+    if act:
+        much |= _level(1 + tells(part, PROBLEM) + tells(part, RESULT), {1: "act", 2: "act and problem or result", 3: "act, problem and result"})
+    much |= _level(len(APART_NUMBER.findall(part)), {1: "a number", 3: "three numbers"})
+    much |= _level(len(APART_NUMBER.findall(form)), {3: "three numbers in the whole text", 8: "eight numbers in the whole text"})
+    kinds = {
+        "stack": STACK.search(form) is not None,
+        "stack with profile data": STACK.search(form) is not None and much["profile data"],
+        "mostly profile": profile >= 3 and met <= 1,
+        "guide": len(content) < 320 and GUIDE.search(form) is not None,
+        "nothing asked": not (much["term of the query"] or met or much["asked phrase"]),
+        "anchors missing": bool(named) and (not met or len(named) >= 3 and much["share of anchors"] < 0.34),
+    }
+    return much, {k for k, holds in kinds.items() if holds}
+
+
+def adjustment(query: str, content: str) -> float:
+    """What the quality of a candidate as evidence adds to its score, between -0.035 and 0.065."""
+    much, kinds = quality_signals(query, content)
+    total = sum(WORTH[k] * n for k, n in much.items())
+    return max(ADJUSTMENT_LOW, min(ADJUSTMENT_HIGH, total, *(MOST[k] for k in kinds)))
 
 
 def select(query: str, rows: list[dict]) -> list[tuple[Candidate, float]]:
