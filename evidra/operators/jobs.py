@@ -2,13 +2,16 @@
 
 A job is READY after ENQUEUE, RUNNING after CLAIM (the fence grows, a lease starts), back in RETRY_WAIT after
 FAIL up to three times (1, 5, 15 minutes), then FAILED; COMPLETE ends it. Events that do not fit the state
-(a stale completion, a renewal without a claim) change nothing and are counted as rejected. Events of a job
-are in the order of (time, id).
+(a stale completion, a renewal without a claim, one without a time) change nothing and are counted as rejected.
+Events of a job are in the order of (time, id).
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import datetime as dt
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,9 +24,11 @@ def retry_at(ts: Column, retries: Column) -> Column:
     return F.when(retries == 0, ts + F.expr("INTERVAL '1' MINUTE")).when(retries == 1, ts + F.expr("INTERVAL '5' MINUTE")).when(retries == 2, ts + F.expr("INTERVAL '15' MINUTE"))
 
 
-def step(state: tuple, kind: str, ts: pd.Timestamp, lease: pd.Timedelta) -> tuple:
+def step(state: tuple, kind: str, ts: dt.datetime | None, lease: dt.timedelta) -> tuple:
     """The next (status, fence, retries, rejected, lease_until, next_retry)."""
     status, fence, retries, rejected, until, due = state
+    if ts is None:
+        return status, fence, retries, rejected + 1, until, due
     if kind == "ENQUEUE" and status in (None, "COMPLETED", "FAILED"):
         return "READY", fence, 0, rejected, None, None
     if kind == "CLAIM" and (status == "READY" or status == "RETRY_WAIT" and due <= ts or status == "RUNNING" and until < ts):
@@ -35,22 +40,40 @@ def step(state: tuple, kind: str, ts: pd.Timestamp, lease: pd.Timedelta) -> tupl
             return "COMPLETED", fence, retries, rejected, None, None
         if kind == "FAIL":
             if retries < len(RETRY_MINUTES):
-                return "RETRY_WAIT", fence, retries + 1, rejected, None, ts + pd.Timedelta(minutes=RETRY_MINUTES[retries])
+                return "RETRY_WAIT", fence, retries + 1, rejected, None, ts + dt.timedelta(minutes=RETRY_MINUTES[retries])
             return "FAILED", fence, retries, rejected, None, None
     return status, fence, retries, rejected + 1, until, due
 
 
 def fold(events: DataFrame, lease_minutes: int = 600) -> DataFrame:
-    """(job_id, state columns) after all events (job_id, event_id, ts, kind); a job's log is one group."""
-
-    def run(key: tuple, log: pd.DataFrame) -> pd.DataFrame:
-        state = (None, 0, 0, 0, None, None)
-        for kind, ts in log.sort_values(["ts", "event_id"])[["kind", "ts"]].itertuples(index=False):
-            state = step(state, kind, ts, pd.Timedelta(minutes=lease_minutes))
-        out = pd.DataFrame([(key[0], *state)], columns=["job_id", "status", "fence", "retries", "rejected", "lease_until", "next_retry"])
-        return out.astype({"lease_until": "datetime64[us]", "next_retry": "datetime64[us]"})
+    """(job_id, state columns) after all events (job_id, event_id, ts, kind).
 
-    return events.groupBy("job_id").applyInPandas(run, f"job_id {dict(events.dtypes)['job_id']}, {STATE}")
+    Logs come sorted, one after the other, so that a task holds one state and one Arrow batch, however long a log is.
+    """
+    kind = dict(events.dtypes)["job_id"]
+    stamp = pa.timestamp("us")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lease, begin, now, state = dt.timedelta(minutes=lease_minutes), (None, 0, 0, 0, None, None), [], None
+        for batch in batches:
+            done: list[tuple] = []
+            for job, what, ts in zip(batch.column("job_id").to_pylist(), batch.column("kind").to_pylist(), batch.column("ts").to_pylist(), strict=True):
+                if now != [job]:
+                    done += [(now[0], *state)] if now else []
+                    now, state = [job], begin
+                state = step(state, what, ts, lease)
+            job_type = batch.column("job_id").type
+            yield table(done, job_type)
+        if now:
+            yield table([(now[0], *state)], job_type)
+
+    def table(rows: list[tuple], job_type: pa.DataType) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [()] * 7
+        kinds = (job_type, pa.string(), pa.int64(), pa.int64(), pa.int64(), stamp, stamp)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["job_id", "status", "fence", "retries", "rejected", "lease_until", "next_retry"])
+
+    rows = events.select("job_id", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "kind")
+    return rows.repartition("job_id").sortWithinPartitions("job_id", "ts", "event_id").mapInArrow(run, f"job_id {kind}, {STATE}")
 
 
 def ranked_by_time(rows: DataFrame, ts: str, tie: str, name: str, unit: str = "hour") -> DataFrame:

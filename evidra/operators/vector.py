@@ -96,9 +96,15 @@ def _found(vectors: DataFrame, rows: list, k: int, id_col: str, vector_col: str)
     return vectors.select(id_col, vector_col).mapInArrow(run, "query_id long, cand_id long, score double")
 
 
-def sparse_top(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(query_id, doc_id, score, rank) of term weights (query_id, term, w) and (doc_id, term, w): an equi-join on terms."""
-    scored = queries.alias("q").join(docs.alias("d"), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("q.w") * F.col("d.w")).alias("score")).where("score > 0")
+def sparse_top(queries: DataFrame, docs: DataFrame, k: int, most: int = 1_000_000) -> DataFrame:
+    """(query_id, doc_id, score, rank) of term weights (query_id, term, w) and (doc_id, term, w); rows of one term add up.
+
+    Weights of the queries are broadcast where they are at most `most` rows (counted), so no posting of a document is
+    shuffled and a frequent term meets no single task; beyond, they are joined on the term.
+    """
+    q = queries.select("query_id", "term", F.col("w").alias("_q"))
+    q = F.broadcast(q) if q.count() <= most else q
+    scored = docs.join(q, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("_q") * F.col("w")).alias("score")).where("score > 0")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 

@@ -13,28 +13,22 @@ from ..functions import literals as li
 from ..functions import snippets as sn
 from ..functions import text as tx
 from ..functions import typed_values as tv
-from ..operators import evidence, jobs, sections, selection, structure, typed, vector
+from ..operators import evidence, jobs, needles, sections, selection, structure, typed, vector
 from ..sources import files
-from .corpus import DUCK, DUCK_EVERY50, active_chunks, active_runs, every_50th, register, runs_every50, table, versions
+from .corpus import DUCK, active_chunks, active_runs, every_50th, register, runs, table, versions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
 def same(name: str, body: str) -> None:
-    """A relational query that is plain SQL over the corpus views; over ranked runs, once more over every 50th vector."""
+    """A relational query that is plain SQL over the corpus views."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        register(spark, sf_dir)
-        return spark.sql(body)
-
-    def run_every50(spark: SparkSession, sf_dir: str) -> DataFrame:
-        register(spark, sf_dir, runs_every50)
+        register(spark, sf_dir, body)
         return spark.sql(body)
 
     QUERIES[name], ORACLE[name] = run, DUCK + body
-    if "runs_v" in body:
-        QUERIES[f"{name}_every50"], ORACLE[f"{name}_every50"] = run_every50, DUCK_EVERY50 + body
 
 
 def pair(oracle: str | None) -> Callable:
@@ -68,33 +62,27 @@ same("owner_scope_leaks", "SELECT c.chunk_id FROM chunks_v c JOIN versions_v v O
 # Vectors
 
 _KNN = "SELECT query_id, cand_id, rank, round(score, 6) AS score, round(1 - score, 6) AS distance FROM ({}) x"
-_PAIRS = "SELECT q.vec_id AS query_id, c.vec_id AS cand_id, list_cosine_similarity(q.v, c.v) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.v, c.v) DESC, c.vec_id) AS rank FROM unit q, unit c WHERE q.vec_id < {q} AND q.vec_id <> c.vec_id"
-
-
-def _knn(spark, sf_dir, queries: int, k: int) -> DataFrame:
-    v = table(spark, sf_dir, "embeddings")
-    return _scored(vector.knn(v, v.where(F.col("vec_id") < queries), k))
+_PAIRS = "SELECT q.vec_id AS query_id, c.vec_id AS cand_id, list_cosine_similarity(q.v, c.v) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.v, c.v) DESC, c.vec_id) AS rank FROM unit q, unit c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id"
 
 
 def _scored(found: DataFrame) -> DataFrame:
     return found.select("query_id", "cand_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"), F.round(1 - F.col("score"), 6).alias("distance"))
 
 
-@pair(_KNN.format("SELECT * FROM (" + _PAIRS.format(q=50) + ") WHERE rank <= 20"))
-def knn_top20_multi(spark, sf_dir):
-    return _knn(spark, sf_dir, 50, 20)
+def _nearest_to_every_50th(spark, sf_dir, k: int) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings")
+    return _scored(vector.knn_in_blocks(v, every_50th(v), k))
 
 
-@pair(_KNN.format("SELECT * FROM (" + _PAIRS.format(q=5) + ") WHERE rank <= 5"))
-def knn_top5(spark, sf_dir):
-    return _knn(spark, sf_dir, 5, 5)
+@pair(_KNN.format("SELECT * FROM (" + _PAIRS + ") WHERE rank <= 20"))
+def knn_top20_multi(spark, sf_dir):
+    """Every row whose id is divisible by 50 against all rows."""
+    return _nearest_to_every_50th(spark, sf_dir, 20)
 
 
-@pair(_KNN.format("SELECT * FROM (" + _PAIRS.replace("q.vec_id < {q}", "q.vec_id % 50 = 0") + ") WHERE rank <= 20"))
-def knn_top20_every50(spark, sf_dir):
-    """Every row whose id is divisible by 50 against all rows."""
-    v = table(spark, sf_dir, "embeddings")
-    return _scored(vector.knn_in_blocks(v, every_50th(v), 20))
+@pair(_KNN.format("SELECT * FROM (" + _PAIRS + ") WHERE rank <= 5"))
+def knn_top5(spark, sf_dir):
+    return _nearest_to_every_50th(spark, sf_dir, 5)
 
 
 @pair("SELECT c.vec_id, round(1 - list_cosine_similarity(q.v, c.v), 6) AS distance, row_number() OVER (ORDER BY list_cosine_similarity(q.v, c.v) DESC, c.vec_id) AS rank FROM unit q, unit c WHERE q.vec_id = 0 AND c.vec_id <> 0 ORDER BY rank LIMIT 20")
@@ -104,17 +92,10 @@ def knn_single_query(spark, sf_dir):
     return vector.nearest(v.where("vec_id <> 0"), q, 20).select("vec_id", F.round("distance", 6).alias("distance"), "rank")
 
 
-@pair("""SELECT r.query_id, r.cand_id, r.rank, round(r.score, 6) AS score, v.document_id, concat(v.lang, ' ', v.source) AS title, v.version_no
-  FROM runs_v r JOIN versions_v v ON v.version_id = r.cand_id WHERE r.rank <= 5 AND v.status = 'ACTIVE'""")
-def evidence_candidates(spark, sf_dir):
-    register(spark, sf_dir)
-    return spark.table("runs_v").where("rank <= 5").join(spark.table("versions_v").where("status = 'ACTIVE'"), F.col("cand_id") == F.col("version_id")).select("query_id", "cand_id", "rank", F.round("score", 6).alias("score"), "document_id", F.concat_ws(" ", "lang", "source").alias("title"), "version_no")
-
-
 @pair("""SELECT query_id, cand_id, rank, round(score, 6) AS score, v.document_id, concat(v.lang, ' ', v.source) AS title, v.version_no
   FROM (SELECT q.vec_id AS query_id, c.vec_id AS cand_id, list_cosine_similarity(q.v, c.v) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.v, c.v) DESC, c.vec_id) AS rank
    FROM unit q, unit c JOIN versions_v a ON a.version_id = c.vec_id AND a.status = 'ACTIVE' WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id) r JOIN versions_v v ON v.version_id = r.cand_id WHERE rank <= 5""")
-def evidence_candidates_active(spark, sf_dir):
+def evidence_candidates(spark, sf_dir):
     """The five best active candidates of every 50th vector; other versions take no place."""
     found = active_runs(table(spark, sf_dir, "embeddings"), docs(spark, sf_dir), 5)
     v = versions(docs(spark, sf_dir)).where("status = 'ACTIVE'").select("version_id", "document_id", F.concat_ws(" ", "lang", "source").alias("title"), "version_no")
@@ -141,10 +122,11 @@ terms_q AS (SELECT item_id AS query_id, t AS term, count(*) AS w FROM (SELECT it
 s AS (SELECT query_id, doc_id, sum(q.w * d.w)::BIGINT AS score FROM terms_q q JOIN terms_d d USING (term) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) SELECT * FROM r WHERE rank <= 20""")
 def sparse_dot_topk(spark, sf_dir):
-    def weights(rows, key, name):
-        return rows.select(F.col(key).alias(name), F.explode(tx.tokens(F.col("text"))).alias("term")).groupBy(name, "term").agg(F.count("*").alias("w"))
+    def weights(rows, key, name):  # a row for each occurrence: weights of one term add up
+        return rows.select(F.col(key).alias(name), F.explode(tx.tokens(F.col("text"))).alias("term"), F.lit(1).alias("w"))
 
-    return vector.sparse_top(weights(table(spark, sf_dir, "benchmark"), "item_id", "query_id"), weights(docs(spark, sf_dir), "doc_id", "doc_id"), 20)
+    asked = weights(table(spark, sf_dir, "benchmark"), "item_id", "query_id").groupBy("query_id", "term").agg(F.sum("w").alias("w"))
+    return vector.sparse_top(asked, weights(docs(spark, sf_dir), "doc_id", "doc_id"), 20)
 
 
 # Text
@@ -184,16 +166,8 @@ def numeric_anchors(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.explode(kr.numeric_anchors("text")).alias("a")).select("doc_id", "a.number", "a.unit")
 
 
-@pair(f"""SELECT term, df, round(1 - df / n, 6) AS rarity FROM (SELECT t AS term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({_TOKENS_D}) AS t FROM documents) GROUP BY 1) a, (SELECT count(*) AS n FROM documents) b WHERE df >= 5""")
-def doc_frequency(spark, sf_dir):
-    d = docs(spark, sf_dir)
-    n = d.count()
-    df = d.select(F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    return df.where("df >= 5").select("term", "df", F.round(1 - F.col("df") / n, 6).alias("rarity"))
-
-
 @pair(f"""SELECT term, df, round(1 - df / n, 6) AS rarity FROM (SELECT t AS term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({_TOKENS_D}) AS t FROM documents) GROUP BY 1) a, (SELECT count(*) AS n FROM documents) b""")
-def doc_frequency_all(spark, sf_dir):
+def doc_frequency(spark, sf_dir):
     """All terms, those of one document too."""
     d = docs(spark, sf_dir)
     n = d.count()
@@ -252,20 +226,7 @@ def boundary_overlap_pairs(spark, sf_dir):
 @pair("SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(regexp_replace(lower(d.text), '\\s+', ' ', 'g'), regexp_replace(lower(b.text), '\\s+', ' ', 'g'))")
 def literal_candidates(spark, sf_dir):
     flat = lambda c: F.regexp_replace(F.lower(c), r"\s+", " ")
-    items = table(spark, sf_dir, "benchmark").select("item_id", flat("text").alias("needle"))
-    # six whole words of an item make the containment an equi-join: no pair is tried without them in common;
-    # the words are bound by a lambda, else the optimiser would split the text again for every position
-    at = lambda w: F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - 5))
-    grams = F.transform(F.array(F.split(flat("text"), " ")), lambda w: F.array_distinct(F.transform(at(w), lambda i: F.array_join(F.slice(w, i, 6), " "))))[0]
-    d = docs(spark, sf_dir)
-    anchors = d.select("doc_id", F.explode(grams).alias("anchor"))
-    words = F.split("needle", " ")
-    probe = items.where(F.size(words) >= 8).withColumn("anchor", F.array_join(F.slice(words, 2, 6), " "))
-    met = anchors.join(probe, "anchor").select("doc_id", "item_id", "needle").distinct()
-    plain = d.select("doc_id", flat("text").alias("flat"))
-    long = met.join(plain, "doc_id").where(F.col("flat").contains(F.col("needle"))).select("item_id", "doc_id")
-    short = plain.join(items.where(F.size(words) < 8), F.col("flat").contains(F.col("needle"))).select("item_id", "doc_id")
-    return long.unionByName(short)
+    return needles.holding(docs(spark, sf_dir).select("doc_id", flat("text").alias("flat")), table(spark, sf_dir, "benchmark").select("item_id", flat("text").alias("needle")), "doc_id", "flat", "item_id", "needle")
 
 
 @pair(None)
@@ -344,13 +305,8 @@ same("judge_verify", f"""SELECT query_id, version_id, CASE WHEN NOT found THEN '
 
 # Typed values
 
-@pair(typed.ATOMS_DUCK)
-def date_atoms(spark, sf_dir):
-    return typed.date_atoms(spark.createDataFrame([(r,) for r in typed.ATOM_EXAMPLES], "raw string"))
-
-
 @pair(typed.DOCUMENT_ATOMS_DUCK)
-def document_date_atoms(spark, sf_dir):
+def date_atoms(spark, sf_dir):
     """The date strings of all documents, each with its interval."""
     raws = docs(spark, sf_dir).select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(typed.DATE_STRING), 1))).alias("raw"))
     atoms = typed.date_atoms(raws.select("raw").distinct())
@@ -367,22 +323,8 @@ def typed_evaluate(spark, sf_dir):
 
 @pair("SELECT query_id, cand_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN rel = 2 THEN 0 WHEN rel = 1 THEN 1 ELSE 2 END, rank) AS new_rank FROM runs_v")
 def typed_partition(spark, sf_dir):
-    register(spark, sf_dir)
-    return _partitioned(spark)
-
-
-def typed_partition_every50(spark, sf_dir):
-    register(spark, sf_dir, runs_every50)
-    return _partitioned(spark)
-
-
-QUERIES["typed_partition_every50"] = typed_partition_every50
-ORACLE["typed_partition_every50"] = ORACLE["typed_partition"].replace(DUCK, DUCK_EVERY50)
-
-
-def _partitioned(spark) -> DataFrame:
     state = F.when(F.col("rel") == 2, "SATISFIED").when(F.col("rel") == 1, "UNKNOWN").otherwise("CONTRADICTED")
-    return typed.stable_partition(spark.table("runs_v").withColumn("state", state), "query_id", "rank").select("query_id", "cand_id", "new_rank")
+    return typed.stable_partition(runs(table(spark, sf_dir, "embeddings")).withColumn("state", state), "query_id", "rank").select("query_id", "cand_id", "new_rank")
 
 
 def _readings(rows: DataFrame, key: str, read) -> DataFrame:
@@ -415,10 +357,9 @@ def typed_state(spark, sf_dir):
 @pair(None)
 def evidence_selection(spark, sf_dir):
     """Children chosen by state: the questions in turn over the runs of every 50th vector, a candidate document being one passage."""
-    register(spark, sf_dir, runs_every50)
     asked = spark.createDataFrame(list(enumerate(typed.QUESTIONS)), "k long, query string")
     kids = structure.children(docs(spark, sf_dir), "doc_id").select(F.col("doc_id").alias("cand_id"), (F.col("ordinal").cast("long") * 1000 + F.col("part")).alias("child_no"), "content")
-    ranked = spark.table("runs_v").withColumn("k", F.expr("query_id div 50") % len(typed.QUESTIONS)).join(asked, "k").join(kids, "cand_id")
+    ranked = runs(table(spark, sf_dir, "embeddings")).withColumn("k", F.expr("query_id div 50") % len(typed.QUESTIONS)).join(asked, "k").join(kids, "cand_id")
     return selection.select_evidence(ranked.select("query_id", "query", F.col("rank").alias("passage_rank"), "child_no", (F.col("cand_id") * 10_000_000 + F.col("child_no")).alias("child_id"), "content"))
 
 
@@ -427,8 +368,7 @@ def evidence_selection(spark, sf_dir):
 same("latest_version", "SELECT d.document_id, l.version_id AS latest_id, l.status AS latest_status, a.version_id AS active_id FROM (SELECT DISTINCT document_id FROM versions_v) d LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY version_no DESC) AS rn FROM versions_v) l ON l.document_id = d.document_id AND l.rn = 1 LEFT JOIN versions_v a ON a.document_id = d.document_id AND a.status = 'ACTIVE'")
 same("dispatch_anti_join", "SELECT v.document_id, v.version_id FROM versions_v v WHERE v.status = 'ACTIVE' AND NOT EXISTS (SELECT 1 FROM chunks_v c WHERE c.document_id = v.document_id AND c.version_id = v.version_id AND c.owner_id = v.owner_id AND c.chunk_no = 3)")
 same("eligible_semi_join", "SELECT v.document_id, v.version_id FROM versions_v v WHERE EXISTS (SELECT 1 FROM document_tags_v t WHERE t.document_id = v.document_id AND t.owner_id = v.owner_id AND t.tag_id = 7)")
-same("lineage_join", "SELECT c.chunk_id, v.version_no, t.name FROM chunks_v c JOIN versions_v v ON v.document_id = c.document_id AND v.version_id = c.version_id AND v.owner_id = c.owner_id JOIN document_tags_v dt ON dt.document_id = v.document_id AND dt.owner_id = v.owner_id AND dt.tag_id < 5 JOIN tags_v t ON t.tag_id = dt.tag_id WHERE v.status = 'ACTIVE' AND v.version_no = 2")
-same("lineage_join_whole", "SELECT c.chunk_id, v.version_no, t.tag_id, t.name FROM chunks_v c JOIN versions_v v ON v.document_id = c.document_id AND v.version_id = c.version_id AND v.owner_id = c.owner_id JOIN document_tags_v dt ON dt.document_id = v.document_id AND dt.owner_id = v.owner_id JOIN tags_v t ON t.tag_id = dt.tag_id WHERE v.status = 'ACTIVE'")
+same("lineage_join", "SELECT c.chunk_id, v.version_no, t.tag_id, t.name FROM chunks_v c JOIN versions_v v ON v.document_id = c.document_id AND v.version_id = c.version_id AND v.owner_id = c.owner_id JOIN document_tags_v dt ON dt.document_id = v.document_id AND dt.owner_id = v.owner_id JOIN tags_v t ON t.tag_id = dt.tag_id WHERE v.status = 'ACTIVE'")
 same("document_list", "SELECT version_id, source, status FROM versions_v WHERE lang = 'en' AND lower(source) LIKE '%src1%' AND status <> 'FAILED'")
 same("tag_search", "SELECT tag_id, name, row_number() OVER (ORDER BY CASE WHEN name = 'NATION_1' THEN 0 ELSE 1 END, CASE WHEN owner_id IS NULL THEN 0 ELSE 1 END, name, tag_id) AS pos FROM tags_v WHERE (owner_id IS NULL OR owner_id = 3) AND name LIKE '%N_TION^_1%' ESCAPE '^'")
 same("tag_usage", "SELECT t.tag_id, t.name, count(DISTINCT dt.document_id) AS n_documents FROM tags_v t JOIN document_tags_v dt ON dt.tag_id = t.tag_id AND (t.owner_id IS NULL OR t.owner_id = dt.owner_id) GROUP BY t.tag_id, t.name")
@@ -446,7 +386,6 @@ same("upsert_do_nothing", "SELECT document_id, tag_id FROM document_tags_v UNION
 
 same("top_per_document", "SELECT query_id, cand_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, group_id ORDER BY rank) AS rn FROM runs_v) a WHERE rn <= 2 AND rank <= 10")
 same("presentation_dedup", "SELECT query_id, cand_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, group_id ORDER BY rank) AS rn FROM runs_v) a WHERE rn = 1")
-same("rrf_fusion", "SELECT query_id, cand_id, round(s, 6) AS rrf, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, dr NULLS LAST, lr NULLS LAST, cand_id) AS BIGINT) AS rank FROM (SELECT coalesce(d.query_id, l.query_id) AS query_id, coalesce(d.cand_id, l.cand_id) AS cand_id, d.rank AS dr, l.rank AS lr, coalesce(CAST(1 AS DOUBLE) / (60 + d.rank), 0) + coalesce(CAST(1 AS DOUBLE) / (60 + l.rank), 0) AS s FROM (SELECT * FROM runs_v WHERE rank <= 12) d FULL OUTER JOIN (SELECT query_id, cand_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY group_id, cand_id) AS BIGINT) AS rank FROM runs_v WHERE rel > 0) l ON d.query_id = l.query_id AND d.cand_id = l.cand_id) f")
 same("merge_candidates", "SELECT query_id, cand_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, cand_id ORDER BY score DESC, side) AS rn FROM (SELECT query_id, cand_id, score, 0 AS side FROM runs_v WHERE rank <= 10 UNION ALL SELECT query_id, cand_id, score + CASE WHEN rel = 2 THEN 0.01 ELSE 0 END, 1 FROM runs_v WHERE rank > 5) u) m WHERE rn = 1")
 same("rerank_order", "SELECT query_id, cand_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, rank, cand_id) AS BIGINT) AS new_rank FROM runs_v")
 same("synthetic_scores", "SELECT query_id, cand_id, round(0.50 + 0.04 * (count(*) OVER (PARTITION BY query_id) - rank), 6) AS score FROM runs_v")
@@ -475,12 +414,11 @@ same("localization_iou", "SELECT version_id, sum(hi - lo) AS covered, count(*) A
 @pair(None)
 def bootstrap_ci(spark, sf_dir):
     """Paired bootstrap over every 50th vector as query: 1,000 resamples by a seeded hash, 95 % interval of the mean difference."""
-    register(spark, sf_dir, runs_every50)
-    per = spark.table("runs_v").groupBy("query_id").agg(F.max((F.col("rank") <= 1).cast("int") * F.col("rel") / 2).alias("a"), F.max((F.col("rank") <= 5).cast("int") * F.col("rel") / 2).alias("b")).select((F.col("query_id")).alias("i"), (F.col("b") - F.col("a")).alias("d"))
+    per = runs(table(spark, sf_dir, "embeddings")).groupBy("query_id").agg(F.max((F.col("rank") <= 1).cast("int") * F.col("rel") / 2).alias("a"), F.max((F.col("rank") <= 5).cast("int") * F.col("rel") / 2).alias("b")).select((F.col("query_id")).alias("i"), (F.col("b") - F.col("a")).alias("d"))
     per = per.withColumn("i", F.row_number().over(Window.orderBy("i")) - 1)  # a row per query
     n = per.count()
     draws = spark.range(1000).select(F.col("id").alias("sample")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(n - 1, 0)).cast("long")))).withColumn("i", F.pmod(F.xxhash64("sample", "j", F.lit(42042)), F.lit(max(n, 1))))
-    means = draws.join(F.broadcast(per), "i").groupBy("sample").agg(F.avg("d").alias("m"))
+    means = draws.join(per, "i").groupBy("sample").agg(F.avg("d").alias("m"))
     return means.agg(F.round(F.expr("percentile_disc(0.025) WITHIN GROUP (ORDER BY m)"), 6).alias("low"), F.round(F.avg("m"), 6).alias("mean"), F.round(F.expr("percentile_disc(0.975) WITHIN GROUP (ORDER BY m)"), 6).alias("high"))
 
 
@@ -488,7 +426,7 @@ def bootstrap_ci(spark, sf_dir):
 
 @pair("SELECT job_id, event_id, CAST(row_number() OVER (ORDER BY ts, event_id) AS BIGINT) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) AS rn FROM job_events_v WHERE kind = 'ENQUEUE') e WHERE rn = 1")
 def claim_order(spark, sf_dir):
-    register(spark, sf_dir)
+    register(spark, sf_dir, "job_events_v")
     w = Window.partitionBy("job_id").orderBy("ts", "event_id")
     first = spark.table("job_events_v").where("kind = 'ENQUEUE'").withColumn("rn", F.row_number().over(w)).where("rn = 1")
     return jobs.ranked_by_time(first.select("job_id", "event_id", "ts"), "ts", "event_id", "pos").drop("ts")
@@ -503,7 +441,7 @@ same("hourly_windows", "SELECT date_trunc('hour', ts) AS start, kind, count(*) A
 
 @pair(None)
 def job_fold(spark, sf_dir):
-    register(spark, sf_dir)
+    register(spark, sf_dir, "job_events_v")
     return jobs.fold(spark.table("job_events_v"))
 
 
@@ -514,7 +452,6 @@ def job_recovery(spark, sf_dir):
 
 # Composite policies over ranked runs
 
-same("short_token_rescue", "SELECT r.query_id, r.cand_id, round(r.score, 6) AS score FROM runs_v r JOIN (SELECT query_id FROM runs_v GROUP BY query_id HAVING max(score) < 0.5) q ON r.query_id = q.query_id WHERE r.score >= 0.3 AND r.rank = 1")
 same("promoted_scores", "SELECT query_id, cand_id, round(score, 6) AS orig_score, round(CASE WHEN rel = 2 AND score < 0.5 THEN 0.5 ELSE score END, 6) AS elig_score FROM runs_v")
 same("deferred_dedup", "SELECT query_id, cand_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, group_id ORDER BY rank) AS rn FROM runs_v WHERE score >= 0.3 OR rel = 2) e WHERE rn = 1")
 same("keep_first_union", "SELECT query_id, cand_id, arm FROM (SELECT *, row_number() OVER (PARTITION BY query_id, cand_id ORDER BY arm, rank) AS rn FROM (SELECT query_id, cand_id, rank, 0 AS arm FROM runs_v WHERE rank <= 8 UNION ALL SELECT query_id, cand_id, rank, 1 FROM runs_v WHERE rel >= 1) u) m WHERE rn = 1")
@@ -532,7 +469,7 @@ same("embedding_reuse_plan", "SELECT c.chunk_id, CASE WHEN r.first_id IS NULL OR
 same("delete_guard", "SELECT d.document_id FROM (SELECT DISTINCT document_id FROM versions_v) d WHERE NOT EXISTS (SELECT 1 FROM versions_v v WHERE v.document_id = d.document_id AND v.status = 'FAILED')")
 @pair("SELECT job_id, event_id, CAST(row_number() OVER (ORDER BY due, event_id) AS BIGINT) AS pos FROM (SELECT job_id, event_id, ts + INTERVAL '5' MINUTE AS due FROM job_events_v WHERE kind = 'FAIL') f WHERE due <= TIMESTAMP '2024-01-15 00:00:00'")
 def outbox_poll(spark, sf_dir):
-    register(spark, sf_dir)
+    register(spark, sf_dir, "job_events_v")
     due = spark.sql("SELECT job_id, event_id, ts + INTERVAL '5' MINUTE AS due FROM job_events_v WHERE kind = 'FAIL' AND ts + INTERVAL '5' MINUTE <= TIMESTAMP_NTZ '2024-01-15 00:00:00'")
     return jobs.ranked_by_time(due, "due", "event_id", "pos").drop("due")
 

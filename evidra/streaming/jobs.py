@@ -24,7 +24,7 @@ def job_states(events: DataFrame, lease_minutes: int = 600) -> DataFrame:
             status, fence, retries, rejected, until, due = held.get
             state = (status or None, fence, retries, rejected, *(pd.Timestamp(x, unit="us") if x >= 0 else None for x in (until, due)))
         for kind, ts in log[["kind", "ts"]].itertuples(index=False):
-            state = step(state, kind, ts.tz_localize(None) if ts.tzinfo else ts, pd.Timedelta(minutes=lease_minutes))
+            state = step(state, kind, None if pd.isna(ts) else ts.tz_localize(None) if ts.tzinfo else ts, pd.Timedelta(minutes=lease_minutes))
         number = lambda x: -1 if x is None else x.value // 1000
         held.update((state[0] or "", *state[1:4], number(state[4]), number(state[5])))
         yield pd.DataFrame([(key[0], *state[:4])], columns=["job_id", *_COLUMNS[:4]])

@@ -4,6 +4,7 @@ import pytest
 
 import oracle
 from evidra.plans import queries as plans
+from evidra.plans import retrieval  # noqa: F401  registers its queries
 
 SF = "/root/testdata/sf0.001"
 
