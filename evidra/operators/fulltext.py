@@ -19,9 +19,9 @@ def document_frequencies(docs: DataFrame, id_col: str, text_col: str) -> DataFra
     return each.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def rarest_terms(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str, n: int = 3) -> DataFrame:
+def rarest_terms(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str, n: int = 3, asked_id: str | None = None) -> DataFrame:
     """(query_id, term): the n terms of each asked text, read whole, that the fewest of docs have; ties by term."""
-    own = asked.select(F.col(id_col).alias("query_id"), F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("term"))
+    own = asked.select(F.col(asked_id or id_col).alias("query_id"), F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("term"))
     w = Window.partitionBy("query_id").orderBy("df", "term")
     ranked = own.join(document_frequencies(docs, id_col, text_col), "term").withColumn("rn", F.row_number().over(w))
     return ranked.where(F.col("rn") <= n).select("query_id", "term")

@@ -58,13 +58,19 @@ def knn_in_blocks(vectors: DataFrame, queries: DataFrame, k: int, id_col: str =
     return _ranked(reduce(DataFrame.unionByName, blocks or [_found(vectors, [], k, id_col, vector_col)]), k)
 
 
+def all_scores(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", most: int = MAX_QUERIES) -> DataFrame:
+    """(query_id, cand_id, score) of every query with every other vector; a scan of the vectors for each block of queries."""
+    blocks = [_found(vectors, list(rows), None, id_col, vector_col) for rows in batched(queries.select(id_col, vector_col).toLocalIterator(), most)]
+    return reduce(DataFrame.unionByName, blocks or [_found(vectors, [], None, id_col, vector_col)])
+
+
 def _ranked(found: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "cand_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _found(vectors: DataFrame, rows: list, k: int, id_col: str, vector_col: str) -> DataFrame:
-    """(query_id, cand_id, score): the best k of each Arrow batch for every query, and their ties."""
+def _found(vectors: DataFrame, rows: list, k: int | None, id_col: str, vector_col: str) -> DataFrame:
+    """(query_id, cand_id, score): the best k of each Arrow batch for every query, and their ties; without k all."""
     ids = np.array([r[0] for r in rows], np.int64)
     q = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1 if rows else 0)
     sent = vectors.sparkSession.sparkContext.broadcast((ids, q / np.linalg.norm(q, axis=1, keepdims=True) if len(q) else q))
@@ -82,7 +88,7 @@ def _found(vectors: DataFrame, rows: list, k: int, id_col: str, vector_col: str)
             v = batch.column(vector_col).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)
             with np.errstate(all="ignore"):
                 v = (v / np.linalg.norm(v, axis=1, keepdims=True)).T
-            m = min(k, len(own))
+            m = min(k or len(own), len(own))
             for at in range(0, len(all_ids), SLAB):
                 ids, q = all_ids[at : at + SLAB], all_q[at : at + SLAB]
                 score = q @ v

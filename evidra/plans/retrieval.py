@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import fulltext as ft
-from ..operators import vector
-from .corpus import active_chunks, active_runs, every_50th, runs, table, versions
-from .queries import _TOKENS_D, QUERIES, docs, pair
+from ..operators import structure, vector
+from .corpus import active_chunks, active_runs, every_50th, table, versions
+from .queries import _BLOCKS_D, _TOKENS_D, docs, pair
 
 _OF = lambda column: _TOKENS_D.replace("lower(text)", f"lower({column})")
 
@@ -61,10 +61,17 @@ def _rounded(fused: DataFrame) -> DataFrame:
 # Lexical and hybrid retrieval
 
 
-@pair(_FTS + " SELECT query_id, chunk_id, round(density, 6) AS density, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY density DESC, chunk_id) AS rank FROM fts) WHERE rank <= 20")
+_ITEMS_KW = f""", kw AS (SELECT item_id AS query_id, term FROM (SELECT item_id, term, row_number() OVER (PARTITION BY item_id ORDER BY df, term) AS rn FROM (SELECT DISTINCT item_id, t AS term FROM (SELECT item_id, unnest({_TOKENS_D}) AS t FROM benchmark)) JOIN df USING (term)) WHERE rn <= 3),
+need AS"""
+_ITEMS_FTS = _FTS.replace(_FTS[_FTS.index(", kw AS") if ", kw AS" in _FTS else _FTS.index(",\nkw AS") : _FTS.index("need AS") + 7], _ITEMS_KW)
+
+
+@pair(_ITEMS_FTS + " SELECT query_id, chunk_id, round(density, 6) AS density, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY density DESC, chunk_id) AS rank FROM fts) WHERE rank <= 20")
 def fts_candidates(spark, sf_dir):
-    """Active chunks with all words of a query, by cover density."""
-    found = ft.matches(_asked(spark, sf_dir), active_chunks(docs(spark, sf_dir)), "chunk_id", "content")
+    """Active chunks with the three rarest words of a benchmark item, by cover density."""
+    d = docs(spark, sf_dir)
+    asked = ft.rarest_terms(d, table(spark, sf_dir, "benchmark"), "doc_id", "text", asked_id="item_id")
+    found = ft.matches(asked, active_chunks(d), "chunk_id", "content")
     return ft.top(found, "density", "chunk_id", 20).withColumn("density", F.round("density", 6))
 
 
@@ -180,3 +187,130 @@ def top2_documents(spark, sf_dir):
     d = one.join(apart, both, "left").select(*both, F.col("o.chunk_id").alias("best"), ((F.col("o.score") + F.coalesce("second", "o.score")) / 2).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "best", "version_id")
     return d.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 20").select(*both, F.round("score", 6).alias("score"), "rank")
+
+
+# Passages, children and inventories: a version's blocks below one heading are a passage, the blocks its children
+
+_PASSAGES = ", " + _BLOCKS_D + """, act AS (SELECT version_id, document_id, owner_id, lang FROM versions_v WHERE status = 'ACTIVE'),
+kids AS (SELECT a.version_id, a.document_id, a.owner_id, a.lang, b.ordinal, b.parent, b.kind, b.start::BIGINT AS start, b."end"::BIGINT AS stop FROM blocks_v b JOIN act a ON a.version_id = b.doc_id WHERE kind <> 'HEADING'),
+passages AS (SELECT version_id, document_id, owner_id, lang, parent, count(*) AS n_children, min(start) AS start, max(stop) AS stop FROM kids GROUP BY ALL)"""
+
+
+def _children(spark, sf_dir) -> DataFrame:
+    v = versions(docs(spark, sf_dir)).where("status = 'ACTIVE'").select("version_id", "document_id", "owner_id", "lang")
+    b = structure.blocks(docs(spark, sf_dir), "doc_id").where("kind <> 'HEADING'")
+    long = [F.col(c).cast("long").alias(n) for c, n in (("ordinal", "ordinal"), ("parent", "parent"), ("start", "start"), ("end", "stop"))]
+    return b.select(F.col("doc_id").alias("version_id"), "kind", "content", *long).join(v, "version_id")
+
+
+def _passages(spark, sf_dir) -> DataFrame:
+    keys = ["version_id", "document_id", "owner_id", "lang", "parent"]
+    return _children(spark, sf_dir).groupBy(*keys).agg(F.count("*").alias("n_children"), F.min("start").alias("start"), F.max("stop").alias("stop"))
+
+
+@pair(_PASSAGES + " SELECT owner_id, document_id, version_id, parent::BIGINT AS parent, n_children, start, stop FROM passages WHERE lang IN ('en', 'de') AND n_children <= 40")
+def passage_scan(spark, sf_dir):
+    """Passages whose lineage is active and whose language is in the contract of the model."""
+    return _passages(spark, sf_dir).where("lang in ('en', 'de') and n_children <= 40").select("owner_id", "document_id", "version_id", "parent", "n_children", "start", "stop")
+
+
+@pair(_PASSAGES + " SELECT k.version_id, k.ordinal::BIGINT AS ordinal, k.parent::BIGINT AS parent, k.kind FROM kids k WHERE EXISTS (SELECT 1 FROM passages p WHERE p.version_id = k.version_id AND p.parent = k.parent AND p.n_children BETWEEN 2 AND 9)")
+def child_scan(spark, sf_dir):
+    """Children of a list of passages."""
+    wanted = _passages(spark, sf_dir).where("n_children between 2 and 9").select("version_id", "parent")
+    return _children(spark, sf_dir).join(wanted, ["version_id", "parent"], "left_semi").select("version_id", "ordinal", "parent", "kind")
+
+
+@pair(_PASSAGES + """ SELECT version_id, parent::BIGINT AS parent, '["' || string_agg(printf('V%d-SB-%04d', version_id, ordinal::BIGINT), '","' ORDER BY ordinal) || '"]' AS block_ids FROM kids GROUP BY version_id, parent""")
+def passage_block_ids(spark, sf_dir):
+    """The distinct block ids of each passage in order, as JSON."""
+    name = F.format_string("V%d-SB-%04d", "version_id", "ordinal")
+    one = _children(spark, sf_dir).groupBy("version_id", "parent").agg(F.array_sort(F.collect_list(F.struct("ordinal", name.alias("id")))).alias("b"))
+    return one.select("version_id", "parent", F.to_json(F.array_distinct(F.transform("b", lambda x: x.id))).alias("block_ids"))
+
+
+@pair(_PASSAGES + """, steps AS (SELECT *, ordinal - lag(ordinal) OVER (PARTITION BY version_id ORDER BY ordinal) AS step, start - lag(stop) OVER (PARTITION BY version_id ORDER BY ordinal) AS gap FROM kids)
+SELECT version_id, count(*) AS n_children, count(DISTINCT ordinal) AS n_distinct, count(DISTINCT parent) AS n_passages, sum(CASE WHEN gap < 0 THEN 1 ELSE 0 END)::BIGINT AS n_overlaps, sum(CASE WHEN step < 1 THEN 1 ELSE 0 END)::BIGINT AS n_disorder, sum(CASE WHEN parent >= ordinal THEN 1 ELSE 0 END)::BIGINT AS n_orphans FROM steps GROUP BY version_id""")
+def inventory_verify(spark, sf_dir):
+    """Counts that an inventory must agree on, and its faults: overlapping, disordered and orphaned children."""
+    w = Window.partitionBy("version_id").orderBy("ordinal")
+    fault = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
+    k = _children(spark, sf_dir).withColumn("step", F.col("ordinal") - F.lag("ordinal").over(w)).withColumn("gap", F.col("start") - F.lag("stop").over(w))
+    return k.groupBy("version_id").agg(F.count("*").alias("n_children"), F.count_distinct("ordinal").alias("n_distinct"), F.count_distinct("parent").alias("n_passages"), fault(F.col("gap") < 0).alias("n_overlaps"), fault(F.col("step") < 1).alias("n_disorder"), fault(F.col("parent") >= F.col("ordinal")).alias("n_orphans"))
+
+
+@pair(", " + _BLOCKS_D + """, h AS (SELECT b.doc_id, ordinal, substr(text, b.start::BIGINT + 1, (b."end" - b.start)::BIGINT) AS title FROM blocks_v b JOIN documents d ON d.doc_id = b.doc_id WHERE kind = 'HEADING'),
+l AS (SELECT *, lag(title) OVER (PARTITION BY doc_id ORDER BY ordinal) AS above FROM h)
+SELECT doc_id, ordinal::BIGINT AS ordinal, left(CASE WHEN above IS NULL THEN title ELSE above || ' > ' || title END, 120) AS path FROM l""")
+def heading_paths(spark, sf_dir):
+    """Each heading with the one before it, at most two deep and 120 characters long."""
+    h = structure.blocks(docs(spark, sf_dir), "doc_id").where("kind = 'HEADING'").select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), "content")
+    above = F.lag("content").over(Window.partitionBy("doc_id").orderBy("ordinal"))
+    return h.select("doc_id", "ordinal", F.left(F.concat_ws(" > ", above, "content"), F.lit(120)).alias("path"))
+
+
+@pair(", " + _BLOCKS_D + """, r AS (SELECT doc_id, ordinal, kind, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) - row_number() OVER (PARTITION BY doc_id, kind ORDER BY ordinal) AS island FROM blocks_v)
+SELECT doc_id, kind, min(ordinal)::BIGINT AS first_block, max(ordinal)::BIGINT AS last_block, count(*) AS n FROM r GROUP BY doc_id, kind, island""")
+def section_runs(spark, sf_dir):
+    """Runs of blocks of one kind; a kind that comes again starts a new run."""
+    w = Window.partitionBy("doc_id").orderBy("ordinal")
+    b = structure.blocks(docs(spark, sf_dir), "doc_id").select("doc_id", "kind", F.col("ordinal").cast("long").alias("ordinal"))
+    fresh = (F.coalesce(F.lag("kind").over(w), F.lit("")) != F.col("kind")).cast("long")
+    runs_ = b.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(w))
+    return runs_.groupBy("doc_id", "run", "kind").agg(F.min("ordinal").alias("first_block"), F.max("ordinal").alias("last_block"), F.count("*").alias("n")).drop("run")
+
+
+@pair(", " + _BLOCKS_D + """, l AS (SELECT doc_id, line_no, bare, sum(CASE WHEN bare = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS part FROM s3)
+SELECT a.doc_id, a.line_no::BIGINT AS line_no, count(b.line_no) AS ahead FROM l a LEFT JOIN l b ON b.doc_id = a.doc_id AND b.part = a.part AND b.bare <> '' AND b.line_no > a.line_no AND b.line_no <= a.line_no + 10 WHERE a.bare <> '' GROUP BY a.doc_id, a.line_no""")
+def look_ahead_lines(spark, sf_dir):
+    """How many of the next ten lines follow each line before a blank one."""
+    lines = docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "raw"))
+    lines = lines.select("doc_id", (F.col("k") + 1).cast("long").alias("line_no"), tx.strip(F.col("raw")).alias("bare"))
+    w = Window.partitionBy("doc_id").orderBy("line_no")
+    part = lines.withColumn("part", F.sum((F.col("bare") == "").cast("long")).over(w)).where("bare <> ''")
+    near = Window.partitionBy("doc_id", "part").orderBy("line_no").rangeBetween(1, 10)
+    return part.select("doc_id", "line_no", F.count("*").over(near).alias("ahead"))
+
+
+# Vectors of passages and children: vectors whose numbers are alike but for the last digit are of one passage
+
+
+@pair(""", q AS (SELECT q.vec_id AS query_id, c.vec_id AS cand_id, c.label AS owner_id, list_cosine_similarity(q.v, c.v) AS score FROM unit q, unit c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT owner_id::BIGINT AS owner_id, query_id, cand_id, row_number() OVER (PARTITION BY owner_id, query_id ORDER BY score DESC, cand_id) AS rank FROM q""")
+def full_user_ranking(spark, sf_dir):
+    """All candidates of every owner for every query, none cut off; the label stands for the owner."""
+    v = table(spark, sf_dir, "embeddings")
+    scored = vector.all_scores(v, every_50th(v)).join(v.select(F.col("vec_id").alias("cand_id"), F.col("label").cast("long").alias("owner_id")), "cand_id")
+    w = Window.partitionBy("owner_id", "query_id").orderBy(F.desc("score"), "cand_id")
+    return scored.select("owner_id", "query_id", "cand_id", F.row_number().over(w).cast("long").alias("rank"))
+
+
+@pair(_DENSE + """, kids AS (SELECT DISTINCT d.query_id, c.vec_id AS child_id FROM dense d JOIN unit c ON c.vec_id // 10 = d.cand_id // 10 WHERE d.rank <= 5)
+SELECT query_id, child_id, round(list_cosine_similarity(q.v, c.v), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(q.v, c.v) DESC, child_id) AS rank FROM kids JOIN unit q ON q.vec_id = query_id JOIN unit c ON c.vec_id = child_id""")
+def child_rescoring(spark, sf_dir):
+    """Children of each query's five best passages, scored anew and no others."""
+    v = table(spark, sf_dir, "embeddings")
+    best = _dense(spark, sf_dir, 5).select("query_id", F.expr("cand_id div 10").alias("passage")).distinct()
+    kids = v.select(F.col("vec_id").alias("child_id"), F.expr("vec_id div 10").alias("passage"), F.col("embedding").alias("c")).join(best, "passage")
+    scored = kids.join(v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id").withColumn("score", 1 - vector.cosine_distance(F.col("q"), F.col("c")))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "child_id")
+    return scored.select("query_id", "child_id", F.round("score", 6).alias("score"), F.row_number().over(w).cast("long").alias("rank"))
+
+
+@pair(_DENSE + " SELECT query_id, cand_id, document_id, version_no, rank, round(1 - score, 6) AS distance FROM dense JOIN versions_v v ON v.version_id = cand_id WHERE v.owner_id = v.document_id % 8 + 1")
+def passage_knn(spark, sf_dir):
+    """The 20 nearest passages of active versions with their checked lineage, by (distance, id)."""
+    v = versions(docs(spark, sf_dir)).where(F.col("owner_id") == F.col("document_id") % 8 + 1).select(F.col("version_id").alias("cand_id"), "document_id", "version_no")
+    return _dense(spark, sf_dir).join(v, "cand_id").select("query_id", "cand_id", "document_id", "version_no", F.col("rank").cast("long").alias("rank"), F.round(1 - F.col("score"), 6).alias("distance"))
+
+
+@pair(_DENSE + """, use AS (SELECT cand_id, count(*) AS n FROM dense WHERE rank <= 5 GROUP BY 1), s AS (SELECT count(*) AS all_v, max(len(v)) AS dims FROM unit)
+SELECT 'PRECOMPUTED' AS strategy, all_v AS computed, (4 * dims * all_v)::BIGINT AS bytes FROM s UNION ALL SELECT 'ON_DEMAND', (SELECT sum(n)::BIGINT FROM use), 0 FROM s UNION ALL SELECT 'CACHED', (SELECT count(*) FROM use), (4 * dims * (SELECT count(*) FROM use))::BIGINT FROM s""")
+def embedding_costs(spark, sf_dir):
+    """How many embeddings each strategy computes for the log of uses, and the bytes it keeps (four a number)."""
+    v = table(spark, sf_dir, "embeddings")
+    whole = v.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dims"))
+    used = _dense(spark, sf_dir, 5).agg(F.count("*").alias("uses"), F.count_distinct("cand_id").alias("once"))
+    both = whole.crossJoin(used)  # one row each
+    row = lambda name, n, kept: F.struct(F.lit(name).alias("strategy"), n.cast("long").alias("computed"), (kept * 4 * F.col("dims")).cast("long").alias("bytes"))
+    return both.select(F.inline(F.array(row("PRECOMPUTED", F.col("n"), F.col("n")), row("ON_DEMAND", F.col("uses"), F.lit(0)), row("CACHED", F.col("once"), F.col("once")))))
