@@ -4,7 +4,7 @@ import pytest
 
 import oracle
 from evidra.plans import queries as plans
-from evidra.plans import retrieval  # noqa: F401  registers its queries
+from evidra.plans import evaluation  # noqa: F401  registers its queries, and those of retrieval
 
 SF = "/root/testdata/sf0.001"
 

@@ -4,8 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from evidra.operators import evidence, vector
-from evidra.plans import corpus
+from evidra.operators import evidence, fulltext, vector
+from evidra.operators.needles import holding
+from evidra.plans import corpus, evaluation  # noqa: F401  the latter registers its queries
 from evidra.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
@@ -82,3 +83,39 @@ def test_knn_passes_over_faulty_vectors(spark):
     q = frame(good).where("vec_id < 2")
     rows = lambda found: sorted((r.query_id, r.cand_id, r.rank) for r in found.collect())
     assert rows(vector.knn(frame(good + bad), q, 2)) == rows(vector.knn_in_blocks(frame(good + bad), q, 2)) == rows(vector.knn(frame(good), q, 2))
+
+
+def test_stream_of_jobs_ends_where_the_batch_fold_does(spark):
+    batch = {tuple(r) for r in plans.QUERIES["job_fold"](spark, SF).select("job_id", "status", "fence", "retries", "rejected").collect()}
+    assert {tuple(r) for r in plans.QUERIES["stream_job_state"](spark, SF).select("job_id", "status", "fence", "retries", "rejected").collect()} == batch
+
+
+def test_needles(spark):
+    texts = spark.createDataFrame([(1, "ab bc"), (2, None), (3, ""), (1, "xx")], "d long, t string")
+    needles = spark.createDataFrame([(1, "b"), (2, "b b"), (3, None), (4, ""), (5, "b")], "n long, s string")
+    got = lambda most: sorted(map(tuple, holding(texts, needles, "d", "t", "n", "s", most=most).collect()))
+    want = sorted([(1, 1), (5, 1), (2, 1), (4, 1), (4, 1), (4, 3)])
+    assert got(100) == got(2) == want
+    assert holding(texts, needles.limit(0), "d", "t", "n", "s").count() == 0
+
+
+def test_cover_density_by_brute_force(spark):
+    rng = random.Random(2)
+    rows = [(k, " ".join(rng.choice("abcx") for _ in range(rng.randrange(1, 14)))) for k in range(60)]
+    queries = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (2, "c")], "query_id long, term string")
+    got = {(r.query_id, r.id): round(r.density, 9) for r in fulltext.matches(queries, spark.createDataFrame(rows, "id long, t string"), "id", "t").collect()}
+    want = {}
+    for q, terms in ((1, {"a", "b"}), (2, {"c"})):
+        for k, text in rows:
+            w = text.split()
+            spans = [(p, e) for e in range(len(w)) for p in range(e + 1) if terms <= set(w[p : e + 1])]
+            least = [(p, e) for p, e in spans if not any(p <= a and b <= e and (a, b) != (p, e) for a, b in spans)]
+            if least:
+                want[q, k] = round(sum(0.1 / (1 + (e - p + 1) - sum(x in terms for x in w[p : e + 1])) for p, e in least), 9)
+    assert got == want
+
+
+def test_fusion_keeps_one_armed_candidates(spark):
+    arm = lambda rows: spark.createDataFrame(rows, "query_id long, cand_id long, rank long")
+    got = fulltext.fuse(arm([(1, 5, 1), (1, 6, 2)]), arm([(1, 6, 1), (1, 7, 2)])).orderBy("pos").collect()
+    assert [(r.cand_id, r.dense_rank, r.other_rank) for r in got] == [(6, 2, 1), (5, 1, None), (7, None, 2)]
