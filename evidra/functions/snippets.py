@@ -170,7 +170,7 @@ class Question:
             (s["actor"] and s["action"], 1_200), (self.metric and s["metric"] and s["result"], 700), (complete and (self.action or self.problem), 4_000), (parts, 80),
             (n - 1, -1_000), (exact * (n - 1), -5_000), (n > 1 and not leads, -3_000), (listed, -3_000), (contact, -1_000_000),
         )
-        return {"score": sum(int(a) * w for a, w in points), "coverage": len(met), "parts": parts, "numeric": numeric, "exact": exact, "complete": complete, "listed": listed, "contact": contact, "narrative": s["action"] or s["problem"] or s["result"]}
+        return {"score": sum(int(a) * w for a, w in points), "coverage": len(met), "parts": parts, "numeric": numeric, "exact": exact, "complete": complete, "listed": listed, "contact": contact, "narrative": s["action"] or s["problem"] or s["result"], "phrase": phrase, "grounded": bool(complete and met and s["action"] and s["result"] or s["metric"] and (s["action"] or s["problem"] or s["result"]))}
 
 
 def best_window(query: str, text: str) -> dict | None:

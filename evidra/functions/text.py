@@ -43,9 +43,9 @@ def coverage(required: Column, had: Column) -> Column:
     return F.when(F.size(required) > 0, F.size(F.array_intersect(required, had)) / F.size(required)).otherwise(F.lit(0.0))
 
 
-def boundary_overlap(left: Column, right: Column, least: int = 80, share: float = 0.3, most: int = 800) -> Column:
+def boundary_overlap(left: Column, right: Column, least: int = 80, share: float = 0.3) -> Column:
     """The longest suffix of left that is a prefix of right, if at least `least` and `share` of the shorter; else 0."""
-    n = F.least(F.length(left), F.length(right), F.lit(most))
+    n = F.least(F.length(left), F.length(right))
     low = F.greatest(F.lit(least), F.ceil(n * share).cast("int"))
     sizes = F.when(n >= low, F.sequence(n, low, F.lit(-1))).otherwise(F.array().cast("array<int>"))
     return F.coalesce(F.get(F.filter(sizes, lambda k: F.right(left, k) == F.left(right, k)), F.lit(0)), F.lit(0))

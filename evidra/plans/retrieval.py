@@ -9,11 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import korean as kr
 from ..functions import text as tx
+from ..functions import unicode as un
+from ..functions import vetoes as vt
+from ..operators import evidence, expansion, structure, vector
 from ..operators import fulltext as ft
-from ..operators import structure, vector
 from .corpus import active_chunks, active_runs, every_50th, table, versions
-from .queries import _BLOCKS_D, _TOKENS_D, docs, pair
+from .queries import _BLOCKS_D, _TOKENS_D, QUERIES, docs, pair
 
 _OF = lambda column: _TOKENS_D.replace("lower(text)", f"lower({column})")
 
@@ -314,3 +317,61 @@ def embedding_costs(spark, sf_dir):
     both = whole.crossJoin(used)  # one row each
     row = lambda name, n, kept: F.struct(F.lit(name).alias("strategy"), n.cast("long").alias("computed"), (kept * 4 * F.col("dims")).cast("long").alias("bytes"))
     return both.select(F.inline(F.array(row("PRECOMPUTED", F.col("n"), F.col("n")), row("ON_DEMAND", F.col("uses"), F.lit(0)), row("CACHED", F.col("once"), F.col("once")))))
+
+
+# Expansion, fallbacks and vetoes: rules of language, without an oracle; fixtures test them
+
+
+def _items(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+@pair(None)
+def evidence_expansion(spark, sf_dir):
+    """What each full-text result of a benchmark item shows: its own lines or a more direct chunk of its version."""
+    chunks = active_chunks(docs(spark, sf_dir)).select("version_id", "chunk_id", "chunk_no", "content")
+    found = fts_candidates(spark, sf_dir).select("query_id", "chunk_id", F.expr("chunk_id div 1000000").alias("version_id")).join(_items(spark, sf_dir), "query_id")
+    return expansion.expand(found, chunks)
+
+
+@pair(None)
+def variant_expansion(spark, sf_dir):
+    """The first variant of each user turn whose words are all in one active chunk, and the chunks that hold them."""
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
+    variants = turns.select("query_id", F.posexplode(F.concat(F.array("text"), kr.variants("text"))).alias("variant", "said"))
+    words = variants.select(F.concat_ws("#", "query_id", "variant").alias("query_id"), F.explode(F.array_distinct(tx.tokens(F.col("said")))).alias("term"))
+    found = ft.matches(words, active_chunks(docs(spark, sf_dir)), "chunk_id", "content")
+    key = F.split("query_id", "#")
+    numbered = found.select(key[0].cast("long").alias("query_id"), key[1].cast("int").alias("variant"), "chunk_id", F.round("density", 6).alias("density"))
+    return expansion.first_found(variants, numbered)
+
+
+@pair(None)
+def numeric_anchor_rescue(spark, sf_dir):
+    """The profile over candidates that hold the query's numbers, lifted to the floor; results keep their own scores."""
+    near = numeric_anchor_candidates(spark, sf_dir).select("query_id", "cand_id", (1 - F.col("distance")).alias("own"), "rank")
+    d = docs(spark, sf_dir)
+    asked = d.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+    told = active_chunks(d).select("version_id", "chunk_id", "content", F.concat_ws(" ", "lang", "source").alias("title"))
+    rows = near.join(told, near.cand_id == told.version_id).join(asked, "query_id").where(kr.numbers_met("query", "content"))
+    lifted = rows.select("query_id", "chunk_id", "version_id", F.lit(None).cast("int").alias("page_no"), "title", "content", F.greatest("own", F.lit(_FLOOR)).alias("score"), "rank")
+    found = evidence.evidence_profile(lifted, asked.join(near.select("query_id").distinct(), "query_id", "left_semi"), most=None)
+    return found.select("query_id", "position", "chunk_id", "version_id").join(near.select("query_id", F.col("cand_id").alias("version_id"), "own"), ["query_id", "version_id"])
+
+
+def _held_items(spark, sf_dir) -> DataFrame:
+    """Benchmark items with the documents that hold them, all texts in normal form beside their own."""
+    form = lambda c: vt.flat(un.normalized(c))
+    items = _items(spark, sf_dir).withColumn("query_form", form("query"))
+    texts = docs(spark, sf_dir).select("doc_id", form("text").alias("form"))
+    return QUERIES["literal_candidates"](spark, sf_dir).select(F.col("item_id").alias("query_id"), "doc_id").join(items, "query_id").join(texts, "doc_id")
+
+
+@pair(None)
+def contradiction_veto(spark, sf_dir):
+    return _held_items(spark, sf_dir).select("query_id", "doc_id", vt.veto(F.col("query"), F.col("query_form"), F.col("form")).alias("verdict"))
+
+
+@pair(None)
+def claim_decision(spark, sf_dir):
+    return _held_items(spark, sf_dir).select("query_id", "doc_id", vt.decision(F.col("query"), F.col("query_form"), F.col("form")).alias("decision"))
