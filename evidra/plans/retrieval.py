@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import completion
 from ..functions import korean as kr
 from ..functions import text as tx
 from ..functions import unicode as un
@@ -375,3 +376,9 @@ def contradiction_veto(spark, sf_dir):
 @pair(None)
 def claim_decision(spark, sf_dir):
     return _held_items(spark, sf_dir).select("query_id", "doc_id", vt.decision(F.col("query"), F.col("query_form"), F.col("form")).alias("decision"))
+
+
+@pair(None)
+def query_intents(spark, sf_dir):
+    """Whether a turn asks for a completed release, for what, and by which policy its candidates are judged."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", completion.intent("text").alias("i")).select("conv_id", "turn", "i.*")
