@@ -5,7 +5,7 @@ As in `retrieval`, DataFrame code stands against an oracle of its own formulatio
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -272,3 +272,89 @@ def stream_windows_native(spark, sf_dir):
 def stream_job_state(spark, sf_dir):
     """The last state of each job of an event stream; the batch fold gives the same."""
     return runner.job_states(spark, f"{sf_dir}/events.parquet")
+
+
+# Policies over the signals of candidates
+
+_OK_D = f"(score >= {_FLOOR} OR (ids > 0 AND ids_met = ids AND numbers_met = numbers) OR (ids = 0 AND rank <= 5 AND numbers = 0 AND core >= 2 AND core_met >= 2))"
+
+
+def _eligible() -> Column:
+    named = (F.col("ids") > 0) & (F.col("ids_met") == F.col("ids")) & (F.col("n_met") == F.col("n"))
+    worded = (F.col("ids") == 0) & (F.col("rank") <= 5) & (F.col("n") == 0) & (F.col("c") >= 2) & (F.col("c_met") >= 2)
+    return (F.col("score") >= _FLOOR) | named | worded
+
+
+@pair(_SIGNALS + f" SELECT query_id, cand_id, score >= {_FLOOR} AS by_score, ids > 0 AND ids_met = ids AND numbers_met = numbers AS by_names, core_met >= 2 AS by_terms, {_OK_D} AS eligible FROM sig")
+def eligibility_general(spark, sf_dir):
+    """Candidates by score, by all names and numbers of the query, or by two of its terms among the best five."""
+    named = (F.col("ids") > 0) & (F.col("ids_met") == F.col("ids")) & (F.col("n_met") == F.col("n"))
+    return _signals(spark, sf_dir).select("query_id", "cand_id", (F.col("score") >= _FLOOR).alias("by_score"), named.alias("by_names"), (F.col("c_met") >= 2).alias("by_terms"), _eligible().alias("eligible"))
+
+
+@pair(_SIGNALS + f" SELECT query_id, cand_id, round(score, 6) AS orig_score, round(CASE WHEN ids_met = ids AND score < {_FLOOR} THEN {_FLOOR} ELSE score END, 6) AS elig_score FROM sig")
+def promoted_scores(spark, sf_dir):
+    """Candidates with all names of the query are lifted to the floor for eligibility; their own score stays beside it."""
+    lifted = F.when(F.col("ids_met") == F.col("ids"), F.greatest("score", F.lit(_FLOOR))).otherwise(F.col("score"))
+    return _signals(spark, sf_dir).select("query_id", "cand_id", F.round("score", 6).alias("orig_score"), F.round(lifted, 6).alias("elig_score"))
+
+
+@pair(_SIGNALS + f""" SELECT v.vec_id AS query_id, CASE WHEN (SELECT count(*) FROM versions_v WHERE status = 'ACTIVE') = 0 THEN 'NO_SEARCHABLE_DOCUMENTS' WHEN count(s.cand_id) = 0 THEN 'NO_EVIDENCE'
+ WHEN sum(CASE WHEN {_OK_D} THEN 1 ELSE 0 END) = 0 THEN 'NO_RELEVANT_RESULTS' ELSE 'EVIDENCE_FOUND' END AS state FROM unit v LEFT JOIN sig s ON s.query_id = v.vec_id WHERE v.vec_id % 50 = 0 GROUP BY v.vec_id""")
+def result_state(spark, sf_dir):
+    """The state that a query's search ends in."""
+    some = not versions(docs(spark, sf_dir)).where("status = 'ACTIVE'").isEmpty()
+    asked = table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"))
+    g = asked.join(_signals(spark, sf_dir).withColumn("ok", _eligible()), "query_id", "left").groupBy("query_id").agg(F.count("cand_id").alias("n"), F.count_if("ok").alias("ok"))
+    state = F.when(F.lit(not some), "NO_SEARCHABLE_DOCUMENTS").when(F.col("n") == 0, "NO_EVIDENCE").when(F.col("ok") == 0, "NO_RELEVANT_RESULTS").otherwise("EVIDENCE_FOUND")
+    return g.select("query_id", state.alias("state"))
+
+
+@pair(_SIGNALS + " SELECT query_id, cand_id, rank AS old_rank, row_number() OVER (PARTITION BY query_id ORDER BY 100 * ids_met + 100 * numbers_met + core_met DESC, rank, cand_id) AS new_rank FROM sig")
+def rerank_order(spark, sf_dir):
+    """Candidates by a second score (here their affinity in words), then by their former rank."""
+    scored = _signals(spark, sf_dir).withColumn("second", 100 * F.col("ids_met") + 100 * F.col("n_met") + F.col("c_met"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("second"), "rank", "cand_id")
+    return scored.select("query_id", "cand_id", F.col("rank").alias("old_rank"), F.row_number().over(w).cast("long").alias("new_rank"))
+
+
+@pair(_SIGNALS + f" SELECT query_id, cand_id, rank FROM (SELECT s.*, row_number() OVER (PARTITION BY query_id, v.source, v.owner_id ORDER BY rank) AS rn FROM sig s JOIN versions_v v ON v.version_id = s.cand_id WHERE {_OK_D}) WHERE rn = 1")
+def deferred_dedup(spark, sf_dir):
+    """Eligibility of each candidate first; then one of each place (source and owner) stays, the best."""
+    v = versions(docs(spark, sf_dir)).select(F.col("version_id").alias("cand_id"), "source", "owner_id")
+    ok = _signals(spark, sf_dir).where(_eligible()).join(v, "cand_id")
+    best = ok.groupBy("query_id", "source", "owner_id").agg(F.min_by("cand_id", "rank").alias("cand_id"), F.min("rank").alias("rank"))
+    return best.select("query_id", "cand_id", "rank")
+
+
+@pair(_SIGNALS + f""", st AS (SELECT query_id, max((score >= 0.0)::INT) AS found, max(({_OK_D})::INT) AS eligible, max(({_OK_D} AND rank <= 5)::INT) AS shown FROM sig GROUP BY 1)
+SELECT CASE WHEN found = 0 THEN 'RETRIEVAL' WHEN eligible = 0 THEN 'ELIGIBILITY' WHEN shown = 0 THEN 'RANKING' ELSE 'NONE' END AS stage, count(*) AS n FROM st GROUP BY 1""")
+def failure_funnel(spark, sf_dir):
+    """How many queries fail at each stage first."""
+    s = _signals(spark, sf_dir).withColumn("ok", _eligible())
+    g = s.groupBy("query_id").agg(F.bool_or(F.col("score") >= 0).alias("found"), F.bool_or("ok").alias("eligible"), F.bool_or(F.col("ok") & (F.col("rank") <= 5)).alias("shown"))
+    stage = F.when(~F.col("found"), "RETRIEVAL").when(~F.col("eligible"), "ELIGIBILITY").when(~F.col("shown"), "RANKING").otherwise("NONE")
+    return g.groupBy(stage.alias("stage")).agg(F.count("*").alias("n"))
+
+
+@pair(_SIGNALS + """, arms AS (SELECT s.query_id, s.rank, (row_number() OVER (PARTITION BY s.query_id ORDER BY 100 * ids_met + 100 * numbers_met + core_met DESC, rank, cand_id)) AS other, CASE WHEN q.label = c.label THEN 1 ELSE 0 END AS good FROM sig s JOIN unit q ON q.vec_id = s.query_id JOIN unit c ON c.vec_id = s.cand_id),
+o AS (SELECT query_id, max(CASE WHEN rank = 1 THEN good END) AS a, max(CASE WHEN other = 1 THEN good END) AS b FROM arms GROUP BY 1)
+SELECT query_id, CASE WHEN a + b = 2 THEN 'BOTH' WHEN a = 1 THEN 'FIRST_ONLY' WHEN b = 1 THEN 'SECOND_ONLY' ELSE 'BOTH_WRONG' END AS outcome, CASE WHEN b > a THEN 'WIN' WHEN b < a THEN 'LOSS' ELSE 'TIE' END AS second_is FROM o""")
+def outcome_classes(spark, sf_dir):
+    """The best candidate of the dense order against that of the reranked one: which of them has the query's label."""
+    lab = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    ranked = rerank_order(spark, sf_dir).join(lab.select(F.col("vec_id").alias("query_id"), F.col("label").alias("q")), "query_id").join(lab.select(F.col("vec_id").alias("cand_id"), F.col("label").alias("c")), "cand_id")
+    first = lambda rank: F.max(F.when(F.col(rank) == 1, (F.col("q") == F.col("c")).cast("int")))
+    o = ranked.groupBy("query_id").agg(first("old_rank").alias("a"), first("new_rank").alias("b"))
+    outcome = F.when((F.col("a") == 1) & (F.col("b") == 1), "BOTH").when(F.col("a") == 1, "FIRST_ONLY").when(F.col("b") == 1, "SECOND_ONLY").otherwise("BOTH_WRONG")
+    return o.select("query_id", outcome.alias("outcome"), F.when(F.col("b") > F.col("a"), "WIN").when(F.col("b") < F.col("a"), "LOSS").otherwise("TIE").alias("second_is"))
+
+
+@pair("""SELECT event_id, job_id, count(b) AS beats FROM (SELECT *, lead(ts) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS until FROM job_events_v) e LEFT JOIN range(1, 4) r(b) ON e.ts + b * INTERVAL '200' MINUTE <= coalesce(e.until, e.ts) WHERE kind = 'CLAIM' GROUP BY event_id, job_id""")
+def heartbeat_schedule(spark, sf_dir):
+    """How many of the three beats of a lease of ten hours fall due before the job's next event."""
+    register(spark, sf_dir, "job_events_v")
+    w = Window.partitionBy("job_id").orderBy("ts", "event_id")
+    e = spark.table("job_events_v").withColumn("until", F.lead("ts").over(w)).where("kind = 'CLAIM'")
+    micros = F.unix_micros(F.coalesce("until", "ts").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))
+    return e.select("event_id", "job_id", F.least(F.lit(3).cast("long"), F.floor(micros / (200 * 60 * 1_000_000))).alias("beats"))

@@ -387,10 +387,7 @@ same("upsert_do_nothing", "SELECT document_id, tag_id FROM document_tags_v UNION
 same("top_per_document", "SELECT query_id, cand_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, group_id ORDER BY rank) AS rn FROM runs_v) a WHERE rn <= 2 AND rank <= 10")
 same("presentation_dedup", "SELECT query_id, cand_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, group_id ORDER BY rank) AS rn FROM runs_v) a WHERE rn = 1")
 same("merge_candidates", "SELECT query_id, cand_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, cand_id ORDER BY score DESC, side) AS rn FROM (SELECT query_id, cand_id, score, 0 AS side FROM runs_v WHERE rank <= 10 UNION ALL SELECT query_id, cand_id, score + CASE WHEN rel = 2 THEN 0.01 ELSE 0 END, 1 FROM runs_v WHERE rank > 5) u) m WHERE rn = 1")
-same("rerank_order", "SELECT query_id, cand_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, rank, cand_id) AS BIGINT) AS new_rank FROM runs_v")
 same("synthetic_scores", "SELECT query_id, cand_id, round(0.50 + 0.04 * (count(*) OVER (PARTITION BY query_id) - rank), 6) AS score FROM runs_v")
-same("result_state", "SELECT query_id, CASE WHEN count(*) = 0 THEN 'NO_SEARCHABLE_DOCUMENTS' WHEN max(CASE WHEN score >= 0.5 THEN 1 ELSE 0 END) = 1 THEN 'EVIDENCE_FOUND' WHEN max(rel) = 0 THEN 'NO_EVIDENCE' ELSE 'NO_RELEVANT_RESULTS' END AS state FROM runs_v GROUP BY query_id")
-same("eligibility_general", "SELECT query_id, cand_id, score >= 0.5 AS by_score, rel = 2 AND rank <= 5 AS by_terms, score >= 0.5 OR (rel = 2 AND rank <= 5) AS eligible FROM runs_v")
 same("top2_document_rank", "SELECT query_id, group_id, round(avg(score), 6) AS score, min(rank) AS best, CAST(row_number() OVER (PARTITION BY query_id ORDER BY avg(score) DESC, min(rank), group_id) AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, group_id ORDER BY rank) AS rn FROM runs_v) a WHERE rn <= 2 GROUP BY query_id, group_id")
 
 # Evaluation
@@ -404,8 +401,6 @@ same("confusion_f1", "SELECT label, tp, fp, fn, round(CASE WHEN 2 * tp + fp + fn
 same("coverage_at_k", "SELECT k, round(count(DISTINCT CASE WHEN rank <= k AND rel >= 1 THEN query_id * 1000 + group_id END) / CAST(count(DISTINCT CASE WHEN rel >= 1 THEN query_id * 1000 + group_id END) AS DOUBLE), 6) AS coverage FROM runs_v CROSS JOIN (VALUES (1), (5), (10), (20)) AS t(k) GROUP BY k")
 same("duplicate_ratio", "SELECT round(1 - sum(u) / CAST(sum(n) AS DOUBLE), 6) AS ratio FROM (SELECT query_id, count(*) AS n, count(DISTINCT group_id) AS u FROM runs_v WHERE rank <= 10 GROUP BY query_id) q")
 same("length_histogram", "SELECT CASE WHEN n <= 10 THEN '01-10' WHEN n <= 20 THEN '11-20' WHEN n <= 40 THEN '21-40' WHEN n <= 80 THEN '41-80' ELSE '81+' END AS bucket, count(*) AS n FROM (SELECT length(content) / 20 AS n FROM chunks_v) c GROUP BY 1")
-same("failure_funnel", "SELECT stage, count(*) AS n FROM (SELECT query_id, CASE WHEN max(rel) < 1 THEN 'RETRIEVAL' WHEN max(rel) < 2 THEN 'SOURCE' WHEN min(CASE WHEN rel = 2 THEN rank END) > 10 THEN 'ELIGIBILITY' WHEN min(CASE WHEN rel = 2 THEN rank END) > 1 THEN 'RANKING' ELSE 'NONE' END AS stage FROM runs_v GROUP BY query_id) f GROUP BY stage")
-same("outcome_classes", "SELECT outcome, count(*) AS n FROM (SELECT query_id, CASE WHEN a AND b THEN 'BOTH' WHEN a THEN 'FIRST_ONLY' WHEN b THEN 'SECOND_ONLY' ELSE 'BOTH_WRONG' END AS outcome FROM (SELECT query_id, bool_or(rank = 1 AND rel = 2) AS a, bool_or(rank <= 5 AND rel = 1) AS b FROM runs_v GROUP BY query_id) x) y GROUP BY outcome")
 same("interval_cover_join", "SELECT a.chunk_id, count(*) AS n_spans FROM (SELECT chunk_id, version_id, (chunk_no - 1) * 680 AS lo, (chunk_no - 1) * 680 + length(content) AS hi FROM chunks_v) a JOIN (SELECT version_id, chunk_no * 500 AS lo, chunk_no * 500 + 60 AS hi FROM chunks_v) b ON a.version_id = b.version_id AND a.lo <= b.lo AND b.hi <= a.hi GROUP BY a.chunk_id")
 same("interval_overlap_join", "SELECT a.chunk_id, count(*) AS n_spans, sum(least(a.hi, b.hi) - greatest(a.lo, b.lo)) AS shared FROM (SELECT chunk_id, version_id, (chunk_no - 1) * 680 AS lo, (chunk_no - 1) * 680 + length(content) AS hi FROM chunks_v) a JOIN (SELECT version_id, chunk_no * 500 AS lo, chunk_no * 500 + 60 AS hi FROM chunks_v) b ON a.version_id = b.version_id AND a.lo < b.hi AND b.lo < a.hi GROUP BY a.chunk_id")
 same("localization_iou", "SELECT version_id, sum(hi - lo) AS covered, count(*) AS n_islands FROM (SELECT version_id, island, min(lo) AS lo, max(hi) AS hi FROM (SELECT *, sum(fresh) OVER (PARTITION BY version_id ORDER BY lo, hi) AS island FROM (SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY version_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM (SELECT version_id, chunk_no * 700 AS lo, chunk_no * 700 + length(content) AS hi FROM chunks_v) s) a) b GROUP BY version_id, island) c GROUP BY version_id")
@@ -452,8 +447,6 @@ def job_recovery(spark, sf_dir):
 
 # Composite policies over ranked runs
 
-same("promoted_scores", "SELECT query_id, cand_id, round(score, 6) AS orig_score, round(CASE WHEN rel = 2 AND score < 0.5 THEN 0.5 ELSE score END, 6) AS elig_score FROM runs_v")
-same("deferred_dedup", "SELECT query_id, cand_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, group_id ORDER BY rank) AS rn FROM runs_v WHERE score >= 0.3 OR rel = 2) e WHERE rn = 1")
 same("keep_first_union", "SELECT query_id, cand_id, arm FROM (SELECT *, row_number() OVER (PARTITION BY query_id, cand_id ORDER BY arm, rank) AS rn FROM (SELECT query_id, cand_id, rank, 0 AS arm FROM runs_v WHERE rank <= 8 UNION ALL SELECT query_id, cand_id, rank, 1 FROM runs_v WHERE rel >= 1) u) m WHERE rn = 1")
 same("job_evidence_merge", "SELECT item, cand_id, count(*) AS n_queries, min(rank) AS best, min(query_id) AS shown FROM (SELECT query_id % 10 AS item, query_id, cand_id, rank FROM runs_v WHERE rank <= 5) j GROUP BY item, cand_id")
 same("legacy_dense", "SELECT query_id, cand_id, rank FROM runs_v WHERE rank <= 5")
