@@ -130,10 +130,10 @@ def _cuts(text: str, room: int) -> Iterator[tuple[int, int]]:
         start = end
 
 
-def children_of(blocks: list[Span], most: int = PASSAGE_MOST) -> list[Span]:
+def children_of(blocks: list[Span], most: int = PASSAGE_MOST, strict: bool = True) -> list[Span]:
     """Blocks but headings and rules, cut to the bound; a table's rows carry its first row as context.
 
-    ValueError if a head row leaves no room for its rows.
+    If a head row leaves no room for its rows: ValueError, or, where not strict, rows without it.
     """
     out: list[Span] = []
     before, head = None, None
@@ -151,6 +151,8 @@ def children_of(blocks: list[Span], most: int = PASSAGE_MOST) -> list[Span]:
             continue
         context = unix(head.text) if head is not None and head is not b else None
         room = most if context is None else most - len(context) - 1
+        if room < 1 and not strict:
+            head, context, room = None, None, most
         if room < 1:
             raise ValueError("a table's head row leaves no room for its rows")
         folded = b.text.replace("\r\n", "\n")
@@ -217,13 +219,6 @@ def _arrow(name: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[name]
 
 
-def _passable(text: str) -> list[Span]:
-    try:
-        return children_of(blocks_of(text))
-    except ValueError:
-        return []
-
-
 def blocks(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, ordinal, kind, parent, lines, offsets, content) of each block."""
 
@@ -234,19 +229,19 @@ def blocks(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def children(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, ordinal, part, kind, parent, header, lines, offsets, content, retrieval) of each child; faulty documents give none."""
+    """(key, ordinal, part, kind, parent, header, lines, offsets, content, retrieval) of each child; rows of a table whose head leaves them no room stand without it."""
 
     def build(t: str) -> Iterator[tuple]:
-        return ((c.ordinal, c.part, c.kind, c.parent, c.header, c.first_line, c.last_line, c.start, c.end, c.text, c.retrieval) for c in _passable(t))
+        return ((c.ordinal, c.part, c.kind, c.parent, c.header, c.first_line, c.last_line, c.start, c.end, c.text, c.retrieval) for c in children_of(blocks_of(t), strict=False))
 
     return each_text(rows, key, text, f"ordinal int, part int, kind string, parent int, header int, {_PLACE}, content string, retrieval string", build)
 
 
 def passages(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, passage, parent, lines, offsets, blocks, headers, n_children, content, retrieval); faulty documents give none."""
+    """(key, passage, parent, lines, offsets, blocks, headers, n_children, content, retrieval), of the children that `children` gives."""
 
     def build(t: str) -> Iterator[tuple]:
-        for n, (run, found) in enumerate(passages_of(_passable(t)), 1):
+        for n, (run, found) in enumerate(passages_of(children_of(blocks_of(t), strict=False)), 1):
             a, b = run[0], run[-1]
             inside, heads = (list(dict.fromkeys(x)) for x in ([c.ordinal for c in run], [c.header for c in run if c.header]))
             yield n, a.parent, a.first_line, b.last_line, a.start, b.end, inside, heads, len(run), "\n".join(c.text for c in run), found
@@ -259,7 +254,7 @@ def manifests(rows: DataFrame, key: str, text: str = "text", name: str = "struct
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
 
     def build(t: str) -> Iterator[tuple]:
-        found = passages_of(_passable(t))
+        found = passages_of(children_of(blocks_of(t), strict=False))
         if not found:
             return
         whole = sha(t)
@@ -276,7 +271,7 @@ def manifests(rows: DataFrame, key: str, text: str = "text", name: str = "struct
 
 
 def faults(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, fault) of documents that cannot be cut into children."""
+    """(key, fault) of documents with rows that their table's head leaves no room."""
 
     def build(t: str) -> Iterator[tuple]:
         try:

@@ -354,7 +354,7 @@ def numeric_anchor_rescue(spark, sf_dir):
     d = docs(spark, sf_dir)
     asked = d.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
     told = active_chunks(d).select("version_id", "chunk_id", "content", F.concat_ws(" ", "lang", "source").alias("title"))
-    rows = near.join(told, near.cand_id == told.version_id).join(asked, "query_id").where(kr.numbers_met("query", "content"))
+    rows = near.join(told, near.cand_id == told.version_id).join(asked, "query_id").withColumn("asked_numbers", kr.numeric_anchors("query")).withColumn("told_numbers", kr.numeric_anchors("content")).where(kr.numbers_met(F.col("asked_numbers"), F.col("told_numbers"), False))
     lifted = rows.select("query_id", "chunk_id", "version_id", F.lit(None).cast("int").alias("page_no"), "title", "content", F.greatest("own", F.lit(_FLOOR)).alias("score"), "rank")
     found = evidence.evidence_profile(lifted, asked.join(near.select("query_id").distinct(), "query_id", "left_semi"), most=None)
     return found.select("query_id", "position", "chunk_id", "version_id").join(near.select("query_id", F.col("cand_id").alias("version_id"), "own"), ["query_id", "version_id"])
