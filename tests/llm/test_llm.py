@@ -496,3 +496,63 @@ def test_html_keeps_offsets_and_what_follows_unclosed_elements():
     for name in ("select", "button", "object", "svg", "video"):
         assert html_text.main_text(f"{two}<{name}>{two}").count("The story") == 10
     assert html_text.main_text(f"{two}<script>{two}").count("The story") == 5
+
+
+def test_null_and_repeated_ids_and_clashing_columns(spark):
+    """Rows with null ids, repeated ids and columns of the operators' own names go through operators 3, 4 and 10."""
+    passage = " ".join(f"w{k}" for k in range(20))
+    rows = [(2, passage), (None, passage), (2, passage), (1, None), (None, None), (3, "own " + passage)]
+    docs = spark.createDataFrame([(i, t, "x", 1, b"z") for i, t in rows], "doc_id long, text string, hits string, ids int, blob binary")
+    got = sorted((str(r.doc_id), str(r.text), r.n_removed, r.hits, r.ids) for r in substring_dedup.remove_repeats(docs).collect())
+    want = [(2, passage, 0), (2, passage, 0), (3, "own", 20), (None, "", 20), (1, None, 0), (None, None, 0)]
+    assert got == sorted((str(i), str(t), n, "x", 1) for i, t, n in want)
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    both = bpe.decode_text(bpe.encode(docs, path, pattern), path).collect()
+    assert sorted((str(r.doc_id), r.text) for r in both) == sorted((str(i), t or "") for i, t in rows)
+    packed = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()
+    assert sorted(str(r.doc_id) for r in packed) == sorted(str(i) for i, _ in rows)
+
+
+def test_decoded_text_of_split_characters(spark):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = bpe.read_ranks(path)
+    half = [ranks[b"\xe4"], ranks[b"\xb8"]]
+    rows = [(1, [*half, ranks[b"\xad"]]), (2, half), (3, None), (4, [])]
+    got = {r.doc_id: r.text for r in bpe.decode_text(spark.createDataFrame(rows, "doc_id long, ids array<int>"), path).collect()}
+    assert got == {1: "中", 2: "\ufffd", 3: "", 4: ""}
+    with pytest.raises(Exception, match="ids outside"):
+        bpe.decode(spark.createDataFrame([(1, [1 << 20])], "doc_id long, ids array<int>"), path).collect()
+
+
+def test_packing_groups_do_not_follow_ids(spark):
+    parts = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("piece"), (F.col("id") % 900 + 1).alias("length"))
+    packed = packing.pack(parts, group_size=100).toPandas()
+    assert packed.groupby(packed.sequence_id // (1 << 32)).size().max() < 200 and len(packed) == 3000
+
+
+def test_packing_makes_few_sequences(spark):
+    packed = queries.QUERIES["op10_packing"](spark, "/root/testdata/sf0.01").toPandas()
+    assert packed.sequence_id.nunique() <= 1.02 * -(-packed.length.sum() // 1024)
+
+
+def test_one_of_each_group(spark):
+    words = " ".join(f"w{k}" for k in range(30))
+    other = " ".join(f"v{k}" for k in range(30))
+    rows = [(5, words), (2, words + " end"), (2, other), (7, other), (9, "alone"), (9, "Alone"), (4, None), (4, ""), (None, words), (None, words), (8, None), (1, "apart " * 9)]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, key string, _key int")
+    got = sorted((str(r.doc_id), str(r.text)) for r in ngram_join.one_of_each(docs).collect())
+    want = [(2, words + " end"), (2, other), (9, "Alone"), (4, None), (None, words), (None, words), (8, None), (1, "apart " * 9)]
+    assert got == sorted((str(i), str(t)) for i, t in want)
+    assert ngram_join.one_of_each(docs.limit(0)).count() == 0 and ngram_join.one_of_each(docs).columns == docs.columns
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    import corpus_pipeline as p
+
+    words = " ".join(f"word{k} and the" for k in range(40))
+    rows = [(k, f"{words} {k}", "en", "s", 1, None) for k in range(12)] + [(3, words, None, None, None, "z"), (None, None, None, None, None, "z"), (None, words * 3, "en", "s", 2, "z"), (50, "", "en", "s", 0, "z")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, piece string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, k % 2, 0) for k in range(12)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = p.run(spark, str(tmp_path)).toPandas()
+    assert {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} <= set(out.columns)
+    assert out.empty or out.groupby("sequence_id").length.sum().max() <= 1024
