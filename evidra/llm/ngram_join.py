@@ -322,7 +322,7 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     node = lambda x: F.struct(F.col(f"{x}_id").alias("id"), F.col(f"{x}_key").alias("key")).alias(x)
     roots_of = components(edges.select(node("a"), node("b"))).select(F.col("node.key").alias("key"), F.col("root.id").alias("first_id"), F.col("root.key").alias("first_key"))
     labelled = classes.join(roots_of, "key", "left").select("key", F.coalesce("first_id", "id").alias("component_id"), F.coalesce("first_key", "key").alias("component_key"))
-    out = each.join(labelled, "key", "left")
+    out = each.join(stored(labelled, "labels"), "key", "left")  # read back, so that Spark may split a hot key of this join
     linked = F.col("id").isNotNull()
     keys = [F.when(linked, F.col(c)).alias(c) for c in ("key", "component_key")] if with_keys else []
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(linked, F.coalesce("component_id", "id")).cast(kind).alias("component_id"), *keys)
