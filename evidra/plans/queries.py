@@ -126,7 +126,8 @@ def sparse_dot_topk(spark, sf_dir):
         return rows.select(F.col(key).alias(name), F.explode(tx.tokens(F.col("text"))).alias("term"), F.lit(1).alias("w"))
 
     asked = weights(table(spark, sf_dir, "benchmark"), "item_id", "query_id").groupBy("query_id", "term").agg(F.sum("w").alias("w"))
-    return vector.sparse_top(asked, weights(docs(spark, sf_dir), "doc_id", "doc_id"), 20)
+    had = weights(docs(spark, sf_dir), "doc_id", "doc_id").groupBy("doc_id", "term").agg(F.sum("w").alias("w"))
+    return vector.sparse_top(asked, had, 20)
 
 
 # Text
