@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, html_text, imatch, ngram_join, packing, quality, substring_dedup, token_counts, warc
+from . import bpe, embedding_dedup, html_text, imatch, line_dedup, merkle, ngram_join, packing, quality, ranked_search, substring_dedup, token_counts, warc
 from .common import new_path
 
 try:
@@ -68,7 +68,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extraction, op2_quality_classifier, op3_substring_dedup, op4_byte_bpe, op5_ngram_join, op6_embedding_dedup, op7_warc, op8_imatch, op9_token_counts, op10_packing)}
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = {"n_chars": F.col("n_chars") + F.when(merkle.tampered(F.col("doc_id")), 1).otherwise(0)}
+    return merkle.verify(merkle.manifest(_table(spark, sf_dir, "documents"), changed=changed))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_repeated_lines(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extraction, op2_quality_classifier, op3_substring_dedup, op4_byte_bpe, op5_ngram_join, op6_embedding_dedup, op7_warc, op8_imatch, op9_token_counts, op10_packing, op11_ranked_search, op12_merkle_manifest, op13_line_dedup)}
 
 _REACH = """
         reach AS (SELECT id, id AS root FROM nodes UNION SELECT e.y, r.root FROM reach r JOIN linked e ON e.x = r.id),
@@ -109,4 +123,45 @@ ORACLE: dict[str, str] = {
                CASE WHEN payload_bytes >= 1000 AND original <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 1000 AND original <> page_id THEN original END AS refers_to
         FROM m""",
+    "op11_ranked_search": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+        q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+        total AS (SELECT count(*) AS n_docs, sum(len(ts))::BIGINT AS n_terms FROM d WHERE len(ts) > 0),
+        p AS (SELECT doc_id, len(ts) AS n, term, count(*) AS tf FROM d, unnest(ts) t(term) GROUP BY ALL),
+        f AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, total GROUP BY term, n_docs),
+        s AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_terms))))::BIGINT AS score
+              FROM q JOIN f USING (term) JOIN p USING (term), total GROUP BY ALL HAVING score > 0),
+        r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s)
+        SELECT * FROM r WHERE rank <= 10""",
+    "op12_merkle_manifest": r"""
+        WITH RECURSIVE crc_table AS (SELECT list(list_reduce([i] || range(8), lambda c, k : CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+        crc AS (SELECT doc_id, doc_id IS NOT NULL AND xor(list_reduce([4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda ch : ascii(ch)::BIGINT),
+                lambda c, b : xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 7 = 0 AS hit FROM (SELECT DISTINCT doc_id FROM documents), crc_table),
+        fields AS (SELECT d.doc_id, lang, n_chars, coalesce(hit, false) AS hit, coalesce(strlen(d.doc_id::VARCHAR) || ':' || d.doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS a,
+                   coalesce(strlen(text) || ':' || text, '-') AS b FROM documents d LEFT JOIN crc ON crc.doc_id IS NOT DISTINCT FROM d.doc_id),
+        leaves AS (SELECT doc_id, coalesce('=' || lang, '-') AS g, sha256(a || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || b) AS leaf,
+                   sha256(a || coalesce(strlen((n_chars + hit::INT)::VARCHAR) || ':' || (n_chars + hit::INT), '-') || b) AS claimed FROM fields),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM leaves),
+        tree AS (SELECT g, 0 AS level, pos, leaf AS digest, n FROM placed
+                 UNION ALL SELECT g, level + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), (n + 1) // 2 FROM tree WHERE n > 1 GROUP BY g, level, pos // 2, n),
+        subs AS (SELECT g, digest AS subroot, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1),
+        top AS (SELECT 0 AS level, pos, subroot AS digest, n FROM subs
+                UNION ALL SELECT level + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), (n + 1) // 2 FROM top WHERE n > 1 GROUP BY level, pos // 2, n),
+        low_steps AS (SELECT p.g, p.pos, t.level AS k, (p.pos >> t.level) & 1 AS side, s.digest AS sibling FROM placed p
+                  JOIN tree t ON t.g = p.g AND t.n > 1 AND t.pos = p.pos >> t.level LEFT JOIN tree s ON s.g = t.g AND s.level = t.level AND s.pos = xor(t.pos, 1)),
+        top_steps AS (SELECT p.g, 1000 + t.level AS k, (p.pos >> t.level) & 1 AS side, s.digest AS sibling FROM subs p
+                  JOIN top t ON t.n > 1 AND t.pos = p.pos >> t.level LEFT JOIN top s ON s.level = t.level AND s.pos = xor(t.pos, 1)),
+        steps AS (SELECT * FROM low_steps UNION ALL SELECT p.g, p.pos, k, side, sibling FROM placed p JOIN top_steps USING (g)),
+        proofs AS (SELECT g, pos, list({'side': side, 'sibling': sibling} ORDER BY k) AS path, sha256(coalesce(string_agg(sibling, '' ORDER BY k), '')) AS proof_sha256 FROM steps GROUP BY g, pos),
+        fold AS (SELECT g, pos, 0 AS k, claimed AS digest, path FROM placed LEFT JOIN proofs USING (g, pos)
+                 UNION ALL SELECT g, pos, k + 1, sha256(CASE WHEN path[k + 1].sibling IS NULL THEN digest WHEN path[k + 1].side = 1 THEN path[k + 1].sibling || digest ELSE digest || path[k + 1].sibling END), path FROM fold WHERE k < coalesce(len(path), 0)),
+        root AS (SELECT digest AS root FROM top WHERE n = 1)
+        SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, digest AS folded_root, digest = root AS verified
+        FROM placed JOIN subs USING (g) LEFT JOIN proofs ON proofs.g = placed.g AND proofs.pos = placed.pos JOIN fold ON fold.g = placed.g AND fold.pos = placed.pos AND k = coalesce(len(proofs.path), 0), root""",
+    "op13_line_dedup": r"""
+        WITH l AS (SELECT doc_id, i, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+                   FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)),
+        k AS (SELECT key, max(doc_id) AS last FROM l WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (last <> doc_id) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (last IS NULL OR last = doc_id), '')) AS kept_sha256
+        FROM l LEFT JOIN k USING (key) GROUP BY doc_id""",
 }
