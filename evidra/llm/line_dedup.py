@@ -214,7 +214,7 @@ def probed(shards: DataFrame, probes: DataFrame, least: int) -> DataFrame:
                     hit = hit[~kept]
                     order = hit[np.argsort(text[hit], kind="stable")]
                     whose, first = np.unique(text[order], return_index=True)
-                    for w, a, b in zip(whose.tolist(), first.tolist(), [*first.tolist()[1:], len(order)], strict=True):
+                    for w, a, b in zip(whose.tolist(), first.tolist(), np.append(first, len(order))[1:].tolist(), strict=True):
                         out.append((ids[w].as_py(), int(rows[w]), arrays.column("shard")[0].as_py(), h1[order[a:b]].tobytes(), h2[order[a:b]].tobytes()))
         kinds = (arrow, pa.int64(), pa.int32(), pa.binary(), pa.binary())
         return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["id", "row", "shard", "h1", "h2"])
