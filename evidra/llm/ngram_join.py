@@ -7,12 +7,13 @@ Shingles are n consecutive words (A-Z lower-cased); fewer words make one shingle
 2. Shingles are ordered by (counter, hash), rare ones first. Sets that reach the threshold share one of the
    first |x| - ceil(t |x|) + 1. Prefix shingles travel as packed arrays, one entry for each class and batch.
 3. Within the entries of a shingle, those without a partner that passes the length, positional and suffix
-   filter go (the suffix filter bounds the difference of two sets by their histograms over hash ranges). Each
-   entry is tried against its `tries` neighbours in size on either side; one that is not decided then stays.
-   The rest meet at the shingle's pivot, the entry whose shingles are the most frequent on average: in a
+   filter go (the suffix filter bounds the difference of two sets by their histograms over hash ranges). Entries
+   are sorted by size and tried against all that the length filter leaves, the nearest first, until they have a
+   partner. The rest meet at the shingle's pivot, the entry whose shingles are the most frequent on average: in a
    group of near copies nearly all shingles have the same pivot, so a class travels to few pivots.
-4. At a pivot the classes' whole sets, made again from the texts, are compared exactly: shingles of equal
-   hashes are equal only after their words were compared. A pair that meets at several pivots counts at the smallest. Pivots with more than `block` classes, or 600 * `block` shingles, are split into blocks, and
+4. Classes get their texts by their keys, one text a class, whatever their ids are. At a pivot the classes' whole
+   sets, made again from the texts, are compared exactly: shingles of equal
+   hashes are equal only after their words were compared. Pivots with more than `block` classes, or 600 * `block` shingles, are split into blocks, and
    every pair of blocks is a task of its own, so no group must fit one task, and no pair is a row: a task
    gives one edge to the root of each linked class.
 
@@ -194,8 +195,29 @@ def _passes(e: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, percent: int
     return ok
 
 
-def pivots_of(e: dict[str, np.ndarray], percent: int, tries: int = 32, step: int = 200_000) -> np.ndarray:
-    """Distinct (node, pivot) of the classes that may have a partner; tries: neighbours in size to look at on either side."""
+def _partnered(e: dict[str, np.ndarray], rows: np.ndarray, group: np.ndarray, percent: int, step: int) -> np.ndarray:
+    """Which rows (places in e, sorted by group and size) have a partner in their group that passes the filters."""
+    size = e["size"][rows].astype(np.int64)
+    most = 100 * size // percent  # longer sets cannot reach the threshold
+    wide = int(most.max(initial=0)) + 1
+    end = np.searchsorted(group * wide + size, group * wide + most, "right")
+    keep, active, r = np.zeros(len(rows), bool), np.arange(len(rows)), 0
+    while len(active):
+        r += 1
+        active = active[active + r < end[active]]
+        if r % 16 == 0:  # all that follow may have partners by now
+            left = np.concatenate(([0], np.cumsum(~keep)))
+            active = active[~keep[active] | (left[end[active]] > left[active + r])]
+        asked = active[~(keep[active] & keep[active + r])]
+        for k in range(0, len(asked), step):
+            j = asked[k : k + step]
+            j = j[_passes(e, rows[j], rows[j + r], percent)]
+            keep[j] = keep[j + r] = True
+    return keep
+
+
+def pivots_of(e: dict[str, np.ndarray], percent: int, step: int = 200_000) -> np.ndarray:
+    """Distinct (node, pivot) of the classes that may have a partner."""
     order = np.lexsort((e["node"], -e["score"], e["token"]))
     token, node = e["token"][order], e["node"][order]
     twice = np.zeros(len(order), bool)
@@ -207,15 +229,8 @@ def pivots_of(e: dict[str, np.ndarray], percent: int, tries: int = 32, step: int
     group = np.repeat(np.arange(len(first)), size)
     rows = order[size[group] > 1]
     group = group[size[group] > 1]
-    by = np.lexsort((e["size"][rows], group))
-    rows, keep = rows[by], np.zeros(len(rows), bool)
-    for r in range(1, min(tries, int(size.max(initial=1)) - 1) + 1):
-        i = np.flatnonzero((group[r:] == group[:-r]) & ~(keep[r:] & keep[:-r]))
-        for k in range(0, len(i), step):
-            j = i[k : k + step]
-            j = j[_passes(e, rows[j], rows[j + r], percent)]
-            keep[j] = keep[j + r] = True
-    keep |= size[group] > tries + 1  # not all of its pairs were tried
+    rows = rows[np.lexsort((e["size"][rows], group))]
+    keep = _partnered(e, rows, group, percent, step)
     return np.unique(np.stack([e["node"][rows[keep]], e["node"][order[first[group[keep]]]]], 1), axis=0)
 
 
@@ -268,14 +283,18 @@ def compare(owner: np.ndarray, shingle: np.ndarray, n: int, left: np.ndarray, ri
 
 
 def _squeezed(docs: DataFrame) -> DataFrame:
-    """(id, z): texts compressed for the one shuffle that carries them."""
+    """(key, z): one text of each class, compressed for the one shuffle that carries them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([squeeze((t or "").encode()) for t in batch.column("text").to_pylist()], pa.binary())], ["id", "z"])
+            texts, held = batch.column("text"), {}
+            for k, key in enumerate(digests(words_of(texts, lower=True))):
+                held.setdefault(key, k)
+            held.pop(None, None)
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array([squeeze(texts[k].as_py().encode()) for k in held.values()], pa.binary())], ["key", "z"])
 
-    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, z binary")
+    return docs.select("text").mapInArrow(run, "key binary, z binary").groupBy("key").agg(F.first("z").alias("z"))
 
 
 def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = 1_000, with_keys: bool = False) -> DataFrame:
@@ -293,27 +312,19 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     meet = stored(_meetings(entries, percent).distinct().join(classes, "node"), "meetings")
     crowd = meet.groupBy("pivot").agg(F.count("*").alias("m"), F.sum("n").alias("volume")).where("m > 1")
     crowd = crowd.select("pivot", F.ceil(F.greatest(F.col("m") / block, F.col("volume") / (block * 600))).cast("int").alias("parts"))
-    wanted = stored(meet.join(crowd, "pivot").groupBy("key", "id").agg(F.sort_array(F.collect_list(F.struct("pivot", "parts"))).alias("places")), "wanted")
-    rows = wanted.join(_squeezed(docs.where("id is not null")).hint("merge"), "id")
-    others = F.transform(F.sequence(F.lit(0), F.col("place.parts") - 1), lambda o: F.struct(F.least("own", o).alias("a"), F.greatest("own", o).alias("b")))
-    rows = rows.select("id", "key", "z", F.transform("places", lambda p: p.pivot).alias("pivots"), F.explode("places").alias("place")).withColumn("own", F.pmod(F.xxhash64("key"), F.col("place.parts").cast("long")).cast("int"))
-    rows = rows.withColumn("p", F.explode(others)).select(F.col("place.pivot").alias("pivot"), "p.a", "p.b", "own", "id", "key", "z", "pivots")
+    others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("own", o).alias("a"), F.greatest("own", o).alias("b")))
+    wanted = meet.join(crowd, "pivot").select("key", "id", "pivot", "parts", F.pmod(F.xxhash64("key"), F.col("parts").cast("long")).cast("int").alias("own"))
+    rows = stored(wanted, "wanted").join(_squeezed(docs.where("id is not null")).hint("merge"), "key")
+    rows = rows.withColumn("p", F.explode(others)).select("pivot", "p.a", "p.b", "own", "id", "key", "z")
 
     def verify(group: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        pivot, a, b = group
+        _, a, b = group
         plain = zstandard.ZstdDecompressor().decompress
-        part = part.drop_duplicates(["key", "z"], ignore_index=True)
         words = words_of(pa.array([plain(z) for z in part["z"]], pa.large_binary()).cast(pa.large_string()), lower=True)
-        right = np.array([d == k for d, k in zip(digests(words), part["key"], strict=True)])  # else another row of a repeated id
-        right &= ~part["key"].where(pd.Series(right), None).duplicated().to_numpy()  # or the same words, written otherwise
         owner, shingle = exact_shingles(words, n)
-        own = np.where(right, part["own"].to_numpy(), -1)
+        own = part["own"].to_numpy()
         i, j = compare(owner, shingle, len(part), np.flatnonzero(own == a), np.flatnonzero(own == b), percent)
-        if a == b:
-            i, j = i[i < j], j[i < j]
-        met = [set(p.tolist()) for p in part["pivots"]]
-        once = np.fromiter((min(met[x] & met[y]) == pivot for x, y in zip(i.tolist(), j.tolist(), strict=True)), bool, len(i))
-        root = least_linked(len(part), i[once], j[once])
+        root = least_linked(len(part), i, j)
         moved = np.flatnonzero(root != np.arange(len(part)))
         ids, keys = part["id"].to_numpy(), part["key"].to_numpy()
         return pd.DataFrame({"a_id": ids[moved], "a_key": keys[moved], "b_id": ids[root[moved]], "b_key": keys[root[moved]]})

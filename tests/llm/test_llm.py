@@ -556,3 +556,38 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
     out = p.run(spark, str(tmp_path)).toPandas()
     assert {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} <= set(out.columns)
     assert out.empty or out.groupby("sequence_id").length.sum().max() <= 1024
+
+
+def test_join_of_near_copies_under_one_id(spark):
+    """Near copies of a long text under one id, and the same under ids of their own: the same links, one text a class."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(4000)}" for _ in range(1200)]
+    copies = [" ".join(base[: 3 * k] + [f"new{k}"] + base[3 * k + 1 :]) for k in range(250)]
+    rows = [(7, t) for t in copies] + [(1000 + k, t) for k, t in enumerate(copies)] + [(9, "one two three four five six seven")] * 3
+    got = ngram_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {9: 9, **{r[0]: 7 for r in rows if r[0] != 9}} and len(got) == len(rows)
+
+
+def test_join_filters_work_in_groups_of_every_size():
+    """Of entries of one shingle whose sizes lie too far apart none stays, however many there are; brute force elsewhere."""
+    rng = np.random.default_rng(2)
+
+    def entries(size, token, at=None):
+        n = len(size)
+        hist = np.zeros((n, ngram_join.BINS), np.uint8)
+        hist[:, 0] = np.minimum(size, 255)
+        return {"token": token, "node": np.arange(n), "size": size, "at": np.zeros(n, np.uint32) if at is None else at, "score": rng.random(n).astype(np.float32), "hist": hist}
+
+    far = np.unique((1.3 ** np.arange(10, 75)).astype(np.uint32))
+    assert len(ngram_join.pivots_of(entries(far, np.zeros(len(far), np.uint64)), 80)) == 0
+    many = entries(rng.integers(100, 5_000, 3_000).astype(np.uint32), np.zeros(3_000, np.uint64))
+    many["hist"] = rng.integers(0, 20, (3_000, ngram_join.BINS)).astype(np.uint8)
+    many["at"] = (many["size"] // 10 * rng.integers(0, 3, 3_000)).astype(np.uint32)
+    few = entries(rng.integers(1, 300, 400).astype(np.uint32), rng.integers(0, 9, 400).astype(np.uint64), rng.integers(0, 40, 400).astype(np.uint32))
+    for e in (few, many):
+        i, j = np.triu_indices(len(e["size"]), 1)
+        same = e["token"][i] == e["token"][j]
+        i, j = i[same], j[same]
+        ok = ngram_join._passes(e, i, j, 80)
+        want = set(i[ok].tolist()) | set(j[ok].tolist())
+        assert set(ngram_join.pivots_of(e, 80)[:, 0].tolist()) == want and 0 < len(want) < len(e["size"])
