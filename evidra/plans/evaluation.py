@@ -14,7 +14,7 @@ from ..operators import fulltext as ft
 from ..operators import structure
 from ..streaming import runner
 from .corpus import active_chunks, register, runs, table, versions
-from .queries import _BLOCKS_D, QUERIES, docs, pair
+from .queries import _BLOCKS_D, _TOKENS_D, QUERIES, _tokens_sql, docs, pair
 from .retrieval import _DENSE, _FLOOR, _KW, _NUMBERS_D, _asked, _dense
 
 # Signals of candidates
@@ -78,7 +78,7 @@ def decision_trace(spark, sf_dir):
 _BIGRAMS = "list_distinct(list_transform(range(1, len(x)), lambda i: x[i] || ' ' || x[i + 1]))"
 
 
-@pair(_DENSE + f""", bi AS (SELECT doc_id, {_BIGRAMS} AS b FROM (SELECT doc_id, {_KW[_KW.index("unnest(") + 7 : _KW.index(") AS t FROM documents")]} AS x FROM documents))
+@pair(_DENSE + f""", bi AS (SELECT doc_id, {_BIGRAMS} AS b FROM (SELECT doc_id, {_TOKENS_D} AS x FROM documents))
 SELECT query_id, cand_id, len(list_intersect(q.b, c.b)) AS n_shared, len(q.b) AS n_asked FROM dense JOIN bi q ON q.doc_id = query_id JOIN bi c ON c.doc_id = cand_id""")
 def adjacency_bigrams(spark, sf_dir):
     """How many neighbouring word pairs of the query a candidate has too."""
@@ -197,10 +197,7 @@ def ablation_decision(spark, sf_dir):
     return g.select("category", F.round("d", 6).alias("delta"), F.when(F.col("d") >= 0.05, "PROMISING").when(F.col("d") < -0.05, "NO_GO").otherwise("NEEDS_ADJUSTMENT").alias("decision"))
 
 
-_WORDS = _KW[_KW.index("unnest(") + 7 : _KW.index(") AS t FROM documents")]
-
-
-@pair(_KW + f""", cl AS (SELECT item_id, clause_no, unnest(list_distinct(list_filter({_WORDS.replace("lower(text)", "lower(clause)")}, lambda t: length(t) >= 8))) AS anchor FROM (SELECT item_id, unnest(string_split(text, '. ')) AS clause, unnest(range(len(string_split(text, '. ')))) AS clause_no FROM benchmark)),
+@pair(_KW + f""", cl AS (SELECT item_id, clause_no, unnest(list_distinct(list_filter({_tokens_sql("clause")}, lambda t: length(t) >= 8))) AS anchor FROM (SELECT item_id, unnest(string_split(text, '. ')) AS clause, unnest(range(len(string_split(text, '. ')))) AS clause_no FROM benchmark)),
 n AS (SELECT item_id, count(DISTINCT clause_no) AS n FROM cl GROUP BY 1), m AS (SELECT item_id, t.doc_id, count(DISTINCT clause_no) AS met FROM cl JOIN tok t ON t.term = anchor GROUP BY ALL)
 SELECT item_id, doc_id FROM m JOIN n USING (item_id) WHERE met = n""")
 def gold_clauses(spark, sf_dir):

@@ -114,7 +114,8 @@ def vector_literal_round_trip(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", (vector.parse_literal(vector.literal(e)) == e).alias("equal"))
 
 
-_TOKENS_D = "list_filter(list_transform(regexp_extract_all(lower(text), '[\\p{L}\\p{N}][\\p{L}\\p{N}+#._-]*'), lambda t: regexp_replace(t, '[._-]+$', '')), lambda t: t <> '')"
+_tokens_sql = lambda column="text": "list_filter(list_transform(regexp_extract_all(lower(" + column + "), '[\\p{L}\\p{N}][\\p{L}\\p{N}+#._-]*'), lambda t: regexp_replace(t, '[._-]+$', '')), lambda t: t <> '')"
+_TOKENS_D = _tokens_sql()
 
 
 @pair(f""", terms_d AS (SELECT doc_id, t AS term, count(*) AS w FROM (SELECT doc_id, unnest({_TOKENS_D}) AS t FROM documents) GROUP BY ALL),
@@ -449,7 +450,6 @@ def job_recovery(spark, sf_dir):
 # Composite policies over ranked runs
 
 same("keep_first_union", "SELECT query_id, cand_id, arm FROM (SELECT *, row_number() OVER (PARTITION BY query_id, cand_id ORDER BY arm, rank) AS rn FROM (SELECT query_id, cand_id, rank, 0 AS arm FROM runs_v WHERE rank <= 8 UNION ALL SELECT query_id, cand_id, rank, 1 FROM runs_v WHERE rel >= 1) u) m WHERE rn = 1")
-same("job_evidence_merge", "SELECT item, cand_id, count(*) AS n_queries, min(rank) AS best, min(query_id) AS shown FROM (SELECT query_id % 10 AS item, query_id, cand_id, rank FROM runs_v WHERE rank <= 5) j GROUP BY item, cand_id")
 same("legacy_dense", "SELECT query_id, cand_id, rank FROM runs_v WHERE rank <= 5")
 same("evidence_by_folder", "SELECT source, lang, count(*) AS n, min(version_id) AS first_id FROM versions_v WHERE status = 'ACTIVE' GROUP BY source, lang")
 same("score_distribution", "SELECT category, count(*) AS n, round(min(score), 6) AS low, round(avg(score), 6) AS mean, round(max(score), 6) AS high FROM runs_v GROUP BY category")

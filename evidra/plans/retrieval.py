@@ -17,19 +17,26 @@ from ..functions import vetoes as vt
 from ..operators import evidence, expansion, structure, vector
 from ..operators import fulltext as ft
 from .corpus import active_chunks, active_runs, every_50th, table, versions
-from .queries import _BLOCKS_D, _TOKENS_D, QUERIES, docs, pair
+from .queries import _BLOCKS_D, _TOKENS_D, _tokens_sql, QUERIES, docs, pair
 
-_OF = lambda column: _TOKENS_D.replace("lower(text)", f"lower({column})")
+_OF = _tokens_sql
 
 # Relations of the oracles
 
-_KW = f""", tok AS (SELECT DISTINCT doc_id, t AS term FROM (SELECT doc_id, unnest({_TOKENS_D}) AS t FROM documents)),
-df AS (SELECT term, count(*) AS df FROM tok GROUP BY 1),
-kw AS (SELECT doc_id AS query_id, term FROM (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY df, term) AS rn FROM tok JOIN df USING (term) WHERE doc_id % 50 = 0) WHERE rn <= 3),
-need AS (SELECT query_id, count(*) AS n FROM kw GROUP BY 1)"""
-_FTS = (
-    _KW
-    + f""", ct AS (SELECT chunk_id, version_id, unnest(x) AS term, unnest(range(len(x))) AS pos FROM (SELECT chunk_id, version_id, {_OF("content")} AS x FROM chunks_v)),
+_TERMS = f""", tok AS (SELECT DISTINCT doc_id, t AS term FROM (SELECT doc_id, unnest({_TOKENS_D}) AS t FROM documents)),
+df AS (SELECT term, count(*) AS df FROM tok GROUP BY 1)"""
+_EVERY_50TH = "SELECT doc_id AS query_id, term FROM tok WHERE doc_id % 50 = 0"
+_ITEMS = f"SELECT DISTINCT item_id AS query_id, term FROM (SELECT item_id, unnest({_TOKENS_D}) AS term FROM benchmark)"
+_NEED = ", need AS (SELECT query_id, count(*) AS n FROM kw GROUP BY 1)"
+
+
+def _rarest_sql(asked: str = _EVERY_50TH, n: int = 3, name: str = "kw") -> str:
+    """The relation of the n rarest words of each asked text."""
+    return f", {name} AS (SELECT query_id, term FROM (SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY df, term) AS rn FROM ({asked}) JOIN df USING (term)) WHERE rn <= {n})"
+
+
+_KW = _TERMS + _rarest_sql() + _NEED
+_MATCHES = f""", ct AS (SELECT chunk_id, version_id, unnest(x) AS term, unnest(range(len(x))) AS pos FROM (SELECT chunk_id, version_id, {_OF("content")} AS x FROM chunks_v)),
 hits AS (SELECT query_id, chunk_id, version_id, pos, term FROM ct JOIN kw USING (term)),
 fullh AS (SELECT h.* FROM hits h JOIN (SELECT query_id, chunk_id FROM hits JOIN need USING (query_id) GROUP BY query_id, chunk_id, n HAVING count(DISTINCT term) = n) f USING (query_id, chunk_id)),
 lasts AS (SELECT e.query_id, e.chunk_id, e.pos AS q, h.term, max(h.pos) AS lp FROM fullh e JOIN fullh h ON h.query_id = e.query_id AND h.chunk_id = e.chunk_id AND h.pos <= e.pos GROUP BY ALL),
@@ -37,7 +44,7 @@ ends AS (SELECT query_id, chunk_id, q, min(lp) AS p FROM lasts JOIN need USING (
 covers AS (SELECT query_id, chunk_id, p, min(q) AS q FROM ends GROUP BY ALL),
 sized AS (SELECT c.query_id, c.chunk_id, h.version_id, c.p, c.q, count(*) AS inside FROM covers c JOIN fullh h ON h.query_id = c.query_id AND h.chunk_id = c.chunk_id AND h.pos BETWEEN c.p AND c.q GROUP BY ALL),
 fts AS (SELECT query_id, chunk_id, version_id, sum(0.1 / (1 + (q - p) - (inside - 1))) AS density FROM sized GROUP BY ALL)"""
-)
+_FTS = _KW + _MATCHES
 _DENSE = """, dense AS (SELECT * FROM (SELECT q.vec_id AS query_id, c.vec_id AS cand_id, list_cosine_similarity(q.v, c.v) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.v, c.v) DESC, c.vec_id) AS rank
  FROM unit q, unit c JOIN versions_v a ON a.version_id = c.vec_id AND a.status = 'ACTIVE' WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id) WHERE rank <= 20)"""
 
@@ -65,9 +72,7 @@ def _rounded(fused: DataFrame) -> DataFrame:
 # Lexical and hybrid retrieval
 
 
-_ITEMS_KW = f""", kw AS (SELECT item_id AS query_id, term FROM (SELECT item_id, term, row_number() OVER (PARTITION BY item_id ORDER BY df, term) AS rn FROM (SELECT DISTINCT item_id, t AS term FROM (SELECT item_id, unnest({_TOKENS_D}) AS t FROM benchmark)) JOIN df USING (term)) WHERE rn <= 3),
-need AS"""
-_ITEMS_FTS = _FTS.replace(_FTS[_FTS.index(", kw AS") if ", kw AS" in _FTS else _FTS.index(",\nkw AS") : _FTS.index("need AS") + 7], _ITEMS_KW)
+_ITEMS_FTS = _TERMS + _rarest_sql(_ITEMS) + _NEED + _MATCHES
 
 
 @pair(_ITEMS_FTS + " SELECT query_id, chunk_id, round(density, 6) AS density, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY density DESC, chunk_id) AS rank FROM fts) WHERE rank <= 20")
@@ -140,7 +145,7 @@ def numeric_anchor_candidates(spark, sf_dir):
 _SHORT_LOW, _FLOOR = 0.49, 0.50
 
 
-@pair(_KW.replace("WHERE doc_id % 50 = 0)", "WHERE doc_id % 50 = 0 AND length(term) BETWEEN 2 AND 4)").replace("rn <= 3", "rn <= 1") + _DENSE + f""", weak AS (SELECT query_id FROM dense GROUP BY 1 HAVING max(score) < {_FLOOR}),
+@pair(_TERMS + _rarest_sql(_EVERY_50TH + " AND length(term) BETWEEN 2 AND 4", 1) + _NEED + _DENSE + f""", weak AS (SELECT query_id FROM dense GROUP BY 1 HAVING max(score) < {_FLOOR}),
 ok AS (SELECT d.query_id, d.cand_id, d.score, d.rank FROM dense d JOIN weak USING (query_id) JOIN kw USING (query_id) JOIN tok t ON t.doc_id = d.cand_id AND t.term = kw.term WHERE d.score >= {_SHORT_LOW} AND d.score < {_FLOOR})
 SELECT query_id, cand_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rn FROM ok) WHERE rn = 1""")
 def short_token_rescue(spark, sf_dir):
