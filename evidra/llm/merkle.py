@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_buckets, stored
+from .common import numbered, stored
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 _NODES = "g string, height int, level int, pos long, digest string"
@@ -54,32 +54,6 @@ def tampered(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 7 == 0, F.lit(False))
 
 
-def numbered(rows: DataFrame, by: list[str]) -> DataFrame:
-    """rows with pos, their place from 0 within g in the order of by (nulls first), and n, the rows of g.
-
-    A group may be of any size: rows are sorted by range over all tasks, numbered in each, and moved up by the
-    counts of the tasks before. Those counts are one row for each task and group in it.
-    """
-    spread = rows.repartitionByRange(n_buckets(rows.sparkSession), "g", *by).sortWithinPartitions("g", *by)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, at = None, 0
-        for batch in batches:
-            places = []
-            for g, same in groupby(batch.column("g").to_pylist()):
-                m = len(list(same))
-                at = at if g == last else 0
-                places += range(at, at + m)
-                last, at = g, at + m
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.int64())], [*batch.schema.names, "place"])
-
-    fields = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
-    held = stored(spread.mapInArrow(run, f"{fields}, place long").withColumn("task", F.spark_partition_id()), "numbered")
-    counts = held.groupBy("g", "task").agg(F.count("*").alias("m"))
-    before = counts.selectExpr("g", "task", "coalesce(sum(m) over (partition by g order by task rows between unbounded preceding and 1 preceding), 0) as moved", "sum(m) over (partition by g) as n")
-    return held.join(before, ["g", "task"]).withColumn("pos", F.col("place") + F.col("moved")).drop("place", "moved", "task")
-
-
 def height(n: Column) -> Column:
     """Levels above the leaves of a group of n: the bits of n - 1."""
     return F.when(n <= 1, 0).otherwise(F.length(F.bin(n - 1))).cast("int")

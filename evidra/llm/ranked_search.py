@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, compact, slices, stored, words_of
+from .common import Words, compact, numbered, slices, stored, words_of
 
 SEPARATORS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _A_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -172,9 +172,9 @@ def rank_documents(docs: DataFrame, items: DataFrame, k: int = 10, item_col: str
     packed = stored(weighed.groupBy("item").agg(F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights")), "items")
     blocks = -(-packed.count() // block) or 1
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)))
-    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(max(n, 1))).cast("int")
-    left = index.withColumn("place", dealt("shard", n_shards)).withColumn("block", numbers(blocks)).select("block", "place", "terms", "ids", "packed")
-    right = packed.withColumn("block", dealt("item", blocks)).withColumn("place", numbers(n_shards)).select("block", "place", "item", F.col("terms").alias("asked"), "weights")
+    places = numbered(index.select(F.lit("").alias("g"), "shard"), ["shard"]).select("shard", F.col("pos").cast("int").alias("place"))
+    left = index.join(places, "shard").withColumn("block", numbers(blocks)).select("block", "place", "terms", "ids", "packed")
+    right = packed.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int")).withColumn("place", numbers(n_shards)).select("block", "place", "item", F.col("terms").alias("asked"), "weights")
 
     def search(shards: pa.Table, part: pa.Table) -> pa.Table:
         found: list[tuple] = []
