@@ -591,3 +591,70 @@ def test_join_filters_work_in_groups_of_every_size():
         ok = ngram_join._passes(e, i, j, 80)
         want = set(i[ok].tolist()) | set(j[ok].tolist())
         assert set(ngram_join.pivots_of(e, 80)[:, 0].tolist()) == want and 0 < len(want) < len(e["size"])
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<p title=it's><article><p>{GOOD}</p></article><p>it's</p>", GOOD),  # a quote in an unquoted value opens nothing
+        (f'<a title="a > b">x</a><p>{GOOD}</p><a title="never closed>y</a>', GOOD),
+        (f"<div><p>{GOOD}</p><p>{GOOD}</p></div><article class='teaser card'><p>{GOOD} Not this.</p></article><article class='teaser card'><p>{GOOD} Nor this.</p></article>", f"{GOOD} {GOOD}"),
+        (f"<article><p>{GOOD}</p><article class='comment'><p>{GOOD} no</p></article><article><p>{GOOD} no</p></article></article>", GOOD),
+        (f"<div class='social-history'><p>{GOOD}</p></div><div class='social-links'><p>{GOOD} no</p></div>", GOOD),
+        (f"<article><p>{GOOD}</p></article><article><p>{GOOD} Second.</p></article>", f"{GOOD} {GOOD} Second."),  # two: none bounds the page
+        (f"<article class='list'><article><p>{GOOD}</p></article><article><p>{GOOD}</p></article></article>", f"{GOOD} {GOOD}"),
+        (f"<article class='post tag-alert'><p>{GOOD}</p></article>", GOOD),
+        (f"<div><p>{GOOD}</p></div><article><p>Short.</p></article>", f"{GOOD} Short."),
+    ],
+)
+def test_html_articles_and_attributes(page, want):
+    assert html_text.main_text(page) == want
+
+
+def test_html_without_articles(spark):
+    """The test pages with divs in place of their articles have the same text."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect() if r.html]
+    assert len(pages) > 200
+    for p in pages:
+        assert html_text.main_text(re.sub("<(/?)article", r"<\1div", p)) == html_text.main_text(p)
+
+
+@pytest.mark.parametrize("piece", ["<p title='it>a ", "<p title=\"x>a</p> <p title='it>", "<a x=1 ", "<script <div> </script", "<div class=ad>x", "<select>x", "<!--x", "<article>x", "<div class=ad><form>x</form></div>", "</article><article class=ad>"])
+def test_html_takes_linear_time(piece):
+    import time
+
+    def took(n: int) -> float:
+        start = time.process_time()
+        html_text.main_text(piece * n)
+        return time.process_time() - start
+
+    n = 50_000 // len(piece)
+    assert took(20 * n) < 25 * max(took(n), 0.02)
+
+
+def test_html_blocks_by_brute_force():
+    """Both passes on pages of random blocks in random regions, without elements that bound or wrap."""
+    rng = random.Random(8)
+    kinds = {"nav": True, "div": False, "section": False, "aside": True, 'div class="cookie-bar"': True, "footer": True}
+    for _ in range(200):
+        page, want = [], []
+        for _ in range(rng.randrange(1, 8)):
+            tag = rng.choice(list(kinds))
+            body = []
+            for _ in range(rng.randrange(1, 4)):
+                text = rng.choice([GOOD, "Short one.", "zzz " * 60, f"{GOOD} {GOOD}"]).strip()
+                link = rng.random() < 0.2
+                body.append((text, link))
+            page.append(f"<{tag}>" + "".join(f"<p><a href=x>{t}</a></p>" if link else f"<p>{t}</p>" for t, link in body) + f"</{tag.split()[0]}>")
+            if not kinds[tag]:
+                for t, link in body:
+                    words = t.lower().split()
+                    stops = sum(w.strip(".") in html_text.STOP for w in words) / len(words)
+                    label = False if link else True if len(t) >= 70 and stops >= (0.3 if len(t) < 200 else 0.15) else None
+                    want.append((t, label))
+        if not any(label for _, label in want):
+            continue  # then regions may be wrappers
+        labels = [x for _, x in want]
+        decided = [k for k, x in enumerate(labels) if x is not None]
+        kept = [t for k, (t, x) in enumerate(want) if (labels[min(decided, key=lambda d: (abs(d - k), d))] if x is None else x)]
+        assert html_text.main_text("".join(page)) == " ".join(kept)
