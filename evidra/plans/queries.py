@@ -13,7 +13,7 @@ from ..functions import literals as li
 from ..functions import snippets as sn
 from ..functions import text as tx
 from ..functions import typed_values as tv
-from ..operators import evidence, jobs, needles, sections, selection, structure, typed, vector
+from ..operators import evidence, jobs, needles, selection, structure, typed, vector
 from ..sources import files
 from .corpus import DUCK, active_chunks, active_runs, every_50th, register, runs, table, versions
 
@@ -236,11 +236,6 @@ def structure_manifests(spark, sf_dir):
     return structure.manifests(docs(spark, sf_dir), "doc_id")
 
 
-@pair(None)
-def section_chunks(spark, sf_dir):
-    return sections.section_chunks(docs(spark, sf_dir), "doc_id").select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.length("content").cast("long").alias("n"))
-
-
 # Snippets, claims and judgements
 
 
