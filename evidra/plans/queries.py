@@ -15,6 +15,7 @@ from ..functions import text as tx
 from ..functions import typed_values as tv
 from ..operators import evidence, jobs, needles, selection, structure, typed, vector
 from ..sources import files
+from ..streaming import leases, runner
 from .corpus import DUCK, active_chunks, active_runs, every_50th, register, runs, table, versions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -442,6 +443,39 @@ def job_recovery(spark, sf_dir):
     return jobs.expired(job_fold(spark, sf_dir), F.lit("2025-01-01").cast("timestamp_ntz")).select("job_id", "status", "fence", "retries")
 
 
+
+_WALK = """, ev AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) AS o FROM job_events_v),
+ends AS (SELECT *, 'END' AS kind FROM (SELECT job_id, max(o) + 1 AS o, (SELECT date_trunc('millisecond', max(ts)) FROM job_events_v) AS ts FROM ev GROUP BY job_id)),
+steps AS (SELECT job_id, o, ts, kind FROM ev UNION ALL SELECT job_id, o, ts, kind FROM ends),
+walk AS (SELECT job_id, 0::BIGINT AS o, NULL::VARCHAR AS st, 0::BIGINT AS f, 0::BIGINT AS n, 0::BIGINT AS rej, NULL::TIMESTAMP AS until, NULL::TIMESTAMP AS due, 0::BIGINT AS lost, 0::BIGINT AS gone, 0::BIGINT AS held FROM ends
+ UNION ALL SELECT job_id, o, CASE WHEN ok AND kind = 'ENQUEUE' THEN 'READY' WHEN ok AND kind = 'CLAIM' THEN 'RUNNING' WHEN ok AND kind = 'COMPLETE' THEN 'COMPLETED' WHEN ok AND kind = 'FAIL' THEN CASE WHEN n < 3 THEN 'RETRY_WAIT' ELSE 'FAILED' END ELSE st END,
+  f + (ok AND kind = 'CLAIM')::INT, CASE WHEN ok AND kind = 'ENQUEUE' THEN 0 WHEN ok AND kind = 'FAIL' AND n < 3 THEN n + 1 ELSE n END, rej + (NOT ok AND kind <> 'END')::INT,
+  CASE WHEN ok AND kind IN ('CLAIM', 'RENEW') THEN ts + INTERVAL 600 MINUTE WHEN ok THEN NULL ELSE until END, CASE WHEN ok AND kind = 'FAIL' AND n < 3 THEN ts + to_minutes([1, 5, 15][n + 1]) WHEN ok THEN NULL ELSE due END, lost, gone,
+  CASE WHEN ok AND kind = 'RENEW' THEN held + 1 WHEN ok AND kind = 'CLAIM' THEN held WHEN ok THEN 0 ELSE held END
+ FROM (SELECT *, CASE kind WHEN 'ENQUEUE' THEN st IS NULL OR st IN ('COMPLETED', 'FAILED') WHEN 'CLAIM' THEN coalesce(st = 'READY' OR (st = 'RETRY_WAIT' AND due <= ts), false) WHEN 'END' THEN false ELSE coalesce(st = 'RUNNING', false) END AS ok FROM (
+  SELECT job_id, o, ts, kind, CASE WHEN due2 < ts THEN 'READY' ELSE st2 END AS st, f2 AS f, n2 AS n, rej, CASE WHEN st2 = 'RUNNING' THEN until END AS until, CASE WHEN due2 >= ts THEN due2 END AS due, lost2 AS lost, gone2 AS gone, held2 AS held FROM (
+   SELECT w.job_id, s.o, s.ts, s.kind, w.rej, w.until, late, CASE WHEN late THEN CASE WHEN w.n < 3 THEN 'RETRY_WAIT' ELSE 'FAILED' END ELSE w.st END AS st2, w.f + late::INT AS f2, w.n + (late AND w.n < 3)::INT AS n2,
+    CASE WHEN late AND w.n < 3 THEN w.until + to_minutes([1, 5, 15][w.n + 1]) WHEN NOT late AND w.st = 'RETRY_WAIT' THEN w.due END AS due2, w.lost + late::INT AS lost2, w.gone + CASE WHEN late THEN w.held ELSE 0 END AS gone2, CASE WHEN late THEN 0 ELSE w.held END AS held2
+   FROM walk w JOIN steps s ON s.job_id = w.job_id AND s.o = w.o + 1, LATERAL (SELECT coalesce(w.st = 'RUNNING' AND w.until < s.ts, false) AS late) l) a) b) c)
+SELECT w.job_id, st AS status, f AS fence, n AS retries, rej AS rejected, lost AS expired, gone AS dropped FROM walk w JOIN ends e ON e.job_id = w.job_id AND e.o = w.o"""
+
+
+def lease_recovery(spark, sf_dir):
+    """Jobs with every deadline before the last event carried out: lost workers shut out, their pieces dropped, retries due."""
+    register(spark, sf_dir, "job_events_v")
+    events = spark.table("job_events_v")
+    last = events.agg(F.date_trunc("millisecond", F.max("ts"))).first()[0]
+    return leases.recovered(events, last.replace(tzinfo=None))
+
+
+def stream_leased_jobs(spark, sf_dir):
+    """The same by timers of a stream."""
+    return runner.leased_jobs(spark, f"{sf_dir}/events.parquet")
+
+
+for _f in (lease_recovery, stream_leased_jobs):
+    QUERIES[_f.__name__], ORACLE[_f.__name__] = _f, DUCK.replace("WITH ", "WITH RECURSIVE ", 1) + _WALK
+
 # Composite policies over ranked runs
 
 same("keep_first_union", "SELECT query_id, cand_id, arm FROM (SELECT *, row_number() OVER (PARTITION BY query_id, cand_id ORDER BY arm, rank) AS rn FROM (SELECT query_id, cand_id, rank, 0 AS arm FROM runs_v WHERE rank <= 8 UNION ALL SELECT query_id, cand_id, rank, 1 FROM runs_v WHERE rel >= 1) u) m WHERE rn = 1")

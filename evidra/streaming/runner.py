@@ -2,25 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import jobs
-
-_own: dict[str, str] = {}
-
-
-def folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that executors share; one of this machine only in local mode without that setting."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="evidra-"))
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from ..sources.work import new_path
+from . import jobs, leases
 
 
 def events(spark: SparkSession, path: str) -> DataFrame:
@@ -31,21 +17,34 @@ def events(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("event_id", F.col("user_id").alias("job_id"), "ts", kind.alias("kind"))
 
 
-def _run(rows: DataFrame, name: str, mode: str) -> str:
-    """Write each micro-batch, numbered, under a new folder; a repeated batch replaces itself."""
-    spark, out = rows.sparkSession, folder(rows.sparkSession, name)
+def run(rows: DataFrame, name: str, mode: str, out: str | None = None, state: str | None = None) -> str:
+    """Write each micro-batch, numbered, under a folder until nothing is left; a repeated batch replaces itself. With the out and
+    state of an earlier run the stream goes on where that one ended. State stays on disk: jobs hold timers and lists."""
+    spark = rows.sparkSession
+    out, state, setting = out or new_path(spark, name), state or new_path(spark, f"{name}-state"), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number:06d}")
 
-    stream = rows.writeStream.outputMode(mode).option("checkpointLocation", folder(spark, f"{name}-state")).trigger(availableNow=True).foreachBatch(keep).start()
-    stream.awaitTermination()
+    spark.conf.set(setting, leases.PROVIDER)
+    try:
+        rows.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
     return out
 
 
+def last_rows(spark: SparkSession, out: str) -> DataFrame:
+    """The last row that a stream of jobs wrote of each."""
+    rows = spark.read.parquet(out)
+    w = Window.partitionBy("job_id").orderBy(F.desc("batch"))
+    return rows.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn", "batch")
+
+
 def windows(spark: SparkSession, path: str) -> DataFrame:
     """(start, kind, n) of the whole stream: what its last micro-batch gave of all windows."""
-    out = _run(jobs.windowed_counts(events(spark, path)), "windows", "complete")
+    out = run(jobs.windowed_counts(events(spark, path)), "windows", "complete")
     rows = spark.read.parquet(out)
     last = rows.agg(F.max("batch")).first()[0]
     return rows.where(F.col("batch") == last).select(F.col("start").cast("timestamp_ntz").alias("start"), "kind", "n")
@@ -53,6 +52,9 @@ def windows(spark: SparkSession, path: str) -> DataFrame:
 
 def job_states(spark: SparkSession, path: str) -> DataFrame:
     """(job_id, status, fence, retries, rejected): the last row of each job."""
-    rows = spark.read.parquet(_run(jobs.job_states(events(spark, path)), "jobs", "update"))
-    w = Window.partitionBy("job_id").orderBy(F.desc("batch"))
-    return rows.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn", "batch")
+    return last_rows(spark, run(jobs.job_states(events(spark, path)), "jobs", "update"))
+
+
+def leased_jobs(spark: SparkSession, path: str) -> DataFrame:
+    """(job_id, status, fence, retries, rejected, expired, dropped): the last row of each job, deadlines carried out."""
+    return last_rows(spark, run(leases.leased_jobs(events(spark, path)), "leases", "update"))
