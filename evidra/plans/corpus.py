@@ -91,7 +91,7 @@ def register(spark: SparkSession, sf_dir: str, body: str) -> None:
             relation().createOrReplaceTempView(name)
 
 
-DUCK = r"""WITH versions_0 AS (SELECT doc_id // 2 AS document_id, doc_id AS version_id, doc_id % 2 + 1 AS version_no, (doc_id // 2) % 8 + 1 AS owner_id, lang, source, text, doc_id % 7 = 0 AS failed FROM documents),
+DUCK = r"""WITH RECURSIVE versions_0 AS (SELECT doc_id // 2 AS document_id, doc_id AS version_id, doc_id % 2 + 1 AS version_no, (doc_id // 2) % 8 + 1 AS owner_id, lang, source, text, doc_id % 7 = 0 AS failed FROM documents),
 versions_v AS (SELECT v.*, a.active_version_id, CASE WHEN failed THEN 'FAILED' WHEN version_id = active_version_id THEN 'ACTIVE' ELSE 'SUPERSEDED' END AS status
   FROM versions_0 v LEFT JOIN (SELECT document_id, arg_max(version_id, version_no) AS active_version_id FROM versions_0 WHERE NOT failed GROUP BY 1) a USING (document_id)),
 chunks_0 AS (SELECT document_id, version_id, owner_id, lang, source, text, unnest(range(0, (greatest(0, ceil((length(text) - 800) / 680.0))::BIGINT + 1))) AS i FROM versions_v WHERE status = 'ACTIVE'),

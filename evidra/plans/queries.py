@@ -13,7 +13,7 @@ from ..functions import literals as li
 from ..functions import snippets as sn
 from ..functions import text as tx
 from ..functions import typed_values as tv
-from ..operators import evidence, jobs, needles, selection, structure, typed, vector
+from ..operators import bootstrap, evidence, jobs, needles, selection, structure, typed, vector
 from ..sources import files
 from ..streaming import leases, runner
 from .corpus import DUCK, active_chunks, active_runs, every_50th, register, runs, table, versions
@@ -404,15 +404,37 @@ same("interval_overlap_join", "SELECT a.chunk_id, count(*) AS n_spans, sum(least
 same("localization_iou", "SELECT version_id, sum(hi - lo) AS covered, count(*) AS n_islands FROM (SELECT version_id, island, min(lo) AS lo, max(hi) AS hi FROM (SELECT *, sum(fresh) OVER (PARTITION BY version_id ORDER BY lo, hi) AS island FROM (SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY version_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM (SELECT version_id, chunk_no * 700 AS lo, chunk_no * 700 + length(content) AS hi FROM chunks_v) s) a) b GROUP BY version_id, island) c GROUP BY version_id")
 
 
-@pair(None)
+_DELTAS_D = """, d AS (SELECT query_id // 100 AS cluster, query_id, max((rank <= 5)::INT * rel / 2.0) - max((rank <= 1)::INT * rel / 2.0) AS delta FROM runs_v GROUP BY query_id),
+c AS (SELECT cluster, {0} FROM d GROUP BY cluster),
+x AS (SELECT cluster, total, weight, s, (cluster % 2147483647 * 1000003 + s * 7919 + 42042) % 2147483647 AS x FROM c, range(10000) r(s)),
+z AS (SELECT *, (y * y + x) % 2147483647 AS r FROM (SELECT *, (x * x + 12345) % 2147483647 * 48271 % 2147483647 AS y FROM x)),
+w AS (SELECT s, sum(total * n) AS t, sum(weight * n) AS v FROM (SELECT *, {1} AS n FROM z) GROUP BY s),
+m AS (SELECT list(t::DOUBLE / v::DOUBLE / 1000000 ORDER BY t::DOUBLE / v::DOUBLE / 1000000) AS l FROM w WHERE v > 0)
+SELECT (SELECT count(*) FROM c) AS n_clusters, (SELECT round(sum(total)::DOUBLE / sum(weight)::DOUBLE / 1000000, 6) FROM c) AS mean, round(l[floor(0.025 * (len(l) - 1))::BIGINT + 1], 6) AS low, round(l[floor(0.975 * (len(l) - 1))::BIGINT + 1], 6) AS high FROM m"""
+_COPIES_D = " + ".join(f"(r >= {t})::INT" for t in bootstrap.STEPS)
+
+
+def _deltas(spark, sf_dir) -> DataFrame:
+    """(cluster, delta) of every 50th vector as query; two queries in a row are one user's."""
+    half = lambda k: F.max((F.col("rank") <= k).cast("int") * F.col("rel") / 2)
+    per = runs(table(spark, sf_dir, "embeddings")).groupBy("query_id").agg((half(5) - half(1)).alias("delta"))
+    return per.select(F.expr("query_id div 100").alias("cluster"), "delta")
+
+
+def _interval(clusters: DataFrame) -> DataFrame:
+    return bootstrap.interval(clusters).select("n_clusters", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
+
+
+@pair(_DELTAS_D.format("round(avg(delta) * 1000000)::BIGINT AS total, 1::BIGINT AS weight", _COPIES_D))
 def bootstrap_ci(spark, sf_dir):
-    """Paired bootstrap over every 50th vector as query: 1,000 resamples by a seeded hash, 95 % interval of the mean difference."""
-    per = runs(table(spark, sf_dir, "embeddings")).groupBy("query_id").agg(F.max((F.col("rank") <= 1).cast("int") * F.col("rel") / 2).alias("a"), F.max((F.col("rank") <= 5).cast("int") * F.col("rel") / 2).alias("b")).select((F.col("query_id")).alias("i"), (F.col("b") - F.col("a")).alias("d"))
-    per = per.withColumn("i", F.row_number().over(Window.orderBy("i")) - 1)  # a row per query
-    n = per.count()
-    draws = spark.range(1000).select(F.col("id").alias("sample")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(n - 1, 0)).cast("long")))).withColumn("i", F.pmod(F.xxhash64("sample", "j", F.lit(42042)), F.lit(max(n, 1))))
-    means = draws.join(per, "i").groupBy("sample").agg(F.avg("d").alias("m"))
-    return means.agg(F.round(F.expr("percentile_disc(0.025) WITHIN GROUP (ORDER BY m)"), 6).alias("low"), F.round(F.avg("m"), 6).alias("mean"), F.round(F.expr("percentile_disc(0.975) WITHIN GROUP (ORDER BY m)"), 6).alias("high"))
+    """Paired bootstrap of users that count alike: 10,000 samples, 95 % interval of the mean difference."""
+    return _interval(bootstrap.by_user(_deltas(spark, sf_dir)))
+
+
+@pair(_DELTAS_D.format("sum(round(delta * 1000000)::BIGINT)::BIGINT AS total, count(*) AS weight", _COPIES_D))
+def bootstrap_by_query(spark, sf_dir):
+    """The same of users that count by their queries, as the robustness gate has it."""
+    return _interval(bootstrap.by_query(_deltas(spark, sf_dir)))
 
 
 # Jobs
@@ -474,7 +496,7 @@ def stream_leased_jobs(spark, sf_dir):
 
 
 for _f in (lease_recovery, stream_leased_jobs):
-    QUERIES[_f.__name__], ORACLE[_f.__name__] = _f, DUCK.replace("WITH ", "WITH RECURSIVE ", 1) + _WALK
+    QUERIES[_f.__name__], ORACLE[_f.__name__] = _f, DUCK + _WALK
 
 # Composite policies over ranked runs
 
