@@ -1,27 +1,13 @@
-"""Uploaded files, evaluation datasets, and the sink that replaces a version's rows."""
+"""Evaluation datasets, pages of documents, and the sink that replaces a version's rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_BYTES = 10 * 1024 * 1024
 QUESTIONS = "questionId string, query string, expectedEvidence array<struct<fixtureEvidenceId:string,relevance:int,evidenceGroupId:string>>, noEvidence boolean, split string, category string"
 
 
-def uploads(spark: SparkSession, folder: str) -> DataFrame:
-    """(name, size, digest, verdict, text) of each file: OK, TOO_LARGE, BAD_NAME or NOT_UTF8; text of accepted ones.
-
-    An empty file gives no row: Spark makes no split of it, which amounts to its rejection.
-    """
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    name = F.element_at(F.split("path", "/"), -1)
-    utf8 = F.is_valid_utf8(F.col("content").cast("string"))
-    verdict = F.when(F.col("length") > MAX_BYTES, "TOO_LARGE").when(~F.lower(name).rlike(r"[.](txt|pdf)$"), "BAD_NAME").when(F.lower(name).endswith(".txt") & ~utf8, "NOT_UTF8").otherwise("OK")
-    rows = f.select(name.alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("digest"), verdict.alias("verdict"), "content")
-    return rows.withColumn("text", F.when((F.col("verdict") == "OK") & F.lower("name").endswith(".txt"), F.decode("content", "UTF-8"))).drop("content")
-
-
 def questions(spark: SparkSession, path: str) -> DataFrame:
     """Evaluation questions, a JSON object a line, by a fixed schema."""
     return spark.read.schema(QUESTIONS).json(path)

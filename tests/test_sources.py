@@ -3,18 +3,41 @@
 import hashlib
 import json
 import struct
+import zlib
 
 from pyspark.sql import functions as F
 
 from evidra.functions import unicode as un
-from evidra.sources import files
+from evidra.sources import files, uploads
 
 
 def test_uploads(spark, tmp_path):
-    for name, data in {"a.txt": "héllo".encode(), "b.txt": b"", "c.TXT": b"\xff\xfe", "d.exe": b"x", "e.pdf": b"%PDF\xff"}.items():
+    """A row for every file: empty, large, badly named, badly encoded, encrypted and broken ones too."""
+    page = b"1 0 obj << /Type /Page >> endobj "
+    packed = b"5 0 obj << /Type /ObjStm /Filter /FlateDecode >> stream\n" + zlib.compress(b"<</Type/Page>> <</Type /Pages>> <</Type/Page>>") + b"\nendstream"
+    made = {
+        "a.txt": ("héllo\r\n".encode(), "OK", 1, "héllo\r\n"), "b.txt": (b"", "EMPTY", None, None), "c.TXT": (b"\xff\xfe", "NOT_UTF8", None, None), "d.exe": (b"x", "BAD_NAME", None, None),
+        "e.pdf": (b"%PDF-1.4 " + page * 2 + b"<< /Type /Pages >>", "OK", 2, None), "f.pdf": (b"PDF", "UNREADABLE", None, None), "g.pdf": (b"%PDF-1.4 /Encrypt 5 0 R " + page, "ENCRYPTED", None, None),
+        "h.pdf": (b"%PDF-1.4 " + page * 301, "TOO_MANY_PAGES", 301, None), "i.txt": (b"x" * (uploads.MAX_BYTES + 1), "TOO_LARGE", None, None), "j.txt": (b"x" * uploads.MAX_BYTES, "OK", 1, None),
+        "k.txt": (b" \n", "BLANK", 1, None), "sub/l.txt": (b"x", "BAD_NAME", None, None), "m.pdf": (b"%PDF-1.5 " + packed, "OK", 2, None), "n\\o.txt": (b"x", "BAD_NAME", None, None),
+    }
+    for name, (data, *_) in made.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_bytes(data)
-    got = {r.name: (r.verdict, r.text) for r in files.uploads(spark, f"file://{tmp_path}").collect()}
-    assert got == {"a.txt": ("OK", "héllo"), "c.TXT": ("NOT_UTF8", None), "d.exe": ("BAD_NAME", None), "e.pdf": ("OK", None)}
+    spark.dataSource.register(uploads.Uploads)
+    df = spark.read.format("uploads").option("partitions", 3).load(f"file://{tmp_path}")
+    got = {r.name: (r.verdict, r.pages, r.text if r.name != "j.txt" else None) for r in df.collect()}
+    assert got == {k: v[1:] for k, v in made.items()} and df.rdd.getNumPartitions() == 3
+    assert df.where("name = 'a.txt'").first().digest == hashlib.sha256("héllo\r\n".encode()).hexdigest()
+    (tmp_path / "none").mkdir()
+    assert spark.read.format("uploads").load(f"file://{tmp_path}/none").count() == 0
+
+
+def test_shares_are_even():
+    files = [(f"p{k}", f"n{k}", (k * 7919) % 1_000_000) for k in range(300)]
+    got = uploads.shares(files, 16)
+    sizes = [sum(f[2] for f in s.files) for s in got]
+    assert sorted(f for s in got for f in s.files) == sorted(files) and max(sizes) < 1.02 * min(sizes)
 
 
 def test_question_faults(spark, tmp_path):
