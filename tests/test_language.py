@@ -13,39 +13,69 @@ from evidra.operators import typed
 PAGE = "Overview\n\nSome plain words. And more.\nof them\r\nstill.\n\n| a | b |\n|---|---|\n| 1 | 2 |\n- item one\n3) item two\nName: value\nhttps://x.org/a\n====\nLast line of 30 days"
 
 
-def test_block_kinds_and_places():
-    got = [(b.kind, b.first_line, b.last_line, b.parent) for b in st.blocks_of(PAGE)]
+def _of(spark, build, texts):
+    """The rows that build makes of each text, in order, by text."""
+    out = [[] for _ in texts]
+    for r in build(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), "id").collect():
+        out[r.id].append(r)
+    place = lambda r: tuple(r[c] for c in ("ordinal", "part", "passage") if c in r)
+    return [sorted(rows, key=place) for rows in out]
+
+
+def test_block_kinds_and_places(spark):
+    found = _of(spark, st.blocks, [PAGE])[0]
+    got = [(b.kind, b.first_line, b.last_line, b.parent) for b in found]
     assert got == [("HEADING", 1, 1, 1), ("PARAGRAPH", 3, 5, 1), ("TABLE_ROW", 7, 7, 1), ("OTHER", 8, 8, 1), ("TABLE_ROW", 9, 9, 1), ("LIST_ITEM", 10, 10, 1), ("LIST_ITEM", 11, 11, 1), ("KEY_VALUE", 12, 12, 1), ("PARAGRAPH", 13, 13, 1), ("OTHER", 14, 14, 1), ("PARAGRAPH", 15, 15, 1)]
-    assert all(PAGE[b.start : b.end] == b.text for b in st.blocks_of(PAGE))
+    assert all(PAGE[b.start : b.end] == b.content for b in found)
 
 
-@pytest.mark.parametrize(("text", "kind"), [("Short title\nplain text follows here.", "HEADING"), ("Short title\nApril 2021", "PARAGRAPH"), ("This ends.\n\nx", "PARAGRAPH"), ("w " * 9 + "\nmore", "PARAGRAPH"), ("# Head\nx", "HEADING")])
-def test_headings(text, kind):
-    assert st.blocks_of(text)[0].kind == kind
+def test_blocks_need_no_python(spark):
+    plan = st.blocks(spark.createDataFrame([(1, PAGE)], "id int, text string"), "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Arrow" not in plan and "Python" not in plan
 
 
-def test_table_rows_carry_their_head():
-    rows = [c for c in st.children_of(st.blocks_of(PAGE)) if c.kind == "TABLE_ROW"]
-    assert [(c.header, c.retrieval) for c in rows] == [(0, "| a | b |"), (3, "| a | b |\n| 1 | 2 |")]
-    (run, text), *_ = st.passages_of(rows)
-    assert len(run) == 2 and text == "| a | b |\n| 1 | 2 |"  # the head is there already
-    with pytest.raises(ValueError):
-        st.children_of(st.blocks_of(f"| {'x' * 500} | b |\n| 1 | 2 |"))
+def test_headings(spark):
+    cases = {"Short title\nplain text follows here.": "HEADING", "Short title\nApril 2021": "PARAGRAPH", "This ends.\n\nx": "PARAGRAPH", "w " * 9 + "\nmore": "PARAGRAPH", "# Head\nx": "HEADING", "only": "HEADING", "a | b | c": "TABLE_ROW", "a\tb\tc": "TABLE_ROW", "x: y": "KEY_VALUE", "ftp://x:y": "PARAGRAPH", "===": "OTHER"}
+    assert [b[0].kind for b in _of(spark, st.blocks, list(cases))] == list(cases.values())
 
 
-def test_children_lose_no_ink_and_keep_to_the_bound():
+def test_table_rows_carry_their_head(spark):
+    tables = [PAGE, "| a | b |\n| 1 | 2 |\n\n| 3 | 4 |", "| a | b |\n|---|---|\n| 1 | 2 |\n|---|---|\n| 3 | 4 |", "| a | b |\n---\n| 1 | 2 |"]
+    rows = [[c for c in kids if c.kind == "TABLE_ROW"] for kids in _of(spark, st.children, tables)]
+    assert [(c.header, c.retrieval) for c in rows[0]] == [(0, "| a | b |"), (3, "| a | b |\n| 1 | 2 |")]
+    assert [[c.header for c in r] for r in rows[1:]] == [[0, 1, 0], [0, 1, 3], [0, 0]]
+    (found, *_), *_ = _of(spark, st.passages, ["| a | b |\n|---|---|\n| 1 | 2 |"])
+    assert found.n_children == 2 and found.retrieval == "| a | b |\n| 1 | 2 |"  # the head is there already
+
+
+def test_children_lose_no_ink_and_keep_to_the_bound(spark):
     rng = random.Random(5)
-    for _ in range(60):
-        words = ["".join(rng.choices("abc", k=rng.randint(1, 40))) + rng.choice(["", "", ".", "\r\n", "\n"]) for _ in range(rng.randint(1, 300))]
-        text = " ".join(words)
-        blocks = st.blocks_of(text)
-        kids = st.children_of(blocks)
-        assert all(text[c.start : c.end] == c.text and 0 < len(c.retrieval) <= st.PASSAGE_MOST for c in kids)
-        ink = lambda spans: "".join("".join(s.text.split()) for s in spans)
-        assert ink(kids) == ink(b for b in blocks if b.kind not in ("HEADING", "OTHER"))
-        found = st.passages_of(kids)
-        assert [c for run, _ in found for c in run] == kids
-        assert all(len(t) <= st.PASSAGE_MOST and len({c.parent for c in run}) == 1 for run, t in found)
+    texts = [" ".join("".join(rng.choices("abc", k=rng.randint(1, 40))) + rng.choice(["", "", ".", "\r\n", "\n"]) for _ in range(rng.randint(1, 300))) for _ in range(60)]
+    ink = lambda spans: "".join("".join(s.content.split()) for s in spans)
+    for text, blocks, kids, found in zip(texts, *(_of(spark, f, texts) for f in (st.blocks, st.children, st.passages)), strict=True):
+        assert all(text[c.start : c.end] == c.content and 0 < len(c.retrieval) <= st.PASSAGE_MOST for c in kids)
+        assert all((c.first_line, c.last_line) == (1 + text.count("\n", 0, c.start), 1 + text.count("\n", 0, c.end)) for c in kids)
+        assert ink(kids) == ink(b for b in blocks if b.kind not in ("HEADING", "OTHER")) == ink(found)
+        assert sum(p.n_children for p in found) == len(kids) and [p.passage for p in found] == list(range(1, len(found) + 1))
+        assert all(len(p.retrieval) <= st.PASSAGE_MOST for p in found)
+
+
+def test_passages_by_brute_force(spark):
+    """Children one after the other, with the rules of growth on their own lengths."""
+    rng = random.Random(7)
+    texts = ["\n".join(rng.choice(["word " * rng.randint(1, 60) + "end.", f"- {'item ' * rng.randint(1, 30)}x", "", f"name: {'v' * rng.randint(1, 90)}"]) for _ in range(40)) for _ in range(20)]
+    for kids, found in zip(_of(spark, st.children, texts), _of(spark, st.passages, texts), strict=True):
+        want, size = [], 0
+        for a, c in zip([None, *kids], kids, strict=False):
+            grown = size + 1 + len(c.retrieval)
+            touches = a is not None and a.parent == c.parent and c.first_line <= a.last_line + 2 and c.ordinal - a.ordinal in (0, 1)
+            if touches and grown <= st.PASSAGE_MOST and (grown <= st.PASSAGE_TARGET or size < st.PASSAGE_LEAST):
+                want[-1].append(c.retrieval)
+                size = grown
+            else:
+                want.append([c.retrieval])
+                size = len(c.retrieval)
+        assert [p.retrieval for p in found] == ["\n".join(w) for w in want]
 
 
 def test_structure_of_odd_rows(spark):
