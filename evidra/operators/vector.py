@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-from itertools import batched
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,16 +51,26 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
     return _ranked(_found(vectors, rows, k, id_col, vector_col), k)
 
 
-def knn_in_blocks(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", most: int = MAX_QUERIES) -> DataFrame:
-    """As knn, for any number of queries: each block of at most `most` is a scan of the vectors."""
-    blocks = [_found(vectors, list(rows), k, id_col, vector_col) for rows in batched(queries.select(id_col, vector_col).toLocalIterator(), most)]
-    return _ranked(reduce(DataFrame.unionByName, blocks or [_found(vectors, [], k, id_col, vector_col)]), k)
+def knn_in_blocks(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", most: int = MAX_QUERIES, block: int = 4_096) -> DataFrame:
+    """As knn, for any number of queries: up to `most` (counted) they are broadcast, beyond that blocks of queries are joined
+    with blocks of vectors. The plan has the same size for any number; no more than `most` queries reach the driver."""
+    if queries.select(id_col).limit(most + 1).count() <= most:
+        return knn(vectors, queries, k, id_col, vector_col, most)
+    return _ranked(_joined(vectors, queries, k, id_col, vector_col, block), k)
 
 
-def all_scores(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", most: int = MAX_QUERIES) -> DataFrame:
-    """(query_id, cand_id, score) of every query with every other vector; a scan of the vectors for each block of queries."""
-    blocks = [_found(vectors, list(rows), None, id_col, vector_col) for rows in batched(queries.select(id_col, vector_col).toLocalIterator(), most)]
-    return reduce(DataFrame.unionByName, blocks or [_found(vectors, [], None, id_col, vector_col)])
+def ranked_within(vectors: DataFrame, queries: DataFrame, group: str, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(group, query_id, cand_id, rank): all vectors of each query's own group but itself, none cut off, ties by id.
+
+    Vectors without a direction are in no ranking. A hot group is one that Spark may split: the join is by the group alone.
+    """
+    unit = lambda v: F.transform(v, lambda x: x.cast("double") / norm(v))
+    good = lambda df: df.where(F.col(group).isNotNull() & (norm(F.col(vector_col)) > 0) & (norm(F.col(vector_col)) < float("inf")))
+    q = good(queries).select(group, F.col(id_col).alias("query_id"), unit(F.col(vector_col)).alias("_q"))
+    c = good(vectors).select(group, F.col(id_col).alias("cand_id"), unit(F.col(vector_col)).alias("_c"))
+    pairs = c.join(q, group).where("query_id <> cand_id and size(_q) = size(_c)").select(group, "query_id", "cand_id", dot(F.col("_q"), F.col("_c")).alias("score"))
+    w = Window.partitionBy(group, "query_id").orderBy(F.desc("score"), "cand_id")
+    return pairs.select(group, "query_id", "cand_id", F.row_number().over(w).cast("long").alias("rank"))
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -69,8 +78,27 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _found(vectors: DataFrame, rows: list, k: int | None, id_col: str, vector_col: str) -> DataFrame:
-    """(query_id, cand_id, score): the best k of each Arrow batch for every query, and their ties; without k all."""
+def _best(ids: np.ndarray, queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """(query_id, cand_id, score): the best k of vectors for every query, and their ties; SLAB queries a matrix product."""
+    with np.errstate(all="ignore"):
+        v = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).T
+    m = min(k, len(own))
+    for at in range(0, len(ids), SLAB):
+        some, q = ids[at : at + SLAB], queries[at : at + SLAB]
+        score = q @ v
+        score[~np.isfinite(score) | (some[:, None] == own[None, :])] = -np.inf  # NaN would be the largest
+        # all that reach the k-th score, so that ties are settled by id
+        i, j = np.nonzero(score >= np.partition(score, len(own) - m, axis=1)[:, len(own) - m][:, None])
+        ok = np.isfinite(score[i, j])
+        i, j = i[ok], j[ok]
+        yield pa.RecordBatch.from_arrays([pa.array(some[i]), pa.array(own[j]), pa.array(score[i, j])], ["query_id", "cand_id", "score"])
+
+
+_FOUND = "query_id long, cand_id long, score double"
+
+
+def _found(vectors: DataFrame, rows: list, k: int, id_col: str, vector_col: str) -> DataFrame:
+    """The best k of each Arrow batch for every query of rows, which are broadcast."""
     ids = np.array([r[0] for r in rows], np.int64)
     q = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1 if rows else 0)
     sent = vectors.sparkSession.sparkContext.broadcast((ids, q / np.linalg.norm(q, axis=1, keepdims=True) if len(q) else q))
@@ -82,24 +110,58 @@ def _found(vectors: DataFrame, rows: list, k: int | None, id_col: str, vector_co
                 continue
             # a null vector, or one of another length than the queries, is no neighbour
             batch = batch.filter(pc.equal(pc.list_value_length(batch.column(vector_col)), all_q.shape[1]))
-            if not batch.num_rows:
-                continue
-            own = batch.column(id_col).to_numpy()
-            v = batch.column(vector_col).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)
+            if batch.num_rows:
+                own = batch.column(id_col).to_numpy()
+                yield from _best(all_ids, all_q, own, batch.column(vector_col).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1), k)
+
+    return vectors.select(id_col, vector_col).mapInArrow(run, _FOUND)
+
+
+def _packed(rows: DataFrame, id_col: str, vector_col: str, block: int) -> DataFrame:
+    """(block, dim, ids, data): up to `block` vectors of a task and one length side by side."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for whole in batches:
+            for at in range(0, whole.num_rows, block):
+                batch = whole.slice(at, block)
+                sizes = pc.fill_null(pc.list_value_length(batch.column(vector_col)), 0)
+                for dim in pc.unique(sizes).to_pylist():
+                    if not dim:
+                        continue
+                    some = batch.filter(pc.equal(sizes, dim))
+                    data = some.column(vector_col).flatten().to_numpy(zero_copy_only=False)
+                    yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([dim], pa.int32()), pa.array([some.column(id_col).to_numpy().astype(np.int64).tobytes()]), pa.array([data.astype(np.float64).tobytes()])], ["block", "dim", "ids", "data"])
+                    number += 1
+
+    return rows.select(id_col, vector_col).mapInArrow(run, "block long, dim int, ids binary, data binary")
+
+
+def _joined(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col: str, block: int) -> DataFrame:
+    """The best k of each pair of a block of vectors and a block of queries. Blocks are dealt to places by their numbers; every
+    place of vectors meets every place of queries in a task of its own."""
+    v, q = _packed(vectors, id_col, vector_col, block), _packed(queries, id_col, vector_col, block)
+    n_v, n_q = (-(-rows.count() // block) or 1 for rows in (vectors, queries))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
+    left = v.withColumn("a", own(n_v)).withColumn("b", all_of(n_q)).select("dim", "a", "b", "ids", "data")
+    right = q.withColumn("b", own(n_q)).withColumn("a", all_of(n_v)).select("dim", "a", "b", "ids", "data")
+
+    def run(some: pa.Table, asked: pa.Table) -> pa.Table:
+        def matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+            ids = np.concatenate([np.frombuffer(x, np.int64) for x in t.column("ids").to_pylist()])
+            return ids, np.concatenate([np.frombuffer(x, np.float64) for x in t.column("data").to_pylist()]).reshape(len(ids), -1)
+
+        out = []
+        if some.num_rows and asked.num_rows:
+            (own, x), (ids, y) = matrix(some), matrix(asked)
             with np.errstate(all="ignore"):
-                v = (v / np.linalg.norm(v, axis=1, keepdims=True)).T
-            m = min(k or len(own), len(own))
-            for at in range(0, len(all_ids), SLAB):
-                ids, q = all_ids[at : at + SLAB], all_q[at : at + SLAB]
-                score = q @ v
-                score[~np.isfinite(score) | (ids[:, None] == own[None, :])] = -np.inf  # NaN would be the largest
-                # all that reach the k-th score, so that ties are settled by id
-                i, j = np.nonzero(score >= np.partition(score, len(own) - m, axis=1)[:, len(own) - m][:, None])
-                ok = np.isfinite(score[i, j])
-                i, j = i[ok], j[ok]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(own[j]), pa.array(score[i, j])], ["query_id", "cand_id", "score"])
-
-    return vectors.select(id_col, vector_col).mapInArrow(run, "query_id long, cand_id long, score double")
+                out = list(_best(ids, y / np.linalg.norm(y, axis=1, keepdims=True), own, x, k))
+        kinds = pa.schema([("query_id", pa.int64()), ("cand_id", pa.int64()), ("score", pa.float64())])
+        return pa.Table.from_batches(out, kinds)
+
+    keys = ("dim", "a", "b")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, _FOUND)
 
 
 def sparse_top(queries: DataFrame, docs: DataFrame, k: int, most: int = 1_000_000) -> DataFrame:

@@ -285,7 +285,7 @@ def evidence_search(spark, sf_dir):
     found = active_runs(table(spark, sf_dir, "embeddings"), docs(spark, sf_dir), evidence.MAX_CANDIDATES)
     asked = docs(spark, sf_dir).where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
     chunks = active_chunks(docs(spark, sf_dir)).select("version_id", "chunk_id", "content", F.concat_ws(" ", "lang", "source").alias("title"), F.lit(None).cast("int").alias("page_no"))
-    rows = chunks.join(F.broadcast(found.join(asked.select("query_id"), "query_id")), F.col("cand_id") == F.col("version_id"))
+    rows = chunks.join(found.join(asked.select("query_id"), "query_id"), F.col("cand_id") == F.col("version_id"))
     return evidence.evidence_profile(rows.select("query_id", "chunk_id", "version_id", "page_no", "title", "content", ((F.col("score") + 1) / 2).alias("score"), "rank"), asked, most=None)
 
 

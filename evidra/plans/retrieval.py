@@ -284,14 +284,12 @@ def look_ahead_lines(spark, sf_dir):
 # Vectors of passages and children: vectors whose numbers are alike but for the last digit are of one passage
 
 
-@pair(""", q AS (SELECT q.vec_id AS query_id, c.vec_id AS cand_id, c.label AS owner_id, list_cosine_similarity(q.v, c.v) AS score FROM unit q, unit c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+@pair(""", q AS (SELECT q.vec_id AS query_id, c.vec_id AS cand_id, c.label AS owner_id, list_cosine_similarity(q.v, c.v) AS score FROM unit q, unit c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND q.label = c.label)
 SELECT owner_id::BIGINT AS owner_id, query_id, cand_id, row_number() OVER (PARTITION BY owner_id, query_id ORDER BY score DESC, cand_id) AS rank FROM q""")
 def full_user_ranking(spark, sf_dir):
-    """All candidates of every owner for every query, none cut off; the label stands for the owner."""
-    v = table(spark, sf_dir, "embeddings")
-    scored = vector.all_scores(v, every_50th(v)).join(v.select(F.col("vec_id").alias("cand_id"), F.col("label").cast("long").alias("owner_id")), "cand_id")
-    w = Window.partitionBy("owner_id", "query_id").orderBy(F.desc("score"), "cand_id")
-    return scored.select("owner_id", "query_id", "cand_id", F.row_number().over(w).cast("long").alias("rank"))
+    """All candidates of a query's own owner, none cut off; the label stands for the owner."""
+    v = table(spark, sf_dir, "embeddings").withColumn("owner_id", F.col("label").cast("long"))
+    return vector.ranked_within(v, every_50th(v), "owner_id")
 
 
 @pair(_DENSE + """, kids AS (SELECT DISTINCT d.query_id, c.vec_id AS child_id FROM dense d JOIN unit c ON c.vec_id // 10 = d.cand_id // 10 WHERE d.rank <= 5)

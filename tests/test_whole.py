@@ -24,7 +24,30 @@ def test_knn_in_blocks_equals_knn(spark):
     v = spark.range(7).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("embedding"))
     rows = lambda found: sorted((r.query_id, r.cand_id, r.rank) for r in found.collect())
     assert rows(vector.knn_in_blocks(v, v, 2, most=3)) == rows(vector.knn(v, v, 2))
+    assert rows(vector.knn_in_blocks(v, v, 2, most=3, block=2)) == rows(vector.knn(v, v, 2))
     assert vector.knn_in_blocks(v, v.where("vec_id < 0"), 2).count() == 0
+    assert vector.knn_in_blocks(v.where("vec_id < 0"), v, 2, most=3).count() == 0
+
+
+def test_knn_of_many_queries_has_one_plan(spark):
+    """Blocks of queries are rows: four times as many make the plan no larger, and none is collected."""
+    v = spark.range(400).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.sin("id"), F.cos("id")).alias("embedding")).repartition(3)
+    size = lambda n: len(vector.knn_in_blocks(v, v.where(f"vec_id < {n}"), 5, most=10, block=16)._jdf.queryExecution().logical().toString().splitlines())
+    assert size(100) == size(400)
+    got = {(r.query_id, r["rank"]): r.cand_id for r in vector.knn_in_blocks(v, v, 5, most=10, block=16).collect()}
+    import numpy as np
+
+    x = np.array([[1.0, np.sin(k), np.cos(k)] for k in range(400)])
+    score = (x / np.linalg.norm(x, axis=1)[:, None]) @ (x / np.linalg.norm(x, axis=1)[:, None]).T
+    for q in range(0, 400, 7):
+        want = sorted((c for c in range(400) if c != q), key=lambda c: (-score[q, c], c))[:5]
+        assert np.allclose([score[q, got[q, k + 1]] for k in range(5)], [score[q, c] for c in want])
+
+
+def test_full_ranking_stays_with_the_owner(spark):
+    v = spark.createDataFrame([(1, 1, [1.0, 0.0]), (2, 1, [1.0, 1.0]), (3, 1, [0.0, 1.0]), (4, 2, [1.0, 0.0]), (5, 1, [0.0, 0.0]), (6, 1, None), (7, None, [1.0, 0.0])], "vec_id long, owner int, embedding array<float>")
+    got = vector.ranked_within(v, v.where("vec_id in (1, 4, 5, 7)"), "owner").collect()
+    assert {tuple(r) for r in got} == {(1, 1, 2, 1), (1, 1, 3, 2)}
 
 
 def test_only_active_versions_are_ranked(spark):
