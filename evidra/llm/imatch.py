@@ -1,9 +1,10 @@
 """Operator 8: I-Match fingerprints with DataFrame functions only.
 
 Terms are words `[^\\x20\\x09-\\x0D]+` in lower case, as 64-bit hashes. Document frequencies count all
-documents. The lexicon keeps terms whose inverse document frequency ln(N / df) lies in a band; its size
-has a proven bound: as the frequencies sum to N times the mean number of distinct terms, at most
-mean * exp(max_idf) terms reach the band (`most` is checked besides). Each lexicon term belongs to two of `subsets`
+documents. The lexicon keeps terms whose inverse document frequency ln(N / df) lies in a band, as a stored table; its
+size has a proven bound: as the frequencies sum to N times the mean number of distinct terms, at most
+mean * exp(max_idf) terms reach the band. Up to `most` terms (counted) are a set within the plan; more are
+joined with the terms of the texts, with the same result. Each lexicon term belongs to two of `subsets`
 randomised subsets, so that subsets overlap; a document's distinct terms of a subset, sorted, are hashed. A fingerprint
 is all these hashes, and the likeness of two is the share of equal ones among the subsets that either uses. A text
 without a term in the band uses all its terms instead.
@@ -30,22 +31,29 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w)))
 
 
-def lexicon(docs: DataFrame, text_col: str = "text", min_idf: float = 1.6, max_idf: float = 5.3, most: int = 1_000_000) -> list[int]:
-    """Hashes of the terms in the band, from all documents; more than most raise an error."""
+def lexicon(docs: DataFrame, text_col: str = "text", min_idf: float = 1.6, max_idf: float = 5.3, most: int = 1_000_000) -> list[int] | DataFrame:
+    """Hashes of the terms in the band, from all documents: a sorted list of at most most, else a stored table (h)."""
     each = docs.select(F.explode(F.array_distinct(F.split(F.lower(text_col), _WHITE))).alias("w")).where("w <> ''")
     count = each.groupBy(F.xxhash64("w").alias("h")).agg(F.count("*").alias("df"))
     idf = F.log(F.lit(float(max(docs.count(), 1))) / F.col("df"))
-    words = count.where(idf.between(min_idf, max_idf)).select("h").limit(most + 1).collect()
-    if len(words) > most:
-        raise ValueError(f"more than {most} terms are in the band: the documents are too long for it")
-    return sorted(r.h for r in words)
+    words = stored(count.where(idf.between(min_idf, max_idf)).select("h"), "lexicon")
+    return words if words.count() > most else sorted(r.h for r in words.collect())
 
 
-def with_fingerprint(rows: DataFrame, text_col: str, name: str, words: list[int], subsets: int = 256, seed: int = 11) -> DataFrame:
+def _in_band(rows: DataFrame, words: list[int] | DataFrame) -> DataFrame:
+    """rows with _band, the terms of _every that the lexicon holds."""
+    if isinstance(words, list):
+        member = f"h in ({', '.join(map(str, words))})" if words else "false"
+        return rows.withColumn("_band", F.expr(f"filter(_every, h -> {member})"))
+    rows = stored(rows.withColumn("_n", F.monotonically_increasing_id()), "texts")  # so that both readers see the same numbers
+    held = rows.select("_n", F.explode("_every").alias("h")).join(words, "h", "left_semi").groupBy("_n").agg(F.collect_list("h").alias("_band"))
+    return rows.join(held, "_n", "left").withColumn("_band", F.coalesce("_band", F.array().cast("array<bigint>"))).drop("_n")
+
+
+def with_fingerprint(rows: DataFrame, text_col: str, name: str, words: list[int] | DataFrame, subsets: int = 256, seed: int = 11) -> DataFrame:
     """rows with an array of one hash per subset (a power of two), null where the text has no term of it."""
     bits = subsets.bit_length() - 1
-    member = f"h in ({', '.join(map(str, words))})" if words else "false"
-    rows = rows.withColumn("_every", terms(F.col(text_col))).withColumn("_band", F.expr(f"filter(_every, h -> {member})"))
+    rows = _in_band(rows.withColumn("_every", terms(F.col(text_col))), words)
     rows = rows.withColumn("_used", F.when(F.size("_band") > 0, F.col("_band")).otherwise(F.col("_every"))).drop("_every", "_band")
     entry = lambda k, h: F.shiftleft(F.pmod(k, F.lit(subsets)), 64 - bits).bitwiseOR(F.shiftrightunsigned(h, bits))
     first = lambda h: F.pmod(F.xxhash64(h, F.lit(seed)), F.lit(subsets))
@@ -100,7 +108,7 @@ def successors(ids: DataFrame, most: int = 100_000, bits: int = 8) -> DataFrame:
     return inner.alias("i").join(linked.alias("l"), F.expr("i.u <=> l.u"), "left").select("i.g", F.when(F.col("i.more"), F.col("i.a")).otherwise(F.col("l.head")).alias("after"))
 
 
-def _followed(docs: DataFrame, words: list[int], bits: int, subsets: int) -> DataFrame:
+def _followed(docs: DataFrame, words: list[int] | DataFrame, bits: int, subsets: int) -> DataFrame:
     """(id, text, shared, following, own, next_print): each row with the next one's text and fingerprint; ids are distinct.
 
     The text is shuffled once, to groups of 2**bits neighbouring ids; windows, joins and results stay there.
@@ -117,10 +125,10 @@ def _followed(docs: DataFrame, words: list[int], bits: int, subsets: int) -> Dat
     return rows.withColumn("next_print", F.coalesce(F.lead("own").over(w), "head_print")).drop("head_print", "g")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 8, subsets: int = 256) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 8, subsets: int = 256, most: int = 1_000_000) -> DataFrame:
     """Per document its fingerprint, that of its edited text (the last third replaced by the start of the next document), and likenesses."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    words = lexicon(docs)
+    words = lexicon(docs, most=most)
     again = stored(docs.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "again")
     shared = not again.isEmpty()
     unique = docs.withColumn("shared", F.lit(False))

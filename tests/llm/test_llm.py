@@ -434,8 +434,12 @@ def test_imatch_shared_and_null_ids(spark):
         k = len(t) // 3
         want.append((str(i), hashlib.sha256((t[: len(t) - k] + follow[i][:k]).encode()).hexdigest()))
     assert got == sorted(want)
-    with pytest.raises(ValueError):
-        imatch.lexicon(df, min_idf=0.0, most=3)
+
+
+def test_imatch_with_a_lexicon_of_any_size(docs):
+    """Beyond its bound the lexicon is a table that is joined: the same fingerprints."""
+    by_set, by_join = (sorted(map(tuple, imatch.fingerprints(docs, bits=2, subsets=16, most=n).collect())) for n in (1_000_000, 2))
+    assert by_set == by_join and not isinstance(imatch.lexicon(docs.select("text"), most=2), list)
 
 
 def test_successors(spark):
