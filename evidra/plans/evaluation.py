@@ -14,7 +14,7 @@ from ..operators import fulltext as ft
 from ..operators import structure
 from ..streaming import runner
 from .corpus import active_chunks, register, runs, table, versions
-from .queries import _BLOCKS_D, _TOKENS_D, QUERIES, _tokens_sql, docs, pair
+from .queries import _BLOCKS_D, _FOLD_D, _TOKENS_D, QUERIES, _tokens_sql, docs, pair
 from .retrieval import _DENSE, _FLOOR, _KW, _NUMBERS_D, _asked, _dense
 
 # Signals of candidates
@@ -266,7 +266,7 @@ def stream_windows_native(spark, sf_dir):
     return runner.windows(spark, f"{sf_dir}/events.parquet")
 
 
-@pair(None)
+@pair(_FOLD_D + " SELECT job_id, status, fence, retries, rejected FROM job")
 def stream_job_state(spark, sf_dir):
     """The last state of each job of an event stream; the batch fold gives the same."""
     return runner.job_states(spark, f"{sf_dir}/events.parquet")

@@ -454,13 +454,23 @@ same("generation_lifecycle", "SELECT event_id, job_id, CASE WHEN rn = 1 THEN 'AC
 same("hourly_windows", "SELECT date_trunc('hour', ts) AS start, kind, count(*) AS n FROM job_events_v GROUP BY 1, 2")
 
 
-@pair(None)
+_FOLD_D = """, ev AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) AS o FROM job_events_v),
+folded AS (SELECT DISTINCT job_id, 0::BIGINT AS o, NULL::VARCHAR AS st, 0::BIGINT AS f, 0::BIGINT AS n, 0::BIGINT AS rej, NULL::TIMESTAMP AS until, NULL::TIMESTAMP AS due FROM ev
+ UNION ALL SELECT job_id, o, CASE WHEN NOT ok THEN st WHEN kind = 'ENQUEUE' THEN 'READY' WHEN kind IN ('CLAIM', 'RENEW') THEN 'RUNNING' WHEN kind = 'COMPLETE' THEN 'COMPLETED' WHEN n < 3 THEN 'RETRY_WAIT' ELSE 'FAILED' END,
+  f + (ok AND kind = 'CLAIM')::INT, CASE WHEN ok AND kind = 'ENQUEUE' THEN 0 WHEN ok AND kind = 'FAIL' AND n < 3 THEN n + 1 ELSE n END, rej + (NOT ok)::INT,
+  CASE WHEN NOT ok THEN until WHEN kind IN ('CLAIM', 'RENEW') THEN ts + INTERVAL 600 MINUTE END, CASE WHEN NOT ok THEN due WHEN kind = 'FAIL' AND n < 3 THEN ts + to_minutes([1, 5, 15][n + 1]) END
+ FROM (SELECT w.*, e.ts, e.kind, e.o AS next, coalesce(CASE e.kind WHEN 'ENQUEUE' THEN w.st IS NULL OR w.st IN ('COMPLETED', 'FAILED') WHEN 'CLAIM' THEN w.st = 'READY' OR (w.st = 'RETRY_WAIT' AND w.due <= e.ts) OR (w.st = 'RUNNING' AND w.until < e.ts) ELSE w.st = 'RUNNING' AND w.until >= e.ts END, false) AS ok
+  FROM folded w JOIN ev e ON e.job_id = w.job_id AND e.o = w.o + 1) x(job_id, before, st, f, n, rej, until, due, ts, kind, o, ok)),
+job AS (SELECT job_id, st AS status, f AS fence, n AS retries, rej AS rejected, until AS lease_until, due AS next_retry FROM folded QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY o DESC) = 1)"""
+
+
+@pair(_FOLD_D + " SELECT * FROM job")
 def job_fold(spark, sf_dir):
     register(spark, sf_dir, "job_events_v")
     return jobs.fold(spark.table("job_events_v"))
 
 
-@pair(None)
+@pair(_FOLD_D + " SELECT job_id, CASE WHEN retries < 3 THEN 'RETRY_WAIT' ELSE 'FAILED' END AS status, fence + 1 AS fence, retries FROM job WHERE status = 'RUNNING' AND lease_until < TIMESTAMP '2025-01-01'")
 def job_recovery(spark, sf_dir):
     return jobs.expired(job_fold(spark, sf_dir), F.lit("2025-01-01").cast("timestamp_ntz")).select("job_id", "status", "fence", "retries")
 
