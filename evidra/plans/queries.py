@@ -207,14 +207,40 @@ def block_classify(spark, sf_dir):
     return structure.blocks(docs(spark, sf_dir), "doc_id").groupBy("kind").agg(F.count("*").alias("n_blocks"), F.countDistinct("doc_id").alias("n_documents"), F.max(F.col("last_line") - F.col("first_line") + 1).cast("long").alias("most_lines"))
 
 
-@pair(None)
+# Children and passages one after the other; texts with carriage returns are for the tests
+_SPACES = r"[\t-\r\x1c-\x1f \x{1680}\x{2000}-\x{2006}\x{2008}-\x{200A}\x{2028}\x{2029}\x{205F}\x{3000}]"
+_CHILDREN_D = rf""", {_BLOCKS_D},
+k_text AS (SELECT b.doc_id, ordinal, kind, parent, first_line, last_line, b.start, substr(text, b.start::BIGINT + 1, (b."end" - b.start)::BIGINT) AS t FROM blocks_v b JOIN documents d USING (doc_id)),
+k_rule AS (SELECT *, kind = 'OTHER' AND regexp_full_match(t, '{structure.DIVIDER}') AS rule FROM k_text),
+k_head AS (SELECT doc_id, ordinal, kind, parent, last_line, rule, CASE WHEN kind = 'TABLE_ROW' THEN ordinal END AS head FROM k_rule WHERE ordinal = 1
+  UNION ALL SELECT n.doc_id, n.ordinal, n.kind, n.parent, n.last_line, n.rule, CASE WHEN n.kind = 'OTHER' AND n.rule AND touch AND p.kind = 'TABLE_ROW' THEN p.ordinal WHEN n.kind = 'TABLE_ROW' AND touch AND (p.kind = 'TABLE_ROW' OR (p.rule AND p.head IS NOT NULL)) THEN p.head WHEN n.kind = 'TABLE_ROW' THEN n.ordinal END
+  FROM k_head p JOIN k_rule n ON n.doc_id = p.doc_id AND n.ordinal = p.ordinal + 1, LATERAL (SELECT p.last_line + 1 = n.first_line AND p.parent = n.parent AS touch) j),
+k_room AS (SELECT k.*, CASE WHEN h.head <> k.ordinal AND length(r.t) + 1 < {structure.PASSAGE_MOST} THEN h.head ELSE 0 END AS header, CASE WHEN h.head <> k.ordinal AND length(r.t) + 1 < {structure.PASSAGE_MOST} THEN r.t END AS context
+  FROM k_rule k JOIN k_head h USING (doc_id, ordinal) LEFT JOIN k_text r ON r.doc_id = k.doc_id AND r.ordinal = h.head WHERE k.kind NOT IN ('HEADING', 'OTHER')),
+k_cut AS (SELECT *, {structure.PASSAGE_MOST} - coalesce(length(context) + 1, 0) AS room, length(t) > {structure.PASSAGE_MOST} - coalesce(length(context) + 1, 0) AS long, 0 AS part, 0::BIGINT AS i, 0::BIGINT AS j FROM k_room
+  UNION ALL SELECT * EXCLUDE (part, i, j, b, w, m), part + 1, b, CASE WHEN NOT long THEN length(t) ELSE b + length(regexp_replace(w[:m], '{_SPACES}+$', '')) END FROM (
+   SELECT *, CASE WHEN b + room >= length(t) THEN length(w) WHEN regexp_matches(w, '(?s)[.!?。！？](?:\s|$)') THEN length(regexp_extract(w, '(?s)^(.*[.!?。！？])(?:\s|$)', 1)) WHEN regexp_matches(w, '(?s).\n') THEN length(regexp_extract(w, '(?s)^(.+)\n', 1)) ELSE length(w) END AS m FROM (
+    SELECT *, substr(t, b + 1, room) AS w FROM (SELECT *, CASE WHEN long THEN j + length(regexp_extract(substr(t, j + 1), '^{_SPACES}*')) ELSE j END AS b FROM k_cut WHERE j < length(t)) WHERE b < length(t)))),
+kids_v AS (SELECT doc_id, ordinal, part, kind, parent, header, first_line + length(substr(t, 1, i)) - length(replace(substr(t, 1, i), chr(10), '')) AS first_line, first_line + length(substr(t, 1, j)) - length(replace(substr(t, 1, j), chr(10), '')) AS last_line,
+  (start + i)::BIGINT AS start, (start + j)::BIGINT AS "end", substr(t, i + 1, j - i) AS content, CASE WHEN header > 0 THEN context || chr(10) || substr(t, i + 1, j - i) ELSE substr(t, i + 1, j - i) END AS retrieval, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal, part) AS o FROM k_cut WHERE part > 0)"""
+_PACKED_D = rf"""{_CHILDREN_D},
+p_walk AS (SELECT *, 1 AS passage, length(retrieval) AS size, list_filter([ordinal, header], lambda x : x > 0) AS seen, retrieval AS piece FROM kids_v WHERE o = 1
+  UNION ALL SELECT n.*, CASE WHEN goes THEN p.passage ELSE p.passage + 1 END, CASE WHEN goes THEN grown ELSE length(n.retrieval) END, CASE WHEN goes THEN list_concat(p.seen, list_filter([n.ordinal, n.header], lambda x : x > 0)) ELSE list_filter([n.ordinal, n.header], lambda x : x > 0) END, CASE WHEN goes AND known THEN n.content ELSE n.retrieval END
+  FROM p_walk p JOIN kids_v n ON n.doc_id = p.doc_id AND n.o = p.o + 1, LATERAL (SELECT list_contains(p.seen, n.header) AS known) a, LATERAL (SELECT p.size + 1 + CASE WHEN known THEN length(n.content) ELSE length(n.retrieval) END AS grown) b,
+  LATERAL (SELECT n.parent = p.parent AND n.start >= p."end" AND n.first_line <= p.last_line + 2 AND (n.ordinal - p.ordinal IN (0, 1) OR (p.kind = 'TABLE_ROW' AND n.kind = 'TABLE_ROW' AND n.ordinal = p.ordinal + 2 AND n.header = p.ordinal))
+   AND grown <= {structure.PASSAGE_MOST} AND (grown <= {structure.PASSAGE_TARGET} OR p.size < {structure.PASSAGE_LEAST}) AS goes) c)"""
+
+
+@pair(_CHILDREN_D + " SELECT * EXCLUDE (o) FROM kids_v")
 def evidence_children(spark, sf_dir):
     return structure.children(docs(spark, sf_dir), "doc_id")
 
 
-@pair(None)
+@pair(_PACKED_D + """ SELECT doc_id, passage, any_value(parent) AS parent, min(first_line) AS first_line, max(last_line) AS last_line, min(start) AS start, max("end") AS "end", string_agg(DISTINCT ordinal::INT, ',' ORDER BY ordinal::INT) AS blocks,
+ coalesce(string_agg(DISTINCT header::INT, ',' ORDER BY header::INT) FILTER (header > 0), '') AS headers, count(*) AS n_children, string_agg(content, chr(10) ORDER BY o) AS content, string_agg(piece, chr(10) ORDER BY o) AS retrieval FROM p_walk GROUP BY doc_id, passage""")
 def retrieval_passages(spark, sf_dir):
-    return structure.passages(docs(spark, sf_dir), "doc_id")
+    found = structure.passages(docs(spark, sf_dir), "doc_id")
+    return found.withColumn("blocks", F.array_join(F.transform("blocks", lambda x: x.cast("string")), ",")).withColumn("headers", F.array_join(F.transform("headers", lambda x: x.cast("string")), ","))
 
 
 @pair("""SELECT a.version_id, a.chunk_no, max(k) AS overlap FROM chunks_v a JOIN chunks_v b ON a.version_id = b.version_id AND b.chunk_no = a.chunk_no + 1, range(80, 801) r(k)
