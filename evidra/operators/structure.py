@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.unicode import manifest_digest
+from ..sources.work import stored
 
 # Layout patterns, their precedence, and bounds in code points.
 OTHER = r"[-=_]{3,}|[─━]{3,}"
@@ -240,6 +241,46 @@ def passages(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
     return _shaped(_passages(rows, key, text)).select(F.col("_key").alias(key), "passage", "parent", "first_line", "last_line", "start", "end", "blocks", "headers", "n_children", "content", "retrieval")
 
 
+# Headings around passages
+
+HEADING_MARK = r"^\s{0,3}(#{1,6})\s+(.+?)\s*#*\s*$"
+PATH_MOST, PATH_JOIN = 120, " > "
+
+
+def _paths(blocks: DataFrame) -> DataFrame:
+    """(_row, ordinal, path, path_blocks) of each heading: the heading of the next higher level above it, if both have levels, and itself.
+
+    A heading without a level stands alone and ends the levels before it. A path that is too long loses its first part,
+    then its end.
+    """
+    h = blocks.where("kind = 'HEADING'").select("_row", "ordinal", "content", F.regexp_extract("content", HEADING_MARK, 1).alias("marks"))
+    h = h.withColumn("level", F.length("marks")).withColumn("title", F.regexp_replace(F.when(F.col("level") > 0, F.regexp_extract("content", HEADING_MARK, 2)).otherwise(F.col("content")), _EDGES, ""))
+    order = Window.partitionBy("_row").orderBy("ordinal")
+    h = h.withColumn("stretch", F.sum((F.col("level") == 0).cast("int")).over(order))
+    before = Window.partitionBy("_row", "stretch").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    lasts = [F.last(F.when(F.col("level") == k, F.struct("ordinal", "title")), ignorenulls=True).over(before) for k in range(1, 7)]
+    h = h.withColumn("lasts", F.array(*lasts))
+    h = h.withColumn("up", F.when(F.col("level") > 1, F.array_max(F.slice("lasts", 1, F.greatest(F.col("level") - 1, F.lit(1))))))
+    both = F.concat_ws(PATH_JOIN, "up.title", "title")
+    two = F.col("up").isNotNull() & (F.length(both) <= PATH_MOST)
+    return h.select("_row", "ordinal", F.when(two, both).otherwise(F.left("title", F.lit(PATH_MOST))).alias("path"), F.when(two, F.array("up.ordinal", "ordinal")).otherwise(F.array("ordinal")).alias("path_blocks"))
+
+
+def heading_paths(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, ordinal, path, path_blocks) of each heading."""
+    b = stored(_blocks(rows, key, text), "blocks")
+    return b.where("kind = 'HEADING'").select("_row", "_key", "ordinal").join(_paths(b), ["_row", "ordinal"]).select(F.col("_key").alias(key), "ordinal", "path", "path_blocks")
+
+
+def contextual_passages(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """passages with path and contextual, the retrieval text behind the path of its heading; passages above all headings have none."""
+    rows = stored(rows.select(F.monotonically_increasing_id().alias("_n"), F.col(key).alias("_k"), F.col(text).alias("_t")), "texts")  # both sides know rows by number
+    found = passages(rows, "_n", "_t")
+    paths = heading_paths(rows, "_n", "_t").select("_n", F.col("ordinal").alias("parent"), "path")
+    both = found.join(paths, ["_n", "parent"], "left").join(rows.select("_n", "_k"), "_n")
+    return both.select(F.col("_k").alias(key), *[c for c in found.columns if c != "_n"], "path", F.concat_ws("\n", "path", "retrieval").alias("contextual"))
+
+
 def manifests(rows: DataFrame, key: str, text: str = "text", name: str = "structure-manifest-v1") -> DataFrame:
     """(key, n_passages, n_children, digest): one digest over all passages and children of a document, in their order."""
     found = _shaped(_passages(rows.withColumn("_both", F.struct(F.col(key).alias("k"), F.sha2(text, 256).alias("whole"))), "_both", text))

@@ -248,16 +248,6 @@ def inventory_verify(spark, sf_dir):
     return k.groupBy("version_id").agg(F.count("*").alias("n_children"), F.count_distinct("ordinal").alias("n_distinct"), F.count_distinct("parent").alias("n_passages"), fault(F.col("gap") < 0).alias("n_overlaps"), fault(F.col("step") < 1).alias("n_disorder"), fault(F.col("parent") >= F.col("ordinal")).alias("n_orphans"))
 
 
-@pair(", " + _BLOCKS_D + """, h AS (SELECT b.doc_id, ordinal, substr(text, b.start::BIGINT + 1, (b."end" - b.start)::BIGINT) AS title FROM blocks_v b JOIN documents d ON d.doc_id = b.doc_id WHERE kind = 'HEADING'),
-l AS (SELECT *, lag(title) OVER (PARTITION BY doc_id ORDER BY ordinal) AS above FROM h)
-SELECT doc_id, ordinal::BIGINT AS ordinal, left(CASE WHEN above IS NULL THEN title ELSE above || ' > ' || title END, 120) AS path FROM l""")
-def heading_paths(spark, sf_dir):
-    """Each heading with the one before it, at most two deep and 120 characters long."""
-    h = structure.blocks(docs(spark, sf_dir), "doc_id").where("kind = 'HEADING'").select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), "content")
-    above = F.lag("content").over(Window.partitionBy("doc_id").orderBy("ordinal"))
-    return h.select("doc_id", "ordinal", F.left(F.concat_ws(" > ", above, "content"), F.lit(120)).alias("path"))
-
-
 @pair(", " + _BLOCKS_D + """, r AS (SELECT doc_id, ordinal, kind, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) - row_number() OVER (PARTITION BY doc_id, kind ORDER BY ordinal) AS island FROM blocks_v)
 SELECT doc_id, kind, min(ordinal)::BIGINT AS first_block, max(ordinal)::BIGINT AS last_block, count(*) AS n FROM r GROUP BY doc_id, kind, island""")
 def section_runs(spark, sf_dir):

@@ -78,6 +78,21 @@ def test_passages_by_brute_force(spark):
         assert [p.retrieval for p in found] == ["\n".join(w) for w in want]
 
 
+def test_heading_paths(spark):
+    text = "# One\n## Two ##\n#### Four\n### Three\n# Next\n\nPlain title\n\n## After\n### Deep"
+    long = "# " + "x" * 100 + "\n## " + "y" * 50 + "\n## " + "z" * 130
+    found = _of(spark, st.heading_paths, [text, long, "no heading here, only text."])
+    assert [r.path for r in found[0]] == ["One", "One > Two", "Two > Four", "Two > Three", "Next", "Plain title", "After", "After > Deep"]
+    assert [list(r.path_blocks) for r in found[0]][1:4] == [[1, 2], [2, 3], [2, 4]]
+    assert [r.path for r in found[1]] == ["x" * 100, "y" * 50, "z" * 120] and found[2] == []  # too long: without the upper part, then cut
+
+
+def test_passages_carry_their_path(spark):
+    rows = spark.createDataFrame([(7, "Line above all.\n\n# One\n## Two\n- item"), (7, "# Other\n- item"), (8, None)], "id int, text string")
+    got = {(r.path, r.contextual) for r in st.contextual_passages(rows, "id").collect()}
+    assert got == {(None, "Line above all."), ("One > Two", "One > Two\n- item"), ("Other", "Other\n- item")}
+
+
 def test_structure_of_odd_rows(spark):
     rows = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "A title\n\nA line.", "x"), (3, "A title\n\nA line.", "x"), (4, f"| {'x' * 500} | b |\n| 1 | 2 |", "x")], "id long, text string, kind string")
     assert {r.id for r in st.passages(rows, "id").collect()} == {3, 4}
