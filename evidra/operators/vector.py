@@ -53,9 +53,10 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
 
 def knn_in_blocks(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", most: int = MAX_QUERIES, block: int = 4_096) -> DataFrame:
     """As knn, for any number of queries: up to `most` (counted) they are broadcast, beyond that blocks of queries are joined
-    with blocks of vectors. The plan has the same size for any number; no more than `most` queries reach the driver."""
-    if queries.select(id_col).limit(most + 1).count() <= most:
-        return knn(vectors, queries, k, id_col, vector_col, most)
+    with blocks of vectors. The plan has the same size for any number; no more than `most` + 1 queries reach the driver."""
+    rows = queries.select(id_col, vector_col).limit(most + 1).collect()
+    if len(rows) <= most:
+        return _ranked(_found(vectors, rows, k, id_col, vector_col), k)
     return _ranked(_joined(vectors, queries, k, id_col, vector_col, block), k)
 
 
