@@ -4,7 +4,7 @@ import pytest
 
 import oracle
 from evidra.plans import queries as plans
-from evidra.plans import artefacts, briefs, evaluation, postings, results  # noqa: F401  register their queries, and those of retrieval
+from evidra.plans import artefacts, briefs, evaluation, oracles, postings, results  # noqa: F401  register their queries, and those of retrieval
 
 SF = "/root/testdata/sf0.001"
 NONE_HERE = {"evidence_expansion", "variant_expansion", "numeric_anchor_rescue"}  # the smallest tables hold no case; fixtures do
