@@ -42,6 +42,11 @@ SELECT label, tp, fp, fn, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0
     "localization_iou": f""", p AS (SELECT DISTINCT version_id, unnest(range(lo, hi)) AS at FROM ({_SPANS}))
 SELECT version_id, count(*) AS covered, count(*) FILTER (NOT EXISTS (SELECT 1 FROM p q WHERE q.version_id = p.version_id AND q.at = p.at - 1)) AS n_islands FROM p GROUP BY version_id""",
     "interval_cover_join": ", a AS (SELECT chunk_id, version_id, range((chunk_no - 1) * 680, (chunk_no - 1) * 680 + length(content) + 1) AS r FROM chunks_v) SELECT a.chunk_id, count(*) AS n_spans FROM a JOIN chunks_v b ON b.version_id = a.version_id AND b.chunk_no * 500 BETWEEN a.r[1] AND a.r[-1] AND b.chunk_no * 500 + 60 BETWEEN a.r[1] AND a.r[-1] GROUP BY a.chunk_id",
+    "interval_overlap_join": """, p AS (SELECT chunk_id, version_id, unnest(range((chunk_no - 1) * 680, (chunk_no - 1) * 680 + length(content))) AS spot FROM chunks_v), q AS (SELECT version_id, chunk_no, unnest(range(chunk_no * 500, chunk_no * 500 + 60)) AS spot FROM chunks_v)
+SELECT chunk_id, count(DISTINCT chunk_no) AS n_spans, count(*) AS shared FROM p JOIN q USING (version_id, spot) GROUP BY chunk_id""",
+    "chunk_windows": ", n AS (SELECT *, length(content) AS l, lead(length(content)) OVER w AS l1, lead(length(content), 2) OVER w AS l2, lead(chunk_no) OVER w = chunk_no + 1 AS c1, lead(chunk_no, 2) OVER w = chunk_no + 2 AS c2 FROM chunks_v WINDOW w AS (PARTITION BY version_id ORDER BY chunk_no)) SELECT version_id, chunk_no, 1 AS w, l AS n_chars FROM n UNION ALL SELECT version_id, chunk_no, 2, l + l1 FROM n WHERE c1 UNION ALL SELECT version_id, chunk_no, 3, l + l1 + l2 FROM n WHERE c1 AND c2",
+    "lineage_join": ", t AS (SELECT dt.document_id, dt.owner_id, list({'id': g.tag_id, 'name': g.name}) AS tags FROM document_tags_v dt JOIN tags_v g USING (tag_id) GROUP BY ALL) SELECT chunk_id, version_no, tag.id AS tag_id, tag.name AS name FROM (SELECT c.chunk_id, v.version_no, unnest(t.tags) AS tag FROM t JOIN versions_v v USING (document_id, owner_id) JOIN chunks_v c USING (version_id) WHERE v.active_version_id = v.version_id)",
+    "length_histogram": ", b AS (SELECT CASE WHEN l <= 200 THEN '01-10' WHEN l <= 400 THEN '11-20' WHEN l <= 800 THEN '21-40' WHEN l <= 1600 THEN '41-80' ELSE '81+' END AS bucket FROM (SELECT length(content) AS l FROM chunks_v)) SELECT bucket, count(*) AS n FROM b GROUP BY bucket",
     # joins and guards
     "latest_version": "SELECT document_id, arg_max(version_id, version_no) AS latest_id, arg_max(status, version_no) AS latest_status, max(version_id) FILTER (status = 'ACTIVE') AS active_id FROM versions_v GROUP BY document_id",
     "dispatch_anti_join": "SELECT document_id, version_id FROM versions_v WHERE status = 'ACTIVE' EXCEPT SELECT document_id, version_id FROM chunks_v WHERE chunk_no = 3",

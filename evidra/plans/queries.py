@@ -13,7 +13,7 @@ from ..functions import literals as li
 from ..functions import snippets as sn
 from ..functions import text as tx
 from ..functions import typed_values as tv
-from ..operators import bootstrap, evidence, jobs, needles, selection, structure, typed, vector
+from ..operators import bootstrap, evidence, jobs, judgements, needles, selection, structure, typed, vector
 from ..sources import files
 from ..streaming import leases, runner
 from .corpus import DUCK, active_chunks, active_runs, every_50th, register, runs, table, versions
@@ -320,11 +320,18 @@ def page_verdicts(spark, sf_dir):
     return files.page_verdicts(docs(spark, sf_dir).select(F.concat_ws(" ", "lang", "source").alias("name"), F.col("doc_id").alias("page_no"), "text"))
 
 
-_JUDGED = """(SELECT r.query_id, r.cand_id AS version_id, CASE WHEN r.rel > 0 THEN true ELSE false END AS found, r.rank <= 10 AS submitted, r.query_id % 8 + 1 AS owner_id,
- CASE WHEN r.rank % 4 = 0 THEN substring(c.content, 900, 40) WHEN r.rank % 4 = 1 THEN 'no such sentence' ELSE substring(c.content, 11, 60) END AS sentence, substring(c.content, 1, 200) AS snippet, c.content, c.owner_id AS source_owner
- FROM runs_v r LEFT JOIN chunks_v c ON c.version_id = r.cand_id AND c.chunk_no = 1) j"""
-same("judge_verify", f"""SELECT query_id, version_id, CASE WHEN NOT found THEN 'MODEL_NONE' WHEN NOT submitted THEN 'CHUNK_NOT_SUBMITTED' WHEN snippet IS NOT NULL AND NOT contains(snippet, sentence) THEN 'SENTENCE_NOT_IN_SNIPPET'
- WHEN content IS NULL OR source_owner <> owner_id THEN 'CHUNK_NOT_ACTIVE_OWNER' WHEN NOT contains(content, sentence) THEN 'SENTENCE_NOT_IN_SOURCE' ELSE 'ACCEPTED' END AS status FROM {_JUDGED}""")
+# What a judge says: the second sentence of the snippet, by its rank sometimes another text; every chunk of a candidate is judged
+_SAID = "CASE WHEN rank % 5 = 1 THEN 'no such sentence' WHEN rank % 5 = 2 THEN concat(chunk_id, ' is not in the source') WHEN rank % 5 = 3 THEN content ELSE trim(split_part(content, '.', 2)) END"
+_SHOWN = "CASE WHEN rank % 5 = 2 THEN concat('See: ', chunk_id, ' is not in the source') WHEN rank % 5 <> 4 THEN content END"
+
+
+@pair(f""", j AS (SELECT r.query_id, c.chunk_id, CASE WHEN r.rank % 7 = 0 THEN 1 + r.query_id % 8 ELSE c.owner_id END AS asker, c.owner_id, r.rel, r.rank, c.content, {_SAID} AS said, {_SHOWN} AS shown FROM runs_v r JOIN chunks_v c ON c.version_id = r.cand_id)
+SELECT query_id, chunk_id, CASE WHEN rel = 0 THEN 'MODEL_NONE' WHEN rank > 15 THEN 'CHUNK_NOT_SUBMITTED' WHEN position(said IN coalesce(shown, said)) = 0 THEN 'SENTENCE_NOT_IN_SNIPPET' WHEN asker <> owner_id THEN 'CHUNK_NOT_ACTIVE_OWNER' WHEN position(said IN content) = 0 THEN 'SENTENCE_NOT_IN_SOURCE' ELSE 'ACCEPTED' END AS status FROM j""")
+def judge_verify(spark, sf_dir):
+    """All chunks of all candidates with a sentence that a judge might give of them."""
+    register(spark, sf_dir, "runs_v chunks_v")
+    rows = spark.sql(f"SELECT r.query_id, r.rank, c.chunk_id, CASE WHEN r.rank % 7 = 0 THEN 1 + r.query_id % 8 ELSE c.owner_id END AS owner_id, r.rel > 0 AS found, {_SAID} AS sentence, {_SHOWN} AS snippet FROM runs_v r JOIN chunks_v c ON c.version_id = r.cand_id")
+    return judgements.verified(rows, rows.where("rank <= 15"), spark.table("chunks_v")).select("query_id", "chunk_id", "status")
 
 
 # Typed values
@@ -394,7 +401,19 @@ same("dispatch_anti_join", "SELECT v.document_id, v.version_id FROM versions_v v
 same("eligible_semi_join", "SELECT v.document_id, v.version_id FROM versions_v v WHERE EXISTS (SELECT 1 FROM document_tags_v t WHERE t.document_id = v.document_id AND t.owner_id = v.owner_id AND t.tag_id = 7)")
 same("lineage_join", "SELECT c.chunk_id, v.version_no, t.tag_id, t.name FROM chunks_v c JOIN versions_v v ON v.document_id = c.document_id AND v.version_id = c.version_id AND v.owner_id = c.owner_id JOIN document_tags_v dt ON dt.document_id = v.document_id AND dt.owner_id = v.owner_id JOIN tags_v t ON t.tag_id = dt.tag_id WHERE v.status = 'ACTIVE'")
 same("document_list", "SELECT version_id, source, status FROM versions_v WHERE lang = 'en' AND lower(source) LIKE '%src1%' AND status <> 'FAILED'")
-same("tag_search", "SELECT tag_id, name, row_number() OVER (ORDER BY CASE WHEN name = 'NATION_1' THEN 0 ELSE 1 END, CASE WHEN owner_id IS NULL THEN 0 ELSE 1 END, name, tag_id) AS pos FROM tags_v WHERE (owner_id IS NULL OR owner_id = 3) AND name LIKE '%N_TION^_1%' ESCAPE '^'")
+@pair("SELECT tag_id, name, row_number() OVER (ORDER BY name <> 'NATION_1', owner_id IS NOT NULL, name, tag_id) AS pos FROM tags_v WHERE coalesce(owner_id, 3) = 3 AND contains(substr(name, 1), 'NATION_1') QUALIFY pos <= 20")
+def tag_search(spark, sf_dir):
+    """The 20 tags that a user may see whose name holds a text: the very name first, then the system's, then by name."""
+    register(spark, sf_dir, "tags_v")
+    return searched_tags(spark.table("tags_v"), "NATION_1", 3)
+
+
+def searched_tags(tags: DataFrame, text: str, owner: int, k: int = 20) -> DataFrame:
+    """(tag_id, name, pos) of at most k tags; the text is taken literally. A top-k in each task, then k rows are numbered."""
+    own = tags.where((F.col("owner_id").isNull() | (F.col("owner_id") == owner)) & F.contains("name", F.lit(text)))
+    order = [F.col("name") != text, F.col("owner_id").isNotNull(), "name", "tag_id"]
+    best = own.orderBy(*order).limit(k)
+    return best.select("tag_id", "name", F.row_number().over(Window.orderBy(*order)).alias("pos"))
 same("tag_usage", "SELECT t.tag_id, t.name, count(DISTINCT dt.document_id) AS n_documents FROM tags_v t JOIN document_tags_v dt ON dt.tag_id = t.tag_id AND (t.owner_id IS NULL OR t.owner_id = dt.owner_id) GROUP BY t.tag_id, t.name")
 same("tagged_documents", "SELECT DISTINCT dt.document_id FROM document_tags_v dt JOIN tags_v t ON t.tag_id = dt.tag_id WHERE dt.owner_id = 2 AND (t.owner_id IS NULL OR t.owner_id = 2) AND t.tag_id IN (1, 2, 3, 1001)")
 same("next_version_no", "SELECT document_id, max(version_no) + 1 AS next_no FROM versions_v GROUP BY document_id")

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidra.functions import presentation as pr
-from evidra.operators import bootstrap, credit
+from evidra.operators import bootstrap, credit, judgements
+from evidra.plans.queries import searched_tags
 from evidra.plans.results import tag_order
 
 CONTENT = "Portfolio | 2023\nStack: Kafka, Redis\nemail: me@example.com\nBuilt APIs with Spring Boot\nTuned Redis caches\nTeam: 4"
@@ -94,3 +95,19 @@ def test_names_in_korean_order(spark):
     tags = [(1, "나무", 2), (2, "가방", 2), (3, "banana", 2), (4, "Apple", 2), (5, "apple", 2), (6, "zoo", 9), (7, "각", 2)]
     got = tag_order(spark.createDataFrame(tags, "tag_id int, name string, n int")).orderBy("place").collect()
     assert [r.name for r in got] == ["zoo", "가방", "각", "나무", "apple", "Apple", "banana"]
+
+
+def test_judgements(spark):
+    """The six verdicts in their order; a judgement is held against what was submitted, then against the active source."""
+    said = [(1, 5, True, "b c", "a b c"), (2, 5, True, "b c", "a b c"), (3, 5, True, "x", "a b c"), (4, 5, True, "b c", "a b c"), (5, 5, True, "s", "s"), (1, 5, False, "b c", "a b c"), (1, 5, None, None, None), (1, 5, True, "b c", None), (9, 5, True, "b", "b")]
+    rows = spark.createDataFrame([(k, *r) for k, r in enumerate(said)], "k int, chunk_id int, owner_id int, found boolean, sentence string, snippet string").withColumn("query_id", F.lit(7))
+    given = spark.createDataFrame([(7, c) for c in (1, 1, 3, 4, 5, 9)] + [(8, 2)], "query_id int, chunk_id int")
+    chunks = spark.createDataFrame([(1, 5, "a b c d"), (2, 5, "a b c"), (3, 5, "a b c"), (4, 6, "a b c"), (5, 5, "other")], "chunk_id int, owner_id int, content string")
+    got = [r.status for r in judgements.verified(rows, given, chunks).orderBy("k").collect()]
+    assert got == ["ACCEPTED", "CHUNK_NOT_SUBMITTED", "SENTENCE_NOT_IN_SNIPPET", "CHUNK_NOT_ACTIVE_OWNER", "SENTENCE_NOT_IN_SOURCE", "MODEL_NONE", "MODEL_NONE", "ACCEPTED", "CHUNK_NOT_ACTIVE_OWNER"]
+
+
+def test_searched_tags(spark):
+    tags = spark.createDataFrame([(1, None, "a_b"), (2, 3, "a_b"), (3, 4, "a_b"), (4, None, "xa_b"), (5, 3, "axb"), (6, None, "aa_b"), (7, 3, None)], "tag_id int, owner_id int, name string")
+    assert [tuple(r) for r in searched_tags(tags, "a_b", 3).orderBy("pos").collect()] == [(1, "a_b", 1), (2, "a_b", 2), (6, "aa_b", 3), (4, "xa_b", 4)]
+    assert searched_tags(tags, "a_b", 3, k=2).count() == 2
