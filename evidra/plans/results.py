@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import completion
 from ..functions import presentation as pr
+from ..functions import text as tx
 from ..operators import credit
+from ..operators import eligibility as el
 from ..operators import fulltext as ft
-from .corpus import active_chunks, register
+from .corpus import active_chunks, active_runs, register, table
 from .queries import docs, pair
-from .retrieval import _TERMS, _rarest_sql
+from .retrieval import _DENSE, _KW, _NUMBERS_D, _TERMS, _rarest_sql
 
 # Highlights and context: each active chunk, asked for by its document's three rarest words
 
@@ -112,3 +115,36 @@ def tag_order(tags: DataFrame, locale: str = "ko") -> DataFrame:
     counts = tags.groupBy("n").agg(F.count("*").alias("m"))  # a row for each number of documents
     before = counts.select("n", F.coalesce(F.sum("m").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("moved"))
     return tags.withColumn("inside", inside).join(before, "n").withColumn("place", F.col("moved") + F.col("inside")).drop("inside", "moved")
+
+
+# Eligibility by intent: every 50th document asks for its three rarest words, every second time for their release
+
+_RELEASED = "CASE WHEN {0} % 3 = 0 THEN ' 배포했다' ELSE '' END"
+_QUESTION = "CASE WHEN (query_id div 50) % 2 = 0 THEN concat(a, ' ', b, ' 출시했나요') ELSE concat(a, ' ', b) END"
+
+
+@pair(
+    _KW
+    + _DENSE
+    + f""", nums AS {_NUMBERS_D.format("doc_id", "documents")}, core AS (SELECT * FROM tok WHERE length(term) >= 6),
+asks AS (SELECT query_id, (query_id // 50) % 2 = 0 AS release FROM kw GROUP BY query_id HAVING count(*) = 3),
+d AS (SELECT dense.*, release, cand_id % 3 = 0 AS released, (SELECT count(*) FROM core c JOIN core e ON e.term = c.term WHERE c.doc_id = query_id AND e.doc_id = cand_id) + (release AND cand_id % 3 = 0)::INT AS met,
+  least(2, (SELECT count(*) FROM core c WHERE c.doc_id = query_id) + release::INT) AS needed FROM dense JOIN asks USING (query_id)),
+lacks AS (SELECT query_id, cand_id, 1 AS o, 'MISSING_IDENTIFIER:' || term AS reason FROM d JOIN kw USING (query_id) WHERE NOT EXISTS (SELECT 1 FROM tok t WHERE t.doc_id = cand_id AND t.term = kw.term)
+  UNION ALL SELECT query_id, cand_id, 2, 'MISSING_NUMBER:' || number FROM d JOIN nums ON nums.id = query_id WHERE NOT EXISTS (SELECT 1 FROM nums m WHERE m.id = cand_id AND m.number = nums.number)),
+low AS (SELECT query_id, cand_id, 0 AS o, 'DENSE_SCORE_BELOW_TUNING_FLOOR' AS reason FROM d WHERE score < 0.5 AND EXISTS (SELECT 1 FROM lacks l WHERE l.query_id = d.query_id AND l.cand_id = d.cand_id)),
+r AS (SELECT * FROM low UNION ALL SELECT lacks.* FROM lacks JOIN asks USING (query_id) WHERE release UNION ALL SELECT query_id, cand_id, 3, 'INSUFFICIENT_CORE_TERM_COVERAGE' FROM d WHERE release AND met < needed)
+SELECT d.query_id, d.cand_id, CASE WHEN release THEN 'COMPLETED_RELEASE_EVIDENCE' ELSE 'GENERAL' END AS policy, coalesce(string_agg(reason, '|' ORDER BY o, reason), '') AS reasons FROM d LEFT JOIN r USING (query_id, cand_id) GROUP BY ALL"""
+)
+def eligibility_by_intent(spark, sf_dir):
+    """The reasons against each dense candidate, by the policy that the grammar of its query chooses."""
+    d = docs(spark, sf_dir)
+    names = ft.rarest_terms(d, d.where("doc_id % 50 = 0"), "doc_id", "text").groupBy("query_id").agg(F.sort_array(F.collect_list("term")).alias("names")).where("size(names) = 3")
+    asked = names.selectExpr("*", "names[0] as a", "names[1] as b").withColumn("i", completion.intent(F.expr(_QUESTION)))
+    words, numbers = F.array_distinct(tx.tokens(F.col("text"))), tx.number_tokens(F.col("text"))
+    own = d.select("doc_id", words.alias("words"), numbers.alias("numbers"), F.filter(words, lambda t: F.length(t) >= 6).alias("core"), F.expr(f"concat(text, {_RELEASED.format('doc_id')})").rlike(el.RELEASE_WORDS).alias("release"))
+    q = asked.join(own.withColumnRenamed("doc_id", "query_id"), "query_id").select("query_id", "i.policy", F.struct(F.col("names").alias("identifiers"), "numbers", "core", (F.col("i.policy") != "GENERAL").alias("release")).alias("q"))
+    c = own.select(F.col("doc_id").alias("cand_id"), F.struct(F.col("words").alias("identifiers"), "numbers", "core", "release").alias("c"))
+    rows = active_runs(table(spark, sf_dir, "embeddings"), d, 20).join(q, "query_id").join(c, "cand_id")
+    told = el.reasons(F.col("policy"), F.col("q"), F.col("c"), F.col("score"), F.col("rank"))
+    return rows.select("query_id", "cand_id", "policy", F.array_join(told, "|").alias("reasons"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidra.functions import presentation as pr
-from evidra.operators import bootstrap, credit, judgements
+from evidra.operators import bootstrap, credit, eligibility, judgements
 from evidra.plans.queries import searched_tags
 from evidra.plans.results import tag_order
 
@@ -111,3 +111,22 @@ def test_searched_tags(spark):
     tags = spark.createDataFrame([(1, None, "a_b"), (2, 3, "a_b"), (3, 4, "a_b"), (4, None, "xa_b"), (5, 3, "axb"), (6, None, "aa_b"), (7, 3, None)], "tag_id int, owner_id int, name string")
     assert [tuple(r) for r in searched_tags(tags, "a_b", 3).orderBy("pos").collect()] == [(1, "a_b", 1), (2, "a_b", 2), (6, "aa_b", 3), (4, "xa_b", 4)]
     assert searched_tags(tags, "a_b", 3, k=2).count() == 2
+
+
+def test_eligibility(spark):
+    """Each policy's reasons in their order."""
+    sig = "struct<identifiers:array<string>,numbers:array<string>,core:array<string>,release:boolean>"
+    rows = [
+        ("GENERAL", (["a"], [], [], False), (["a"], [], [], False), 0.3, 9, []),  # all names are there
+        ("GENERAL", (["a"], ["7"], [], False), (["a"], ["8"], [], False), 0.3, 1, ["DENSE_SCORE_BELOW_TUNING_FLOOR"]),
+        ("GENERAL", ([], [], ["x", "y", "z"], False), ([], [], ["x", "z"], False), 0.3, 5, []),  # core terms of a leading one
+        ("GENERAL", ([], [], ["x", "y", "z"], False), ([], [], ["x", "z"], False), 0.3, 6, ["DENSE_SCORE_BELOW_TUNING_FLOOR"]),
+        ("GENERAL", ([], [], [], False), ([], [], [], False), 0.5, 20, []),
+        ("COMPLETED_RELEASE_EVIDENCE", (["b", "a"], ["7"], ["x"], True), (["c"], [], [], True), 0.4, 1, ["DENSE_SCORE_BELOW_TUNING_FLOOR", "MISSING_IDENTIFIER:a", "MISSING_IDENTIFIER:b", "MISSING_NUMBER:7", "INSUFFICIENT_CORE_TERM_COVERAGE"]),
+        ("COMPLETED_RELEASE_EVIDENCE", ([], [], ["x"], True), ([], [], ["x"], True), 0.9, 1, []),
+        ("COMPLETED_RELEASE_EVIDENCE", ([], [], ["x"], True), ([], [], ["x"], False), 0.9, 1, ["INSUFFICIENT_CORE_TERM_COVERAGE"]),
+        ("COMPLETED_RELEASE_EVIDENCE", ([], [], [], False), ([], [], [], False), 0.9, 1, ["NO_EXPLICIT_EVIDENCE_SIGNAL"]),
+    ]
+    df = spark.createDataFrame([(k, *r[:5]) for k, r in enumerate(rows)], f"k int, policy string, q {sig}, c {sig}, score double, rank int")
+    got = df.select("k", eligibility.reasons(F.col("policy"), F.col("q"), F.col("c"), F.col("score"), F.col("rank")).alias("r")).orderBy("k").collect()
+    assert [r.r for r in got] == [r[5] for r in rows]
