@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import claim_windows as cw
 from ..functions import text as tx
 from ..functions import unicode as un
 from ..operators import fulltext as ft
@@ -90,18 +91,29 @@ def adjacency_bigrams(spark, sf_dir):
     return rows.select("query_id", "cand_id", F.size(F.array_intersect("q", "c")).cast("long").alias("n_shared"), F.size("q").cast("long").alias("n_asked"))
 
 
-@pair(_KW + _DENSE + """, l AS (SELECT d.query_id, d.cand_id, line_no, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS line FROM dense d JOIN (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM documents) s ON s.doc_id = d.cand_id WHERE d.rank <= 5),
-w AS (SELECT query_id, cand_id, line_no, 30 * (SELECT count(*) FROM kw WHERE kw.query_id = l.query_id AND contains(lower(line), term)) - length(line) AS score FROM l WHERE line <> '')
-SELECT query_id, cand_id, line_no::BIGINT AS line_no, score::BIGINT AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, cand_id ORDER BY score DESC, line_no) AS rn FROM w) WHERE rn = 1""")
+_stemmed = f"regexp_replace(t, '{cw.ENDING}', '')"
+_twice = f"regexp_replace(u, '{cw.ENDING}', '')"
+_WINDOW_SIGNALS = rf"""list_distinct(list_filter(list_transform(regexp_extract_all(line, '{cw.NAME}'), lambda t : lower(t)), lambda t : t <> 'production')) AS ns,
+ list_distinct(list_filter(list_transform(list_transform(regexp_extract_all(lower(line), '{cw.TOKEN}'), lambda t : CASE WHEN length({_stemmed}) >= 2 THEN {_stemmed} ELSE t END), lambda u : CASE WHEN length({_twice}) >= 2 THEN {_twice} ELSE u END), lambda t : length(t) >= 2 AND NOT list_contains(['{"', '".join(cw.STOP)}'], t) AND NOT regexp_matches(t, '^[0-9]'))) AS ts,
+ list_distinct(list_transform(regexp_extract_all(replace(line, ',', ''), '(?i)(?:^|[^\p{{L}}\p{{N}}.])[0-9]+(?:\.[0-9]+)?\s*(?:{cw.UNITS})?'), lambda t : lower(regexp_extract(t, '(?i)({cw.UNITS})$')) || ':' || regexp_replace(regexp_replace(regexp_extract(t, '[0-9]+(?:\.[0-9]+)?'), '^0+([0-9])', '\1'), '(\.[0-9]*?)0+$', '\1'))) AS qs"""
+
+
+@pair(_KW + _DENSE + rf""", asks AS (SELECT query_id, string_agg(term, ' ' ORDER BY term) || CASE WHEN (query_id // 50) % 2 = 0 THEN ' 어떻게' ELSE ' 12 ms' END AS q FROM kw GROUP BY query_id),
+w_texts AS (SELECT d.query_id, d.cand_id, s.k, s.line FROM dense d JOIN (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS k FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?。！？])\s+', '\1' || chr(10), 'g'), '[\n\r\x0B\f]+'), lambda x : regexp_replace(x, '^\s+|\s+$', 'g')), lambda x : x <> '') AS ls FROM documents)) s ON s.doc_id = d.cand_id WHERE d.rank <= 5),
+w_all AS (SELECT query_id, cand_id, k, 0 AS turn, line FROM w_texts UNION ALL SELECT query_id, 0, 0, 1, q FROM asks),
+w_sig AS (SELECT *, {_WINDOW_SIGNALS} FROM w_all),
+w_win AS (SELECT a.query_id, a.cand_id, a.k AS first, a.k + n - 1 AS last, n, list_distinct(flatten(list(b.ns))) AS ns, list_distinct(flatten(list(b.ts))) AS ts, list_distinct(flatten(list(b.qs))) AS qs, list(b.ts) AS each FROM w_sig a, range(1, 4) r(n), w_sig b WHERE a.turn = 0 AND b.turn = 0 AND b.query_id = a.query_id AND b.cand_id = a.cand_id AND b.k >= a.k AND b.k < a.k + n GROUP BY ALL HAVING count(*) = n),
+w_score AS (SELECT w.query_id, w.cand_id, first, last, n, 30 * len(list_intersect(q.ns, w.ns)) + 24 * len(list_intersect(q.qs, w.qs)) + 3 * len(list_intersect(q.ts, w.ts)) - n + CASE WHEN regexp_matches(q.line, '{cw.EXPLAINS}') AND len(list_filter(each, lambda x : list_has_any(x, q.ts))) > 1 THEN 12 * len(list_filter(each, lambda x : list_has_any(x, q.ts))) ELSE 0 END AS score FROM w_win w JOIN w_sig q ON q.query_id = w.query_id AND q.turn = 1)
+SELECT query_id, cand_id, first::BIGINT AS first, last::BIGINT AS last, score::BIGINT AS score FROM w_score QUALIFY row_number() OVER (PARTITION BY query_id, cand_id ORDER BY score DESC, first, n) = 1""")
 def claim_windows_preselected(spark, sf_dir):
-    """The line of each of five candidates that has most names of the query for its length."""
-    names = _asked(spark, sf_dir).groupBy("query_id").agg(F.collect_set("term").alias("names"))
-    lines = docs(spark, sf_dir).select(F.col("doc_id").alias("cand_id"), F.posexplode(F.split("text", "\n")).alias("k", "raw"))
-    rows = _dense(spark, sf_dir, 5).select("query_id", "cand_id").join(lines, "cand_id").withColumn("line", tx.strip(F.col("raw"))).where("line <> ''").join(names, "query_id", "left")
-    met = F.coalesce(F.size(F.filter("names", lambda n: F.contains(F.lower("line"), n))), F.lit(0))
-    scored = rows.select("query_id", "cand_id", (F.col("k") + 1).cast("long").alias("line_no"), (30 * met - F.length("line")).cast("long").alias("score"))
-    best = F.max_by(F.struct("line_no", "score"), F.struct("score", -F.col("line_no"))).alias("b")
-    return scored.groupBy("query_id", "cand_id").agg(best).select("query_id", "cand_id", "b.*")
+    """The best window of one to three sentences of each of five candidates for a question of its query's rarest words."""
+    tail = F.when(F.expr("query_id div 50") % 2 == 0, " 어떻게").otherwise(" 12 ms")
+    asked = _asked(spark, sf_dir).groupBy("query_id").agg(F.concat(F.array_join(F.sort_array(F.collect_list("term")), " "), tail).alias("q"))
+    asked = asked.withColumn("signals", cw.signals(F.col("q")))
+    found = docs(spark, sf_dir).select(F.col("doc_id").alias("cand_id"), F.transform(cw.sentences(F.col("text")), cw.signals).alias("found"))
+    rows = _dense(spark, sf_dir, 5).select("query_id", "cand_id").join(asked, "query_id").join(found, "cand_id")
+    best = rows.select("query_id", "cand_id", cw.best_window(F.col("signals"), F.col("q"), F.col("found")).alias("w")).where("w is not null")
+    return best.select("query_id", "cand_id", *[F.col(f"w.{c}").cast("long").alias(c) for c in ("first", "last", "score")])
 
 
 @pair(""", p AS (SELECT a.version_id, a.chunk_no, a.content AS a, b.content AS b FROM chunks_v a JOIN chunks_v b ON b.version_id = a.version_id AND b.chunk_no = a.chunk_no + 1),

@@ -2,11 +2,14 @@
 
 import math
 import random
+import re
+from decimal import Decimal
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from evidra.functions import claim_windows as cw
 from evidra.functions import presentation as pr
 from evidra.operators import bootstrap, credit, eligibility, judgements
 from evidra.plans.queries import searched_tags
@@ -130,3 +133,40 @@ def test_eligibility(spark):
     df = spark.createDataFrame([(k, *r[:5]) for k, r in enumerate(rows)], f"k int, policy string, q {sig}, c {sig}, score double, rank int")
     got = df.select("k", eligibility.reasons(F.col("policy"), F.col("q"), F.col("c"), F.col("score"), F.col("rank")).alias("r")).orderBy("k").collect()
     assert [r.r for r in got] == [r[5] for r in rows]
+
+
+def brute_window(query: str, text: str):
+    """All windows one after the other."""
+    unit = {"밀리초": "ms", "퍼센트": "%", "기가바이트": "gb", "테라바이트": "tb"}
+
+    def signals(t):
+        found = set()
+        for w in re.findall(r"[^\W_][\w+#.-]*", t.lower()):
+            for _ in range(2):
+                bare = re.sub(cw.ENDING, "", w)
+                w = bare if len(bare) >= 2 else w
+            found.add(w)
+        names = {n.lower() for n in re.findall(cw.NAME, t)} - {"production"}
+        numbers = {(Decimal(n).normalize(), unit.get((u or "").lower(), (u or "").lower())) for n, u in re.findall(rf"(?i)(?<![^\W_])(\d+(?:\.\d+)?)\s*({cw.UNITS})?", t.replace(",", ""))}
+        return names, {w for w in found if len(w) >= 2 and w not in cw.STOP and not w[0].isdigit()}, numbers
+
+    said = [s.strip() for s in re.split(r"(?<=[.!?。！？])\s+|[\r\n]+", text) if s.strip()]
+    q, best = signals(query), None
+    for a in range(len(said)):
+        for n in range(1, min(3, len(said) - a) + 1):
+            own = [signals(s) for s in said[a : a + n]]
+            score = sum(weight * len(q[k] & set().union(*(o[k] for o in own))) for k, weight in ((0, 30), (1, 3), (2, 24))) - n
+            support = sum(bool(q[1] & o[1]) for o in own)
+            score += 12 * support if re.search(cw.EXPLAINS, query) and support > 1 else 0
+            if best is None or score > best[2]:
+                best = (a + 1, a + n, score)
+    return best
+
+
+def test_claim_windows_by_brute_force(spark):
+    rng = random.Random(12)
+    bits = ["Redis 캐시를 적용했다.", "응답을 1,200 ms에서 30.50ms로", "how it works!", "P95 30.5 밀리초", "Kafka를 도입하며", "production only", "40% 감소\n", "어떻게 했나요?", "캐시에는 Redis", "7개 중 3 개", "a.b c_d", "x12 12x"]
+    cases = [(" ".join(rng.choices(bits, k=rng.randint(1, 3))), " ".join(rng.choices(bits, k=rng.randint(0, 9)))) for _ in range(150)] + [("어떤 설계 절차로 Redis 캐시", "Redis 캐시. 캐시 적용. 끝.")]
+    df = spark.createDataFrame([(k, q, t) for k, (q, t) in enumerate(cases)], "k int, q string, t string")
+    got = df.select("k", cw.best_window(cw.signals(F.col("q")), F.col("q"), F.transform(cw.sentences(F.col("t")), cw.signals)).alias("w")).orderBy("k").collect()
+    assert [r.w and tuple(r.w) for r in got] == [brute_window(q, t) for q, t in cases]
