@@ -22,14 +22,9 @@ def date_atoms(rows: DataFrame, raw: str = "raw") -> DataFrame:
     return rows.select(raw, F.when(ok, first).alias("first_day"), F.when(ok, last).alias("last_day"), F.when(ok, precision).alias("precision"))
 
 
-ATOMS_DUCK = r""", raws AS (SELECT unnest(['2024', '2024-02', '2024-02-29', '2023-02-29', '2024.3', '2024/12/05', '1999-13', 'x', '']) AS raw),
-parts AS (SELECT raw, regexp_extract(raw, '^([0-9]{4})(?:[-./]([0-9]{1,2}))?(?:[-./]([0-9]{1,2}))?$', 1) AS y, regexp_extract(raw, '^([0-9]{4})(?:[-./]([0-9]{1,2}))?(?:[-./]([0-9]{1,2}))?$', 2) AS m, regexp_extract(raw, '^([0-9]{4})(?:[-./]([0-9]{1,2}))?(?:[-./]([0-9]{1,2}))?$', 3) AS d FROM raws),
-days AS (SELECT raw, y, m, d, try_cast(concat(y, '-', lpad(CASE WHEN m = '' THEN '1' ELSE m END, 2, '0'), '-', lpad(CASE WHEN d = '' THEN '1' ELSE d END, 2, '0')) AS DATE) AS f FROM parts)
-SELECT raw, f AS first_day, CASE WHEN f IS NULL THEN NULL WHEN d <> '' THEN f WHEN m <> '' THEN last_day(f) ELSE (f + INTERVAL 1 YEAR - INTERVAL 1 DAY)::DATE END AS last_day, CASE WHEN f IS NULL THEN NULL WHEN d <> '' THEN 'FULL_DATE' WHEN m <> '' THEN 'YEAR_MONTH' ELSE 'YEAR' END AS precision FROM days"""
-
 # A year alone is any number of four digits, so that only 19xx and 20xx count as one.
 DATE_STRING = r"\b([0-9]{4}[-./][0-9]{1,2}(?:[-./][0-9]{1,2})?|(?:19|20)[0-9]{2})\b"
-DOCUMENT_ATOMS_DUCK = ", found AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '" + DATE_STRING + "', 1)) AS raw FROM documents), " + ATOMS_DUCK.replace(ATOMS_DUCK[2 : ATOMS_DUCK.index(",\nparts")], "raws AS (SELECT DISTINCT raw FROM found)")[2:].replace("SELECT raw, f AS first_day", "SELECT doc_id, raw, f AS first_day").replace("FROM days", "FROM days JOIN found USING (raw)")
+
 
 EVALUATE_DUCK = """, s AS (SELECT o_orderkey, CASE WHEN o_orderdate::DATE BETWEEN DATE '1995-01-01' AND DATE '1996-12-31' THEN 'SATISFIED' ELSE 'CONTRADICTED' END AS date_state, CASE WHEN o_totalprice >= 100000 THEN 'SATISFIED' ELSE 'CONTRADICTED' END AS amount_state FROM orders)
 SELECT *, CASE WHEN 'CONTRADICTED' IN (date_state, amount_state) THEN 'CONTRADICTED' ELSE 'SATISFIED' END AS state FROM s"""
