@@ -12,7 +12,7 @@ from ..operators import fingerprints as fp
 from ..sources import store
 from ..sources.work import new_path
 from .corpus import every_50th, register, table
-from .queries import docs, pair
+from .queries import pair
 from .retrieval import _PASSAGES, _children
 
 _RUN_D = ", f AS (SELECT query_id, rank, cand_id, (round(score * 1000000))::BIGINT AS micros FROM runs_v)"

@@ -15,7 +15,7 @@ from ..operators import fulltext as ft
 from ..operators import structure
 from ..streaming import runner
 from .corpus import active_chunks, register, runs, table, versions
-from .queries import _BLOCKS_D, _FOLD_D, _TOKENS_D, QUERIES, _tokens_sql, docs, pair
+from .queries import _BLOCKS_D, _FOLD_D, _TOKENS_D, _tokens_sql, docs, pair
 from .retrieval import _DENSE, _FLOOR, _KW, _NUMBERS_D, _asked, _dense
 
 # Signals of candidates
