@@ -25,7 +25,7 @@ _ASK = "CASE (version_id div 2) % 5 " + " ".join(f"WHEN {k} THEN {t}" for k, t i
 def _asked_chunks(spark, sf_dir) -> DataFrame:
     d = docs(spark, sf_dir)
     words = ft.rarest_terms(d, d, "doc_id", "text").groupBy(F.col("query_id").alias("version_id")).agg(F.sort_array(F.collect_list("term")).alias("w")).where("size(w) = 3")
-    words = words.selectExpr("version_id", "w[0] as a", "w[1] as b", "w[2] as c").selectExpr("version_id", f"{_ASK} as query")
+    words = words.selectExpr("version_id", *[f"get(w, {k}) as {x}" for k, x in enumerate("abc")]).selectExpr("version_id", f"{_ASK} as query")
     return active_chunks(d).join(words, "version_id").select("chunk_id", "query", "content", F.left("content", F.lit(400)).alias("snippet"))
 
 
@@ -140,7 +140,7 @@ def eligibility_by_intent(spark, sf_dir):
     """The reasons against each dense candidate, by the policy that the grammar of its query chooses."""
     d = docs(spark, sf_dir)
     names = ft.rarest_terms(d, d.where("doc_id % 50 = 0"), "doc_id", "text").groupBy("query_id").agg(F.sort_array(F.collect_list("term")).alias("names")).where("size(names) = 3")
-    asked = names.selectExpr("*", "names[0] as a", "names[1] as b").withColumn("i", completion.intent(F.expr(_QUESTION)))
+    asked = names.selectExpr("*", "get(names, 0) as a", "get(names, 1) as b").withColumn("i", completion.intent(F.expr(_QUESTION)))
     words, numbers = F.array_distinct(tx.tokens(F.col("text"))), tx.number_tokens(F.col("text"))
     own = d.select("doc_id", words.alias("words"), numbers.alias("numbers"), F.filter(words, lambda t: F.length(t) >= 6).alias("core"), F.expr(f"concat(text, {_RELEASED.format('doc_id')})").rlike(el.RELEASE_WORDS).alias("release"))
     q = asked.join(own.withColumnRenamed("doc_id", "query_id"), "query_id").select("query_id", "i.policy", F.struct(F.col("names").alias("identifiers"), "numbers", "core", (F.col("i.policy") != "GENERAL").alias("release")).alias("q"))

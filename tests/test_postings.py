@@ -138,3 +138,15 @@ def test_merge_by_brute_force(spark):
                         m["shown"], m["by"] = s.query, True
         want |= {(item, doc, k, tuple(m["queries"]), m["shown"], m["by"]) for k, (doc, m) in enumerate(merged.items(), 1)}
     assert {(r.item_id, r.chunk, r.pos, tuple(r.queries), r.shown, r.by_name) for r in got} == want
+
+
+@pytest.mark.parametrize("name", ["job_query_plan", "presentation_highlights"])
+def test_texts_of_one_or_two_words_ask_nothing(spark, tmp_path, name):
+    """A filter may be read after what stands behind it: no word is taken by a number that a short text does not have."""
+    from evidra.plans import postings, results  # noqa: F401  register their queries
+    from evidra.plans import queries as plans
+
+    rows = [(50, "one"), (100, "two words"), (151, ""), (200, None), (251, "alpha beta gamma"), (300, "delta beta gamma")]
+    spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("web")}).write.parquet(str(tmp_path / "documents.parquet"))
+    got = plans.QUERIES[name](spark, str(tmp_path)).collect()
+    assert {r.item_id for r in got} == {300} if name == "job_query_plan" else {r.chunk_id for r in got} == {251_000_001, 300_000_001}
