@@ -42,7 +42,8 @@ def lines(postings: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = postings.select(F.col(id_col).alias("posting"), F.posexplode(raw).alias("line", "raw"))
     rows = rows.withColumn("flat", pl.flat(F.col("raw"))).withColumn("plain", pl.bare(F.col("flat"))).withColumn("item", pl.without_bullets(F.col("plain")))
     told = rows.select("posting", "line", pl.parsed(F.col("raw"), F.col("plain"), F.col("item")).alias("p"))
-    return pl.with_signs(told.select("posting", "line", "p.*").where("text <> ''"))
+    # blank lines go inside the generator: a filter would be pushed below all of this and parse every line twice
+    return pl.with_signs(told.select("posting", "line", F.inline(F.filter(F.array("p"), lambda p: p["text"] != ""))))
 
 
 def _following(ahead: Column, most: int, stop, hit) -> Column:

@@ -150,3 +150,18 @@ def test_texts_of_one_or_two_words_ask_nothing(spark, tmp_path, name):
     spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("web")}).write.parquet(str(tmp_path / "documents.parquet"))
     got = plans.QUERIES[name](spark, str(tmp_path)).collect()
     assert {r.item_id for r in got} == {300} if name == "job_query_plan" else {r.chunk_id for r in got} == {251_000_001, 300_000_001}
+
+
+def test_no_line_is_parsed_for_a_filter(spark):
+    """What leaves out blank lines is no filter that is pushed below the parse, which would then be made twice and more."""
+    plan = po.lines(spark.createDataFrame([(1, "a\n\nb")], "posting_id long, text string"), "posting_id", "text")
+    filters = [x for x in plan._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in x]
+    assert not any("regexp_replace" in x.lower() for x in filters)
+    assert [(r.line, r.text) for r in plan.collect()] == [(0, "a"), (2, "b")]
+
+
+def test_stems_held_by_a_column_are_those_of_the_pattern(spark):
+    words = ["", "none", "skills", "myskillset", "업무내용", "aboutus", "quali", "qualification", None]
+    rows = spark.createDataFrame([(w,) for w in words], "c string")
+    stems = (*pl.SEARCHABLE, *pl.INTRO)
+    assert all(r[0] == r[1] for r in rows.select(pl.has(F.col("c"), stems), pl.holds_any(F.col("c"), stems)).collect())
