@@ -7,6 +7,8 @@ its numbers, else its names. Blank snippets show nothing; a null content leaves
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +26,11 @@ NARRATIVE_UNITS, STRUCTURED_UNITS, LINE_MOST, LEAD, HEADING_MOST, HEADING_REACH
 SENTENCE = r"([.!?。！？]+['\"’”)\]}]*)\s+"
 
 
+def _let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """body of x, which is computed once: a lambda computes what it refers to anew for each element."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
 def _flat(x: Column) -> Column:
     return F.regexp_replace(F.lower(x), r"\s+", "")
 
@@ -37,8 +44,8 @@ def _kept(parts: Column) -> Column:
 
 
 def units(text: Column) -> Column:
-    lines = _kept(F.split(text, r"\r?\n", -1))
-    return F.when(F.size(lines) >= 2, lines).otherwise(_kept(F.split(F.regexp_replace(text, SENTENCE, "$1\u0001"), "\u0001", -1)))
+    sentences = _kept(F.split(F.regexp_replace(text, SENTENCE, "$1\u0001"), "\u0001", -1))
+    return _let(_kept(F.split(text, r"\r?\n", -1)), lambda lines: F.when(F.size(lines) >= 2, lines).otherwise(sentences))
 
 
 def about_use(query: Column) -> Column:
@@ -60,9 +67,9 @@ def _first(found: Column, test) -> Column:
     return F.coalesce(F.get(F.filter(F.transform(found, lambda u, k: F.when(test(u), k + 1)), lambda k: k.isNotNull()), F.lit(0)), F.lit(0))
 
 
-def named_units(found: Column, query: Column) -> Column:
-    """Places of the units that are the first to name a phrase, in order."""
-    places = F.transform(phrases(query), lambda p: _first(found, lambda u: F.contains(_flat(u), _flat(p))))
+def named_units(flats: Column, query: Column) -> Column:
+    """Places of the units (given without white space) that are the first to name a phrase, in order."""
+    places = F.transform(F.transform(phrases(query), _flat), lambda p: _first(flats, lambda u: F.contains(u, p)))
     return F.sort_array(F.array_distinct(F.filter(places, lambda k: k > 0)))
 
 
@@ -89,40 +96,63 @@ def shortened(unit: Column, terms: Column) -> Column:
 
 def claim_unit(query: Column, snippet: Column) -> Column:
     """The first unit of a snippet with all numbers of the query, without numbers all names; else the snippet."""
-    found, numbers = units(snippet), F.regexp_extract_all(query, F.lit(NUMBER), F.lit(0))
-    wanted = F.when(F.size(numbers) > 0, numbers).otherwise(names(query))
-    place = F.when(F.size(wanted) > 0, _first(found, lambda u: F.forall(wanted, lambda t: F.contains(_flat(u), _flat(t))))).otherwise(0)
-    return F.when((F.size(found) > 1) & (place > 0), F.element_at(found, F.greatest(place, F.lit(1)))).otherwise(snippet)
+    numbers = F.regexp_extract_all(query, F.lit(NUMBER), F.lit(0))
+    wanted = F.transform(F.when(F.size(numbers) > 0, numbers).otherwise(names(query)), _flat)
+
+    def of(r: Column) -> Column:
+        found, flats = r["units"], F.transform(r["units"], _flat)
+        place = F.when(F.size(r["wanted"]) > 0, _first(flats, lambda u: F.forall(r["wanted"], lambda t: F.contains(u, t)))).otherwise(0)
+        return _let(place, lambda k: F.when((F.size(found) > 1) & (k > 0), F.element_at(found, F.greatest(k, F.lit(1)))).otherwise(snippet))
+
+    return _let(F.struct(units(snippet).alias("units"), wanted.alias("wanted")), of)
+
+
+def _facts(content: Column, snippet: Column, body: Callable[[Column], Column]) -> Column:
+    """body of (shown, units, flats): the snippet, the content's units, and those without white space."""
+    parts = F.struct(_trim(snippet).alias("shown"), units(content).alias("units"))
+    return _let(parts, lambda r: _let(F.struct(r["shown"].alias("shown"), r["units"].alias("units"), F.transform(r["units"], _flat).alias("flats")), body))
 
 
 def highlight(query: Column, content: Column, snippet: Column) -> Column:
     """Pieces of the content or the snippet to show, in order."""
-    shown, found = _trim(snippet), units(content)
-    places = named_units(found, query)
-    cut = lambda k: shortened(F.element_at(found, k), names(query))
-    first = F.element_at(places, 1)
-    project = project_before(found, first)
-    of_use = (
-        F.when(F.size(places) == 0, F.array(shown))
-        .when(F.size(phrases(query)) > 1, F.transform(F.slice(places, 1, 3), cut))
-        .when(project > 0, F.array(F.element_at(found, F.greatest(project, F.lit(1))), cut(first)))
-        .otherwise(F.array(cut(first)))
-    )
-    return F.when(shown == "", F.array().cast("array<string>")).when(about_use(query), of_use).otherwise(F.array(claim_unit(query, shown)))
+
+    def of(r: Column) -> Column:
+        shown, found = r["shown"], r["units"]
+        cut = lambda k: _let(F.element_at(found, k), lambda u: shortened(u, names(query)))
+
+        def by_use(places: Column) -> Column:
+            first = F.element_at(places, 1)
+            headed = lambda project: F.when(project > 0, F.array(F.element_at(found, F.greatest(project, F.lit(1))), cut(first))).otherwise(F.array(cut(first)))
+            return (
+                F.when(F.size(places) == 0, F.array(shown))
+                .when(F.size(phrases(query)) > 1, F.transform(F.slice(places, 1, 3), cut))
+                .otherwise(_let(project_before(found, first), headed))
+            )
+
+        none = F.array().cast("array<string>")
+        return F.when(shown == "", none).when(about_use(query), _let(named_units(r["flats"], query), by_use)).otherwise(F.array(claim_unit(query, shown)))
+
+    return _facts(content, snippet, of)
 
 
 def context(query: Column, content: Column, snippet: Column) -> Column:
     """Units around the shown one, from its project's heading in a structured content, without personal lines."""
-    shown, found = _trim(snippet), units(content)
-    places = named_units(found, query)
-    flat = _flat(shown)
-    held = _first(found, lambda u: F.contains(flat, _flat(u)) | F.contains(_flat(u), flat))
-    anchor = F.when(about_use(query), F.coalesce(F.get(places, F.lit(0)), F.lit(0))).otherwise(held)
-    structured = F.size(F.filter(found, lambda u: u.rlike(LABELLED))) >= 2
-    project = F.when(structured, project_before(found, F.greatest(anchor, F.lit(1)))).otherwise(0)
-    start = F.when(project > 0, project).otherwise(F.greatest(anchor - F.when(structured, 3).otherwise(1), F.lit(1)))
-    part = F.filter(F.slice(found, start, F.when(structured, STRUCTURED_UNITS).otherwise(NARRATIVE_UNITS)), lambda u: ~personal(u))
-    return F.when(shown == "", F.array().cast("array<string>")).when(anchor < 1, F.array(shown)).otherwise(part)
+
+    def of(r: Column) -> Column:
+        shown, found, flats = r["shown"], r["units"], r["flats"]
+        held = _let(_flat(shown), lambda flat: _first(flats, lambda u: F.contains(flat, u) | F.contains(u, flat)))
+        anchor = F.when(about_use(query), F.coalesce(F.get(named_units(flats, query), F.lit(0)), F.lit(0))).otherwise(held)
+        structured = F.size(F.filter(found, lambda u: u.rlike(LABELLED))) >= 2
+
+        def around(a: Column) -> Column:
+            at = F.when(a["structured"], project_before(found, F.greatest(a["anchor"], F.lit(1)))).otherwise(0)
+            start = lambda project: F.when(project > 0, project).otherwise(F.greatest(a["anchor"] - F.when(a["structured"], 3).otherwise(1), F.lit(1)))
+            part = F.filter(F.slice(found, _let(at, start), F.when(a["structured"], STRUCTURED_UNITS).otherwise(NARRATIVE_UNITS)), lambda u: ~personal(u))
+            return F.when(shown == "", F.array().cast("array<string>")).when(a["anchor"] < 1, F.array(shown)).otherwise(part)
+
+        return _let(F.struct(anchor.alias("anchor"), structured.alias("structured")), around)
+
+    return _facts(content, snippet, of)
 
 
 def places_of(pieces: Column, content: Column) -> Column:
