@@ -227,12 +227,18 @@ f AS (SELECT version_id, count(*) AS n FROM (SELECT version_id, ordinal FROM o G
 SELECT v.version_id, coalesce(f.n, 0) AS fragmented, coalesce(x.n, 0) AS contaminated FROM (SELECT DISTINCT version_id FROM o) v LEFT JOIN f USING (version_id) LEFT JOIN x USING (version_id)""")
 def corpus_stats(spark, sf_dir):
     """Blocks that lie in several chunks, and chunks that mix blocks of several headings."""
-    c = active_chunks(docs(spark, sf_dir)).select("version_id", "chunk_id", ((F.col("chunk_no") - 1) * 680).alias("lo"))
+    c = active_chunks(docs(spark, sf_dir)).select("version_id", "chunk_id", "chunk_no")
     b = structure.blocks(docs(spark, sf_dir), "doc_id").where("kind <> 'HEADING'").select(F.col("doc_id").alias("version_id"), "ordinal", "parent", "start", "end")
-    o = c.join(b, "version_id").where((F.col("start") < F.col("lo") + 800) & (F.col("lo") < F.col("end")))
-    frag = o.groupBy("version_id", "ordinal").agg(F.count("*").alias("n")).groupBy("version_id").agg(F.sum((F.col("n") > 1).cast("long")).alias("fragmented"))
-    mixed = o.groupBy("version_id", "chunk_id").agg(F.count_distinct("parent").alias("n")).groupBy("version_id").agg(F.sum((F.col("n") > 1).cast("long")).alias("contaminated"))
-    return frag.join(mixed, "version_id")
+    # a block names the chunks it reaches (chunk n begins at 680 (n - 1) and has 800 characters), so no document's chunks meet all its blocks
+    first, last = F.greatest(F.floor((F.col("start") - 800) / 680) + 2, F.lit(1)), F.ceil(F.col("end") / 680)
+    b = b.withColumn("chunk_no", F.explode(F.sequence(first, F.greatest(first, last)))).where(F.col("chunk_no") <= last)
+    o = c.join(b, ["version_id", "chunk_no"])
+    # both counts in one pass over the pairs: blocks are cut once
+    spread = F.count("*").over(Window.partitionBy("version_id", "ordinal"))
+    inside = Window.partitionBy("version_id", "chunk_id")
+    o = o.withColumn("spread", spread).withColumn("mixed", F.min("parent").over(inside) < F.max("parent").over(inside))
+    fragmented, contaminated = F.count_distinct(F.when(F.col("spread") > 1, F.col("ordinal"))), F.count_distinct(F.when(F.col("mixed"), F.col("chunk_id")))
+    return o.groupBy("version_id").agg(fragmented.alias("fragmented"), contaminated.alias("contaminated"))
 
 
 # Jobs
