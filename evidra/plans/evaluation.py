@@ -125,8 +125,7 @@ def shared_span_pairs(spark, sf_dir):
     w = Window.partitionBy("version_id").orderBy("chunk_no")
     p = c.withColumn("b", F.lead("a").over(w)).withColumn("after", F.lead("chunk_no").over(w)).where("after = chunk_no + 1")
     p = p.withColumn("k", F.greatest(F.lit(110), F.ceil(F.least(F.length("a"), F.length("b")) * F.lit(0.3))).cast("int")).where("k <= length(a)")
-    shared = F.exists(F.sequence(F.lit(1), F.length("a") - F.col("k") + 1), lambda i: F.contains(F.col("b"), F.substring(F.col("a"), i, F.col("k"))))
-    return p.select("version_id", "chunk_no", shared.alias("shared"))
+    return p.select("version_id", "chunk_no", tx.shares_stretch(F.col("a"), F.col("b"), F.col("k")).alias("shared"))
 
 
 # Validation and digests
