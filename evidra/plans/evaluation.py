@@ -110,10 +110,13 @@ def claim_windows_preselected(spark, sf_dir):
     tail = F.when(F.expr("query_id div 50") % 2 == 0, " 어떻게").otherwise(" 12 ms")
     asked = _asked(spark, sf_dir).groupBy("query_id").agg(F.concat(F.array_join(F.sort_array(F.collect_list("term")), " "), tail).alias("q"))
     asked = asked.withColumn("signals", cw.signals(F.col("q")))
-    found = docs(spark, sf_dir).select(F.col("doc_id").alias("cand_id"), F.transform(cw.sentences(F.col("text")), cw.signals).alias("found"))
-    rows = _dense(spark, sf_dir, 5).select("query_id", "cand_id").join(asked, "query_id").join(found, "cand_id")
-    best = rows.select("query_id", "cand_id", cw.best_window(F.col("signals"), F.col("q"), F.col("found")).alias("w")).where("w is not null")
-    return best.select("query_id", "cand_id", *[F.col(f"w.{c}").cast("long").alias(c) for c in ("first", "last", "score")])
+    texts = docs(spark, sf_dir).select(F.col("doc_id").alias("cand_id"), "text")
+    rows = _dense(spark, sf_dir, 5).select("query_id", "cand_id").join(asked, "query_id").join(texts, "cand_id")
+    rows = rows.withColumn("found", F.transform(cw.sentences(F.col("text")), cw.signals))  # of candidates alone
+    best = cw.best_window(F.col("signals"), F.col("q"), F.col("found"))
+    # a filter would be pushed below the join, and all texts read for their signals
+    some = rows.select("query_id", "cand_id", F.inline(F.filter(F.array(best), lambda w: w.isNotNull())))
+    return some.select("query_id", "cand_id", *[F.col(c).cast("long").alias(c) for c in ("first", "last", "score")])
 
 
 @pair(""", p AS (SELECT a.version_id, a.chunk_no, a.content AS a, b.content AS b FROM chunks_v a JOIN chunks_v b ON b.version_id = a.version_id AND b.chunk_no = a.chunk_no + 1),
