@@ -10,7 +10,8 @@ A posting's lines get their signs from column expressions (`functions.posting_li
   move from excluded to unknown to searchable.
 
 Lines of searchable sections become items: list lines whole, others by sentences, each at most `limit` UTF-16 units.
-One posting's lines are one group of the windows; a posting of any length is sorted there, never held in Python.
+One posting's lines are one group of the windows; a posting of any length is sorted there, never held in Python. Postings
+are dealt to tasks by a fixed number of them, before they are cut into lines, so that no task's windows grow with the input.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import posting_lines as pl
+from ..sources.work import spread
 
 LIMIT, MOST = 500, 100
+TOGETHER = 500  # postings of a task: all windows of a stage hold its lines at once
 _DELIMITERS = ".?!。？！;；,，:："
 
 
@@ -39,7 +42,7 @@ def _so_far(*parts: str) -> WindowSpec:
 def lines(postings: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(posting, line, text, level, heading, context, grouping, signs): the lines that are not blank."""
     raw = F.split(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), pl.LINE_ENDS, "\n"), "\n")
-    rows = postings.select(F.col(id_col).alias("posting"), F.posexplode(raw).alias("line", "raw"))
+    rows = spread(postings, id_col, TOGETHER).select(F.col(id_col).alias("posting"), F.posexplode(raw).alias("line", "raw"))
     rows = rows.withColumn("flat", pl.flat(F.col("raw"))).withColumn("plain", pl.bare(F.col("flat"))).withColumn("item", pl.without_bullets(F.col("plain")))
     told = rows.select("posting", "line", pl.parsed(F.col("raw"), F.col("plain"), F.col("item")).alias("p"))
     # blank lines go inside the generator: a filter would be pushed below all of this and parse every line twice
