@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
+from .slices import by_slices
+
 # The four kinds, in the order in which they are tried, and acronyms without weight.
 KINDS = (
     ("NUMERIC_UNIT", regex.compile(r"(?i)(?<![0-9])(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+(?:\.[0-9]+)?)(?:회|건|행|명|개|초|분|시간|ms|s|mb|gb|tb|%)")),
@@ -48,9 +50,7 @@ def literal_anchors(query: pd.Series) -> pd.Series:
     return query.map(lambda q: [dict(zip(("value", "form", "kind"), a)) for a in literal_anchors_of(q)], na_action="ignore")
 
 
-@F.pandas_udf(StringType())
-def form(text: pd.Series) -> pd.Series:
-    return text.map(literal_form, na_action="ignore")
+form = by_slices(literal_form, StringType())
 
 
 def all_held(anchors: Column, *forms: Column) -> Column:

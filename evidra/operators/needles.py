@@ -34,8 +34,8 @@ def holding(texts: DataFrame, needles: DataFrame, id_col: str, text_col: str, ne
             automaton.make_automaton()
             for batch in batches:
                 place, found = [], []
-                for k, text in enumerate(batch.column(text_col).to_pylist()):
-                    if text is None:
+                for k, value in enumerate(batch.column(text_col)):  # one text of the batch at a time is a Python string
+                    if (text := value.as_py()) is None:
                         continue
                     held = {n for _, n in automaton.iter(text)} if len(automaton) else set()
                     for n in held | ({""} & sent.value.keys()):
