@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 pytest.importorskip("public_tokenizers")
 
 from evidra.llm import line_dedup, merkle, ranked_search  # noqa: E402
+from test_growth import most_rows  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, row long, g string, term string, pos long, item string"
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -151,6 +152,11 @@ def test_manifest_of_few(spark):
     assert merkle.verify(merkle.manifest(docs.limit(0))).count() == 0
 
 
+def test_leaves_meet_blocks_not_siblings(spark):
+    docs = table(spark, [(k, f"text {k}", "en") for k in range(600)])
+    assert most_rows(spark, merkle.manifest(docs)) <= 600  # a row for each level of each leaf would be 6,000
+
+
 def brute_lines(rows, shortest=40, least=5):
     strip = lambda x: lower(x.strip("\x20\x09\x0a\x0b\x0c\x0d"))
     held = defaultdict(list)
