@@ -3,6 +3,7 @@
 import random
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from evidra.functions import korean as kr
@@ -169,3 +170,18 @@ def test_states(spark, query, document, state):
     row = spark.createDataFrame([(query, document)], "q string, d string")
     pair = row.select(tv.constraints("q")[0].alias("c"), tv.observations("d")[0].alias("o"))
     assert pair.select(typed.reading_state(F.col("c"), F.col("o")).alias("s")).first().s == state
+
+
+def test_rules_pass_over_plain_words():
+    text = "plain words of no capital that lasted over there, "
+    tried = [m for p, _, *needs in tv.QUERY_RULES + tv.DOCUMENT_RULES if not needs or needs[0].search(text) for m in p.finditer(text)]
+    assert not tried and not tv.read(text, tv.QUERY_RULES)
+
+
+def test_bare_literals_are_those_of_all_words():
+    words = regex.compile(r"(?<![A-Za-z0-9_])[A-Za-z][A-Za-z0-9]*(?:[-_.][A-Za-z0-9]+)*(?![A-Za-z0-9_])")
+    rng = random.Random(3)
+    for _ in range(3000):
+        text = "".join(rng.choices("abAB1-_. é", k=rng.randint(1, 14)))
+        got, want = ([m.span() for m in p.finditer(text) if tv._bare(text, m)] for p in (tv.QUERY_RULES[-1][0], words))
+        assert got == want, text
