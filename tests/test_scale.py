@@ -3,12 +3,14 @@
 import math
 import random
 import time
+from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
 
 from evidra.functions import presentation, slices
 from evidra.functions import text as tx
+from evidra.operators import vector
 from evidra.plans import evaluation  # noqa: F401  registers its queries
 from evidra.plans.queries import QUERIES
 from evidra.sources import work
@@ -130,3 +132,18 @@ def test_tasks_hold_as_many_rows_at_any_size(spark):
     for n in (100, 1000):
         parts = work.spread(spark.range(n), "id", 20).groupBy(F.spark_partition_id()).count().collect()
         assert len(parts) > n / 40 and max(r["count"] for r in parts) < 60
+
+
+def test_a_ranking_within_groups_is_scored_in_pairs_of_blocks(spark):
+    rng = random.Random(4)
+    rows = [(k, k % 3, [float(rng.randrange(-3, 4)) for _ in range(3)]) for k in range(90)]
+    v = spark.createDataFrame(rows, "vec_id long, owner long, embedding array<double>")
+    found = vector.ranked_within(v, v.where("vec_id % 2 = 0"), "owner", blocks=(7, 4))
+    want = {}
+    unit = {k: [x / math.sqrt(sum(y * y for y in e)) for x in e] for k, _, e in rows if any(e)}
+    for q in unit:
+        if q % 2 == 0:
+            near = sorted((-reduce(lambda s, xy: s + xy[0] * xy[1], zip(unit[q], unit[c]), 0.0), c) for c in unit if c % 3 == q % 3 and c != q)
+            want |= {(q % 3, q, c): rank for rank, (_, c) in enumerate(near, 1)}
+    assert {(r.owner, r.query_id, r.cand_id): r["rank"] for r in found.collect()} == want
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
