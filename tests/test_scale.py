@@ -147,3 +147,8 @@ def test_a_ranking_within_groups_is_scored_in_pairs_of_blocks(spark):
             want |= {(q % 3, q, c): rank for rank, (_, c) in enumerate(near, 1)}
     assert {(r.owner, r.query_id, r.cand_id): r["rank"] for r in found.collect()} == want
     assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_chunks_of_documents_are_cut_into_words_once(spark):
+    plan = QUERIES["top2_documents"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan and "Generate" not in plan
