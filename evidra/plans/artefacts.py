@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import fingerprints as fp
 from ..sources import store
-from ..sources.work import new_path
+from ..sources.work import new_path, stored
 from .corpus import every_50th, register, table
 from .queries import pair
 from .retrieval import _PASSAGES, _children
@@ -61,7 +61,7 @@ def inventory_checks(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
 SELECT 1::BIGINT AS generation, version_id, parent::BIGINT AS parent, n_children, first::BIGINT AS first, n_passages FROM p JOIN m USING (version_id)""")
 def published_inventory(spark, sf_dir):
     """Passages, children and manifests of all versions, published as one generation and read from its snapshot."""
-    kids = _children(spark, sf_dir).select("version_id", "parent", "ordinal")
+    kids = stored(_children(spark, sf_dir).select("version_id", "parent", "ordinal"), "kids")  # read for each table, made once
     parts = kids.groupBy("version_id", "parent").agg(F.count("*").alias("n_children"), F.min("ordinal").alias("first"))
     root = new_path(spark, "inventory")
     store.publish(spark, root, {"children": kids, "passages": parts, "manifests": parts.groupBy("version_id").agg(F.count("*").alias("n_passages"))}, inventory_checks)

@@ -9,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidra.operators import fingerprints as fp
+from evidra.plans import artefacts
+from evidra.plans.queries import QUERIES
 from evidra.sources import store
 from evidra.streaming import leases, runner
 
@@ -137,3 +139,11 @@ def test_leases_go_on_after_a_restart(spark, tmp_path):
     want = {tuple(r) for r in leases.recovered(spark.createDataFrame(rows, EVENTS), now, 60).collect()}
     names = ["job_id", "status", "fence", "retries", "rejected", "expired", "dropped"]
     assert {tuple(r) for r in runner.last_rows(spark, out).select(names).collect()} == want and sum(r[5] for r in want) > 20
+
+
+def test_children_of_an_inventory_are_made_once(spark, monkeypatch):
+    seen, publish = {}, artefacts.store.publish
+    monkeypatch.setattr(artefacts.store, "publish", lambda spark, root, tables, *more: seen.update(tables) or publish(spark, root, tables, *more))
+    QUERIES["published_inventory"](spark, "/root/testdata/sf0.001")
+    assert set(seen) == {"children", "passages", "manifests"}
+    assert not any("Generate" in t._jdf.queryExecution().optimizedPlan().toString() for t in seen.values())
