@@ -15,7 +15,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from ..functions.korean import TOKEN, identifiers_of, search_form, stem_of
+from ..functions.korean import TOKEN, WORDS, identifiers_of, search_form, stem_of
 from ..functions.snippets import best_window
 
 # Floors, spans, boosts, and the signal words of the re-ranking.
@@ -117,6 +117,10 @@ def _span(a: str, b: str, least: int, share: float) -> bool:
     """Do two texts share a stretch of `least` characters and `share` of the shorter one."""
     a, b = sorted((_spaced(t) for t in (a, b)), key=len)
     k = max(least, -int(-len(a) * share // 1))
+    step = k // 2  # a stretch of k holds one of k - step + 1 that begins at a multiple of step: few pairs share even such a one
+    part = k - step + 1
+    if not any(a[i : i + part] in b for i in range(0, len(a) - part + 1, step)):
+        return False
     windows = {b[i : i + k] for i in range(len(b) - k + 1)}
     return any(a[i : i + k] in windows for i in range(len(a) - k + 1))
 
@@ -159,10 +163,17 @@ def _eligible(asked: Signals, c: Candidate) -> bool:
     return c.rank <= TOP and not asked.numbers and len(asked.terms) >= CORE_TERMS and len(asked.terms & c.told.terms) >= CORE_TERMS
 
 
+@lru_cache(WORDS)
 def _anchor(token: str) -> str:
     return next((token[: -len(s)] for s in ANCHOR_SUFFIXES if token.endswith(s) and len(token) >= len(s) + 2), token)
 
 
+@lru_cache(8)
+def _named(query: str) -> frozenset[str]:
+    """The anchors of a query, read once for its candidates."""
+    return frozenset(a for t in TOKEN.findall(search_form(query)) if len(a := _anchor(t)) >= 2 and a not in GENERIC_TERMS and not a.isdigit())
+
+
 # What one of each signal is worth, and the most that a candidate of a kind may get.
 WORTH = {
     "asked phrase": 0.008, "term of the query": 0.003, "narrative": 0.010, "list": -0.018, "contact line": -0.025,
@@ -183,7 +194,7 @@ def quality_signals(query: str, content: str) -> tuple[dict[str, float], set[str
     """(how much there is of each signal of WORTH, the kinds of MOST that the candidate is of)."""
     chosen, form = best_window(query, content) or {}, search_form(content)
     part = search_form(chosen.get("snippet", content.strip()))
-    named = {a for t in TOKEN.findall(search_form(query)) if len(a := _anchor(t)) >= 2 and a not in GENERIC_TERMS and not a.isdigit()}
+    named = _named(query)
     met = len(named & {_anchor(t) for t in TOKEN.findall(form)})
     tells = lambda text, words: any(w in text for w in words)
     act, profile = tells(part, ACTION), len(PROFILE.findall(form))

@@ -131,3 +131,26 @@ def test_page_verdicts(spark):
     pages = spark.createDataFrame(rows, "name string, page_no int, text string")
     assert {r["name"]: r.verdict for r in files.page_verdicts(pages).collect()} == {"a": "OK", "b": "NO_TEXT", "c": "TOO_LONG", "d": "TOO_MANY_PAGES"}
     assert sorted((r["name"], r.page_no) for r in files.readable_pages(pages).collect()) == [("a", 1), ("a", 3)]
+
+
+def test_spans_are_those_of_every_stretch():
+    rng = random.Random(5)
+    met = 0
+    for _ in range(400):
+        a, b = ("".join(rng.choices("abcd", k=rng.randint(150, 500))) for _ in range(2))
+        at = rng.randint(0, len(a))
+        b = b[:100] + a[at : at + rng.choice([0, 150, 199, 200, 201, 260])] + b[100:]
+        short, long = sorted((a, b), key=len)
+        k = max(200, -int(-len(short) * 0.3 // 1))
+        want = any(short[i : i + k] in long for i in range(len(short) - k + 1))
+        met += want
+        assert evidence._span(a, b, 200, 0.3) == want
+    assert 0 < met < 400
+
+
+def test_a_query_is_read_once_for_its_candidates(monkeypatch):
+    read, init = [], sn.Question.__init__
+    monkeypatch.setattr(sn.Question, "__init__", lambda self, query: read.append(query) or init(self, query))
+    for k in range(20):
+        evidence.adjustment("how did the payment gateway improve in 2031", f"The gateway {k} was improved. Payment was faster.")
+    assert len(read) == 1
