@@ -2,7 +2,7 @@
 
 A posting's lines get their signs from column expressions (`functions.posting_lines`). Three things need other lines:
 
-* what follows: a sliding window holds the signs of the next ten lines that are not blank;
+* what follows: the signs of the next ten lines that are not blank are bits of two numbers, counted without a loop;
 * the block a line is in (job content, form, metadata, legal, excluded): the last line that opens one counts. Whether a line
   opens a block may depend on the block before it, so the form state is carried first, then the block, then the return
   from an excluded block;
@@ -10,7 +10,7 @@ A posting's lines get their signs from column expressions (`functions.posting_li
   move from excluded to unknown to searchable.
 
 Lines of searchable sections become items: list lines whole, others by sentences, each at most `limit` UTF-16 units.
-One posting's lines are one group of the windows; a posting of any length is sorted there, never held in Python. Postings
+All windows have one order, so a posting's lines are sorted once. They are one group of the windows; a posting of any length is sorted there, never held in Python. Postings
 are dealt to tasks by a fixed number of them, before they are cut into lines, so that no task's windows grow with the input.
 """
 
@@ -31,12 +31,19 @@ TOGETHER = 500  # postings of a task: all windows of a stage hold its lines at o
 _DELIMITERS = ".?!。？！;；,，:："
 
 
-def _in_order(*parts: str) -> WindowSpec:
-    return Window.partitionBy("posting", *parts).orderBy("line")
+def _in_order() -> WindowSpec:
+    return Window.partitionBy("posting").orderBy("line")
 
 
-def _so_far(*parts: str) -> WindowSpec:
-    return _in_order(*parts).rowsBetween(Window.unboundedPreceding, 0)
+def _so_far() -> WindowSpec:
+    return _in_order().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _since(start: Column, hit: Column) -> Column:
+    """Whether a line hit, from the last line where start is not null (or from the first line) up to this one: by the numbers
+    of lines, so that stretches need no sort of their own."""
+    last = lambda c: F.coalesce(F.max(F.when(c, F.col("line"))).over(_so_far()), F.lit(-1))
+    return F.coalesce(F.max(F.when(hit, F.col("line"))).over(_so_far()), F.lit(-2)) >= last(start.isNotNull())
 
 
 def lines(postings: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -49,10 +56,17 @@ def lines(postings: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return pl.with_signs(told.select("posting", "line", F.inline(F.filter(F.array("p"), lambda p: p["text"] != ""))))
 
 
-def _following(ahead: Column, most: int, stop, hit) -> Column:
-    """How many of the next most lines hit, up to the first that stops."""
-    step = lambda acc, x: F.struct((acc["n"] + F.when(~acc["done"] & ~stop(x) & hit(x), 1).otherwise(0)).alias("n"), (acc["done"] | stop(x)).alias("done"))
-    return F.aggregate(F.slice(ahead, 1, most), F.struct(F.lit(0).alias("n"), F.lit(False).alias("done")), step)["n"]
+NEXT, EACH = 10, 6  # lines ahead, and bits of each in a number
+_AHEAD = (("known", "opens", "leaf", "field", "asks", "block_meta"), ("weak", "firm", "listed", "other", "names"))
+
+
+def _following(most: int, stop: str, hit: str) -> Column:
+    """How many of the next most lines hit, up to the first that stops: bits of lines below the lowest bit of a stop."""
+    word = next(k for k, names in enumerate(_AHEAD) if stop in names)
+    every = F.lit(sum(1 << EACH * k for k in range(most))).cast("long")
+    bits = lambda name: F.shiftright(F.col(f"ahead{word}"), _AHEAD[word].index(name)).bitwiseAND(every)
+    lowest = bits(stop).bitwiseAND(-bits(stop))
+    return F.bit_count(bits(hit).bitwiseAND(lowest - F.lit(1).cast("long")))
 
 
 def headed(rows: DataFrame) -> DataFrame:
@@ -66,28 +80,33 @@ def headed(rows: DataFrame) -> DataFrame:
 def ahead_of(rows: DataFrame) -> DataFrame:
     """rows with what the next lines say: leaf5 and leaf4 (requirements or technologies), form, metadata, intro, run, parent."""
     s = F.col("signs")
-    ahead = F.collect_list(F.struct("signs", "titled", "level")).over(_in_order().rowsBetween(1, 10))
-    rows = rows.withColumn("ahead", ahead)
-    a, nxt = F.col("ahead"), F.get("ahead", F.lit(0))
-    known = lambda x: x["titled"] & (x["signs"]["kind"] != "UNKNOWN")
-    opens = lambda x: x["titled"] & (x["signs"]["kind"] == "SEARCHABLE")
-    leaf = lambda x: x["signs"]["need"] | x["signs"]["tech"]
-    weak = lambda x: x["titled"] | x["signs"]["meta"] | ~x["signs"]["strong"]
-    strong = _following(a, 4, weak, lambda x: F.lit(True))
-    asked = F.when(s["applies"], _following(a, 10, opens, lambda x: x["signs"]["field"])).otherwise(_following(a, 10, opens, lambda x: x["signs"]["asks"]))
+    titled, kind = F.col("titled"), s["kind"]
+    weak, names = titled | s["meta"] | ~s["strong"], ~titled & s["tech"]
+    told = {
+        "known": titled & (kind != "UNKNOWN"), "opens": titled & (kind == "SEARCHABLE"), "leaf": s["need"] | s["tech"], "field": s["field"], "asks": s["asks"], "block_meta": s["block_meta"],
+        "weak": weak, "firm": ~weak, "listed": s["listed"], "other": ~names, "names": names,
+    }
+    number = lambda names: sum((F.when(told[n], 1 << k).otherwise(0) for k, n in enumerate(names)), F.lit(0)).cast("long")
+    rows = rows.withColumns({f"_bits{k}": number(names) for k, names in enumerate(_AHEAD)})
+    later = lambda c, k: F.coalesce(F.lead(c, k).over(_in_order()), F.lit(0).cast("long"))
+    rows = rows.withColumns({f"ahead{w}": sum((F.shiftleft(later(f"_bits{w}", k + 1), EACH * k) for k in range(NEXT)), F.lit(0).cast("long")) for w in range(len(_AHEAD))})
+    nxt = F.lead(F.struct(s["listed"].alias("listed"), (s["listed"] & s["need"]).alias("asked"), "level"), 1).over(_in_order())
+    rows = rows.withColumn("_next", nxt)
+    nxt, bullet = F.col("_next"), F.coalesce(F.col("_next.asked"), F.lit(False))
+    strong = _following(4, "weak", "firm")
+    asked = F.when(s["applies"], _following(10, "opens", "field")).otherwise(_following(10, "opens", "asks"))
     wanted = F.when(s["applies"], 2).otherwise(3) - s["asks"].cast("int")
-    bullet = F.coalesce(nxt["signs"]["listed"] & nxt["signs"]["need"], F.lit(False))
     return rows.select(
         "*",
-        (_following(a, 4, known, leaf) >= 1).alias("some_leaf"),
-        (_following(a, 5, known, leaf) >= 2).alias("leaves"),
+        (_following(4, "known", "leaf") >= 1).alias("some_leaf"),
+        (_following(5, "known", "leaf") >= 2).alias("leaves"),
         bullet.alias("bullet"),
         (~s["listed"] & ~s["ended"] & (s["applies"] | s["asks"]) & (asked >= wanted)).alias("form"),
-        (s["pay"] | (~s["listed"] & ~s["ended"] & s["pays"] & (_following(a, 8, opens, lambda x: x["signs"]["block_meta"]) >= 2))).alias("metadata"),
-        (~s["listed"] & s["ended"] & ~s["need"] & (_following(a, 3, lambda x: x["titled"] | ~x["signs"]["tech"], lambda x: F.lit(True)) >= 2)).alias("intro"),
-        (~s["listed"] & s["strong"] & ((strong >= 2) | (~s["ended"] & (_following(a, 4, weak, lambda x: x["signs"]["listed"]) >= 1)))).alias("run"),
-        F.coalesce(F.col("grouping") & s["listed"] & nxt["signs"]["listed"] & (nxt["level"] > F.col("level")), F.lit(False)).alias("parent"),
-    ).drop("ahead")
+        (s["pay"] | (~s["listed"] & ~s["ended"] & s["pays"] & (_following(8, "opens", "block_meta") >= 2))).alias("metadata"),
+        (~s["listed"] & s["ended"] & ~s["need"] & (_following(3, "other", "names") >= 2)).alias("intro"),
+        (~s["listed"] & s["strong"] & ((strong >= 2) | (~s["ended"] & (_following(4, "weak", "listed") >= 1)))).alias("run"),
+        F.coalesce(F.col("grouping") & s["listed"] & nxt["listed"] & (nxt["level"] > F.col("level")), F.lit(False)).alias("parent"),
+    ).drop("_next", *[f"{name}{k}" for name in ("_bits", "ahead") for k in range(len(_AHEAD))])
 
 
 def blocked(rows: DataFrame) -> DataFrame:
@@ -100,11 +119,11 @@ def blocked(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("in_form", F.coalesce(F.last(form, ignorenulls=True).over(_in_order().rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)))
     opened = F.when(job | (searchable & ~F.col("in_form")), "JOB").when(F.col("form"), "FORM").when(F.col("metadata"), "METADATA")
     opened = opened.when(F.col("titled") & (s["kind"] == "EXCLUDED") & ~F.col("in_form"), F.when(s["legal"], "LEGAL").otherwise("EXCLUDED"))
-    rows = rows.withColumn("opened", opened).withColumn("span", F.count("opened").over(_so_far()))
+    rows = rows.withColumn("opened", opened)
     back = F.col("opened").isNull() & ((F.col("titled") & (F.col("leaves") | F.col("bullet"))) | F.col("run"))
-    last = F.coalesce(F.last("opened", ignorenulls=True).over(_so_far("span")), F.lit("UNKNOWN"))
-    block = F.when((last == "EXCLUDED") & F.max(back).over(_so_far("span")), "JOB").otherwise(last)
-    return rows.withColumn("block", block).drop("in_form", "opened", "span")
+    last = F.coalesce(F.last("opened", ignorenulls=True).over(_so_far()), F.lit("UNKNOWN"))
+    block = F.when((last == "EXCLUDED") & _since(F.col("opened"), back), "JOB").otherwise(last)
+    return rows.withColumn("block", block).drop("in_form", "opened")
 
 
 def sectioned(rows: DataFrame) -> DataFrame:
@@ -116,11 +135,11 @@ def sectioned(rows: DataFrame) -> DataFrame:
     heads, plain = ~F.col("skipped") & F.col("titled"), ~F.col("skipped") & ~F.col("titled") & ~F.col("parent")
     start = F.when(F.col("structured"), "UNKNOWN").otherwise("SEARCHABLE")
     said = F.when(heads & s["kind"].isin("SEARCHABLE", "EXCLUDED"), s["kind"]).when(heads & (s["kind"] == "STRUCTURAL"), "UNKNOWN").when(plain & F.col("run"), "SEARCHABLE")
-    rows = rows.withColumn("said", said).withColumn("part", F.count("said").over(_so_far()))
-    rows = rows.withColumn("base", F.coalesce(F.last("said", ignorenulls=True).over(_so_far("part")), start))
+    rows = rows.withColumn("said", said)
+    rows = rows.withColumn("base", F.coalesce(F.last("said", ignorenulls=True).over(_so_far()), start))
     loose = heads & (s["kind"] == "UNKNOWN") & ~F.col("context")
-    rows = rows.withColumn("loose", (F.col("base") == "UNKNOWN") | F.coalesce(F.max(loose).over(_so_far("part")), F.lit(False)))
-    found = F.max(plain & s["inline"] & F.col("loose")).over(_so_far("part"))
+    rows = rows.withColumn("loose", (F.col("base") == "UNKNOWN") | _since(F.col("said"), loose))
+    found = _since(F.col("said"), plain & s["inline"] & F.col("loose"))
     role = F.when((F.col("base") == "SEARCHABLE") | found, "SEARCHABLE").when(F.col("loose"), "UNKNOWN").otherwise("EXCLUDED")
     rows = rows.withColumn("role", role)
     rows = rows.withColumn("before", F.coalesce(F.lag("role").over(_in_order()), start))
@@ -134,12 +153,12 @@ def sectioned(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("section", F.last(section, ignorenulls=True).over(_so_far())["name"])
     ends = F.col("skipped") | F.col("titled") | F.col("under")
     head = F.when(ends, F.struct(F.lit(None).cast("string").alias("name"), F.lit(0).alias("level"))).when(F.col("parent") & ~F.col("leads_in"), F.struct(name.alias("name"), "level"))
-    rows = rows.withColumn("head", head).withColumn("nest", F.count("head").over(_so_far()))
-    rows = rows.withColumn("above", F.last("head", ignorenulls=True).over(_so_far("nest")))
+    rows = rows.withColumn("head", head)
+    rows = rows.withColumn("above", F.last("head", ignorenulls=True).over(_so_far()))
     out = F.col("head").isNull() & ~F.col("leads_in") & (~s["listed"] | (F.col("level") <= F.col("above.level")))
-    left = F.coalesce(F.max(out).over(_so_far("nest")), F.lit(False))
+    left = _since(F.col("head"), out)
     rows = rows.withColumn("group", F.when(F.col("head").isNull() & ~left, F.col("above.name")))
-    return rows.drop("said", "part", "base", "loose", "head", "nest", "above")
+    return rows.drop("said", "base", "loose", "head", "above")
 
 
 def pieces(text: str, limit: int = LIMIT) -> list[str] | None:

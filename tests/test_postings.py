@@ -165,3 +165,24 @@ def test_stems_held_by_a_column_are_those_of_the_pattern(spark):
     rows = spark.createDataFrame([(w,) for w in words], "c string")
     stems = (*pl.SEARCHABLE, *pl.INTRO)
     assert all(r[0] == r[1] for r in rows.select(pl.has(F.col("c"), stems), pl.holds_any(F.col("c"), stems)).collect())
+
+
+def test_lines_are_sorted_once(spark):
+    """Stretches between two signs are told by numbers of lines: all windows have one order, and no line carries its next ten."""
+    rows = po.sectioned(po.blocked(po.ahead_of(po.headed(po.lines(spark.createDataFrame([(1, "a\n\nb")], "posting_id long, text string"), "posting_id", "text")))))
+    plan = [x.strip(" +-:*()0123456789") for x in rows._jdf.queryExecution().executedPlan().toString().splitlines()]
+    assert sum(x.startswith("Sort [") for x in plan) == 1 and not any("collect_list" in x for x in plan)
+
+
+def test_stems_of_all_groups_are_held_as_by_each(spark):
+    stems = sorted({s for group in pl.GROUPS.values() for s in group})
+    rows = spark.createDataFrame([(w,) for w in ["", "none", *stems, *(f"x{s}y" for s in stems), *(s[:-1] for s in stems)]], "c string")
+    each = F.struct(*[pl.holds_any(F.col("c"), group).alias(name) for name, group in pl.GROUPS.items()])
+    assert all(r.a == r.b for r in rows.select(pl.held("c").alias("a"), each.alias("b")).collect())
+
+
+def test_untouched_lines_are_flat_as_the_rest(spark):
+    """What is told apart for speed changes no text: each line is as it is behind a mark that goes."""
+    lines = ["", " ", "a", " a", "a ", "a  b", "a\tb", "a b", "a　b", "a b", "# a", "a # b", "a<br/>b", "a < b", " a", "·a", "a​b"]
+    rows = spark.createDataFrame([(w,) for w in lines], "t string")
+    assert all(r[0] == r[1] for r in rows.select(pl.flat(F.col("t")), pl.flat(F.concat("t", F.lit("\\")))).collect())
