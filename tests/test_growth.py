@@ -36,3 +36,17 @@ def test_rows_of_one_id_are_one_text(spark):
     queries = spark.createDataFrame([(9, "a"), (9, "b"), (9, "c"), (8, "c"), (7, "zz"), (7, "a")], "query_id long, term string")
     got, plain = ({(r.query_id, r.id): r.density for r in f(queries, texts, "id", "t").collect()} for f in (fulltext.matches_by_rarest, fulltext.matches))
     assert sorted(got) == [(8, 1), (8, 2), (9, 1)] and got == plain
+
+
+def test_words_that_nobody_asks_for_are_not_shuffled(spark):
+    """The asked terms go to the texts, whatever the planner knows of their sizes: no sort-merge join shuffles all words."""
+    texts = spark.createDataFrame([(1, "a b c"), (2, "a c d")], "id long, t string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        asked = fulltext.rarest_terms(texts, texts, "id", "t", 2)
+        found = fulltext.matches(asked, texts, "id", "t")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = {(r.query_id, r.id) for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {(1, 1), (2, 2)} and "BroadcastHashJoin [term" in plan
