@@ -154,3 +154,18 @@ def test_a_query_is_read_once_for_its_candidates(monkeypatch):
     for k in range(20):
         evidence.adjustment("how did the payment gateway improve in 2031", f"The gateway {k} was improved. Payment was faster.")
     assert len(read) == 1
+
+
+def test_sentence_windows_are_rows(spark, tmp_path):
+    """All stretches of one to three sentences of a block, none over a line that stands alone; a text without any keeps its row."""
+    from evidra.plans import queries as plans
+
+    text = "One runs. Two sit. Three go. Four end.\nname: x\nFive is here."
+    rows = [(1, text), (2, "name: x"), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = plans.QUERIES["sentence_windows"](spark, str(tmp_path)).collect()
+    assert sorted((r.first, r.last) for r in got if r.doc_id == 1) == [(0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (1, 3), (2, 2), (2, 3), (3, 3), (5, 5)]
+    one = [r for r in got if r.doc_id == 1]
+    assert all(r.text == text[r.start : r.end] and r.text.startswith(r.first_sentence) and r.text.endswith(r.last_sentence) and (r.n, r.n_prose, r.n_blocks) == (6, 5, 2) for r in one)
+    assert [(r.doc_id, r.n, r.n_prose, r.longest, r.text) for r in got if r.doc_id == 2] == [(2, 1, 0, None, None)]
+    assert [(r.doc_id, r.n, r.text) for r in got if r.doc_id == 3] == [(3, None, None)]
